@@ -49,3 +49,40 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(udp, 0).otherwise((eid * 37) % 65536).cast("int").alias("tcp_window"),
         F.when(udp, 8).otherwise(20 + 4 * (eid % 4)).cast("int").alias("header_size"),
     )
+
+
+THRESHOLD = 45.0
+
+
+def raw_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stand-in for model output: one scored row per event."""
+    return table(spark, sf_dir, "events").select(
+        F.col("event_id").cast("string").alias("flow_uid"),
+        "event_id",
+        (50 - F.col("value") / 4).alias("score_raw"),
+        F.col("event_type").alias("scope"),
+        (F.col("event_type") == "error").cast("int").alias("label"),
+        F.when(F.col("event_id") % 100 == 0, "Normal")
+        .when(F.col("event_id") % 50 == 0, "Attack")
+        .alias("human_label"),
+    )
+
+
+def scored(spark: SparkSession, sf_dir: str, scope: str | None = "scope") -> DataFrame:
+    """``raw_scores`` with prediction, confidence and rounded score."""
+    from tidewatch.operators.scoring import classify
+
+    return classify(raw_scores(spark, sf_dir), THRESHOLD, scope)
+
+
+def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feedback events: labels set, changed and cleared over time, three per flow at most."""
+    events = table(spark, sf_dir, "events")
+    n = F.col("event_id")
+    return events.filter(F.col("event_type").isin("error", "purchase")).select(
+        (n % 997).cast("string").alias("flow_uid"),
+        F.when(n % 3 == 0, "Normal").when(n % 3 == 1, "Attack").otherwise("Unclear").alias("human_label"),
+        F.when(n % 2 == 0, "Normal").otherwise("Attack").alias("model_prediction"),
+        F.col("ts").cast("timestamp").alias("feedback_ts"),
+        F.when(n % 7 == 0, "clear").otherwise("set").alias("action"),
+    )

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +27,21 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_ARCHIVE = "tidewatch-workers.zip"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers of every executor."""
+    sc = spark.sparkContext
+    if any(name.endswith(_ARCHIVE) for name in sc._python_includes):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    folder = tempfile.mkdtemp(prefix="tidewatch-ship-")
+    archive = os.path.join(folder, _ARCHIVE)
+    shutil.make_archive(archive.removesuffix(".zip"), "zip", root, os.path.basename(os.path.dirname(__file__)))
+    sc.addPyFile(archive)
+
+
 def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "tidewatch") -> SparkSession:
     """A session for tests and the benchmark; clusters bring their own."""
     builder = (
@@ -65,3 +83,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint directory."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stage_table(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet in the shared checkpoint directory and read it back.
+
+    Unlike a checkpoint the copy is columnar, so later passes read only the columns
+    they need.  For results that several passes use.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
