@@ -29,8 +29,9 @@ TOP = 15  # fixed value: rows of a waterfall, the last one holding the rest
 BACKGROUND = 50
 _BLOCK = 16_384
 
-_RESULT = T.StructType(
+_ONE = T.StructType(
     [
+        T.StructField("level", T.StringType()),
         T.StructField("base", T.DoubleType()),
         T.StructField("score", T.DoubleType()),
         T.StructField("contributions", T.ArrayType(T.DoubleType())),
@@ -52,61 +53,73 @@ def explain(
     walks: int = 40,
     seed: int = 42,
     uid: str = "flow_uid",
+    partitions: int | None = None,
 ) -> DataFrame:
-    """``flow_uid, model_version, level, base, score, features, contributions``.
+    """``flow_uid, model_version, level, base, score, features, data, contributions``.
 
     ``ae`` explains the mean reconstruction error, ``gmm`` the mixture log-density.
+    Each row costs ``walks * features`` model runs, so rows are spread over
+    ``partitions`` tasks (three per core) instead of being packed by size.
     """
     levels = LEVELS if level == "both" else (level,)
+    spark = flows.sparkSession
     rng = np.random.default_rng(seed)
     d = bundle.dim
     orders = np.array([rng.permutation(d) for _ in range(walks)])
     starts = background[np.arange(walks) % len(background)]
-    ship_package(flows.sparkSession)
-    shared = flows.sparkSession.sparkContext.broadcast((bundle, orders, starts))
-
-    def function(which: str):
-        @F.pandas_udf(_RESULT)
-        def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-            model, paths, origin = shared.value
-            mixture = model.mixture() if which == "gmm" else None
-            rank = np.argsort(paths, axis=1)
-            # taken[w, s, f]: feature f comes from the row after s steps of walk w.
-            taken = rank[:, None, :] < np.arange(d + 1)[None, :, None]
-
-            def value(block):
-                errors = model.errors(block)
-                return errors.mean(1) if which == "ae" else mixture.log_density(errors)
-
-            base = float(value(origin).mean())
-            rows_per_block = max(1, _BLOCK // taken[..., 0].size)
-            for columns in batches:
-                x = np.column_stack([c.to_numpy(dtype=float) for c in columns])
-                parts = []
-                for at in range(0, len(x), rows_per_block):
-                    rows = x[at : at + rows_per_block]
-                    mixed = np.where(taken[None], rows[:, None, None, :], origin[None, :, None, :])
-                    f = value(mixed.reshape(-1, d)).reshape(len(rows), len(paths), d + 1)
+    ship_package(spark)
+    shared = spark.sparkContext.broadcast((bundle, orders, starts))
+
+    @F.pandas_udf(T.StructType([T.StructField(name, _ONE) for name in levels]))
+    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        model, paths, origin = shared.value
+        mixture = model.mixture()
+        rank = np.argsort(paths, axis=1)
+        # taken[w, s, f]: feature f comes from the row after s steps of walk w.
+        taken = rank[:, None, :] < np.arange(1, d)[None, :, None]
+
+        def values(block):
+            errors = model.errors(block)
+            return {n: errors.mean(1) if n == "ae" else mixture.log_density(errors) for n in levels}
+
+        at_start = values(origin)
+        rows_per_block = max(1, _BLOCK // taken[..., 0].size)
+        for columns in batches:
+            x = np.column_stack([c.to_numpy(dtype=float) for c in columns])
+            ends = values(x)
+            found = {n: np.empty((len(x), d)) for n in levels}
+            for at in range(0, len(x), rows_per_block):
+                rows = x[at : at + rows_per_block]
+                mixed = np.where(taken[None], rows[:, None, None, :], origin[None, :, None, :])
+                between = values(mixed.reshape(-1, d))
+                for n in levels:
+                    f = np.empty((len(rows), len(paths), d + 1))
+                    f[:, :, 0] = at_start[n]
+                    f[:, :, 1:d] = between[n].reshape(len(rows), len(paths), d - 1)
+                    f[:, :, d] = ends[n][at : at + len(rows), None]
                     steps = np.diff(f, axis=2)
                     by_feature = np.take_along_axis(steps, np.broadcast_to(rank, steps.shape), axis=2)
-                    parts.append(by_feature.mean(1))
-                contributions = np.concatenate(parts) if parts else np.empty((0, d))
-                yield pd.DataFrame(
-                    {"base": base, "score": value(x) if len(x) else np.empty(0), "contributions": list(contributions)}
-                )
-
-        return run
-
-    columns = scaled(bundle)
-    found = flows.select(
-        quoted(uid),
-        F.array(*[feature(f) for f in bundle.feature_names]).alias("data"),
-        *[function(name)(*columns).alias(name) for name in levels],
+                    found[n][at : at + len(rows)] = by_feature.mean(1)
+            yield pd.DataFrame(
+                {
+                    n: [
+                        {"level": n, "base": float(at_start[n].mean()), "score": s, "contributions": c}
+                        for s, c in zip(ends[n], found[n])
+                    ]
+                    for n in levels
+                }
+            )
+
+    spread = flows.select(quoted(uid), *[feature(f).alias(f) for f in bundle.feature_names]).repartition(
+        partitions or 3 * spark.sparkContext.defaultParallelism, quoted(uid)
     )
-    per_level = F.array(*[F.struct(F.lit(n).alias("level"), F.col(n).alias("r")) for n in levels])
+    found = spread.select(
+        quoted(uid), F.array(*[quoted(f) for f in bundle.feature_names]).alias("data"), run(*scaled(bundle)).alias("r")
+    )
+    per_level = F.array(*[F.col(f"r.{n}") for n in levels])
     return found.select(uid, "data", F.inline(per_level)).select(
-        uid, F.lit(bundle.version).alias("model_version"), "level", "r.base", "r.score",
-        F.array(*[F.lit(f) for f in bundle.feature_names]).alias("features"), "data", "r.contributions",
+        uid, F.lit(bundle.version).alias("model_version"), "level", "base", "score",
+        F.array(*[F.lit(f) for f in bundle.feature_names]).alias("features"), "data", "contributions",
     )
 
 
