@@ -85,11 +85,13 @@ def reconstruct(layers: list[dict], x: np.ndarray) -> np.ndarray:
     return x
 
 
-def gradient(layers: list[dict], x: np.ndarray, d_out, training: bool):
+def gradient(layers: list[dict], x: np.ndarray, d_out, training: bool, squared: bool = False):
     """Output, packed gradient of the trainables, and batch statistics per layer.
 
-    ``d_out(y)`` is the derivative of the loss by the output.
+    ``d_out(y)`` is the derivative of the loss by the output.  ``squared`` sums the
+    squares of the per-row gradients (rows are independent without batch statistics).
     """
+    power = 2 if squared else 1
     tape, stats, h = [], [], x
     for i, layer in enumerate(layers):
         z = h @ layer["kernel"] + layer["bias"]
@@ -111,10 +113,10 @@ def gradient(layers: list[dict], x: np.ndarray, d_out, training: bool):
         g = {}
         if norm is not None:
             x_hat, inv = norm
-            g["gamma"], g["beta"] = (d * x_hat).sum(0), d.sum(0)
+            g["gamma"], g["beta"] = ((d * x_hat) ** power).sum(0), (d**power).sum(0)
             d = d * layer["gamma"]
             d = inv * (d - d.mean(0) - x_hat * (d * x_hat).mean(0)) if training else inv * d
-        g["kernel"], g["bias"] = h_in.T @ d, d.sum(0)
+        g["kernel"], g["bias"] = (h_in**power).T @ d**power, (d**power).sum(0)
         d = d @ layer["kernel"].T
         grads.append(np.concatenate([g[n].ravel() for n in TRAINABLE if n in layer]))
     return h, np.concatenate(grads[::-1]), stats
