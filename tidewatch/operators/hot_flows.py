@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.operators.flows import before, closing_fins, fin_turns, flow_rows, last_where, micros, upto
-from tidewatch.session import cut_lineage
+from tidewatch.operators.ranks import join_small
+from tidewatch.session import cut_lineage, ship_package, stage_table
 
 CASES = ("none", "a", "b")
 _EXACT = "decimal(38,0)"
@@ -42,8 +43,12 @@ def hot_keys(df: DataFrame, by: list[str], limit: int) -> tuple[DataFrame, int,
     return hot.select(*by), n_keys, n_rows
 
 
-def _pieces(df: DataFrame, by: list[str], n_rows: int, limit: int, timeout: int, idle: int) -> DataFrame:
-    chunks = max(2, -(-n_rows // limit))
+def cut_pieces(df: DataFrame, by: list[str], chunks: int, timeout: int, idle: int) -> DataFrame:
+    """Reduce packets to pieces, in ``chunks`` tasks of about equal size.
+
+    The chunk borders come from a sample of the data, so the result is stored: a
+    second evaluation could draw other borders.
+    """
     df = df.repartitionByRange(chunks, *by, "t", "seq").withColumn("chunk", F.spark_partition_id())
     part = [*by, "chunk"]
     w = Window.partitionBy(*part).orderBy("t", "seq")
@@ -143,7 +148,7 @@ def _pieces(df: DataFrame, by: list[str], n_rows: int, limit: int, timeout: int,
             F.max(length).alias(f"m_len_{s}"),
             F.count(gap).alias(f"n_iat_{s}"), total(gap).alias(f"s_iat_{s}"), square(gap).alias(f"q_iat_{s}"),
         ]
-    return df.groupBy(*part, "piece").agg(*aggregates)
+    return stage_table(df.groupBy(*part, "piece").agg(*aggregates))
 
 
 def _chunk_cases(pieces: DataFrame, by: list[str], timeout: int) -> DataFrame:
@@ -207,97 +212,131 @@ def _chunk_cases(pieces: DataFrame, by: list[str], timeout: int) -> DataFrame:
             waiting["is_final"] = True
             yield pd.DataFrame([waiting])
 
+    ship_package(pieces.sparkSession)
     return flat.repartition(*by).sortWithinPartitions(*by, "chunk").mapInPandas(fold, schema)
 
 
-def _merged_std(n: Column, s: Column, q: Column) -> Column:
-    """Sample deviation from exact count, sum and sum of squares; 0 below two values."""
-    nd, sd = n.cast(_EXACT), s.cast(_EXACT)
-    spread = (nd * q - sd * sd).cast("double") / (n.cast("double") * (n.cast("double") - 1.0))
-    return F.when(n > 1, F.sqrt(F.greatest(spread, F.lit(0.0)))).otherwise(0.0)
-
-
-def hot_flows(
-    df: DataFrame, by: list[str], n_rows: int, limit: int, timeout: str, idle: str
-) -> DataFrame:
-    """Flows of the packets of hot keys; same rows as the single-task plan."""
-    gap_limit, idle_limit = micros(timeout), micros(idle)
-    # Range bounds are drawn from a sample, so the chunks are fixed once, here.
-    pieces = cut_lineage(_pieces(df, by, n_rows, limit, gap_limit, idle_limit))
-    cases = cut_lineage(_chunk_cases(pieces, by, gap_limit))
-    # One row per chunk: at most rows/limit + number of hot keys.
-    df = pieces.join(F.broadcast(cases), [*by, "chunk"])
+def assign_flows(pieces: DataFrame, by: list[str], timeout: int) -> DataFrame:
+    """Pieces with the flow they belong to: ``flow_chunk`` and ``flow_no``."""
+    cases = cut_lineage(_chunk_cases(pieces, by, timeout))
+    # One row per key and chunk.
+    df = join_small(pieces, cases, [*by, "chunk"])
 
     def pick(prefix: str) -> Column:
         return F.element_at(F.array(*[F.col(f"{prefix}_{c}") for c in CASES]), F.col("entry") + 1)
 
+    def pick_tail(prefix: str) -> Column:
+        return F.element_at(F.array(*[F.col(f"tail.{prefix}_{c}") for c in CASES]), F.col("entry") + 1)
+
     in_chunk = Window.partitionBy(*by, "chunk").orderBy("piece")
     df = df.withColumn("no", F.sum(pick("start").cast("long")).over(upto(in_chunk)))
-    df = df.withColumns(
+    return df.withColumns(
         {
             "flow_chunk": F.when(F.col("no") > 0, F.col("chunk")).otherwise(F.col("from_chunk")),
             "flow_no": F.when(F.col("no") > 0, F.col("no")).otherwise(F.col("from_no")),
-            "closes": F.element_at(F.array(*[F.col(f"tail.closes_{c}") for c in CASES]), F.col("entry") + 1),
-            "is_last": F.col("is_final") & F.lead("piece").over(in_chunk).isNull(),
+            "end": F.struct(
+                F.col("tail.t").alias("t"), F.col("tail.rst").alias("rst"), pick_tail("closes").alias("closes"),
+                pick_tail("open").alias("open"), (F.col("is_final") & F.lead("piece").over(in_chunk).isNull()).alias("is_last"),
+            ),
         }
-    )
+    ).drop("no", "entry", "entry_starts", "from_chunk", "from_no", "is_final")
+
+
+def merge_pieces(df: DataFrame, by: list[str]) -> DataFrame:
+    """One row per flow with the columns of a piece; ``end`` tells how it ended."""
     flow = [*by, "flow_chunk", "flow_no"]
     w = Window.partitionBy(*flow).orderBy("chunk", "piece")
     df = df.withColumns(
         {
-            "opener_a": F.first("head.a_side").over(upto(w)),
-            "gap": F.col("head.t") - F.lag("tail.t").over(w),
+            "gap": F.col("head.t") - F.lag("end.t").over(w),
             "gap_a": F.col("first_a") - F.last("last_a", ignorenulls=True).over(before(w)),
             "gap_b": F.col("first_b") - F.last("last_b", ignorenulls=True).over(before(w)),
         }
     )
+    order = F.struct("chunk", "piece")
 
-    def side(name: str, forward: bool) -> Column:
-        a, b = F.col(f"{name}_a"), F.col(f"{name}_b")
-        return F.when(F.col("opener_a") == forward, a).otherwise(b)
-
-    def with_gap(gap: Column, n: Column, s: Column, q: Column) -> dict[str, Column]:
-        g = F.coalesce(gap, F.lit(0))
-        return {
-            "n": F.sum(n + gap.isNotNull().cast("long")),
-            "s": F.sum(s + g),
-            "q": F.sum((q + g.cast(_EXACT) * g.cast(_EXACT)).cast(_EXACT)).cast(_EXACT),
-        }
+    def with_gap(gap: str, suffix: str) -> list[Column]:
+        """Inter-arrival count, sum and sum of squares, gaps between pieces included."""
+        g, wide = F.coalesce(F.col(gap), F.lit(0)), F.coalesce(F.col(gap), F.lit(0)).cast(_EXACT)
+        return [
+            F.sum(F.col(f"n_iat{suffix}") + F.col(gap).isNotNull().cast("long")).alias(f"n_iat{suffix}"),
+            F.sum(F.col(f"s_iat{suffix}") + g).alias(f"s_iat{suffix}"),
+            F.sum((F.col(f"q_iat{suffix}") + wide * wide).cast(_EXACT)).cast(_EXACT).alias(f"q_iat{suffix}"),
+        ]
 
-    def lengths(forward: bool) -> dict[str, Column]:
-        return {
-            "n": F.sum(side("n_len", forward)),
-            "s": F.sum(side("s_len", forward)),
-            "q": F.sum(side("q_len", forward)).cast(_EXACT),
-        }
+    def side(s: str) -> list[Column]:
+        return [
+            F.min(f"first_{s}").alias(f"first_{s}"), F.max(f"last_{s}").alias(f"last_{s}"),
+            F.min(f"hdr_{s}").alias(f"hdr_{s}"), F.sum(f"n_len_{s}").alias(f"n_len_{s}"),
+            F.sum(f"s_len_{s}").alias(f"s_len_{s}"), F.sum(f"q_len_{s}").cast(_EXACT).alias(f"q_len_{s}"),
+            F.max(f"m_len_{s}").alias(f"m_len_{s}"), *with_gap(f"gap_{s}", f"_{s}"),
+        ]
 
-    flow_iat = with_gap(F.col("gap"), F.col("n_iat"), F.col("s_iat"), F.col("q_iat"))
-    fwd_iat = with_gap(*(side(c, True) for c in ("gap", "n_iat", "s_iat", "q_iat")))
-    bwd_iat = with_gap(*(side(c, False) for c in ("gap", "n_iat", "s_iat", "q_iat")))
-    fwd, bwd = lengths(True), lengths(False)
-    n_bwd = F.when(bwd["n"] > 0, bwd["n"])
-    order = F.struct("chunk", "piece")
-    zero = F.lit(0)
-    grouped = df.groupBy(*flow).agg(
+    idle_gap = F.when(F.col("gap") > F.col("idle_limit"), F.col("gap"))
+    return df.groupBy(*flow).agg(
         F.sum("packets").alias("packets"),
         F.min_by("head", order).alias("head"),
-        F.max_by(F.struct(F.col("tail.rst"), "closes", "is_last"), order).alias("tail"),
-        fwd_iat["s"].alias("Fwd IAT Total"),
-        F.min(side("hdr", True)).alias("Fwd Seg Size Min"),
-        F.coalesce(bwd["s"] / n_bwd, F.lit(0.0)).alias("Bwd Packet Length Mean"),
-        F.coalesce(F.max(F.greatest("max_iat", "gap")), zero).alias("Flow IAT Max"),
-        F.max("max_len").alias("Packet Length Max"),
-        _merged_std(**flow_iat).alias("Flow IAT Std"),
-        _merged_std(**fwd).alias("Fwd Packet Length Std"),
-        F.coalesce(
-            F.max(F.greatest("idle", F.when(F.col("gap") > idle_limit, F.col("gap")))), zero
-        ).alias("Idle Max"),
-        (F.sum(F.col("s_len_a") + F.col("s_len_b")) / F.sum("packets")).alias("Packet Length Mean"),
-        F.coalesce(F.max(side("m_len", False)), zero).alias("Bwd Packet Length Max"),
-        _merged_std(**bwd).alias("Bwd Packet Length Std"),
-        (fwd["s"] / fwd["n"]).alias("Fwd Packet Length Mean"),
-        F.min("min_len").alias("Packet Length Min"),
-        F.sum("fins").alias("FIN Flag Count"),
-        _merged_std(**bwd_iat).alias("Bwd IAT Std"),
+        F.max_by("end", order).alias("end"),
+        F.max("max_len").alias("max_len"), F.min("min_len").alias("min_len"), F.sum("fins").alias("fins"),
+        F.max(F.greatest("max_iat", "gap")).alias("max_iat"), F.max(F.greatest("idle", idle_gap)).alias("idle"),
+        *with_gap("gap", ""), *side("a"), *side("b"),
+    )
+
+
+def as_open_piece(flow: DataFrame, by: list[str]) -> DataFrame:
+    """An unfinished flow as the piece that precedes everything to come."""
+    tail = F.struct(
+        F.col("end.t").alias("t"), F.lit(False).alias("rst"),
+        *[F.lit(False).alias(f"closes_{c}") for c in CASES], *[F.col("end.open").alias(f"open_{c}") for c in CASES],
+    )
+    out = flow.withColumns(
+        {"chunk": F.lit(-1), "piece": F.lit(0).cast("long"), "tail": tail, **{f"start_{c}": F.lit(False) for c in CASES}}
     )
-    return flow_rows(grouped)
+    return out.drop("flow_chunk", "flow_no", "end")
+
+
+def _std(n: Column, s: Column, q: Column) -> Column:
+    """Sample deviation from exact count, sum and sum of squares; 0 below two values."""
+    nd, sd = n.cast(_EXACT), s.cast(_EXACT)
+    spread = (nd * q - sd * sd).cast("double") / (n.cast("double") * (n.cast("double") - 1.0))
+    return F.when(n > 1, F.sqrt(F.greatest(spread, F.lit(0.0)))).otherwise(0.0)
+
+
+def merged_features(flow: DataFrame) -> DataFrame:
+    """Feature rows of merged flows."""
+
+    def side(name: str, forward: bool) -> Column:
+        return F.when(F.col("head.a_side") == forward, F.col(f"{name}_a")).otherwise(F.col(f"{name}_b"))
+
+    def spread(names: tuple[str, str, str], forward: bool) -> Column:
+        return _std(*[side(n, forward) for n in names])
+
+    length, iat, zero = ("n_len", "s_len", "q_len"), ("n_iat", "s_iat", "q_iat"), F.lit(0)
+    n_bwd = F.when(side("n_len", False) > 0, side("n_len", False))
+    values = {
+        "tail": F.col("end"),
+        "Fwd IAT Total": side("s_iat", True),
+        "Fwd Seg Size Min": side("hdr", True),
+        "Bwd Packet Length Mean": F.coalesce(side("s_len", False) / n_bwd, F.lit(0.0)),
+        "Flow IAT Max": F.coalesce("max_iat", zero),
+        "Packet Length Max": F.col("max_len"),
+        "Flow IAT Std": _std(*[F.col(n) for n in iat]),
+        "Fwd Packet Length Std": spread(length, True),
+        "Idle Max": F.coalesce("idle", zero),
+        "Packet Length Mean": (F.col("s_len_a") + F.col("s_len_b")) / F.col("packets"),
+        "Bwd Packet Length Max": F.coalesce(side("m_len", False), zero),
+        "Bwd Packet Length Std": spread(length, False),
+        "Fwd Packet Length Mean": side("s_len", True) / side("n_len", True),
+        "Packet Length Min": F.col("min_len"),
+        "FIN Flag Count": F.col("fins"),
+        "Bwd IAT Std": spread(iat, False),
+    }
+    return flow_rows(flow.withColumns(values))
+
+
+def hot_flows(df: DataFrame, by: list[str], n_rows: int, limit: int, timeout: str, idle: str) -> DataFrame:
+    """Flows of the packets of hot keys; same rows as the single-task plan."""
+    gap_limit, idle_limit = micros(timeout), micros(idle)
+    pieces = cut_pieces(df, by, max(2, -(-n_rows // limit)), gap_limit, idle_limit)
+    assigned = assign_flows(pieces, by, gap_limit).withColumn("idle_limit", F.lit(idle_limit))
+    return merged_features(merge_pieces(assigned, by))

@@ -84,14 +84,18 @@ class Engine:
 
     # ---- scoring and routing
 
-    def predict(self, flows: DataFrame, scope: str = "all", bundle: Bundle | None = None, token: str | None = None, **options) -> DataFrame:
+    def predict(
+        self, flows: DataFrame, scope: str = "all", bundle: Bundle | None = None, token: str | None = None,
+        scope_column: str | None = None, **options,
+    ) -> DataFrame:
         """Score, store under ``scope``, route to the buffers; returns the stored rows.
 
+        Confidence is relative to these rows, or to those sharing ``scope_column``.
         ``token`` names the append: a retried micro-batch replaces its own rows.
         """
         bundle = bundle or self.current()
         keep = [c for c in ("flow_uid", "source_file", "capture_time") if c in flows.columns]
-        rows = scoring.predict(flows, bundle, keep=options.pop("keep", keep), **options)
+        rows = scoring.predict(flows, bundle, scope_column, keep=options.pop("keep", keep), **options)
         rows = rows.withColumns({"scope": F.lit(scope), "scored_at": F.current_timestamp()})
         token = self.scored.append(rows, token)
         self.scope_events.append(
