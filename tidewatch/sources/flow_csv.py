@@ -86,7 +86,7 @@ def _without(header: Sequence[str], drop: Sequence[str]) -> list[str]:
 
 
 def list_csv(spark: SparkSession, directory: str) -> DataFrame:
-    """The CSV files of a directory, newest first; contents are not read."""
+    """The non-empty CSV files of a directory, newest first; contents are not read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(directory)
     return files.select("path", "modificationTime", "length").orderBy(F.desc("modificationTime"), "path")
 
