@@ -15,7 +15,7 @@ from tidewatch.operators import explain as ex
 from tidewatch.operators import flows as fl
 from tidewatch.operators import ranks, routing, sampling, scoring, stats
 from tidewatch.operators.bundle import Bundle, current_version, random_bundle
-from tidewatch.plans import samples
+from tidewatch.plans import samples, train_ae, train_gmm
 from tidewatch.schemas import FEATURES
 from tidewatch.session import ensure_checkpoint_dir, prepare
 from tidewatch.sources import flow_csv, tables
@@ -576,3 +576,59 @@ def explain_flows(spark, sf_dir):
     df = ex.explain(flows, bundle, ex.background_sample(flows, bundle, 20), walks=10)
     total = F.aggregate("contributions", F.lit(0.0), lambda a, v: a + v)
     return df.withColumn("unexplained", F.round(F.col("score") - F.col("base") - total, 6)).drop("features", "data")
+
+
+# ---- streams
+
+
+@query
+def stream_flows(spark, sf_dir):
+    """Packets replayed as a file stream in four parts, flows collected at the end."""
+    from tidewatch.streaming.flows import FlowStream
+    from tidewatch.streaming.live import packet_stream
+
+    root, packets = scratch(spark), samples.packets(spark, sf_dir)
+    n, lo, hi = packets.agg(F.count(F.lit(1)), F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    files = max(1, n // 4_000_000)
+    part = F.least(F.floor((F.unix_micros("ts") - lo) * 4 / (hi - lo + 1)), F.lit(3))
+    for i in range(4):
+        packets.filter(part == i).repartition(files).write.mode("append").parquet(f"{root}/packets")
+    stream = FlowStream(spark, f"{root}/state", delay="1 second")
+    stream.start(packet_stream(spark, f"{root}/packets", files_per_trigger=files), f"{root}/checkpoint").awaitTermination()
+    stream.flush()
+    return rounded(stream.flows()).drop("start_ts", "end_reason")
+
+
+# ---- training
+
+
+@query
+def weight_importance(spark, sf_dir):
+    """Importance of the small network's weights over all rows."""
+    b = tiny_bundle()
+    x1, x2 = scoring.scaled(b)
+    rows = lineitem(spark, sf_dir).select(x1.alias("x1"), x2.alias("x2"))
+    omega = train_ae.importance(rows, ["x1", "x2"], b.layers, n=None)
+    data = [(i, round(float(v), 6)) for i, v in enumerate(omega)]
+    return spark.createDataFrame(data, "position int, importance double")
+
+
+@query
+def mixture_fit(spark, sf_dir):
+    """Three components over four embedding dimensions."""
+    vector = F.transform(F.slice("embedding", 1, 4), lambda v: v.cast("double"))
+    errors = samples.table(spark, sf_dir, "embeddings").select(vector.alias("errors"))
+    weights, means, covs, trace = train_gmm.fit_mixture(errors, k=3, max_iter=10)
+    rows = [(i, float(w), [float(v) for v in m], float(np.linalg.det(c))) for i, (w, m, c) in enumerate(zip(weights, means, covs))]
+    return spark.createDataFrame(rows, "component int, weight double, mean array<double>, spread double")
+
+
+@query
+def adaptation(spark, sf_dir):
+    """A model trained from scratch on all flows: its review percentiles and threshold."""
+    from tidewatch.plans.adapt import adapt_initial
+
+    flows = fl.build_flows(samples.packets(spark, sf_dir))
+    done = adapt_initial(flows, encoder=[16, 8], latent=6, components=3, epochs=5, max_iter=10)
+    rows = [(name, float(v), float(done.bundle.threshold), done.n_rows) for name, v in done.percentiles.items()]
+    return spark.createDataFrame(rows, "percentile string, score double, threshold double, rows long")

@@ -207,7 +207,7 @@ def oracle_sql() -> dict[str, str]:
     )
     q["flow_counts"] = f"""{flows} SELECT count(*) AS flows, count(*) FILTER (protocol0 = 6) AS flows_tcp,
         count(*) FILTER (protocol0 = 17) AS flows_udp, count(*) FILTER (end_reason = 'flush') AS open_flows FROM flows"""
-    q["stream_flows"] = q["flow_features"]
+    q["stream_flows"] = f"{flows} SELECT {FLOW_HEAD.replace('end_reason, ', '')}, {ROUNDED} FROM flows"
 
     # columns
     q["canonical_columns"] = """SELECT l_orderkey, l_linenumber, l_quantity AS "Dst Port", l_extendedprice AS "Packet Length Min",
@@ -342,4 +342,16 @@ def oracle_sql() -> dict[str, str]:
         SELECT CAST(vec_id AS VARCHAR) AS flow_uid, CAST(rank AS INTEGER) AS rank, 'f' || lpad(CAST(f AS VARCHAR), 2, '0') AS feature,
                round(CAST(c AS DOUBLE), 5) AS contribution FROM r WHERE rank <= 14
         UNION ALL SELECT CAST(vec_id AS VARCHAR), 15, 'other', round(sum(CAST(c AS DOUBLE)), 5) FROM r WHERE rank > 14 GROUP BY vec_id"""
+
+    # training: gradient of the summed squared output of the small network
+    grads = [
+        "2 * d1 * x1", "2 * d2 * x1", "2 * d1 * x2", "2 * d2 * x2", "2 * d1", "2 * d2",
+        "2 * f1 * h1", "2 * f2 * h1", "2 * f1 * h2", "2 * f2 * h2", "2 * f1", "2 * f2",
+    ]
+    q["weight_importance"] = f"""WITH {TINY},
+        f AS (SELECT *, h1 * 1.25 + h2 * 0.5 - 0.05123456789 AS f1, h1 * -0.5 + h2 * 0.8 + 0.15987654321 AS f2 FROM h),
+        d AS (SELECT *, CASE WHEN h1 > 0 THEN f1 * 1.25 + f2 * -0.5 ELSE 0 END AS d1,
+                        CASE WHEN h2 > 0 THEN f1 * 0.5 + f2 * 0.8 ELSE 0 END AS d2 FROM f),
+        o AS ({" UNION ALL ".join(f"SELECT {i} AS position, sum({g}) ** 2 / count(*) AS v FROM d" for i, g in enumerate(grads))})
+        SELECT position, round(v / max(v) OVER (), 6) AS importance FROM o"""
     return q
