@@ -45,25 +45,28 @@ def micros(duration: str) -> int:
 def keyed(packets: DataFrame, window: str | None = None) -> tuple[DataFrame, list[str]]:
     """Keep TCP/UDP packets and add the partition columns of the flow table.
 
-    With ``window`` every tumbling capture window has its own flow table.
+    Addresses and ports travel once, inside the key; ``a_side`` tells which of its
+    endpoints sent the packet.  With ``window`` every tumbling capture window has its
+    own flow table.
     """
-    df = packets.filter(P.is_transport(F.col("protocol"))).select(
-        P.flow_key(*(F.col(c) for c in ("src_ip", "dst_ip", "src_port", "dst_port", "protocol"))).alias("k"),
+    key = P.flow_key(*(F.col(c) for c in ("src_ip", "dst_ip", "src_port", "dst_port", "protocol")))
+    df = packets.filter(P.is_transport(F.col("protocol"))).withColumn("k", key)
+    columns = [
+        "k",
         "seq",
         F.unix_micros("ts").alias("t"),
-        "src_ip", "dst_ip", "src_port", "dst_port", "protocol",
+        ((F.col("src_ip") == F.col("k.ip_a")) & (F.col("src_port") == F.col("k.port_a"))).alias("a_side"),
         F.col("payload_len").cast("long").alias("len"),
-        F.col("tcp_window").cast("long").alias("win"),
-        F.col("header_size").cast("long").alias("hdr"),
+        F.col("tcp_window").cast("int").alias("win"),
+        F.col("header_size").cast("int").alias("hdr"),
         P.has_flag(F.col("tcp_flags"), P.FIN).alias("fin"),
         P.has_flag(F.col("tcp_flags"), P.RST).alias("rst"),
-    ).withColumn("a_side", (F.col("src_ip") == F.col("k.ip_a")) & (F.col("src_port") == F.col("k.port_a")))
+    ]
     by = ["k"]
     if window:
-        width = micros(window)
-        df = df.withColumn("capture", F.col("t") - F.pmod(F.col("t"), F.lit(width)))
+        columns.append((F.unix_micros("ts") - F.pmod(F.unix_micros("ts"), F.lit(micros(window)))).alias("capture"))
         by.append("capture")
-    return df, by
+    return df.select(*columns), by
 
 
 def before(w: Window) -> Window:
@@ -157,17 +160,21 @@ def flow_features(df: DataFrame, by: list[str], idle: str = IDLE) -> DataFrame:
             "iat": F.when(~F.col("starts"), F.col("t") - F.col("prev_t")),
             "fwd_iat": gap("prev_f", fwd),
             "bwd_iat": gap("prev_b", bwd),
-            "at": F.struct("t", "seq"),
-            "head": F.struct("src_ip", "dst_ip", "src_port", "dst_port", "protocol", "t", "seq", "win"),
-            "tail": F.struct("rst", "closes", "is_last"),
         }
     )
     fwd_len, bwd_len = F.when(fwd, F.col("len")), F.when(bwd, F.col("len"))
-    zero = F.lit(0.0)
+    opening, zero = F.col("starts"), F.lit(0.0)
+    # Numbers and flags only, so that the aggregation can hash instead of sorting
+    # again.  RST and the closing FIN can only be on the last packet of a flow.
     grouped = df.groupBy(*by, "flow_no").agg(
         F.count(F.lit(1)).alias("packets"),
-        F.min_by("head", "at").alias("head"),
-        F.max_by("tail", "at").alias("tail"),
+        F.bool_or(F.col("opener_a")).alias("opener_a"),
+        F.min("t").alias("t0"),
+        F.max(F.when(opening, F.col("seq"))).alias("seq0"),
+        F.max(F.when(opening, F.col("win"))).alias("FWD Init Win Bytes"),
+        F.bool_or("rst").alias("rst"),
+        F.bool_or("closes").alias("closes"),
+        F.bool_or("is_last").alias("is_last"),
         F.coalesce(F.sum("fwd_iat"), F.lit(0)).alias("Fwd IAT Total"),
         F.min(F.when(fwd, F.col("hdr"))).alias("Fwd Seg Size Min"),
         F.coalesce(F.avg(bwd_len), zero).alias("Bwd Packet Length Mean"),
@@ -188,33 +195,37 @@ def flow_features(df: DataFrame, by: list[str], idle: str = IDLE) -> DataFrame:
 
 
 def flow_rows(grouped: DataFrame) -> DataFrame:
-    """Final columns from per-flow aggregates with ``head`` and ``tail`` structs."""
-    h = {c: F.col(f"head.{c}") for c in ("src_ip", "dst_ip", "src_port", "dst_port", "protocol", "t", "seq", "win")}
-    name = P.flow_id(h["src_ip"], h["dst_ip"], h["src_port"], h["dst_port"], h["protocol"])
+    """Final columns from per-flow aggregates and the key."""
+
+    def ends(name: str, first: bool) -> Column:
+        a, b = F.col(f"k.{name}_a"), F.col(f"k.{name}_b")
+        return F.when(F.col("opener_a"), a if first else b).otherwise(b if first else a)
+
+    t0 = F.col("t0")
     capture = [c for c in ("capture",) if c in grouped.columns]
-    scope = [F.col(c).cast("string") for c in capture]
     df = grouped.withColumns(
         {
-            "flow_uid": F.md5(F.concat_ws("|", name, h["t"].cast("string"), h["seq"].cast("string"), *scope)),
-            "end_reason": F.when(F.col("tail.rst"), "rst")
-            .when(F.col("tail.closes"), "finfin")
-            .when(F.col("tail.is_last"), "flush")
-            .otherwise("idle"),
-            "start_ts": F.timestamp_micros(h["t"]),
-            "Flow ID": name,
-            "Src IP": h["src_ip"],
-            "Dst IP": h["dst_ip"],
-            "Src Port": h["src_port"],
-            "Timestamp": F.date_format(F.timestamp_micros(h["t"]), "yyyy-MM-dd HH:mm:ss"),
-            "FWD Init Win Bytes": h["win"],
-            "Protocol": h["protocol"],
-            "Dst Port": h["dst_port"],
+            "Src IP": ends("ip", True),
+            "Dst IP": ends("ip", False),
+            "Src Port": ends("port", True),
+            "Dst Port": ends("port", False),
+            "Protocol": F.col("k.proto"),
         }
-    )
+    ).withColumn("Flow ID", P.flow_id(*[F.col(f"`{c}`") for c in ("Src IP", "Dst IP", "Src Port", "Dst Port", "Protocol")]))
+    scope = [F.col(c).cast("string") for c in capture]
+    names = {
+        "flow_uid": F.md5(F.concat_ws("|", F.col("`Flow ID`"), t0.cast("string"), F.col("seq0").cast("string"), *scope)),
+        "end_reason": F.when(F.col("rst"), "rst")
+        .when(F.col("closes"), "finfin")
+        .when(F.col("is_last"), "flush")
+        .otherwise("idle"),
+        "start_ts": F.timestamp_micros(t0),
+        "Timestamp": F.date_format(F.timestamp_micros(t0), "yyyy-MM-dd HH:mm:ss"),
+    }
     return df.select(
         *[F.timestamp_micros(c).alias("capture_time") for c in capture],
-        *[F.col(f.name).cast(f.dataType) for f in FLOW_HEAD.fields],
-        *[F.col(c).cast("double").alias(c) for c in FEATURES],
+        *[names.get(f.name, F.col(f"`{f.name}`")).cast(f.dataType).alias(f.name) for f in FLOW_HEAD.fields],
+        *[F.col(f"`{c}`").cast("double").alias(c) for c in FEATURES],
     )
 
 

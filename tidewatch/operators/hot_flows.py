@@ -38,9 +38,11 @@ def hot_keys(df: DataFrame, by: list[str], limit: int) -> tuple[DataFrame, int,
 
     The count is combined before the shuffle; the result has at most rows/limit rows.
     """
-    hot = cut_lineage(df.groupBy(*by).count().filter(F.col("count") > limit))
+    if df.count() <= limit:
+        return df.select(*by).limit(0), 0, 0
+    hot = df.groupBy(*by).count().filter(F.col("count") > limit)
     n_keys, n_rows = hot.agg(F.count(F.lit(1)), F.coalesce(F.sum("count"), F.lit(0))).first()
-    return hot.select(*by), n_keys, n_rows
+    return (cut_lineage(hot) if n_keys else hot).select(*by), n_keys, n_rows
 
 
 def cut_pieces(df: DataFrame, by: list[str], chunks: int, timeout: int, idle: int) -> DataFrame:
@@ -49,7 +51,10 @@ def cut_pieces(df: DataFrame, by: list[str], chunks: int, timeout: int, idle: in
     The chunk borders come from a sample of the data, so the result is stored: a
     second evaluation could draw other borders.
     """
-    df = df.repartitionByRange(chunks, *by, "t", "seq").withColumn("chunk", F.spark_partition_id())
+    if chunks > 1:
+        df = df.repartitionByRange(chunks, *by, "t", "seq").withColumn("chunk", F.spark_partition_id())
+    else:
+        df = df.withColumn("chunk", F.lit(0))
     part = [*by, "chunk"]
     w = Window.partitionBy(*part).orderBy("t", "seq")
     df = df.withColumns({"prev_t": F.lag("t").over(w), "prev_rst": F.lag("rst").over(w)})
@@ -75,6 +80,7 @@ def cut_pieces(df: DataFrame, by: list[str], chunks: int, timeout: int, idle: in
     df = df.withColumns(
         {
             "piece": F.sum(cut.cast("long")).over(upto(w)),
+            "is_end": F.coalesce(F.lead(cut).over(w), F.lit(True)),
             "last_fin": last_where(
                 F.col("fin"), F.struct("seg", "a_side", *[f"closes_{c}" for c in CASES]), upto(w)
             ),
@@ -87,6 +93,7 @@ def cut_pieces(df: DataFrame, by: list[str], chunks: int, timeout: int, idle: in
         }
     )
     df = df.withColumn("iat", F.when(inside & ~cut, F.col("t") - F.col("prev_t")))
+    starting, ending = F.col("is_start"), F.col("is_end")
 
     def side_iat(s: str) -> Column:
         mine = F.col("a_side") == (s == "a")
@@ -107,13 +114,7 @@ def cut_pieces(df: DataFrame, by: list[str], chunks: int, timeout: int, idle: in
         {
             "iat_a": side_iat("a"),
             "iat_b": side_iat("b"),
-            "at": F.struct("t", "seq"),
-            "head": F.struct("src_ip", "dst_ip", "src_port", "dst_port", "protocol", "t", "seq", "win", "a_side"),
-            "tail": F.struct(
-                "t", "rst",
-                *[F.col(f"closes_{c}") for c in CASES],
-                *[left_open(c).alias(f"open_{c}") for c in CASES],
-            ),
+            "is_start": ~inside | cut,
         }
     )
 
@@ -125,10 +126,17 @@ def cut_pieces(df: DataFrame, by: list[str], chunks: int, timeout: int, idle: in
 
     aggregates = [
         F.count(F.lit(1)).alias("packets"),
-        F.min_by("head", "at").alias("head"),
-        F.max_by("tail", "at").alias("tail"),
-        # Start flags of the piece's first packet.
-        *[F.min_by(f"start_{c}", "at").alias(f"start_{c}") for c in CASES],
+        # Of the piece's first packet.
+        F.min("t").alias("t0"),
+        F.max(F.when(starting, F.col("seq"))).alias("seq0"),
+        F.max(F.when(starting, F.col("win"))).alias("win0"),
+        F.bool_or(starting & F.col("a_side")).alias("opener_a"),
+        *[F.bool_or(starting & F.col(f"start_{c}")).alias(f"start_{c}") for c in CASES],
+        # Of its last packet; RST and closing FINs are on no other.
+        F.max("t").alias("t1"),
+        F.bool_or("rst").alias("rst"),
+        *[F.bool_or(f"closes_{c}").alias(f"closes_{c}") for c in CASES],
+        *[F.max(F.when(ending, left_open(c))).alias(f"open_{c}") for c in CASES],
         F.max("len").alias("max_len"),
         F.min("len").alias("min_len"),
         F.count_if("fin").alias("fins"),
@@ -153,19 +161,17 @@ def cut_pieces(df: DataFrame, by: list[str], chunks: int, timeout: int, idle: in
 
 def _chunk_cases(pieces: DataFrame, by: list[str], timeout: int) -> DataFrame:
     """The real case and the flow carried into each chunk: one row per chunk."""
-    order = F.col("piece")
-    summary = pieces.groupBy(*by, "chunk").agg(
-        F.min_by("head.t", order).alias("first_t"),
-        F.max_by("tail", order).alias("tail"),
+    first, last = F.col("piece") == F.col("first_piece"), F.col("piece") == F.col("last_piece")
+    whole = Window.partitionBy(*by, "chunk")
+    marked = pieces.withColumns({"first_piece": F.min("piece").over(whole), "last_piece": F.max("piece").over(whole)})
+    flat = marked.groupBy(*by, "chunk").agg(
+        F.max(F.when(first, F.col("t0"))).alias("first_t"),
+        F.max(F.when(last, F.col("t1"))).alias("last_t"),
+        F.bool_or(last & F.col("rst")).alias("last_rst"),
+        *[F.bool_or(last & F.col(f"closes_{c}")).alias(f"closes_{c}") for c in CASES],
+        *[F.max(F.when(last, F.col(f"open_{c}"))).alias(f"open_{c}") for c in CASES],
         *[F.count_if(f"start_{c}").alias(f"starts_{c}") for c in CASES],
     )
-    flat = summary.select(
-        *by, "chunk", "first_t",
-        F.col("tail.t").alias("last_t"), F.col("tail.rst").alias("last_rst"),
-        *[F.col(f"tail.closes_{c}").alias(f"closes_{c}") for c in CASES],
-        *[F.col(f"tail.open_{c}").alias(f"open_{c}") for c in CASES],
-        *[f"starts_{c}" for c in CASES],
-    )
     schema = T.StructType(
         [flat.schema[c] for c in by]
         + [
@@ -220,40 +226,40 @@ def assign_flows(pieces: DataFrame, by: list[str], timeout: int) -> DataFrame:
     """Pieces with the flow they belong to: ``flow_chunk`` and ``flow_no``."""
     cases = cut_lineage(_chunk_cases(pieces, by, timeout))
     # One row per key and chunk.
-    df = join_small(pieces, cases, [*by, "chunk"])
+    df = join_small(pieces, cases, [*by, "chunk"], stored=True)
 
     def pick(prefix: str) -> Column:
         return F.element_at(F.array(*[F.col(f"{prefix}_{c}") for c in CASES]), F.col("entry") + 1)
 
-    def pick_tail(prefix: str) -> Column:
-        return F.element_at(F.array(*[F.col(f"tail.{prefix}_{c}") for c in CASES]), F.col("entry") + 1)
-
     in_chunk = Window.partitionBy(*by, "chunk").orderBy("piece")
     df = df.withColumn("no", F.sum(pick("start").cast("long")).over(upto(in_chunk)))
-    return df.withColumns(
+    df = df.withColumns(
         {
             "flow_chunk": F.when(F.col("no") > 0, F.col("chunk")).otherwise(F.col("from_chunk")),
             "flow_no": F.when(F.col("no") > 0, F.col("no")).otherwise(F.col("from_no")),
-            "end": F.struct(
-                F.col("tail.t").alias("t"), F.col("tail.rst").alias("rst"), pick_tail("closes").alias("closes"),
-                pick_tail("open").alias("open"), (F.col("is_final") & F.lead("piece").over(in_chunk).isNull()).alias("is_last"),
-            ),
+            "closes": pick("closes"),
+            "left_open": pick("open"),
+            "is_last": F.col("is_final") & F.lead("piece").over(in_chunk).isNull(),
         }
-    ).drop("no", "entry", "entry_starts", "from_chunk", "from_no", "is_final")
+    )
+    used = [f"{p}_{c}" for p in ("start", "closes", "open") for c in CASES]
+    return df.drop("no", "entry", "entry_starts", "from_chunk", "from_no", "is_final", *used)
 
 
 def merge_pieces(df: DataFrame, by: list[str]) -> DataFrame:
-    """One row per flow with the columns of a piece; ``end`` tells how it ended."""
+    """One row per flow with the columns of a piece, and how it ended."""
     flow = [*by, "flow_chunk", "flow_no"]
     w = Window.partitionBy(*flow).orderBy("chunk", "piece")
     df = df.withColumns(
         {
-            "gap": F.col("head.t") - F.lag("end.t").over(w),
+            "gap": F.col("t0") - F.lag("t1").over(w),
+            "leads": F.lag("t1").over(w).isNull(),
+            "ends": F.lead("t0").over(w).isNull(),
             "gap_a": F.col("first_a") - F.last("last_a", ignorenulls=True).over(before(w)),
             "gap_b": F.col("first_b") - F.last("last_b", ignorenulls=True).over(before(w)),
         }
     )
-    order = F.struct("chunk", "piece")
+    leads, ends = F.col("leads"), F.col("ends")
 
     def with_gap(gap: str, suffix: str) -> list[Column]:
         """Inter-arrival count, sum and sum of squares, gaps between pieces included."""
@@ -275,8 +281,10 @@ def merge_pieces(df: DataFrame, by: list[str]) -> DataFrame:
     idle_gap = F.when(F.col("gap") > F.col("idle_limit"), F.col("gap"))
     return df.groupBy(*flow).agg(
         F.sum("packets").alias("packets"),
-        F.min_by("head", order).alias("head"),
-        F.max_by("end", order).alias("end"),
+        F.min("t0").alias("t0"), F.max(F.when(leads, F.col("seq0"))).alias("seq0"),
+        F.max(F.when(leads, F.col("win0"))).alias("win0"), F.bool_or(leads & F.col("opener_a")).alias("opener_a"),
+        F.max("t1").alias("t1"), F.bool_or(ends & F.col("rst")).alias("rst"), F.bool_or(ends & F.col("closes")).alias("closes"),
+        F.max(F.when(ends, F.col("left_open"))).alias("left_open"), F.bool_or("is_last").alias("is_last"),
         F.max("max_len").alias("max_len"), F.min("min_len").alias("min_len"), F.sum("fins").alias("fins"),
         F.max(F.greatest("max_iat", "gap")).alias("max_iat"), F.max(F.greatest("idle", idle_gap)).alias("idle"),
         *with_gap("gap", ""), *side("a"), *side("b"),
@@ -285,14 +293,10 @@ def merge_pieces(df: DataFrame, by: list[str]) -> DataFrame:
 
 def as_open_piece(flow: DataFrame, by: list[str]) -> DataFrame:
     """An unfinished flow as the piece that precedes everything to come."""
-    tail = F.struct(
-        F.col("end.t").alias("t"), F.lit(False).alias("rst"),
-        *[F.lit(False).alias(f"closes_{c}") for c in CASES], *[F.col("end.open").alias(f"open_{c}") for c in CASES],
-    )
-    out = flow.withColumns(
-        {"chunk": F.lit(-1), "piece": F.lit(0).cast("long"), "tail": tail, **{f"start_{c}": F.lit(False) for c in CASES}}
-    )
-    return out.drop("flow_chunk", "flow_no", "end")
+    flags = {f"{p}_{c}": F.lit(False) for p in ("start", "closes") for c in CASES}
+    opened = {f"open_{c}": F.col("left_open") for c in CASES}
+    out = flow.withColumns({"chunk": F.lit(-1), "piece": F.lit(0).cast("long"), **flags, **opened})
+    return out.drop("flow_chunk", "flow_no", "closes", "left_open", "is_last")
 
 
 def _std(n: Column, s: Column, q: Column) -> Column:
@@ -306,7 +310,7 @@ def merged_features(flow: DataFrame) -> DataFrame:
     """Feature rows of merged flows."""
 
     def side(name: str, forward: bool) -> Column:
-        return F.when(F.col("head.a_side") == forward, F.col(f"{name}_a")).otherwise(F.col(f"{name}_b"))
+        return F.when(F.col("opener_a") == forward, F.col(f"{name}_a")).otherwise(F.col(f"{name}_b"))
 
     def spread(names: tuple[str, str, str], forward: bool) -> Column:
         return _std(*[side(n, forward) for n in names])
@@ -314,7 +318,7 @@ def merged_features(flow: DataFrame) -> DataFrame:
     length, iat, zero = ("n_len", "s_len", "q_len"), ("n_iat", "s_iat", "q_iat"), F.lit(0)
     n_bwd = F.when(side("n_len", False) > 0, side("n_len", False))
     values = {
-        "tail": F.col("end"),
+        "FWD Init Win Bytes": F.col("win0"),
         "Fwd IAT Total": side("s_iat", True),
         "Fwd Seg Size Min": side("hdr", True),
         "Bwd Packet Length Mean": F.coalesce(side("s_len", False) / n_bwd, F.lit(0.0)),

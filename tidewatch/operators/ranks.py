@@ -1,6 +1,6 @@
 """Exact order statistics and quantiles without gathering a group in one task.
 
-Groups up to ``GROUP_LIMIT`` rows are ranked by a window.  Larger ones are narrowed
+Groups up to ``GROUP_LIMIT`` rows use the exact built-ins.  Larger ones are narrowed
 first: a quantile sketch (combined before the shuffle) gives two values that
 enclose the wanted rank, one pass counts the rows below, and only the rows strictly
 between go on, less than one in two hundred.  The answer is exact, the sketch only
@@ -22,23 +22,20 @@ GRID = 1_000
 ACCURACY = 10_000
 
 
-def join_small(df: DataFrame, small: DataFrame, on: list[str], how: str = "inner", limit: int = SMALL_SIDE) -> DataFrame:
+def join_small(
+    df: DataFrame, small: DataFrame, on: list[str], how: str = "inner", limit: int = SMALL_SIDE, stored: bool = False
+) -> DataFrame:
     """Join a usually small table: broadcast if a count proves it small, else shuffle.
 
     The shuffled join is left to adaptive execution, which splits skewed keys.
+    ``stored`` says the small side is already materialised.
     """
-    small = cut_lineage(small)
+    small = small if stored else cut_lineage(small)
     if small.limit(limit + 1).count() <= limit:
         small = F.broadcast(small)
     return df.join(small, on, how)
 
 
-def _rank_directly(rows: DataFrame, keys: list[str], targets: DataFrame) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy("x")
-    ranked = rows.withColumn("base", F.row_number().over(w).cast("long") - 1)
-    return targets.join(ranked, [*keys, "base"]).select(*keys, "rank", F.col("x").alias("value"))
-
-
 def _narrow(rows: DataFrame, keys: list[str], targets: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Found values, remaining rows (one group per target) and remaining targets."""
     points = F.array(*[F.lit(i / GRID) for i in range(GRID + 1)])
@@ -78,31 +75,23 @@ def _narrow(rows: DataFrame, keys: list[str], targets: DataFrame) -> tuple[DataF
     )
 
 
-def order_statistics(
-    rows: DataFrame, keys: list[str], targets: DataFrame, group_limit: int = GROUP_LIMIT
-) -> DataFrame:
-    """Values at given ranks: ``rows`` (keys, x double), ``targets`` (keys, rank from 0)."""
-    targets = targets.select(*keys, "rank", F.col("rank").alias("base"))
-    big = cut_lineage(rows.groupBy(*keys).count().filter(F.col("count") > group_limit).select(*keys))
-    if big.isEmpty():
-        return _rank_directly(rows, keys, targets)
-    few = F.broadcast(big)  # at most rows/group_limit groups
-    result = _rank_directly(rows.join(few, keys, "left_anti"), keys, targets.join(few, keys, "left_anti"))
-    rows, targets = rows.join(few, keys, "left_semi"), cut_lineage(targets.join(few, keys, "left_semi"))
-    group = list(keys)
+def _narrowed(rows: DataFrame, keys: list[str], targets: DataFrame, group_limit: int) -> DataFrame:
+    """Values at ranks of large groups: narrow until every rest is small."""
+    result, group = None, list(keys)
+    targets = cut_lineage(targets.withColumn("base", F.col("rank")))
     while True:
         done, rows, targets = _narrow(rows, group, targets)
-        result = result.unionByName(done.select(*keys, "rank", "value"))
+        done = done.select(*keys, "rank", "value")
+        result = done if result is None else result.unionByName(done)
         group = [*keys, "rank"]
         largest = rows.groupBy(*group).count().agg(F.max("count")).first()[0]
         if largest is None:
             return result
         if largest <= group_limit:
-            own = targets.withColumnRenamed("rank", "target")
-            ranked = _rank_directly(
-                rows.withColumnRenamed("rank", "target"), [*keys, "target"], own.withColumn("rank", F.col("target"))
-            )
-            return result.unionByName(ranked.select(*keys, "rank", "value"))
+            w = Window.partitionBy(*group).orderBy("x")
+            ranked = rows.withColumn("base", F.row_number().over(w).cast("long") - 1)
+            found = targets.join(ranked, [*group, "base"]).select(*keys, "rank", F.col("x").alias("value"))
+            return result.unionByName(found)
 
 
 def quantiles(
@@ -117,23 +106,36 @@ def quantiles(
     rows = df.select(*by, x.cast("double").alias("x")).filter(F.col("x").isNotNull())
     if not by:
         rows = rows.withColumn("_all", F.lit(1))
+    points = F.array(*[F.lit(float(p)) for p in probs])
+
+    def exact(part: DataFrame) -> DataFrame:
+        # The built-in keeps the distinct values of a group in memory: at most GROUP_LIMIT.
+        found = part.groupBy(*keys).agg(F.percentile("x", points).alias("v"))
+        pairs = F.arrays_zip(points.alias("prob"), F.col("v").alias("value"))
+        return found.select(*by, F.inline(pairs))
+
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    big = counts.filter(F.col("n") > group_limit)
+    if big.isEmpty():
+        return exact(rows)
+    big = cut_lineage(big)
+    few = F.broadcast(big.select(*keys))  # at most rows/group_limit groups
     at = F.col("prob") * (F.col("n") - 1)
     wanted = (
-        rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
+        big.withColumn("prob", F.explode(points))
         .withColumns({"low": F.floor(at), "part": at - F.floor(at)})
         .withColumn("high", F.least(F.col("low") + 1, F.col("n") - 1))
     )
-    wanted = cut_lineage(wanted)
     targets = wanted.select(*keys, F.explode(F.array("low", "high")).alias("rank")).distinct()
-    values = order_statistics(rows, keys, targets, group_limit)
+    values = cut_lineage(_narrowed(rows.join(few, keys, "left_semi"), keys, targets, group_limit))
 
     def at_rank(name):
         return values.select(*keys, F.col("rank").alias(name), F.col("value").alias(f"v_{name}"))
 
     both = wanted.join(at_rank("low"), [*keys, "low"]).join(at_rank("high"), [*keys, "high"])
     value = F.col("v_low") + (F.col("v_high") - F.col("v_low")) * F.col("part")
-    return both.select(*by, "prob", F.when(F.col("part") == 0, F.col("v_low")).otherwise(value).alias("value"))
+    large = both.select(*by, "prob", F.when(F.col("part") == 0, F.col("v_low")).otherwise(value).alias("value"))
+    return large.unionByName(exact(rows.join(few, keys, "left_anti")))
 
 
 def quantile(df: DataFrame, x: str | Column, prob: float, group_limit: int = GROUP_LIMIT) -> float | None:
@@ -142,24 +144,33 @@ def quantile(df: DataFrame, x: str | Column, prob: float, group_limit: int = GRO
     return None if row is None else row["value"]
 
 
-def smallest(df: DataFrame, order: Column, uid: str, k: int, group_limit: int = GROUP_LIMIT) -> Column:
+def smallest(
+    df: DataFrame, order: Column, uid: str, k: int, group_limit: int = GROUP_LIMIT, count: int | None = None
+) -> Column:
     """A predicate for exactly the ``k`` rows smallest by ``(order, uid)``.
 
     ``order`` must fit a double exactly (whole numbers below 2**53); ``uid`` is unique.
     """
     if k <= 0:
         return F.lit(False)
+    count = df.count() if count is None else count
+    if k >= count:
+        return F.lit(True)
+    id_ = F.col(uid)
+    if count <= group_limit:
+        first = df.select(order.alias("o"), id_.alias("u")).orderBy("o", "u").limit(k)
+        cut = first.agg(F.max(F.struct("o", "u"))).first()[0]
+        return (order < cut["o"]) | ((order == cut["o"]) & (id_ <= cut["u"]))
     rows = df.select(order.cast("double").alias("x"), F.lit(1).alias("_all"))
     target = df.sparkSession.range(1).select(F.lit(1).alias("_all"), F.lit(k - 1).cast("long").alias("rank"))
-    row = order_statistics(rows, ["_all"], target, group_limit).first()
-    if row is None:
-        return F.lit(True)  # fewer than k rows
-    cut = row["value"]
-    under, equal = df.agg(F.count_if(order < cut), F.count_if(order == cut)).first()
+    value = int(_narrowed(rows, ["_all"], target, group_limit).first()["value"])
+    under, equal = df.agg(F.count_if(order < value), F.count_if(order == value)).first()
     if under + equal == k:
-        return order <= cut
-    tied = df.filter(order == cut).select(F.col(uid).alias("u")).orderBy("u").limit(k - under)
-    return (order < cut) | ((order == cut) & (F.col(uid) <= tied.agg(F.max("u")).first()[0]))
+        return order <= value
+    # Equal order values are rare: hashes, or numbers meant to be unique.
+    tied = df.filter(order == value).select(id_.alias("u"))
+    last = tied.orderBy("u").limit(k - under).agg(F.max("u")).first()[0]
+    return (order < value) | ((order == value) & (id_ <= last))
 
 
 def row_numbers(df: DataFrame, order: Sequence[Column], name: str = "row") -> DataFrame:

@@ -30,9 +30,9 @@ def hash_order(uid: str, seed: int) -> Column:
     return F.conv(F.substring(text, 1, _DIGITS), 16, 10).cast("long")
 
 
-def sample_rows(df: DataFrame, n: int, uid: str = "flow_uid", seed: int = 42) -> DataFrame:
+def sample_rows(df: DataFrame, n: int, uid: str = "flow_uid", seed: int = 42, count: int | None = None) -> DataFrame:
     """Exactly ``min(n, rows)`` rows without replacement."""
-    return df.filter(smallest(df, hash_order(uid, seed), uid, n))
+    return df.filter(smallest(df, hash_order(uid, seed), uid, n, count=count))
 
 
 def cap_rows(df: DataFrame, cap: int | None, uid: str = "flow_uid", seed: int = 42, count: int | None = None) -> DataFrame:
@@ -40,7 +40,7 @@ def cap_rows(df: DataFrame, cap: int | None, uid: str = "flow_uid", seed: int =
     if cap is None:
         return df
     count = df.count() if count is None else count
-    return df if count <= cap else sample_rows(df, cap, uid, seed)
+    return df if count <= cap else sample_rows(df, cap, uid, seed, count)
 
 
 def first_rows(df: DataFrame, order: str, n: int) -> DataFrame:
@@ -65,8 +65,8 @@ def replay_size(n_new: int, n_replay: int, ratio: float) -> int:
 
 def mix_replay(new: DataFrame, replay: DataFrame, ratio: float, uid: str = "flow_uid", seed: int = 42) -> DataFrame:
     """New rows and a sample of replay rows, marked by ``from_replay``."""
-    n = replay_size(new.count(), replay.count(), ratio)
-    chosen = sample_rows(replay, n, uid, seed)
+    n_old = replay.count()
+    chosen = sample_rows(replay, replay_size(new.count(), n_old, ratio), uid, seed, n_old)
     return new.withColumn("from_replay", F.lit(False)).unionByName(chosen.withColumn("from_replay", F.lit(True)))
 
 
@@ -75,7 +75,7 @@ def train_val_split(
 ) -> DataFrame:
     """Add ``is_val`` for exactly ``max(1, int(rows * share))`` rows."""
     count = df.count() if count is None else count
-    return df.withColumn("is_val", smallest(df, hash_order(uid, seed), uid, max(1, int(count * share))))
+    return df.withColumn("is_val", smallest(df, hash_order(uid, seed), uid, max(1, int(count * share)), count=count))
 
 
 @dataclass(frozen=True)

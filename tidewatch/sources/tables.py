@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.operators.ranks import order_statistics
+from tidewatch.operators.ranks import smallest
 from tidewatch.operators.sampling import sample_rows
 
 
@@ -129,10 +129,8 @@ class Buffer:
                 continue
             keep = self.cap - kept
             part = self.spark.read.parquet(self._data(batch)).filter(F.col("_ord") >= from_ord)
-            newest = part.select((-F.col("_ord")).cast("double").alias("x"), F.lit(1).alias("g"))
-            rank = self.spark.range(1).select(F.lit(1).alias("g"), F.lit(keep - 1).cast("long").alias("rank"))
-            cut = order_statistics(newest, ["g"], rank).first()["value"]
-            self._note("trim", batch, keep, int(-cut))
+            kept_rows = part.filter(smallest(part, -F.col("_ord"), "_ord", keep))
+            self._note("trim", batch, keep, kept_rows.agg(F.min("_ord")).first()[0])
             return
 
     def load(self) -> DataFrame | None:

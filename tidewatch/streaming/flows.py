@@ -120,13 +120,12 @@ class FlowStream:
         if pieces is not None:
             assigned = hf.assign_flows(pieces, by, self.timeout).withColumn("idle_limit", F.lit(self.idle))
             merged = stage_table(hf.merge_pieces(assigned, by))
-            end = F.col("end")
-            silent = F.lit(mark_now) - end["t"] > self.timeout
-            stays = end["is_last"] & ~end["rst"] & ~end["closes"] & ~silent
+            silent = F.lit(mark_now) - F.col("t1") > self.timeout
+            stays = F.col("is_last") & ~F.col("rst") & ~F.col("closes") & ~silent
             if not final:
                 still = hf.as_open_piece(merged.filter(stays), by)
                 still.write.mode("overwrite").parquet(f"{self.root}/open/batch={batch_id}")
-                merged = merged.filter(~stays).withColumn("end", end.withField("is_last", F.lit(False)))
+                merged = merged.filter(~stays).withColumn("is_last", F.lit(False))
                 n_open = self.spark.read.parquet(f"{self.root}/open/batch={batch_id}").count()
             out = hf.merged_features(merged)
             token = f"{batch_id:012d}"
