@@ -22,11 +22,12 @@ through :mod:`tidewatch.operators.hot_flows`, which gives the same flows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions import packet as P
-from tidewatch.functions.numeric import stddev_or_zero
 from tidewatch.schemas import FEATURES, FLOW_HEAD
 
 TIMEOUT = "5 seconds"
@@ -69,67 +70,67 @@ def keyed(packets: DataFrame, window: str | None = None) -> tuple[DataFrame, lis
     return df.select(*columns), by
 
 
-def before(w: Window) -> Window:
-    return w.rowsBetween(Window.unboundedPreceding, -1)
+@dataclass(frozen=True)
+class Frames:
+    """SQL window clauses over the packets of a key in time order."""
+
+    row: str
+    before: str
+    upto: str
 
 
-def upto(w: Window) -> Window:
-    return w.rowsBetween(Window.unboundedPreceding, 0)
+def frames(by: list[str], order: str = "t, seq") -> Frames:
+    over = f"PARTITION BY {', '.join(by)} ORDER BY {order}"
+    rows = "ROWS BETWEEN UNBOUNDED PRECEDING AND"
+    return Frames(f"OVER ({over})", f"OVER ({over} {rows} 1 PRECEDING)", f"OVER ({over} {rows} CURRENT ROW)")
 
 
-def last_where(cond: Column, value: Column, w: Window) -> Column:
+def last_where(cond: str, value: str, frame: str) -> str:
     """The value at the latest row of the frame that meets the condition."""
-    return F.last(F.when(cond, value), ignorenulls=True).over(w)
+    return f"last(CASE WHEN {cond} THEN {value} END, true) {frame}"
 
 
-def fin_turns(df: DataFrame, w: Window) -> DataFrame:
+def fin_turns(df: DataFrame, w: Frames) -> DataFrame:
     """Add ``fin_no``, ``fin_first`` (first FIN of its segment) and ``turn``."""
-    same = F.col("prev_fin.seg") == F.col("seg")
-    df = df.withColumns(
-        {
-            "prev_fin": last_where(F.col("fin"), F.struct("seg", "a_side"), before(w)),
-            "fin_no": F.sum(F.col("fin").cast("long")).over(upto(w)),
-        }
+    df = df.selectExpr(
+        "*",
+        f"{last_where('fin', 'struct(seg, a_side)', w.before)} AS prev_fin",
+        f"sum(CAST(fin AS BIGINT)) {w.upto} AS fin_no",
+    )
+    return df.selectExpr(
+        "*",
+        "fin AND NOT coalesce(prev_fin.seg = seg, false) AS fin_first",
+        "fin AND coalesce(prev_fin.seg = seg AND prev_fin.a_side <> a_side, false) AS turn",
     )
-    df = df.withColumn("fin_first", F.col("fin") & ~F.coalesce(same, F.lit(False)))
-    return df.withColumn("turn", F.col("fin") & ~F.col("fin_first") & (F.col("prev_fin.a_side") != F.col("a_side")))
 
 
-def closing_fins(df: DataFrame, w: Window, turns: dict[str, str]) -> DataFrame:
+def closing_fins(df: DataFrame, w: Frames, turns: dict[str, str]) -> DataFrame:
     """For each ``{closes: turn}`` pair of columns mark the turns that close a flow.
 
     The turn after a non-turn is certain to close; from there it alternates along
     consecutive turns.
     """
-    fin_no, fin = F.col("fin_no"), F.col("fin")
-    df = df.withColumns({f"{c}_after": last_where(fin, F.col(t), before(w)) for c, t in turns.items()})
-    df = df.withColumns(
-        {
-            f"{c}_anchor": last_where(F.col(t) & ~F.coalesce(F.col(f"{c}_after"), F.lit(False)), fin_no, upto(w))
-            for c, t in turns.items()
-        }
-    )
-    return df.withColumns({c: F.col(t) & ((fin_no - F.col(f"{c}_anchor")) % 2 == 0) for c, t in turns.items()})
+    df = df.selectExpr("*", *[f"{last_where('fin', t, w.before)} AS {c}_after" for c, t in turns.items()])
+    anchors = {c: last_where(f"{t} AND NOT coalesce({c}_after, false)", "fin_no", w.upto) for c, t in turns.items()}
+    df = df.selectExpr("*", *[f"{anchor} AS {c}_anchor" for c, anchor in anchors.items()])
+    return df.selectExpr("*", *[f"{t} AND (fin_no - {c}_anchor) % 2 = 0 AS {c}" for c, t in turns.items()])
 
 
 def number_flows(df: DataFrame, by: list[str], timeout: str = TIMEOUT) -> DataFrame:
     """Add ``flow_no`` (1, 2, ... per key), ``starts``, ``forward`` and the cut flags."""
-    w = Window.partitionBy(*by).orderBy("t", "seq")
-    df = df.withColumns({"prev_t": F.lag("t").over(w), "prev_rst": F.lag("rst").over(w)})
-    df = df.withColumn(
-        "hard", F.col("prev_t").isNull() | (F.col("t") - F.col("prev_t") > micros(timeout)) | F.col("prev_rst")
-    )
-    df = df.withColumn("seg", F.sum(F.col("hard").cast("long")).over(upto(w)))
+    w = frames(by)
+    df = df.selectExpr("*", f"lag(t) {w.row} AS prev_t", f"lag(rst) {w.row} AS prev_rst")
+    df = df.selectExpr("*", f"prev_t IS NULL OR t - prev_t > {micros(timeout)} OR prev_rst AS hard")
+    df = df.selectExpr("*", f"sum(CAST(hard AS BIGINT)) {w.upto} AS seg")
     df = closing_fins(fin_turns(df, w), w, {"closes": "turn"})
-    df = df.withColumn("starts", F.col("hard") | F.coalesce(F.lag("closes").over(w), F.lit(False)))
-    df = df.withColumns(
-        {
-            "flow_no": F.sum(F.col("starts").cast("long")).over(upto(w)),
-            "opener_a": last_where(F.col("starts"), F.col("a_side"), upto(w)),
-            "is_last": F.lead("t").over(w).isNull(),
-        }
+    df = df.selectExpr("*", f"hard OR coalesce(lag(closes) {w.row}, false) AS starts")
+    df = df.selectExpr(
+        "*",
+        f"sum(CAST(starts AS BIGINT)) {w.upto} AS flow_no",
+        f"{last_where('starts', 'a_side', w.upto)} AS opener_a",
+        f"lead(t) {w.row} IS NULL AS is_last",
     )
-    return df.withColumn("forward", F.col("a_side") == F.col("opener_a"))
+    return df.selectExpr("*", "a_side = opener_a AS forward")
 
 
 def cut_flows(packets: DataFrame, timeout: str = TIMEOUT, window: str | None = None) -> DataFrame:
@@ -142,90 +143,73 @@ def cut_flows(packets: DataFrame, timeout: str = TIMEOUT, window: str | None = N
 
 def flow_features(df: DataFrame, by: list[str], idle: str = IDLE) -> DataFrame:
     """One row of metadata and features per flow of ``number_flows``."""
-    w = Window.partitionBy(*by).orderBy("t", "seq")
-    mark = F.struct("flow_no", "t")
-    df = df.withColumns(
-        {
-            "prev_f": last_where(F.col("forward"), mark, before(w)),
-            "prev_b": last_where(~F.col("forward"), mark, before(w)),
-        }
-    )
-    fwd, bwd = F.col("forward"), ~F.col("forward")
-
-    def gap(prev: str, side: Column) -> Column:
-        return F.when(side & (F.col(f"{prev}.flow_no") == F.col("flow_no")), F.col("t") - F.col(f"{prev}.t"))
-
-    df = df.withColumns(
-        {
-            "iat": F.when(~F.col("starts"), F.col("t") - F.col("prev_t")),
-            "fwd_iat": gap("prev_f", fwd),
-            "bwd_iat": gap("prev_b", bwd),
-        }
+    w = frames(by)
+    df = df.selectExpr(
+        *by, "flow_no", "seq", "t", "len", "win", "hdr", "fin", "rst", "starts", "closes", "is_last", "opener_a", "forward",
+        "CASE WHEN NOT starts THEN t - prev_t END AS iat",
+        f"{last_where('forward', 'struct(flow_no, t)', w.before)} AS prev_f",
+        f"{last_where('NOT forward', 'struct(flow_no, t)', w.before)} AS prev_b",
+    )
+    df = df.selectExpr(
+        "*",
+        "CASE WHEN forward AND prev_f.flow_no = flow_no THEN t - prev_f.t END AS fwd_iat",
+        "CASE WHEN NOT forward AND prev_b.flow_no = flow_no THEN t - prev_b.t END AS bwd_iat",
+        "CASE WHEN forward THEN len END AS fwd_len",
+        "CASE WHEN NOT forward THEN len END AS bwd_len",
     )
-    fwd_len, bwd_len = F.when(fwd, F.col("len")), F.when(bwd, F.col("len"))
-    opening, zero = F.col("starts"), F.lit(0.0)
     # Numbers and flags only, so that the aggregation can hash instead of sorting
     # again.  RST and the closing FIN can only be on the last packet of a flow.
-    grouped = df.groupBy(*by, "flow_no").agg(
-        F.count(F.lit(1)).alias("packets"),
-        F.bool_or(F.col("opener_a")).alias("opener_a"),
-        F.min("t").alias("t0"),
-        F.max(F.when(opening, F.col("seq"))).alias("seq0"),
-        F.max(F.when(opening, F.col("win"))).alias("FWD Init Win Bytes"),
-        F.bool_or("rst").alias("rst"),
-        F.bool_or("closes").alias("closes"),
-        F.bool_or("is_last").alias("is_last"),
-        F.coalesce(F.sum("fwd_iat"), F.lit(0)).alias("Fwd IAT Total"),
-        F.min(F.when(fwd, F.col("hdr"))).alias("Fwd Seg Size Min"),
-        F.coalesce(F.avg(bwd_len), zero).alias("Bwd Packet Length Mean"),
-        F.coalesce(F.max("iat"), F.lit(0)).alias("Flow IAT Max"),
-        F.max("len").alias("Packet Length Max"),
-        stddev_or_zero(F.col("iat")).alias("Flow IAT Std"),
-        stddev_or_zero(fwd_len).alias("Fwd Packet Length Std"),
-        F.coalesce(F.max(F.when(F.col("iat") > micros(idle), F.col("iat"))), F.lit(0)).alias("Idle Max"),
-        F.avg("len").alias("Packet Length Mean"),
-        F.coalesce(F.max(bwd_len), F.lit(0)).alias("Bwd Packet Length Max"),
-        stddev_or_zero(bwd_len).alias("Bwd Packet Length Std"),
-        F.avg(fwd_len).alias("Fwd Packet Length Mean"),
-        F.min("len").alias("Packet Length Min"),
-        F.count_if("fin").alias("FIN Flag Count"),
-        stddev_or_zero(F.col("bwd_iat")).alias("Bwd IAT Std"),
-    )
-    return flow_rows(grouped)
+    values = {
+        "packets": "count(1)",
+        "opener_a": "bool_or(opener_a)",
+        "t0": "min(t)",
+        "seq0": "max(CASE WHEN starts THEN seq END)",
+        "rst": "bool_or(rst)",
+        "closes": "bool_or(closes)",
+        "is_last": "bool_or(is_last)",
+        "FWD Init Win Bytes": "max(CASE WHEN starts THEN win END)",
+        "Fwd IAT Total": "coalesce(sum(fwd_iat), 0)",
+        "Fwd Seg Size Min": "min(CASE WHEN forward THEN hdr END)",
+        "Bwd Packet Length Mean": "coalesce(avg(bwd_len), 0D)",
+        "Flow IAT Max": "coalesce(max(iat), 0)",
+        "Packet Length Max": "max(len)",
+        "Flow IAT Std": "coalesce(stddev_samp(iat), 0D)",
+        "Fwd Packet Length Std": "coalesce(stddev_samp(fwd_len), 0D)",
+        "Idle Max": f"coalesce(max(CASE WHEN iat > {micros(idle)} THEN iat END), 0)",
+        "Packet Length Mean": "avg(len)",
+        "Bwd Packet Length Max": "coalesce(max(bwd_len), 0)",
+        "Bwd Packet Length Std": "coalesce(stddev_samp(bwd_len), 0D)",
+        "Fwd Packet Length Mean": "avg(fwd_len)",
+        "Packet Length Min": "min(len)",
+        "FIN Flag Count": "count_if(fin)",
+        "Bwd IAT Std": "coalesce(stddev_samp(bwd_iat), 0D)",
+    }
+    return flow_rows(df.groupBy(*by, "flow_no").agg(*[F.expr(f"{e} AS `{n}`") for n, e in values.items()]))
 
 
 def flow_rows(grouped: DataFrame) -> DataFrame:
     """Final columns from per-flow aggregates and the key."""
-
-    def ends(name: str, first: bool) -> Column:
-        a, b = F.col(f"k.{name}_a"), F.col(f"k.{name}_b")
-        return F.when(F.col("opener_a"), a if first else b).otherwise(b if first else a)
-
-    t0 = F.col("t0")
     capture = [c for c in ("capture",) if c in grouped.columns]
-    df = grouped.withColumns(
-        {
-            "Src IP": ends("ip", True),
-            "Dst IP": ends("ip", False),
-            "Src Port": ends("port", True),
-            "Dst Port": ends("port", False),
-            "Protocol": F.col("k.proto"),
-        }
-    ).withColumn("Flow ID", P.flow_id(*[F.col(f"`{c}`") for c in ("Src IP", "Dst IP", "Src Port", "Dst Port", "Protocol")]))
-    scope = [F.col(c).cast("string") for c in capture]
-    names = {
-        "flow_uid": F.md5(F.concat_ws("|", F.col("`Flow ID`"), t0.cast("string"), F.col("seq0").cast("string"), *scope)),
-        "end_reason": F.when(F.col("rst"), "rst")
-        .when(F.col("closes"), "finfin")
-        .when(F.col("is_last"), "flush")
-        .otherwise("idle"),
-        "start_ts": F.timestamp_micros(t0),
-        "Timestamp": F.date_format(F.timestamp_micros(t0), "yyyy-MM-dd HH:mm:ss"),
+    known = [f"`{c}`" for c in grouped.columns if c in FEATURES or c == "packets"]
+    df = grouped.selectExpr(
+        *known, *capture, "t0", "seq0",
+        "CASE WHEN rst THEN 'rst' WHEN closes THEN 'finfin' WHEN is_last THEN 'flush' ELSE 'idle' END AS end_reason",
+        "if(opener_a, k.ip_a, k.ip_b) AS `Src IP`",
+        "if(opener_a, k.ip_b, k.ip_a) AS `Dst IP`",
+        "if(opener_a, k.port_a, k.port_b) AS `Src Port`",
+        "if(opener_a, k.port_b, k.port_a) AS `Dst Port`",
+        "k.proto AS Protocol",
+        "timestamp_micros(t0) AS start_ts",
+    )
+    df = df.selectExpr("*", "concat_ws('-', `Src IP`, `Dst IP`, `Src Port`, `Dst Port`, Protocol) AS `Flow ID`")
+    made = {
+        "flow_uid": f"md5(concat_ws('|', {', '.join(['`Flow ID`', 't0', 'seq0', *capture])}))",
+        "Timestamp": "date_format(start_ts, 'yyyy-MM-dd HH:mm:ss')",
     }
-    return df.select(
-        *[F.timestamp_micros(c).alias("capture_time") for c in capture],
-        *[names.get(f.name, F.col(f"`{f.name}`")).cast(f.dataType).alias(f.name) for f in FLOW_HEAD.fields],
-        *[F.col(f"`{c}`").cast("double").alias(c) for c in FEATURES],
+    return df.selectExpr(
+        *[f"timestamp_micros({c}) AS capture_time" for c in capture],
+        *[f"CAST({made.get(f.name, f'`{f.name}`')} AS {f.dataType.simpleString()}) AS `{f.name}`" for f in FLOW_HEAD.fields],
+        *[f"CAST(`{c}` AS DOUBLE) AS `{c}`" for c in FEATURES],
     )
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.operators.flows import before, closing_fins, fin_turns, flow_rows, last_where, micros, upto
+from tidewatch.operators.flows import closing_fins, fin_turns, flow_rows, frames, last_where, micros
 from tidewatch.operators.ranks import join_small
 from tidewatch.session import cut_lineage, ship_package, stage_table
 
@@ -56,107 +56,82 @@ def cut_pieces(df: DataFrame, by: list[str], chunks: int, timeout: int, idle: in
     else:
         df = df.withColumn("chunk", F.lit(0))
     part = [*by, "chunk"]
-    w = Window.partitionBy(*part).orderBy("t", "seq")
-    df = df.withColumns({"prev_t": F.lag("t").over(w), "prev_rst": F.lag("rst").over(w)})
-    inside = F.col("prev_t").isNotNull()
-    df = df.withColumn("hard", inside & ((F.col("t") - F.col("prev_t") > timeout) | F.col("prev_rst")))
-    df = fin_turns(df.withColumn("seg", F.sum(F.col("hard").cast("long")).over(upto(w))), w)
+    w = frames(part)
+    df = df.selectExpr("*", f"lag(t) {w.row} AS prev_t", f"lag(rst) {w.row} AS prev_rst")
+    df = df.selectExpr("*", f"prev_t IS NOT NULL AND (t - prev_t > {timeout} OR prev_rst) AS hard")
+    df = fin_turns(df.selectExpr("*", f"sum(CAST(hard AS BIGINT)) {w.upto} AS seg"), w)
     # An unanswered FIN carried in acts like a FIN before the first one of segment 0.
-    carried = F.col("fin_first") & (F.col("seg") == 0)
-    df = df.withColumns(
-        {
-            "turn_none": F.col("turn"),
-            "turn_a": F.col("turn") | (carried & ~F.col("a_side")),
-            "turn_b": F.col("turn") | (carried & F.col("a_side")),
-        }
+    df = df.selectExpr(
+        "*",
+        "turn AS turn_none",
+        "turn OR (fin_first AND seg = 0 AND NOT a_side) AS turn_a",
+        "turn OR (fin_first AND seg = 0 AND a_side) AS turn_b",
     )
     df = closing_fins(df, w, {f"closes_{c}": f"turn_{c}" for c in CASES})
-    df = df.withColumns(
-        {
-            f"start_{c}": F.col("hard") | F.coalesce(F.lag(f"closes_{c}").over(w), F.lit(False)) for c in CASES
-        }
+    df = df.selectExpr("*", *[f"hard OR coalesce(lag(closes_{c}) {w.row}, false) AS start_{c}" for c in CASES])
+    df = df.selectExpr("*", "start_none OR start_a OR start_b AS cut")
+    closes = ", ".join(f"closes_{c}" for c in CASES)
+    df = df.selectExpr(
+        "*",
+        f"sum(CAST(cut AS BIGINT)) {w.upto} AS piece",
+        f"coalesce(lead(cut) {w.row}, true) AS is_end",
+        "prev_t IS NULL OR cut AS is_start",
+        "CASE WHEN NOT cut THEN t - prev_t END AS iat",
+        f"{last_where('fin', f'struct(seg, a_side, {closes})', w.upto)} AS last_fin",
     )
-    cut = F.col("start_none") | F.col("start_a") | F.col("start_b")
-    df = df.withColumns(
-        {
-            "piece": F.sum(cut.cast("long")).over(upto(w)),
-            "is_end": F.coalesce(F.lead(cut).over(w), F.lit(True)),
-            "last_fin": last_where(
-                F.col("fin"), F.struct("seg", "a_side", *[f"closes_{c}" for c in CASES]), upto(w)
-            ),
-        }
+    df = df.selectExpr(
+        "*",
+        f"{last_where('a_side', 'struct(piece, t)', w.before)} AS prev_a",
+        f"{last_where('NOT a_side', 'struct(piece, t)', w.before)} AS prev_b",
     )
-    w_piece = before(w)
-    df = df.withColumns(
-        {
-            f"prev_{s}": last_where(F.col("a_side") == (s == "a"), F.struct("piece", "t"), w_piece) for s in ("a", "b")
-        }
+    sides = {"a": "a_side", "b": "NOT a_side"}
+    df = df.selectExpr(
+        "*", *[f"CASE WHEN {mine} AND prev_{s}.piece = piece THEN t - prev_{s}.t END AS iat_{s}" for s, mine in sides.items()]
     )
-    df = df.withColumn("iat", F.when(inside & ~cut, F.col("t") - F.col("prev_t")))
-    starting, ending = F.col("is_start"), F.col("is_end")
-
-    def side_iat(s: str) -> Column:
-        mine = F.col("a_side") == (s == "a")
-        return F.when(mine & (F.col(f"prev_{s}.piece") == F.col("piece")), F.col("t") - F.col(f"prev_{s}.t"))
 
-    def left_open(case: str) -> Column:
+    def left_open(case: str) -> str:
         """Endpoint of the unanswered FIN after this packet, as a case number."""
-        fin_here = F.col("last_fin").isNotNull() & (F.col("last_fin.seg") == F.col("seg"))
-        opened = F.when(F.col("last_fin.a_side"), 1).otherwise(2)
-        return (
-            F.when(fin_here & F.col(f"last_fin.closes_{case}"), 0)
-            .when(fin_here, opened)
-            .when(F.col("seg") == 0, CASES.index(case))
-            .otherwise(0)
-        )
-
-    df = df.withColumns(
-        {
-            "iat_a": side_iat("a"),
-            "iat_b": side_iat("b"),
-            "is_start": ~inside | cut,
-        }
-    )
+        return f"""CASE WHEN last_fin.seg = seg AND last_fin.closes_{case} THEN 0
+            WHEN last_fin.seg = seg THEN if(last_fin.a_side, 1, 2)
+            WHEN seg = 0 THEN {CASES.index(case)} ELSE 0 END"""
 
-    def square(x: Column) -> Column:
-        return F.coalesce(F.sum(x.cast(_EXACT) * x.cast(_EXACT)).cast(_EXACT), F.lit(0).cast(_EXACT))
+    def total(x: str) -> str:
+        return f"coalesce(sum({x}), 0)"
 
-    def total(x: Column) -> Column:
-        return F.coalesce(F.sum(x), F.lit(0))
+    def squares(x: str) -> str:
+        return f"CAST(coalesce(sum(CAST({x} AS {_EXACT}) * CAST({x} AS {_EXACT})), 0) AS {_EXACT})"
 
-    aggregates = [
-        F.count(F.lit(1)).alias("packets"),
+    values = {
+        "packets": "count(1)",
         # Of the piece's first packet.
-        F.min("t").alias("t0"),
-        F.max(F.when(starting, F.col("seq"))).alias("seq0"),
-        F.max(F.when(starting, F.col("win"))).alias("win0"),
-        F.bool_or(starting & F.col("a_side")).alias("opener_a"),
-        *[F.bool_or(starting & F.col(f"start_{c}")).alias(f"start_{c}") for c in CASES],
+        "t0": "min(t)",
+        "seq0": "max(CASE WHEN is_start THEN seq END)",
+        "win0": "max(CASE WHEN is_start THEN win END)",
+        "opener_a": "bool_or(is_start AND a_side)",
+        **{f"start_{c}": f"bool_or(is_start AND start_{c})" for c in CASES},
         # Of its last packet; RST and closing FINs are on no other.
-        F.max("t").alias("t1"),
-        F.bool_or("rst").alias("rst"),
-        *[F.bool_or(f"closes_{c}").alias(f"closes_{c}") for c in CASES],
-        *[F.max(F.when(ending, left_open(c))).alias(f"open_{c}") for c in CASES],
-        F.max("len").alias("max_len"),
-        F.min("len").alias("min_len"),
-        F.count_if("fin").alias("fins"),
-        F.max("iat").alias("max_iat"),
-        F.max(F.when(F.col("iat") > idle, F.col("iat"))).alias("idle"),
-        F.count("iat").alias("n_iat"), total(F.col("iat")).alias("s_iat"), square(F.col("iat")).alias("q_iat"),
-    ]
-    for s in ("a", "b"):
-        mine = F.col("a_side") == (s == "a")
-        length = F.when(mine, F.col("len"))
-        gap = F.col(f"iat_{s}")
-        aggregates += [
-            F.min(F.when(mine, F.col("t"))).alias(f"first_{s}"),
-            F.max(F.when(mine, F.col("t"))).alias(f"last_{s}"),
-            F.min(F.when(mine, F.col("hdr"))).alias(f"hdr_{s}"),
-            F.count(length).alias(f"n_len_{s}"), total(length).alias(f"s_len_{s}"), square(length).alias(f"q_len_{s}"),
-            F.max(length).alias(f"m_len_{s}"),
-            F.count(gap).alias(f"n_iat_{s}"), total(gap).alias(f"s_iat_{s}"), square(gap).alias(f"q_iat_{s}"),
-        ]
-    return stage_table(df.groupBy(*part, "piece").agg(*aggregates))
+        "t1": "max(t)",
+        "rst": "bool_or(rst)",
+        **{f"closes_{c}": f"bool_or(closes_{c})" for c in CASES},
+        **{f"open_{c}": f"max(CASE WHEN is_end THEN {left_open(c)} END)" for c in CASES},
+        "max_len": "max(len)",
+        "min_len": "min(len)",
+        "fins": "count_if(fin)",
+        "max_iat": "max(iat)",
+        "idle": f"max(CASE WHEN iat > {idle} THEN iat END)",
+        "n_iat": "count(iat)", "s_iat": total("iat"), "q_iat": squares("iat"),
+    }
+    for s, mine in sides.items():
+        length = f"CASE WHEN {mine} THEN len END"
+        values |= {
+            f"first_{s}": f"min(CASE WHEN {mine} THEN t END)",
+            f"last_{s}": f"max(CASE WHEN {mine} THEN t END)",
+            f"hdr_{s}": f"min(CASE WHEN {mine} THEN hdr END)",
+            f"n_len_{s}": f"count({length})", f"s_len_{s}": total(length), f"q_len_{s}": squares(length),
+            f"m_len_{s}": f"max({length})",
+            f"n_iat_{s}": f"count(iat_{s})", f"s_iat_{s}": total(f"iat_{s}"), f"q_iat_{s}": squares(f"iat_{s}"),
+        }
+    return stage_table(df.groupBy(*part, "piece").agg(*[F.expr(f"{e} AS {n}") for n, e in values.items()]))
 
 
 def _chunk_cases(pieces: DataFrame, by: list[str], timeout: int) -> DataFrame:
@@ -228,67 +203,71 @@ def assign_flows(pieces: DataFrame, by: list[str], timeout: int) -> DataFrame:
     # One row per key and chunk.
     df = join_small(pieces, cases, [*by, "chunk"], stored=True)
 
-    def pick(prefix: str) -> Column:
-        return F.element_at(F.array(*[F.col(f"{prefix}_{c}") for c in CASES]), F.col("entry") + 1)
-
-    in_chunk = Window.partitionBy(*by, "chunk").orderBy("piece")
-    df = df.withColumn("no", F.sum(pick("start").cast("long")).over(upto(in_chunk)))
-    df = df.withColumns(
-        {
-            "flow_chunk": F.when(F.col("no") > 0, F.col("chunk")).otherwise(F.col("from_chunk")),
-            "flow_no": F.when(F.col("no") > 0, F.col("no")).otherwise(F.col("from_no")),
-            "closes": pick("closes"),
-            "left_open": pick("open"),
-            "is_last": F.col("is_final") & F.lead("piece").over(in_chunk).isNull(),
-        }
+    def pick(prefix: str) -> str:
+        return f"element_at(array({', '.join(f'{prefix}_{c}' for c in CASES)}), entry + 1)"
+
+    w = frames([*by, "chunk"], "piece")
+    df = df.selectExpr("*", f"sum(CAST({pick('start')} AS BIGINT)) {w.upto} AS no")
+    df = df.selectExpr(
+        "*",
+        "if(no > 0, chunk, from_chunk) AS flow_chunk",
+        "if(no > 0, no, from_no) AS flow_no",
+        f"{pick('closes')} AS closes",
+        f"{pick('open')} AS left_open",
+        f"is_final AND lead(piece) {w.row} IS NULL AS is_last",
     )
     used = [f"{p}_{c}" for p in ("start", "closes", "open") for c in CASES]
     return df.drop("no", "entry", "entry_starts", "from_chunk", "from_no", "is_final", *used)
 
 
-def merge_pieces(df: DataFrame, by: list[str]) -> DataFrame:
+def merge_pieces(df: DataFrame, by: list[str], idle: int) -> DataFrame:
     """One row per flow with the columns of a piece, and how it ended."""
     flow = [*by, "flow_chunk", "flow_no"]
-    w = Window.partitionBy(*flow).orderBy("chunk", "piece")
-    df = df.withColumns(
-        {
-            "gap": F.col("t0") - F.lag("t1").over(w),
-            "leads": F.lag("t1").over(w).isNull(),
-            "ends": F.lead("t0").over(w).isNull(),
-            "gap_a": F.col("first_a") - F.last("last_a", ignorenulls=True).over(before(w)),
-            "gap_b": F.col("first_b") - F.last("last_b", ignorenulls=True).over(before(w)),
-        }
+    w = frames(flow, "chunk, piece")
+    df = df.selectExpr(
+        "*",
+        f"t0 - lag(t1) {w.row} AS gap",
+        f"lag(t1) {w.row} IS NULL AS leads",
+        f"lead(t0) {w.row} IS NULL AS ends",
+        f"first_a - last(last_a, true) {w.before} AS gap_a",
+        f"first_b - last(last_b, true) {w.before} AS gap_b",
     )
-    leads, ends = F.col("leads"), F.col("ends")
 
-    def with_gap(gap: str, suffix: str) -> list[Column]:
+    def with_gap(gap: str, suffix: str) -> dict[str, str]:
         """Inter-arrival count, sum and sum of squares, gaps between pieces included."""
-        g, wide = F.coalesce(F.col(gap), F.lit(0)), F.coalesce(F.col(gap), F.lit(0)).cast(_EXACT)
-        return [
-            F.sum(F.col(f"n_iat{suffix}") + F.col(gap).isNotNull().cast("long")).alias(f"n_iat{suffix}"),
-            F.sum(F.col(f"s_iat{suffix}") + g).alias(f"s_iat{suffix}"),
-            F.sum((F.col(f"q_iat{suffix}") + wide * wide).cast(_EXACT)).cast(_EXACT).alias(f"q_iat{suffix}"),
-        ]
+        wide = f"CAST(coalesce({gap}, 0) AS {_EXACT})"
+        return {
+            f"n_iat{suffix}": f"sum(n_iat{suffix} + CAST({gap} IS NOT NULL AS BIGINT))",
+            f"s_iat{suffix}": f"sum(s_iat{suffix} + coalesce({gap}, 0))",
+            f"q_iat{suffix}": f"CAST(sum(CAST(q_iat{suffix} + {wide} * {wide} AS {_EXACT})) AS {_EXACT})",
+        }
 
-    def side(s: str) -> list[Column]:
-        return [
-            F.min(f"first_{s}").alias(f"first_{s}"), F.max(f"last_{s}").alias(f"last_{s}"),
-            F.min(f"hdr_{s}").alias(f"hdr_{s}"), F.sum(f"n_len_{s}").alias(f"n_len_{s}"),
-            F.sum(f"s_len_{s}").alias(f"s_len_{s}"), F.sum(f"q_len_{s}").cast(_EXACT).alias(f"q_len_{s}"),
-            F.max(f"m_len_{s}").alias(f"m_len_{s}"), *with_gap(f"gap_{s}", f"_{s}"),
-        ]
-
-    idle_gap = F.when(F.col("gap") > F.col("idle_limit"), F.col("gap"))
-    return df.groupBy(*flow).agg(
-        F.sum("packets").alias("packets"),
-        F.min("t0").alias("t0"), F.max(F.when(leads, F.col("seq0"))).alias("seq0"),
-        F.max(F.when(leads, F.col("win0"))).alias("win0"), F.bool_or(leads & F.col("opener_a")).alias("opener_a"),
-        F.max("t1").alias("t1"), F.bool_or(ends & F.col("rst")).alias("rst"), F.bool_or(ends & F.col("closes")).alias("closes"),
-        F.max(F.when(ends, F.col("left_open"))).alias("left_open"), F.bool_or("is_last").alias("is_last"),
-        F.max("max_len").alias("max_len"), F.min("min_len").alias("min_len"), F.sum("fins").alias("fins"),
-        F.max(F.greatest("max_iat", "gap")).alias("max_iat"), F.max(F.greatest("idle", idle_gap)).alias("idle"),
-        *with_gap("gap", ""), *side("a"), *side("b"),
-    )
+    values = {
+        "packets": "sum(packets)",
+        "t0": "min(t0)",
+        "seq0": "max(CASE WHEN leads THEN seq0 END)",
+        "win0": "max(CASE WHEN leads THEN win0 END)",
+        "opener_a": "bool_or(leads AND opener_a)",
+        "t1": "max(t1)",
+        "rst": "bool_or(ends AND rst)",
+        "closes": "bool_or(ends AND closes)",
+        "left_open": "max(CASE WHEN ends THEN left_open END)",
+        "is_last": "bool_or(is_last)",
+        "max_len": "max(max_len)",
+        "min_len": "min(min_len)",
+        "fins": "sum(fins)",
+        "max_iat": "max(greatest(max_iat, gap))",
+        "idle": f"max(greatest(idle, CASE WHEN gap > {idle} THEN gap END))",
+        **with_gap("gap", ""),
+    }
+    for s in ("a", "b"):
+        values |= {
+            f"first_{s}": f"min(first_{s})", f"last_{s}": f"max(last_{s})", f"hdr_{s}": f"min(hdr_{s})",
+            f"n_len_{s}": f"sum(n_len_{s})", f"s_len_{s}": f"sum(s_len_{s})",
+            f"q_len_{s}": f"CAST(sum(q_len_{s}) AS {_EXACT})", f"m_len_{s}": f"max(m_len_{s})",
+            **with_gap(f"gap_{s}", f"_{s}"),
+        }
+    return df.groupBy(*flow).agg(*[F.expr(f"{e} AS {n}") for n, e in values.items()])
 
 
 def as_open_piece(flow: DataFrame, by: list[str]) -> DataFrame:
@@ -342,5 +321,4 @@ def hot_flows(df: DataFrame, by: list[str], n_rows: int, limit: int, timeout: st
     """Flows of the packets of hot keys; same rows as the single-task plan."""
     gap_limit, idle_limit = micros(timeout), micros(idle)
     pieces = cut_pieces(df, by, max(2, -(-n_rows // limit)), gap_limit, idle_limit)
-    assigned = assign_flows(pieces, by, gap_limit).withColumn("idle_limit", F.lit(idle_limit))
-    return merged_features(merge_pieces(assigned, by))
+    return merged_features(merge_pieces(assign_flows(pieces, by, gap_limit), by, idle_limit))

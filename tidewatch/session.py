@@ -51,6 +51,8 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "tid
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        # Call sites for error messages triple the cost of building a plan.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in RUNTIME_CONF.items():
         builder = builder.config(key, value)

@@ -118,8 +118,8 @@ class FlowStream:
                 pieces = cut if carried is None else cut.unionByName(carried)
         n_out = n_open = 0
         if pieces is not None:
-            assigned = hf.assign_flows(pieces, by, self.timeout).withColumn("idle_limit", F.lit(self.idle))
-            merged = stage_table(hf.merge_pieces(assigned, by))
+            assigned = hf.assign_flows(pieces, by, self.timeout)
+            merged = stage_table(hf.merge_pieces(assigned, by, self.idle))
             silent = F.lit(mark_now) - F.col("t1") > self.timeout
             stays = F.col("is_last") & ~F.col("rst") & ~F.col("closes") & ~silent
             if not final:
