@@ -17,7 +17,7 @@ from tidewatch.operators import ranks, routing, sampling, scoring, stats
 from tidewatch.operators.bundle import Bundle, current_version, random_bundle
 from tidewatch.plans import samples, train_ae, train_gmm
 from tidewatch.schemas import FEATURES
-from tidewatch.session import ensure_checkpoint_dir, prepare
+from tidewatch.session import ensure_checkpoint_dir, prepare, stage_table
 from tidewatch.sources import flow_csv, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -323,7 +323,7 @@ def choose_threshold(spark, sf_dir):
 @query
 def predict_flows(spark, sf_dir):
     """Packets to flows to labelled rows with an 18-feature model."""
-    flows = fl.build_flows(samples.packets(spark, sf_dir))
+    flows = stage_table(fl.build_flows(samples.packets(spark, sf_dir)))
     return scoring.predict(flows, fitted_bundle(flows), keep=["flow_uid"])
 
 
@@ -571,7 +571,7 @@ def waterfall_topk(spark, sf_dir):
 
 @query
 def explain_flows(spark, sf_dir):
-    flows = fl.build_flows(samples.packets(spark, sf_dir))
+    flows = stage_table(fl.build_flows(samples.packets(spark, sf_dir)))
     bundle = fitted_bundle(flows)
     df = ex.explain(flows, bundle, ex.background_sample(flows, bundle, 20), walks=10)
     total = F.aggregate("contributions", F.lit(0.0), lambda a, v: a + v)

@@ -38,7 +38,9 @@ def score_live(engine: Engine, root: str, scope: str = "live", **stream_options)
     return FlowStream(engine.spark, root, on_flows=on_flows, **stream_options)
 
 
-def watch_directory(engine: Engine, directory: str, checkpoint: str, scope: str = "watch", **trigger) -> StreamingQuery:
+def watch_directory(
+    engine: Engine, directory: str, checkpoint: str, scope: str = "watch", files_per_trigger: int = 1000, **trigger
+) -> StreamingQuery:
     """Score every CSV file that appears, each file as its own confidence scope.
 
     The stream lists files without reading them; a file that cannot be read or lacks
@@ -46,6 +48,7 @@ def watch_directory(engine: Engine, directory: str, checkpoint: str, scope: str
     """
     spark = engine.spark
     reader = spark.readStream.format("binaryFile").schema(FILES).option("pathGlobFilter", "*.csv")
+    reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     listing = reader.load(directory).select("path")
 
     def process(batch: DataFrame, batch_id: int) -> None:
