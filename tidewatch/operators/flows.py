@@ -9,12 +9,13 @@ Everything is window functions over one ordering of one hash partitioning, so th
 plan has a single exchange and a single sort before the final aggregation.  The
 two-sided FIN rule, a small state machine, has a closed form:
 
-* only FIN packets matter; number them 1, 2, ... inside an unbroken segment;
-* a FIN is a *turn* when its endpoint differs from the FIN before it;
+* only FIN packets matter; number them 1, 2, ...;
+* a FIN is a *turn* when the FIN before it in the same unbroken segment came from the
+  other endpoint;
 * only turns can close a flow, and a turn closes it unless the FIN before it was
   itself the closing one;
-* so along consecutive turns closing alternates, starting from the last turn whose
-  role is certain (an *anchor*): a turn right after a FIN that is no turn closes.
+* so the first turn after a FIN that is no turn closes, and from there on closing
+  alternates: it depends on the distance to the latest FIN that is no turn.
 
 5-tuples with very many packets do not fit one task; ``hot_rows`` routes them
 through :mod:`tidewatch.operators.hot_flows`, which gives the same flows.
@@ -90,47 +91,75 @@ def last_where(cond: str, value: str, frame: str) -> str:
     return f"last(CASE WHEN {cond} THEN {value} END, true) {frame}"
 
 
-def fin_turns(df: DataFrame, w: Frames) -> DataFrame:
-    """Add ``fin_no``, ``fin_first`` (first FIN of its segment) and ``turn``."""
+SIDES = {"a": "a_side", "b": "NOT a_side"}
+
+
+def looking_back(df: DataFrame, w: Frames) -> DataFrame:
+    """Add what the packet before says, and the latest packet of either side."""
+    latest = [f"{last_where(mine, 'struct(t, seq)', w.before)} AS prev_{s}" for s, mine in SIDES.items()]
+    return df.selectExpr("*", f"lag(t) {w.row} AS prev_t", f"lag(rst) {w.row} AS prev_rst", *latest)
+
+
+def since(position: str, start: str) -> str:
+    """Whether a (t, seq) position is not before another."""
+    return f"({position}.t > {start}.t OR ({position}.t = {start}.t AND {position}.seq >= {start}.seq))"
+
+
+def fin_turns(df: DataFrame, w: Frames, *more: str) -> DataFrame:
+    """Add ``fin_no``, ``fin_first`` (first FIN of its segment) and ``turn``.
+
+    ``more`` are further running columns to compute in the same pass.
+    """
+    # The latest FIN (1 or 2 by endpoint) or hard cut without FIN (0) before this packet.
+    event = "CASE WHEN fin THEN if(a_side, 1, 2) WHEN hard THEN 0 END"
     df = df.selectExpr(
-        "*",
-        f"{last_where('fin', 'struct(seg, a_side)', w.before)} AS prev_fin",
-        f"sum(CAST(fin AS BIGINT)) {w.upto} AS fin_no",
-    )
-    return df.selectExpr(
-        "*",
-        "fin AND NOT coalesce(prev_fin.seg = seg, false) AS fin_first",
-        "fin AND coalesce(prev_fin.seg = seg AND prev_fin.a_side <> a_side, false) AS turn",
+        "*", f"last({event}, true) {w.before} AS prev_event", f"sum(CAST(fin AS BIGINT)) {w.upto} AS fin_no", *more
     )
+    df = df.selectExpr("*", "fin AND (hard OR coalesce(prev_event, 0) = 0) AS fin_first")
+    return df.selectExpr("*", "fin AND NOT fin_first AND prev_event <> if(a_side, 1, 2) AS turn")
 
 
 def closing_fins(df: DataFrame, w: Frames, turns: dict[str, str]) -> DataFrame:
-    """For each ``{closes: turn}`` pair of columns mark the turns that close a flow.
+    """For each ``{closes: turn}`` pair of columns mark the turns that close a flow,
+    and with ``<closes>_before`` the packet after each.
 
-    The turn after a non-turn is certain to close; from there it alternates along
-    consecutive turns.
+    The first turn after a FIN that is no turn closes; from there it alternates.
     """
-    df = df.selectExpr("*", *[f"{last_where('fin', t, w.before)} AS {c}_after" for c, t in turns.items()])
-    anchors = {c: last_where(f"{t} AND NOT coalesce({c}_after, false)", "fin_no", w.upto) for c, t in turns.items()}
-    df = df.selectExpr("*", *[f"{anchor} AS {c}_anchor" for c, anchor in anchors.items()])
-    return df.selectExpr("*", *[f"{t} AND (fin_no - {c}_anchor) % 2 = 0 AS {c}" for c, t in turns.items()])
+
+    def origin(turn: str, frame: str) -> str:
+        return f"coalesce({last_where(f'fin AND NOT {turn}', 'fin_no', frame)}, 0)"
+
+    running = [f"lag(fin_no) {w.row} AS fin_no_before"]
+    for c, t in turns.items():
+        running += [
+            f"{origin(t, w.upto)} AS {c}_from",
+            f"{origin(t, w.before)} AS {c}_from_before",
+            f"lag({t}) {w.row} AS {c}_turn_before",
+        ]
+    df = df.selectExpr("*", *running)
+    made = []
+    for c, t in turns.items():
+        made += [
+            f"{t} AND (fin_no - {c}_from) % 2 = 1 AS {c}",
+            f"coalesce({c}_turn_before AND (fin_no_before - {c}_from_before) % 2 = 1, false) AS {c}_before",
+        ]
+    return df.selectExpr("*", *made)
 
 
 def number_flows(df: DataFrame, by: list[str], timeout: str = TIMEOUT) -> DataFrame:
     """Add ``flow_no`` (1, 2, ... per key), ``starts``, ``forward`` and the cut flags."""
     w = frames(by)
-    df = df.selectExpr("*", f"lag(t) {w.row} AS prev_t", f"lag(rst) {w.row} AS prev_rst")
+    df = looking_back(df, w)
     df = df.selectExpr("*", f"prev_t IS NULL OR t - prev_t > {micros(timeout)} OR prev_rst AS hard")
-    df = df.selectExpr("*", f"sum(CAST(hard AS BIGINT)) {w.upto} AS seg")
     df = closing_fins(fin_turns(df, w), w, {"closes": "turn"})
-    df = df.selectExpr("*", f"hard OR coalesce(lag(closes) {w.row}, false) AS starts")
+    df = df.selectExpr("*", "hard OR closes_before AS starts")
     df = df.selectExpr(
         "*",
         f"sum(CAST(starts AS BIGINT)) {w.upto} AS flow_no",
-        f"{last_where('starts', 'a_side', w.upto)} AS opener_a",
+        f"{last_where('starts', 'struct(t, seq, a_side)', w.upto)} AS opener",
         f"lead(t) {w.row} IS NULL AS is_last",
     )
-    return df.selectExpr("*", "a_side = opener_a AS forward")
+    return df.selectExpr("*", "a_side = opener.a_side AS forward")
 
 
 def cut_flows(packets: DataFrame, timeout: str = TIMEOUT, window: str | None = None) -> DataFrame:
@@ -143,20 +172,19 @@ def cut_flows(packets: DataFrame, timeout: str = TIMEOUT, window: str | None = N
 
 def flow_features(df: DataFrame, by: list[str], idle: str = IDLE) -> DataFrame:
     """One row of metadata and features per flow of ``number_flows``."""
-    w = frames(by)
-    df = df.selectExpr(
-        *by, "flow_no", "seq", "t", "len", "win", "hdr", "fin", "rst", "starts", "closes", "is_last", "opener_a", "forward",
-        "CASE WHEN NOT starts THEN t - prev_t END AS iat",
-        f"{last_where('forward', 'struct(flow_no, t)', w.before)} AS prev_f",
-        f"{last_where('NOT forward', 'struct(flow_no, t)', w.before)} AS prev_b",
-    )
+
+    def gap(s: str) -> str:
+        return f"CASE WHEN {SIDES[s]} AND {since(f'prev_{s}', 'opener')} THEN t - prev_{s}.t END"
+
+    df = df.selectExpr("*", "CASE WHEN NOT starts THEN t - prev_t END AS iat", f"coalesce({gap('a')}, {gap('b')}) AS side_iat")
     df = df.selectExpr(
-        "*",
-        "CASE WHEN forward AND prev_f.flow_no = flow_no THEN t - prev_f.t END AS fwd_iat",
-        "CASE WHEN NOT forward AND prev_b.flow_no = flow_no THEN t - prev_b.t END AS bwd_iat",
+        *by, "flow_no", "seq", "t", "len", "win", "hdr", "fin", "rst", "starts", "closes", "is_last", "forward", "iat",
+        "opener.a_side AS opener_a",
+        "CASE WHEN forward THEN side_iat END AS fwd_iat",
+        "CASE WHEN NOT forward THEN side_iat END AS bwd_iat",
         "CASE WHEN forward THEN len END AS fwd_len",
         "CASE WHEN NOT forward THEN len END AS bwd_len",
-    )
+    )
     # Numbers and flags only, so that the aggregation can hash instead of sorting
     # again.  RST and the closing FIN can only be on the last packet of a flow.
     values = {

@@ -25,7 +25,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.operators.flows import closing_fins, fin_turns, flow_rows, frames, last_where, micros
+from tidewatch.operators.flows import (
+    SIDES,
+    closing_fins,
+    fin_turns,
+    flow_rows,
+    frames,
+    last_where,
+    looking_back,
+    micros,
+    since,
+)
 from tidewatch.operators.ranks import join_small
 from tidewatch.session import cut_lineage, ship_package, stage_table
 
@@ -57,9 +67,9 @@ def cut_pieces(df: DataFrame, by: list[str], chunks: int, timeout: int, idle: in
         df = df.withColumn("chunk", F.lit(0))
     part = [*by, "chunk"]
     w = frames(part)
-    df = df.selectExpr("*", f"lag(t) {w.row} AS prev_t", f"lag(rst) {w.row} AS prev_rst")
+    df = looking_back(df, w)
     df = df.selectExpr("*", f"prev_t IS NOT NULL AND (t - prev_t > {timeout} OR prev_rst) AS hard")
-    df = fin_turns(df.selectExpr("*", f"sum(CAST(hard AS BIGINT)) {w.upto} AS seg"), w)
+    df = fin_turns(df, w, f"sum(CAST(hard AS BIGINT)) {w.upto} AS seg")
     # An unanswered FIN carried in acts like a FIN before the first one of segment 0.
     df = df.selectExpr(
         "*",
@@ -68,7 +78,7 @@ def cut_pieces(df: DataFrame, by: list[str], chunks: int, timeout: int, idle: in
         "turn OR (fin_first AND seg = 0 AND a_side) AS turn_b",
     )
     df = closing_fins(df, w, {f"closes_{c}": f"turn_{c}" for c in CASES})
-    df = df.selectExpr("*", *[f"hard OR coalesce(lag(closes_{c}) {w.row}, false) AS start_{c}" for c in CASES])
+    df = df.selectExpr("*", *[f"hard OR closes_{c}_before AS start_{c}" for c in CASES])
     df = df.selectExpr("*", "start_none OR start_a OR start_b AS cut")
     closes = ", ".join(f"closes_{c}" for c in CASES)
     df = df.selectExpr(
@@ -78,15 +88,11 @@ def cut_pieces(df: DataFrame, by: list[str], chunks: int, timeout: int, idle: in
         "prev_t IS NULL OR cut AS is_start",
         "CASE WHEN NOT cut THEN t - prev_t END AS iat",
         f"{last_where('fin', f'struct(seg, a_side, {closes})', w.upto)} AS last_fin",
+        f"{last_where('prev_t IS NULL OR cut', 'struct(t, seq)', w.upto)} AS opener",
     )
     df = df.selectExpr(
         "*",
-        f"{last_where('a_side', 'struct(piece, t)', w.before)} AS prev_a",
-        f"{last_where('NOT a_side', 'struct(piece, t)', w.before)} AS prev_b",
-    )
-    sides = {"a": "a_side", "b": "NOT a_side"}
-    df = df.selectExpr(
-        "*", *[f"CASE WHEN {mine} AND prev_{s}.piece = piece THEN t - prev_{s}.t END AS iat_{s}" for s, mine in sides.items()]
+        *[f"CASE WHEN {mine} AND {since(f'prev_{s}', 'opener')} THEN t - prev_{s}.t END AS iat_{s}" for s, mine in SIDES.items()],
     )
 
     def left_open(case: str) -> str:
@@ -121,7 +127,7 @@ def cut_pieces(df: DataFrame, by: list[str], chunks: int, timeout: int, idle: in
         "idle": f"max(CASE WHEN iat > {idle} THEN iat END)",
         "n_iat": "count(iat)", "s_iat": total("iat"), "q_iat": squares("iat"),
     }
-    for s, mine in sides.items():
+    for s, mine in SIDES.items():
         length = f"CASE WHEN {mine} THEN len END"
         values |= {
             f"first_{s}": f"min(CASE WHEN {mine} THEN t END)",
