@@ -5,7 +5,7 @@ from __future__ import annotations
 import ipaddress
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
@@ -88,3 +88,10 @@ def in_subnet(ip: Column, cidr: str) -> Column:
         return addresses.map(unique).astype(bool)
 
     return F.when(ip.contains(":"), inside(ip)).otherwise(False)
+
+
+def filter_net(packets: DataFrame, cidr: str | None) -> DataFrame:
+    """Packets with either endpoint in the subnet; all of them without one."""
+    if not cidr:
+        return packets
+    return packets.filter(in_subnet(F.col("src_ip"), cidr) | in_subnet(F.col("dst_ip"), cidr))

@@ -84,9 +84,7 @@ def fitted_bundle(flows: DataFrame) -> Bundle:
 
 @query
 def packet_filter_cidr(spark, sf_dir):
-    df = samples.packets(spark, sf_dir)
-    inside = P.in_subnet(F.col("src_ip"), "10.0.0.0/27") | P.in_subnet(F.col("dst_ip"), "10.0.0.0/27")
-    return df.filter(inside).select("seq", "src_ip", "dst_ip")
+    return P.filter_net(samples.packets(spark, sf_dir), "10.0.0.0/27").select("seq", "src_ip", "dst_ip")
 
 
 def mixed_packets(spark, sf_dir):
@@ -560,11 +558,11 @@ def cached_explanations(spark, sf_dir):
 
 @query
 def waterfall_topk(spark, sf_dir):
-    vector = F.slice("embedding", 1, 18)
+    size = samples.table(spark, sf_dir, "embeddings").select(F.size("embedding")).first()[0]
     df = samples.table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").cast("string").alias("flow_uid"), F.lit("ae").alias("level"), F.lit(0.0).alias("base"),
-        F.array(*[F.lit(f"f{i:02d}") for i in range(1, 19)]).alias("features"),
-        F.transform(vector, lambda v: v.cast("double")).alias("contributions"),
+        F.array(*[F.lit(f"f{i:02d}") for i in range(1, size + 1)]).alias("features"),
+        F.transform("embedding", lambda v: v.cast("double")).alias("contributions"),
     )
     return ex.waterfall(df).select("flow_uid", "rank", "feature", F.round("contribution", 5).alias("contribution"))
 
@@ -615,9 +613,11 @@ def weight_importance(spark, sf_dir):
 
 @query
 def mixture_fit(spark, sf_dir):
-    """Three components over four embedding dimensions."""
-    vector = F.transform(F.slice("embedding", 1, 4), lambda v: v.cast("double"))
-    errors = samples.table(spark, sf_dir, "embeddings").select(vector.alias("errors"))
+    """Three components over the standardised numbers of all line items."""
+    names = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    df = lineitem(spark, sf_dir)
+    fit = stats.scaler_fit(df, names).orderBy("position").collect()
+    errors = df.select(F.array(*[F.abs((F.col(r["feature"]) - r["mean"]) / r["scale"]) for r in fit]).alias("errors"))
     weights, means, covs, trace = train_gmm.fit_mixture(errors, k=3, max_iter=10)
     rows = [(i, float(w), [float(v) for v in m], float(np.linalg.det(c))) for i, (w, m, c) in enumerate(zip(weights, means, covs))]
     return spark.createDataFrame(rows, "component int, weight double, mean array<double>, spread double")

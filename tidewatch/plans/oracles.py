@@ -337,7 +337,7 @@ def oracle_sql() -> dict[str, str]:
         w AS (SELECT CAST(o_orderkey * 10 + 1 AS VARCHAR) AS flow_uid FROM orders)"""
     q["cached_explanations"] = f"""WITH {ex} SELECT w.flow_uid, e.model_version, e.score FROM w
         LEFT JOIN (SELECT * FROM ex WHERE model_version = 'm1') e USING (flow_uid)"""
-    q["waterfall_topk"] = """WITH v AS (SELECT vec_id, unnest(embedding[1:18]) AS c, generate_subscripts(embedding[1:18], 1) AS f FROM embeddings),
+    q["waterfall_topk"] = """WITH v AS (SELECT vec_id, unnest(embedding) AS c, generate_subscripts(embedding, 1) AS f FROM embeddings),
         r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY abs(CAST(c AS DOUBLE)) DESC, 'f' || lpad(CAST(f AS VARCHAR), 2, '0')) AS rank FROM v)
         SELECT CAST(vec_id AS VARCHAR) AS flow_uid, CAST(rank AS INTEGER) AS rank, 'f' || lpad(CAST(f AS VARCHAR), 2, '0') AS feature,
                round(CAST(c AS DOUBLE), 5) AS contribution FROM r WHERE rank <= 14

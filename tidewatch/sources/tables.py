@@ -1,7 +1,7 @@
 """Append-only Parquet tables and capped buffers.
 
-Nothing is ever overwritten in place: an append is a directory of its own, and a
-capped buffer forgets old rows by a line in its ledger.  A repeated append with the
+Rows are never rewritten: an append is a directory of its own, and a capped buffer
+forgets old rows by what its ledger lists.  A repeated append with the
 same token (a retried micro-batch) replaces its own directory and counts once.
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,10 +17,20 @@ from tidewatch.operators.ranks import smallest
 from tidewatch.operators.sampling import sample_rows
 
 
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path as it takes it."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop_path
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
+    fs, hadoop_path = file_system(spark, path)
+    return fs.exists(hadoop_path)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    fs, hadoop_path = file_system(spark, path)
+    fs.delete(hadoop_path, True)
 
 
 class AppendTable:
@@ -53,10 +63,42 @@ class AppendTable:
         return reader.option("mergeSchema", self.schema is None).parquet(self.path).drop("part")
 
 
+class Snapshots:
+    """A small table kept as numbered versions; the newest complete one counts.
+
+    Readers list one folder and read one version, however long the history is; old
+    versions are removed.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, keep: int = 10):
+        self.spark, self.path, self.schema, self.keep = spark, path, schema, keep
+
+    def versions(self) -> list[int]:
+        fs, root = file_system(self.spark, self.path)
+        if not fs.exists(root):
+            return []
+        found = [f.getPath() for f in fs.listStatus(root)]
+        done = [p for p in found if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+        return sorted(int(p.getName().split("=")[1]) for p in done)
+
+    def _dir(self, version: int) -> str:
+        return f"{self.path}/v={version}"
+
+    def latest(self, before: int | None = None) -> tuple[int | None, list[Row]]:
+        known = [v for v in self.versions() if before is None or v < before]
+        if not known:
+            return None, []
+        return known[-1], self.spark.read.schema(self.schema).parquet(self._dir(known[-1])).collect()
+
+    def write(self, rows: list[tuple], version: int) -> None:
+        df = self.spark.createDataFrame(rows, self.schema)
+        df.coalesce(1).write.mode("overwrite").parquet(self._dir(version))
+        for old in self.versions()[: -self.keep]:
+            delete_path(self.spark, self._dir(old))
+
+
 LEDGER = T.StructType(
     [
-        T.StructField("event", T.LongType()),
-        T.StructField("kind", T.StringType()),  # add | trim | clear
         T.StructField("batch", T.LongType()),
         T.StructField("rows", T.LongType()),
         T.StructField("from_ord", T.LongType()),
@@ -66,82 +108,62 @@ LEDGER = T.StructType(
 
 
 class Buffer:
-    """A table of samples that keeps the newest ``cap`` rows."""
+    """A table of samples that keeps the newest ``cap`` rows.
+
+    Each batch is a folder.  The ledger holds one line per batch still in use: its
+    rows and from which position on they count.
+    """
 
     def __init__(self, spark: SparkSession, path: str, cap: int | None = None):
         self.spark, self.path, self.cap = spark, path, cap
-        self.ledger = AppendTable(spark, f"{path}/ledger", LEDGER)
-
-    def _events(self) -> list:
-        """Ledger lines since the last clear: one per batch that still matters."""
-        lines = self.ledger.read()
-        cleared = lines.filter("kind = 'clear'").agg(F.coalesce(F.max("event"), F.lit(-1))).first()[0]
-        lines = lines.filter(F.col("event") > cleared)
-        trim = lines.filter("kind = 'trim'").agg(F.max_by("batch", "event")).first()[0]
-        if trim is not None:
-            lines = lines.filter((F.col("batch") >= trim))
-        return lines.orderBy("event").collect()
-
-    def _next(self) -> tuple[int, int]:
-        return self.ledger.read().agg(
-            F.coalesce(F.max("event") + 1, F.lit(0)), F.coalesce(F.max("batch") + 1, F.lit(0))
-        ).first()
-
-    def _note(self, kind: str, batch: int, rows: int, from_ord: int = 0, token: str | None = None) -> None:
-        event, _ = self._next()
-        line = self.spark.createDataFrame([(event, kind, batch, rows, from_ord, token)], LEDGER)
-        self.ledger.append(line.coalesce(1), token=f"{event:012d}")
-
-    def _live(self) -> list[tuple[int, int, int]]:
-        """(batch, rows kept, first kept position), oldest first."""
-        live: dict[int, tuple[int, int, int]] = {}
-        for e in self._events():
-            if e.kind == "add":
-                live[e.batch] = (e.batch, e.rows, 0)
-            elif e.kind == "trim":
-                live = {b: v for b, v in live.items() if b > e.batch}
-                live[e.batch] = (e.batch, e.rows, e.from_ord)
-        return sorted(v for v in live.values() if v[1] > 0)
+        self.ledger = Snapshots(spark, f"{path}/ledger", LEDGER)
+
+    def _lines(self) -> tuple[int, list[Row]]:
+        """The number of the next batch and the lines, oldest batch first."""
+        version, lines = self.ledger.latest()
+        return (0 if version is None else version + 1), sorted(lines, key=lambda r: r.batch)
 
     def _data(self, batch: int) -> str:
         return f"{self.path}/data/batch={batch}"
 
     def add(self, df: DataFrame, token: str | None = None) -> int:
         """Append rows; returns how many were added (0 for an empty or repeated batch)."""
-        if token is not None and not self.ledger.read().filter(F.col("token") == token).isEmpty():
+        batch, lines = self._lines()
+        if token is not None and any(r.token == token for r in lines):
             return 0
-        _, batch = self._next()
         df.withColumn("_ord", F.monotonically_increasing_id()).write.mode("overwrite").parquet(self._data(batch))
         rows = self.spark.read.parquet(self._data(batch)).count()
-        if rows or token is not None:
-            self._note("add", batch, rows, token=token)
-        if rows and self.cap is not None:
-            self._trim()
+        if rows:
+            lines = self._trimmed([*map(tuple, lines), (batch, rows, 0, token)])
+            self.ledger.write(lines, batch)
         return rows
 
-    def _trim(self) -> None:
-        live, kept = self._live(), 0
-        if sum(rows for _, rows, _ in live) <= self.cap:
-            return
-        for batch, rows, from_ord in reversed(live):
-            if kept + rows < self.cap:
-                kept += rows
-                continue
-            keep = self.cap - kept
-            part = self.spark.read.parquet(self._data(batch)).filter(F.col("_ord") >= from_ord)
-            kept_rows = part.filter(smallest(part, -F.col("_ord"), "_ord", keep))
-            self._note("trim", batch, keep, kept_rows.agg(F.min("_ord")).first()[0])
-            return
+    def _trimmed(self, lines: list[tuple]) -> list[tuple]:
+        """Drop the oldest rows beyond the cap: whole batches, and a part of one."""
+        if self.cap is None or sum(line[1] for line in lines) <= self.cap:
+            return lines
+        out, kept = [], 0
+        for batch, rows, from_ord, token in reversed(lines):
+            keep = min(rows, self.cap - kept)
+            if keep <= 0:
+                break
+            if keep < rows:
+                part = self.spark.read.parquet(self._data(batch)).filter(F.col("_ord") >= from_ord)
+                newest = part.filter(smallest(part, -F.col("_ord"), "_ord", keep, count=rows))
+                from_ord = newest.agg(F.min("_ord")).first()[0]
+            out.append((batch, keep, from_ord, token))
+            kept += keep
+        return out[::-1]
 
     def load(self) -> DataFrame | None:
-        """The rows now held; None when nothing was ever kept."""
-        live = self._live()
-        if not live:
+        """The rows now held; None when there are none."""
+        _, lines = self._lines()
+        if not lines:
             return None
-        oldest, _, from_ord = live[0]
-        paths = [self._data(b) for b, _, _ in live]
+        paths = [self._data(r.batch) for r in lines]
         df = self.spark.read.option("basePath", f"{self.path}/data").option("mergeSchema", True).parquet(*paths)
-        return df.filter((F.col("batch") > oldest) | (F.col("_ord") >= from_ord)).drop("_ord", "batch")
+        oldest = lines[0]
+        return df.filter((F.col("batch") > oldest.batch) | (F.col("_ord") >= oldest.from_ord)).drop("_ord", "batch")
 
     def sample(self, n: int, uid: str = "flow_uid", seed: int = 42) -> DataFrame | None:
         df = self.load()
@@ -149,14 +171,14 @@ class Buffer:
 
     @property
     def count(self) -> int:
-        return sum(rows for _, rows, _ in self._live())
+        return sum(r.rows for r in self._lines()[1])
 
     @property
     def is_empty(self) -> bool:
         return self.count == 0
 
     def clear(self) -> None:
-        self._note("clear", -1, 0)
+        self.ledger.write([], self._lines()[0])
 
 
 def keep_last(df: DataFrame, batch: str, seq: str, cap: int) -> DataFrame:

@@ -4,8 +4,8 @@ Every micro-batch is cut by the same bounded pieces as hot 5-tuples in a batch,
 5-tuple that dominates the stream is still worked on by many tasks.  Between batches
 two small tables carry on: packets newer than the watermark (their order is not yet
 certain) and one piece per flow still open.  All outputs of a batch go to
-directories named by its number and a progress line closes it, so a repeated batch
-replaces its own files and counts once.
+directories named by its number and a mark closes it, so a repeated batch replaces its
+own files and counts once.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from tidewatch.operators import flows as fl
 from tidewatch.operators import hot_flows as hf
 from tidewatch.schemas import FLOWS
 from tidewatch.session import prepare, stage_table
-from tidewatch.sources.tables import AppendTable, path_exists
+from tidewatch.sources.tables import AppendTable, Snapshots, delete_path, path_exists
 
 PROGRESS = T.StructType(
     [
@@ -33,6 +33,8 @@ PROGRESS = T.StructType(
         T.StructField("open_flows", T.LongType()),
     ]
 )
+MARK = T.StructType([T.StructField("watermark", T.LongType()), T.StructField("open_flows", T.LongType())])
+KEPT_STATES = 10
 ROWS_PER_TASK = 1_000_000
 _FIRST = -(2**62)
 _LAST = 2**62
@@ -56,6 +58,7 @@ class FlowStream:
         self.timeout, self.delay, self.idle = fl.micros(timeout), fl.micros(delay), fl.micros(idle)
         self.on_flows, self.rows_per_task, self.window = on_flows, rows_per_task, window
         self.progress = AppendTable(spark, f"{root}/progress", PROGRESS)
+        self.marks = Snapshots(spark, f"{root}/marks", MARK, keep=KEPT_STATES)
         capture = [T.StructField("capture_time", T.TimestampType())] if window else []
         self.emitted = AppendTable(spark, f"{root}/flows", T.StructType(capture + FLOWS.fields))
 
@@ -70,27 +73,27 @@ class FlowStream:
 
     def flush(self) -> None:
         """End of capture: all waiting packets and open flows come out."""
-        last = self.progress.read().agg(F.coalesce(F.max("batch"), F.lit(-1))).first()[0]
-        self._step(None, last + 1, final=True)
+        known = self.marks.versions()
+        self._step(None, known[-1] + 1 if known else 0, final=True)
 
     def flows(self) -> DataFrame:
         return self.emitted.read()
 
     @property
     def open_flows(self) -> int:
-        return self.progress.read().agg(F.max_by("open_flows", "batch")).first()[0] or 0
+        _, rows = self.marks.latest()
+        return rows[0].open_flows if rows else 0
 
     def _state(self, name: str, batch: int) -> DataFrame | None:
         path = f"{self.root}/{name}/batch={batch}"
         return self.spark.read.parquet(path) if batch >= 0 and path_exists(self.spark, path) else None
 
     def _step(self, batch: DataFrame | None, batch_id: int, final: bool) -> None:
-        done = self.progress.read().filter(F.col("batch") <= batch_id)
-        if not done.filter(F.col("batch") == batch_id).isEmpty():
+        if batch_id in self.marks.versions():
             return
-        previous, mark = done.agg(
-            F.coalesce(F.max("batch"), F.lit(-1)), F.coalesce(F.max("watermark"), F.lit(_FIRST))
-        ).first()
+        previous, rows = self.marks.latest(before=batch_id)
+        mark = rows[0].watermark if rows else _FIRST
+        previous = -1 if previous is None else previous
         by = ["k", "capture"] if self.window else ["k"]
         rows, n_new, late = self._state("pending", previous), 0, 0
         if batch is not None:
@@ -136,3 +139,6 @@ class FlowStream:
                 self.on_flows(stored, token)
         line = self.spark.createDataFrame([(batch_id, mark_now, n_new, late, n_out, n_open)], PROGRESS)
         self.progress.append(line.coalesce(1), token=f"{batch_id:012d}")
+        self.marks.write([(mark_now, n_open)], batch_id)
+        for name in ("pending", "open"):
+            delete_path(self.spark, f"{self.root}/{name}/batch={batch_id - KEPT_STATES}")
