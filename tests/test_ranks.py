@@ -52,6 +52,18 @@ def test_sample_is_md5_order(spark):
     assert sampling.train_val_split(df.limit(3)).filter("is_val").count() == 1
 
 
+@pytest.mark.parametrize("k", [1, 60, 1990, 2999])
+def test_hashed_cut_in_its_bracket(spark, k):
+    df = spark.range(3000).select("id", sampling.hash_order("id", 5).alias("h"))
+    want = sorted(r.id for r in df.orderBy("h").limit(k).collect())
+    for limit in (10**6, 100):
+        cut = ranks.smallest(df, sampling.hash_order("id", 5), "id", k, limit, uniform=sampling.HASH_RANGE)
+        assert sorted(r.id for r in df.filter(cut).collect()) == want
+    # A wrong promise of uniformity only costs time.
+    skew = ranks.smallest(df, F.col("id"), "id", k, 100, uniform=sampling.HASH_RANGE)
+    assert df.filter(skew).count() == k
+
+
 def test_mix_and_composition(spark):
     new, replay = spark.range(70).select(F.col("id").cast("string").alias("flow_uid")), spark.range(100, 200).select(
         F.col("id").cast("string").alias("flow_uid")

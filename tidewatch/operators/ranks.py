@@ -145,11 +145,14 @@ def quantile(df: DataFrame, x: str | Column, prob: float, group_limit: int = GRO
 
 
 def smallest(
-    df: DataFrame, order: Column, uid: str, k: int, group_limit: int = GROUP_LIMIT, count: int | None = None
+    df: DataFrame, order: Column, uid: str, k: int, group_limit: int = GROUP_LIMIT, count: int | None = None,
+    uniform: int | None = None,
 ) -> Column:
     """A predicate for exactly the ``k`` rows smallest by ``(order, uid)``.
 
     ``order`` must fit a double exactly (whole numbers below 2**53); ``uid`` is unique.
+    ``uniform`` says that ``order`` is a hash spread evenly over [0, uniform): the cut is
+    then looked for where it must nearly be, and elsewhere only if it is not there.
     """
     if k <= 0:
         return F.lit(False)
@@ -161,6 +164,16 @@ def smallest(
         first = df.select(order.alias("o"), id_.alias("u")).orderBy("o", "u").limit(k)
         cut = first.agg(F.max(F.struct("o", "u"))).first()[0]
         return (order < cut["o"]) | ((order == cut["o"]) & (id_ <= cut["u"]))
+    if uniform is not None:
+        middle, slack = k / count, 8.0 * (k * (count - k) / count) ** 0.5 / count
+        lo, hi = int((middle - slack) * uniform), int((middle + slack) * uniform) + 1
+        under, inside = df.agg(F.count_if(order < lo), F.count_if((order >= lo) & (order < hi))).first()
+        if under < k <= under + inside and inside < count:
+            near = df.filter((order >= lo) & (order < hi))
+            if k == under + inside:
+                return order < hi
+            # Rows below the bracket are below any cut inside it.
+            return smallest(near, order, uid, k - under, group_limit, inside)
     rows = df.select(order.cast("double").alias("x"), F.lit(1).alias("_all"))
     target = df.sparkSession.range(1).select(F.lit(1).alias("_all"), F.lit(k - 1).cast("long").alias("rank"))
     value = int(_narrowed(rows, ["_all"], target, group_limit).first()["value"])

@@ -22,6 +22,7 @@ REPLAY_BATCH_SHARE = 0.30
 VALIDATION_SHARE = 0.15
 
 _DIGITS = 13  # 52 bits: whole numbers a double holds exactly
+HASH_RANGE = 16**_DIGITS
 
 
 def hash_order(uid: str, seed: int) -> Column:
@@ -32,7 +33,7 @@ def hash_order(uid: str, seed: int) -> Column:
 
 def sample_rows(df: DataFrame, n: int, uid: str = "flow_uid", seed: int = 42, count: int | None = None) -> DataFrame:
     """Exactly ``min(n, rows)`` rows without replacement."""
-    return df.filter(smallest(df, hash_order(uid, seed), uid, n, count=count))
+    return df.filter(smallest(df, hash_order(uid, seed), uid, n, count=count, uniform=HASH_RANGE))
 
 
 def cap_rows(df: DataFrame, cap: int | None, uid: str = "flow_uid", seed: int = 42, count: int | None = None) -> DataFrame:
@@ -75,7 +76,7 @@ def train_val_split(
 ) -> DataFrame:
     """Add ``is_val`` for exactly ``max(1, int(rows * share))`` rows."""
     count = df.count() if count is None else count
-    return df.withColumn("is_val", smallest(df, hash_order(uid, seed), uid, max(1, int(count * share)), count=count))
+    return df.withColumn("is_val", smallest(df, hash_order(uid, seed), uid, max(1, int(count * share)), count=count, uniform=HASH_RANGE))
 
 
 @dataclass(frozen=True)
