@@ -318,11 +318,20 @@ def choose_threshold(spark, sf_dir):
     )
 
 
+def flow_bundle() -> Bundle:
+    """A small seeded model of all 18 features under a fixed scaler."""
+    mean = [2e6 if "IAT" in f or "Idle" in f else 2e4 if "Port" in f or "Win" in f else 300.0 if "Length" in f else 10.0 for f in FEATURES]
+    return random_bundle(seed=11, k=2, encoder=[6], latent=4).with_(
+        version="flows", scaler_mean=np.array(mean), scaler_scale=np.array(mean) * 0.9, threshold=-25.0
+    )
+
+
 @query
 def predict_flows(spark, sf_dir):
     """Packets to flows to labelled rows with an 18-feature model."""
     flows = stage_table(fl.build_flows(samples.packets(spark, sf_dir)))
-    return scoring.predict(flows, fitted_bundle(flows), keep=["flow_uid"])
+    df = scoring.predict(flows, flow_bundle(), keep=["flow_uid"])
+    return df.select("flow_uid", "prediction", "confidence", "gmm_score", F.round("ae_score", 6).alias("ae_score"))
 
 
 # ---- routing and feedback

@@ -164,6 +164,47 @@ HASH = "md5({} || ':{}')"
 HEX = "substring(md5({} || ':{}'), 1, 13)"
 
 
+def model_sql(bundle, source: str) -> str:
+    """CTEs that apply a bundle to the feature columns of ``source``; the last is ``sc``."""
+
+    def linear(coefficients, names, constant):
+        terms = [f"({float(c)!r}) * {n}" for c, n in zip(coefficients, names) if c != 0]
+        return " + ".join([*terms, f"({float(constant)!r})"])
+
+    x = [f"x{i}" for i in range(bundle.dim)]
+    scaled = [
+        f'("{f}" - ({float(m)!r})) / ({float(s)!r}) AS {n}'
+        for f, n, m, s in zip(bundle.feature_names, x, bundle.scaler_mean, bundle.scaler_scale)
+    ]
+    parts, names, last = [f"l0 AS (SELECT *, {', '.join(scaled)} FROM {source})"], x, 0
+    for i, layer in enumerate(bundle.layers):
+        kernel, bias = layer["kernel"], layer["bias"]
+        if "gamma" in layer:
+            factor = layer["gamma"] / (layer["var"] + 1e-3) ** 0.5
+            kernel, bias = kernel * factor, (bias - layer["mean"]) * factor + layer["beta"]
+        out = [f"h{i}_{j}" for j in range(kernel.shape[1])]
+        sums = [linear(kernel[:, j], names, bias[j]) for j in range(kernel.shape[1])]
+        if i < len(bundle.layers) - 1:
+            sums = [f"greatest({e}, 0)" for e in sums]
+        parts.append(f"l{i + 1} AS (SELECT *, {', '.join(f'{e} AS {n}' for e, n in zip(sums, out))} FROM l{i})")
+        names, last = out, i + 1
+    errors = ", ".join(f"abs({a} - {b}) AS e{i}" for i, (a, b) in enumerate(zip(x, names)))
+    parts.append(f"er AS (SELECT *, {errors} FROM l{last})")
+    mixture = bundle.mixture()
+    logs = []
+    for mean, whiten, const in zip(mixture.means, mixture.whiten, mixture.const):
+        squares = [
+            f"({linear(row, [f'e{i}' for i in range(bundle.dim)], -float(row @ mean))}) ** 2" for row in whiten
+        ]
+        logs.append(f"({float(const)!r}) - 0.5 * ({' + '.join(squares)})")
+    parts.append(f"lg AS (SELECT *, {', '.join(f'{e} AS g{k}' for k, e in enumerate(logs))} FROM er)")
+    top = f"greatest({', '.join(f'g{k}' for k in range(len(logs)))})"
+    total = " + ".join(f"exp(g{k} - {top})" for k in range(len(logs)))
+    mean_error = f"({' + '.join(f'e{i}' for i in range(bundle.dim))}) / {bundle.dim}"
+    parts.append(f"sc AS (SELECT *, {mean_error} AS ae_score, {top} + ln({total}) AS score_raw FROM lg)")
+    return ", ".join(parts)
+
+
 def oracle_sql() -> dict[str, str]:
     flows, windows = walk(), walk(30_000_000)
     q: dict[str, str] = {}
@@ -246,6 +287,17 @@ def oracle_sql() -> dict[str, str]:
     q["choose_threshold"] = f"""WITH {RAW}, t AS (SELECT quantile_cont(score_raw, 0.05) AS threshold FROM raw)
         SELECT round(threshold, 6) AS threshold, count(*) FILTER (score_raw < threshold) AS attacks FROM raw, t GROUP BY threshold"""
 
+    from tidewatch.plans.catalog import flow_bundle
+
+    bundle = flow_bundle()
+    t = repr(bundle.threshold)
+    q["predict_flows"] = f"""{flows}, {model_sql(bundle, "flows")},
+        p AS (SELECT quantile_cont(abs(score_raw - ({t})), 0.95) AS p95 FROM sc)
+        SELECT md5({FLOW_NAME} || '|' || t0 || '|' || seq0) AS flow_uid,
+               CASE WHEN score_raw < {t} THEN 'Attack' ELSE 'Normal' END AS prediction,
+               round_even((1 / (1 + exp(-abs((score_raw - ({t})) / (p95 / 3.0)))) - 0.5) * 2 * 1e4, 0) / 1e4 AS confidence,
+               round_even(score_raw * 1e4, 0) / 1e4 AS gmm_score, round(ae_score, 6) AS ae_score FROM sc, p"""
+
     # routing
     q["route_benign"] = f"WITH {scored()} SELECT {SCORED_COLUMNS} FROM scored WHERE prediction = 'Normal'"
     q["route_attack"] = f"WITH {scored()} SELECT {SCORED_COLUMNS} FROM scored WHERE prediction = 'Attack' AND confidence >= 0.6"
