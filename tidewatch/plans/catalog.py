@@ -71,14 +71,6 @@ def tiny_bundle() -> Bundle:
     )
 
 
-def fitted_bundle(flows: DataFrame) -> Bundle:
-    """Seeded weights with the scaler of the given flows."""
-    rows = stats.scaler_fit(flows, FEATURES).orderBy("position").collect()
-    return random_bundle().with_(
-        scaler_mean=np.array([r["mean"] for r in rows]), scaler_scale=np.array([r["scale"] for r in rows])
-    )
-
-
 # ---- packets
 
 
@@ -578,11 +570,14 @@ def waterfall_topk(spark, sf_dir):
 
 @query
 def explain_flows(spark, sf_dir):
+    """Contributions of all features to both scores of every flow; base and contributions
+    add up to the score, so nothing is left unexplained."""
     flows = stage_table(fl.build_flows(samples.packets(spark, sf_dir)))
-    bundle = fitted_bundle(flows)
+    bundle = flow_bundle()
     df = ex.explain(flows, bundle, ex.background_sample(flows, bundle, 20), walks=10)
     total = F.aggregate("contributions", F.lit(0.0), lambda a, v: a + v)
-    return df.withColumn("unexplained", F.round(F.col("score") - F.col("base") - total, 6)).drop("features", "data")
+    left = F.abs(F.round(F.col("score") - F.col("base") - total, 6))
+    return df.select("flow_uid", "level", F.round("score", 5).alias("score"), left.alias("unexplained"))
 
 
 # ---- streams
