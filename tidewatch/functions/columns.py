@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -208,16 +209,24 @@ def project_features(df: DataFrame, features: Sequence[str] = FEATURES, keep: Se
     return df.select(*[quoted(c) for c in keep], *[feature(f).alias(f) for f in features])
 
 
+def _is_bad_text(name: str) -> Column:
+    """A non-empty cell that is no number."""
+    text = quoted(name).cast("string")
+    return text.isNotNull() & (F.trim(text) != "") & text.try_cast("double").isNull()
+
+
 def unparsed_counts(df: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
     """Per feature the number of non-empty cells that are no number."""
     require_features(df.columns, features)
+    counts = df.agg(*[F.count_if(_is_bad_text(f)).alias(f) for f in features])
+    return counts.unpivot([], [quoted(f) for f in features], "feature", "unparsed")
 
-    def bad(name):
-        text = quoted(name).cast("string")
-        return F.count_if(text.isNotNull() & (F.trim(text) != "") & text.try_cast("double").isNull())
 
-    counts = df.agg(*[bad(f).alias(f) for f in features])
-    return counts.unpivot([], [quoted(f) for f in features], "feature", "unparsed")
+def unparsed_by(df: DataFrame, key: str, features: Sequence[str] = FEATURES) -> DataFrame:
+    """The groups (files, say) with cells that are no number: ``key``, ``unparsed``."""
+    require_features(df.columns, features)
+    bad = reduce(lambda a, b: a + b, [_is_bad_text(f).cast("long") for f in features])
+    return df.groupBy(quoted(key)).agg(F.sum(bad).alias("unparsed")).filter(F.col("unparsed") > 0)
 
 
 def metadata_columns(columns: Sequence[str], features: Sequence[str] = FEATURES) -> list[str]:

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tidewatch.functions.columns import require_features, unparsed_by
 from tidewatch.operators import routing, scoring, stats
 from tidewatch.plans.engine import Engine
 from tidewatch.schemas import PACKETS
-from tidewatch.session import prepare
+from tidewatch.session import prepare, stage_table
 from tidewatch.sources import flow_csv
 from tidewatch.streaming.flows import FlowStream
 
@@ -43,8 +44,9 @@ def watch_directory(
 ) -> StreamingQuery:
     """Score every CSV file that appears, each file as its own confidence scope.
 
-    The stream lists files without reading them; a file that cannot be read or lacks
-    features goes to quarantine and the others are scored.
+    The stream lists files without reading them; a file that cannot be read, lacks
+    features or has text where numbers belong goes to quarantine and the others are
+    scored.
     """
     spark = engine.spark
     reader = spark.readStream.format("binaryFile").schema(FILES).option("pathGlobFilter", "*.csv")
@@ -58,12 +60,17 @@ def watch_directory(
         for i, (header, files) in enumerate(sorted(groups.items())):
             try:
                 rows = flow_csv.read_dialect(spark, files, header)
-                engine.predict(
-                    rows, scope=f"{scope}", bundle=bundle, token=f"{scope}-{batch_id:09d}-{i}",
-                    **{"scope_column": flow_csv.SOURCE},
-                )
+                require_features(rows.columns, bundle.feature_names)
             except ValueError as error:
                 failed |= {f: str(error) for f in files}
+                continue
+            rows = stage_table(rows)  # text is parsed once for the check and the scores
+            bad_files = unparsed_by(rows, flow_csv.SOURCE, bundle.feature_names).collect()  # one row per file
+            failed |= {r[flow_csv.SOURCE]: f"{r['unparsed']} cells are no numbers" for r in bad_files}
+            good = rows.filter(~F.col(flow_csv.SOURCE).isin([r[flow_csv.SOURCE] for r in bad_files]))
+            engine.predict(
+                good, scope=scope, bundle=bundle, token=f"{scope}-{batch_id:09d}-{i}", scope_column=flow_csv.SOURCE
+            )
         if failed:
             bad = spark.createDataFrame(sorted(failed.items()), engine.quarantine.schema)
             engine.quarantine.append(bad.coalesce(1), token=f"{scope}-{batch_id:09d}")
