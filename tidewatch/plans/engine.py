@@ -14,7 +14,7 @@ from tidewatch.operators import routing, sampling, scoring
 from tidewatch.operators.bundle import Bundle, as_table, current_version, from_row
 from tidewatch.plans import adapt as ad
 from tidewatch.schemas import FEEDBACK, MODELS
-from tidewatch.session import prepare
+from tidewatch.session import prepare, staging_area
 from tidewatch.sources.tables import AppendTable, Buffer
 
 PROMOTIONS = T.StructType(
@@ -95,12 +95,11 @@ class Engine:
         """
         bundle = bundle or self.current()
         keep = [c for c in ("flow_uid", "source_file", "capture_time") if c in flows.columns]
-        rows = scoring.predict(flows, bundle, scope_column, keep=options.pop("keep", keep), **options)
-        rows = rows.withColumns({"scope": F.lit(scope), "scored_at": F.current_timestamp()})
-        token = self.scored.append(rows, token)
-        self.scope_events.append(
-            self.spark.createDataFrame([(scope, "add", _now(), token)], self.scope_events.schema).coalesce(1), token=token
-        )
+        with staging_area(self.spark):
+            rows = scoring.predict(flows, bundle, scope_column, keep=options.pop("keep", keep), **options)
+            rows = rows.withColumns({"scope": F.lit(scope), "scored_at": F.current_timestamp()})
+            token = self.scored.append(rows, token)
+        self._note_scope(scope, "add", token)
         stored = self.scored.read(token)
         self.route(stored, token)
         return stored
@@ -126,8 +125,11 @@ class Engine:
         return self.spark.read.option("mergeSchema", True).parquet(*paths)
 
     def clear(self, scope: str = "all") -> None:
-        line = self.spark.createDataFrame([(scope, "clear", _now(), None)], self.scope_events.schema)
-        self.scope_events.append(line.coalesce(1))
+        self._note_scope(scope, "clear", None)
+
+    def _note_scope(self, scope: str, action: str, token: str | None) -> None:
+        line = self.spark.createDataFrame([(scope, action, _now(), token)], self.scope_events.schema)
+        self.scope_events.append(line.coalesce(1), token=token)
 
     # ---- feedback
 
@@ -225,9 +227,7 @@ class Engine:
         again = scoring.rescore(held, bundle)
         self.clear(scope)
         token = self.scored.append(again)
-        self.scope_events.append(
-            self.spark.createDataFrame([(scope, "add", _now(), token)], self.scope_events.schema).coalesce(1), token=token
-        )
+        self._note_scope(scope, "add", token)
         return self.scored.read(token)
 
     def reject(self, candidate: ad.Candidate) -> None:
@@ -246,7 +246,5 @@ class Engine:
         again = scoring.relabel(held, threshold).withColumn("model_version", F.lit(child.version))
         self.clear(scope)
         token = self.scored.append(again)
-        self.scope_events.append(
-            self.spark.createDataFrame([(scope, "add", _now(), token)], self.scope_events.schema).coalesce(1), token=token
-        )
+        self._note_scope(scope, "add", token)
         return self.scored.read(token)

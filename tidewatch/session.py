@@ -5,7 +5,10 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -81,8 +84,43 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path as it takes it."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop_path
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, hadoop_path = file_system(spark, path)
+    return fs.exists(hadoop_path)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    fs, hadoop_path = file_system(spark, path)
+    fs.delete(hadoop_path, True)
+
+
+_areas = threading.local()
+
+
+@contextmanager
+def staging_area(spark: SparkSession) -> Iterator[None]:
+    """Everything staged inside, in this thread, is removed at the end.
+
+    For work that repeats, such as micro-batches, once its results are stored.
+    """
+    stack = _areas.__dict__.setdefault("stack", [])
+    stack.append(f"{ensure_checkpoint_dir(spark)}/area-{uuid.uuid4().hex}")
+    try:
+        yield
+    finally:
+        delete_path(spark, stack.pop())
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint directory."""
+    if getattr(_areas, "stack", None):
+        return stage_table(df)
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
@@ -93,6 +131,8 @@ def stage_table(df: DataFrame) -> DataFrame:
     Unlike a checkpoint the copy is columnar, so later passes read only the columns
     they need.  For results that several passes use.
     """
-    path = f"{ensure_checkpoint_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    stack = getattr(_areas, "stack", None)
+    root = stack[-1] if stack else ensure_checkpoint_dir(df.sparkSession)
+    path = f"{root}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

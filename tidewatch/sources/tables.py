@@ -15,22 +15,7 @@ from pyspark.sql import types as T
 
 from tidewatch.operators.ranks import smallest
 from tidewatch.operators.sampling import sample_rows
-
-
-def file_system(spark: SparkSession, path: str):
-    """The Hadoop file system of a path, and the path as it takes it."""
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop_path
-
-
-def path_exists(spark: SparkSession, path: str) -> bool:
-    fs, hadoop_path = file_system(spark, path)
-    return fs.exists(hadoop_path)
-
-
-def delete_path(spark: SparkSession, path: str) -> None:
-    fs, hadoop_path = file_system(spark, path)
-    fs.delete(hadoop_path, True)
+from tidewatch.session import delete_path, file_system, path_exists
 
 
 class AppendTable:

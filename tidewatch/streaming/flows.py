@@ -20,8 +20,8 @@ from pyspark.sql.streaming import StreamingQuery
 from tidewatch.operators import flows as fl
 from tidewatch.operators import hot_flows as hf
 from tidewatch.schemas import FLOWS
-from tidewatch.session import prepare, stage_table
-from tidewatch.sources.tables import AppendTable, Snapshots, delete_path, path_exists
+from tidewatch.session import delete_path, path_exists, prepare, stage_table, staging_area
+from tidewatch.sources.tables import AppendTable, Snapshots
 
 PROGRESS = T.StructType(
     [
@@ -69,12 +69,14 @@ class FlowStream:
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         """Take in one micro-batch."""
-        self._step(batch, batch_id, final=False)
+        with staging_area(self.spark):
+            self._step(batch, batch_id, final=False)
 
     def flush(self) -> None:
         """End of capture: all waiting packets and open flows come out."""
         known = self.marks.versions()
-        self._step(None, known[-1] + 1 if known else 0, final=True)
+        with staging_area(self.spark):
+            self._step(None, known[-1] + 1 if known else 0, final=True)
 
     def flows(self) -> DataFrame:
         return self.emitted.read()

@@ -10,7 +10,7 @@ from tidewatch.functions.columns import require_features, unparsed_by
 from tidewatch.operators import routing, scoring, stats
 from tidewatch.plans.engine import Engine
 from tidewatch.schemas import PACKETS
-from tidewatch.session import prepare, stage_table
+from tidewatch.session import prepare, stage_table, staging_area
 from tidewatch.sources import flow_csv
 from tidewatch.streaming.flows import FlowStream
 
@@ -54,6 +54,10 @@ def watch_directory(
     listing = reader.load(directory).select("path")
 
     def process(batch: DataFrame, batch_id: int) -> None:
+        with staging_area(spark):
+            score_files(batch, batch_id)
+
+    def score_files(batch: DataFrame, batch_id: int) -> None:
         paths = [r["path"] for r in batch.collect()]  # names only, one trigger's files
         groups, failed = flow_csv.group_dialects(spark, paths)
         bundle = engine.current()
