@@ -209,14 +209,14 @@ def packet_counters(packets: DataFrame) -> DataFrame:
     )
 
 
-def pipeline_counters(scored: DataFrame, scope: str) -> DataFrame:
+def capture_counters(scored: DataFrame, scope: str) -> DataFrame:
     """Per capture: flows, attacks; summed up by the caller as needed."""
     return scored.groupBy(scope).agg(
         F.count(F.lit(1)).alias("flows"), F.count_if(_is(ATTACK)).alias("attacks")
     )
 
 
-def pipeline_totals(scored: DataFrame, packets: DataFrame, scope: str, errors: int = 0) -> DataFrame:
+def capture_totals(scored: DataFrame, packets: DataFrame, scope: str, errors: int = 0) -> DataFrame:
     """Captures, packets, flows, attacks, errors and the last capture: one row."""
     flows = scored.agg(
         F.count_distinct(scope).alias("captures"), F.count(F.lit(1)).alias("flows"),

@@ -437,13 +437,13 @@ def best_f1_threshold(spark, sf_dir):
 
 
 @query
-def pipeline_counters(spark, sf_dir):
-    return stats.pipeline_counters(samples.scored(spark, sf_dir), "scope")
+def capture_counters(spark, sf_dir):
+    return stats.capture_counters(samples.scored(spark, sf_dir), "scope")
 
 
 @query
-def pipeline_totals(spark, sf_dir):
-    return stats.pipeline_totals(samples.scored(spark, sf_dir), samples.packets(spark, sf_dir), "scope")
+def capture_totals(spark, sf_dir):
+    return stats.capture_totals(samples.scored(spark, sf_dir), samples.packets(spark, sf_dir), "scope")
 
 
 # ---- samples, sets, order

@@ -352,9 +352,9 @@ def oracle_sql() -> dict[str, str]:
         f AS (SELECT i, t, (CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END
                           + CASE WHEN 2 * tn + fp + fn > 0 THEN 2 * tn / (2 * tn + fp + fn) ELSE 0 END) / 2.0 AS f1 FROM m)
         SELECT round(t, 6) AS threshold, round(f1, 6) AS f1 FROM f ORDER BY f.f1 DESC, i LIMIT 1"""
-    q["pipeline_counters"] = f"""WITH {scored()} SELECT scope, count(*) AS flows, count(*) FILTER (prediction = 'Attack') AS attacks
+    q["capture_counters"] = f"""WITH {scored()} SELECT scope, count(*) AS flows, count(*) FILTER (prediction = 'Attack') AS attacks
         FROM scored GROUP BY scope"""
-    q["pipeline_totals"] = f"""WITH {scored()} SELECT count(DISTINCT scope) AS captures, (SELECT count(*) FROM events) AS packets,
+    q["capture_totals"] = f"""WITH {scored()} SELECT count(DISTINCT scope) AS captures, (SELECT count(*) FROM events) AS packets,
         count(*) AS flows, count(*) FILTER (prediction = 'Attack') AS attacks, 0 AS errors, max(scope) AS last_capture FROM scored"""
 
     # samples, sets, order
