@@ -59,6 +59,13 @@ def test_predict_matches_numpy(spark, flows, bundle):
     assert np.allclose(got["confidence"], np.round(conf, 4))
 
 
+def test_the_model_runs_once_per_row(spark, flows, bundle):
+    plan = scoring.score_rows(flows, bundle, ["flow_uid"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("run(") == 1
+    # Only the kept column and the features are read.
+    assert "end_reason" not in plan.split("ReadSchema")[1]
+
+
 def test_confidence_edge_cases(spark):
     def conf(values, **kw):
         df = spark.createDataFrame([(float(v),) for v in values], "score_raw double")
