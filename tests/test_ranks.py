@@ -30,7 +30,10 @@ def test_quantiles_match_numpy(skewed, limit):
 def test_quantile_of_whole_table(skewed):
     df, data = skewed
     every = np.concatenate(list(data.values()))
-    assert ranks.quantile(df, "v", 0.95, group_limit=100) == pytest.approx(np.percentile(every, 95))
+    for p in (0.0, 0.001, 0.05, 0.3, 0.5, 0.95, 0.9995, 1.0):
+        for limit in (10, 10**6):
+            assert ranks.quantile(df, "v", p, limit) == pytest.approx(np.percentile(every, p * 100), rel=1e-12)
+    assert ranks.quantile(df.filter("g = 'one'"), "v", 0.95) == 7.0
     assert ranks.quantile(df.filter("v > 1e12"), "v", 0.95) is None
 
 

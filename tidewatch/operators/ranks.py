@@ -138,8 +138,46 @@ def quantiles(
     return large.unionByName(exact(rows.join(few, keys, "left_anti")))
 
 
+MARGIN = 0.002
+DRIVER_VALUES = 100_000
+
+
 def quantile(df: DataFrame, x: str | Column, prob: float, group_limit: int = GROUP_LIMIT) -> float | None:
-    """One quantile of a whole table as a number; None when it is empty."""
+    """One quantile of a whole table as a number; None when it is empty.
+
+    Two passes: a sketch gives two values around the wanted rank, then rows outside are
+    counted and the few between are looked at.  Where those would be many, or the
+    sketch missed, the general way takes over.
+    """
+    x = F.col(x) if isinstance(x, str) else x
+    rows = df.select(x.cast("double").alias("x")).filter(F.col("x").isNotNull())
+    edges = F.array(F.lit(max(prob - MARGIN, 0.0)), F.lit(min(prob + MARGIN, 1.0)))
+    n, edge = rows.agg(F.count(F.lit(1)), F.percentile_approx("x", edges, F.lit(ACCURACY))).first()
+    if n == 0:
+        return None
+    at = prob * (n - 1)
+    low = int(at)
+    if 2 * MARGIN * n <= min(DRIVER_VALUES, group_limit):
+        lo = edge[0] if prob > MARGIN else float("-inf")
+        hi = edge[1] if prob < 1 - MARGIN else float("inf")
+        v = F.col("x")
+        between = F.sort_array(F.collect_list(F.when((v > lo) & (v < hi), v)))
+        under, at_lo, at_hi, middle = rows.agg(
+            F.count_if(v < lo), F.count_if(v == lo), F.count_if(v == hi), between
+        ).first()
+
+        def value(rank: int) -> float | None:
+            rank -= under
+            if 0 <= rank < at_lo:
+                return lo
+            rank -= at_lo
+            if 0 <= rank < len(middle):
+                return middle[rank]
+            return hi if 0 <= rank - len(middle) < at_hi else None
+
+        first, second = value(low), value(min(low + 1, n - 1))
+        if first is not None and second is not None:
+            return first if at == low else first + (second - first) * (at - low)
     row = quantiles(df, x, [prob], group_limit=group_limit).first()
     return None if row is None else row["value"]
 
