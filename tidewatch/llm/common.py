@@ -5,14 +5,17 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from tidewatch.session import ensure_checkpoint_dir, ship_package, stage_table
 
 # A table is broadcast only when its stored form is counted and below this many bytes.
 BROADCAST_BYTES = 16 << 20
+BATCH_ROWS = 10_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,10 +41,22 @@ def join_checked(
     return big.join(small, on, how)
 
 
-def map_batches(df: DataFrame, function: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema) -> DataFrame:
-    """``mapInPandas`` with the package shipped to the workers."""
+def map_rows(df: DataFrame, function: Callable[[Iterator[dict]], Iterator[list[tuple]]], schema: str) -> DataFrame:
+    """Arrow batches as dicts of Python lists in, lists of tuples out.
+
+    Python integers keep 64 bits beside nulls, which pandas columns would not.
+    """
     ship_package(df.sparkSession)
-    return df.mapInPandas(function, schema)
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in function(batch.to_pydict() for batch in batches):
+            for start in range(0, len(rows), BATCH_ROWS):
+                columns = list(zip(*rows[start : start + BATCH_ROWS], strict=True))
+                arrays = [pa.array(c, type=f.type) for c, f in zip(columns, arrow, strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
+
+    return df.mapInArrow(run, schema)
 
 
 def fresh_name(df: DataFrame, stem: str) -> str:
@@ -53,4 +68,4 @@ def fresh_name(df: DataFrame, stem: str) -> str:
     return name
 
 
-__all__ = ["BROADCAST_BYTES", "fresh_name", "join_checked", "map_batches", "shared_folder", "stage_table", "table"]
+__all__ = ["BATCH_ROWS", "BROADCAST_BYTES", "fresh_name", "join_checked", "map_rows", "shared_folder", "stage_table", "table"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import quality
+from tidewatch.llm import mixing, quality
 
 SPACE = "\\x20\\x09-\\x0D"
 
@@ -30,7 +30,7 @@ d AS (
   FROM s LEFT JOIN rep USING (rid)
 ), ra AS (
   SELECT *, n_symbols * 1000 // greatest(word_chars, 1) AS symbol_ratio,
-         n_dup_lines * 1000 // greatest(n_lines, 1) AS dup_line_ratio,
+         n_dup_lines * 1000 // (n_lines + {quality.SMOOTH}) AS dup_line_ratio,
          word_chars * 100 // greatest(n_words, 1) AS word_length
   FROM st
 ), lng AS (
@@ -70,5 +70,93 @@ OP7 = (
 )
 
 
+OP3 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+  FROM v AS q, v AS c WHERE q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
+FROM scored QUALIFY rank <= 5
+"""
+
+OP6 = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes,
+         sha256(coalesce(html, '')) AS payload_digest FROM pages
+), f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS f FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes < 100 OR page_id = f THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN payload_bytes < 100 OR page_id = f THEN NULL ELSE f END AS refers_to
+FROM f
+"""
+
+
+def _case(column: str, weights: dict[str, int]) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in weights.items()) + " ELSE 1 END"
+
+
+def _level(name: str, keys: list[str], above: list[str], parent: str, weight: str) -> str:
+    """Shares of one tree level; ``parent`` has the budget of the level above."""
+    over = f"PARTITION BY {', '.join(above)}" if above else ""
+    on = " AND ".join(f"c.{k} IS NOT DISTINCT FROM p.{k}" for k in above) or "true"
+    return f"""
+{name}_c AS (
+  SELECT {', '.join('c.' + k for k in keys)}, c.cap, c.w, p.quota AS have
+  FROM (SELECT {', '.join(keys)}, sum(capacity)::BIGINT AS cap, {weight} AS w FROM leaf GROUP BY {', '.join(keys)}) c
+  JOIN {parent} p ON {on}
+), {name}_f AS (
+  SELECT *, cap * (sum(w) OVER ({over}) - coalesce(sum(w) OVER b, 0)) <= w * (have - coalesce(sum(cap) OVER b, 0)) AS "full"
+  FROM {name}_c WINDOW b AS ({over} ORDER BY cap / w, {keys[-1]} NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), {name}_s AS (
+  SELECT *, have - coalesce(sum(cap) FILTER ("full") OVER ({over}), 0) AS rest,
+         sum(w) FILTER (NOT "full") OVER ({over}) AS open_w FROM {name}_f
+), {name}_r AS (
+  SELECT *, CASE WHEN "full" THEN cap ELSE (w * rest) // open_w END AS share FROM {name}_s
+), {name} AS (
+  SELECT {', '.join(keys)}, (share + CASE WHEN NOT "full" AND row_number() OVER ({over} ORDER BY "full", {keys[-1]} NULLS FIRST)
+         <= rest - sum(share) FILTER (NOT "full") OVER ({over}) THEN 1 ELSE 0 END)::BIGINT AS quota FROM {name}_r
+)"""
+
+
+def _mixing(docs: str) -> str:
+    """Common tables of the mixture over ``docs``; the last one is ``taken``."""
+    number = "try_cast(regexp_extract(source, '([0-9]{1,9})$', 1) AS INTEGER)"
+    places = " ".join(f"WHEN {number} < {limit} THEN '{name}'" for limit, name in mixing.DOMAINS)
+    md5 = f"('0x' || substr(md5('{mixing.SEED}:' || epochs || ':' || coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT"
+    levels = ", ".join(
+        [
+            _level("dom", ["domain"], [], "root", _case("domain", mixing.WEIGHTS["_m_domain"])),
+            _level("lng2", ["domain", "lang"], ["domain"], "dom", _case("lang", mixing.WEIGHTS["_m_lang"])),
+            _level("src", ["domain", "lang", "source"], ["domain", "lang"], "lng2", "1"),
+        ]
+    )
+    same = " AND ".join(f"a.{k} IS NOT DISTINCT FROM b.{k}" for k in ("domain", "lang", "source"))
+    return rf"""
+m AS (
+  SELECT *, CASE {places} ELSE 'other' END AS domain,
+         len(regexp_extract_all(coalesce(text, ''), '[^{SPACE}]+'))::BIGINT AS n_tokens FROM {docs}
+), leaf AS (
+  SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens, sum(n_tokens)::BIGINT * {mixing.MAX_EPOCHS} AS capacity
+  FROM m GROUP BY domain, lang, source
+), root AS (SELECT sum(tokens)::BIGINT AS quota FROM leaf), {levels},
+q AS (
+  SELECT a.*, b.quota // a.tokens AS epochs, b.quota % a.tokens AS rest FROM leaf a JOIN src b ON {same} WHERE a.tokens > 0
+), o AS (
+  SELECT a.*, b.epochs, b.rest, {md5.replace('doc_id', 'a.doc_id').replace('epochs', 'b.epochs')} AS o FROM m a JOIN q b ON {same}
+), run AS (
+  SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY o RANGE UNBOUNDED PRECEDING) AS upto FROM o
+), lim AS (
+  SELECT *, min(CASE WHEN upto > rest THEN o END) OVER (PARTITION BY domain, lang, source) AS stop FROM run
+), taken AS (
+  SELECT *, unnest(range(0, epochs + CASE WHEN o < coalesce(stop, 1 << 61) THEN 1 ELSE 0 END)) AS epoch FROM lim
+)"""
+
+
+OP4 = f"WITH {_mixing('documents')} SELECT doc_id, domain, lang, source, n_tokens, epoch::BIGINT AS epoch FROM taken"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_quality": OP7}
+    return {"op3_top_k": OP3, "op4_mixing": OP4, "op6_warc": OP6, "op7_quality": OP7}

@@ -35,6 +35,7 @@ MAX_REPEATED_PERCENT = 30
 # Per mille: symbols and duplicated lines; hundredths of a character: mean word length.
 RATIOS = ("symbol_ratio", "dup_line_ratio", "word_length")
 SLACK = {"symbol_ratio": 20, "dup_line_ratio": 250, "word_length": 400}
+SMOOTH = 10  # lines added to a text's own, so that one repeated line of three is no verdict
 SPREAD = 4
 MIN_GROUP = 200
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -116,7 +117,7 @@ def with_statistics(docs: DataFrame, repeats: bool = True) -> DataFrame:
 def _ratios() -> dict[str, Column]:
     return {
         "symbol_ratio": F.expr("n_symbols * 1000 div greatest(word_chars, 1)"),
-        "dup_line_ratio": F.expr("n_dup_lines * 1000 div greatest(_q_lines, 1)"),
+        "dup_line_ratio": F.expr(f"n_dup_lines * 1000 div (_q_lines + {SMOOTH})"),
         "word_length": F.expr("word_chars * 100 div greatest(n_words, 1)"),
     }
 

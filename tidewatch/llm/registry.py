@@ -1,12 +1,18 @@
-"""The queries of this package."""
+"""The queries of this package and their SQL."""
 
 from __future__ import annotations
 
-from tidewatch.llm import oracles, quality
+from tidewatch.llm import balltree, mixing, oracles, packing, quality, warc
 
 
 def queries():
-    return {"op7_quality": quality.op7_quality}
+    return {
+        "op3_top_k": balltree.op3_top_k,
+        "op4_mixing": mixing.op4_mixing,
+        "op6_warc": warc.op6_warc,
+        "op7_quality": quality.op7_quality,
+        "op8_packing": packing.op8_packing,
+    }
 
 
 def oracle_sql():
