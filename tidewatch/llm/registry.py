@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import balltree, mixing, oracles, packing, quality, warc
+from tidewatch.llm import balltree, minhash, mixing, oracles, packing, quality, warc
 
 
 def queries():
@@ -12,6 +12,7 @@ def queries():
         "op6_warc": warc.op6_warc,
         "op7_quality": quality.op7_quality,
         "op8_packing": packing.op8_packing,
+        "op10_near_duplicates": minhash.op10_near_duplicates,
     }
 
 
