@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import mixing, quality
+from tidewatch.llm import mixing, quality, rollup
 
 SPACE = "\\x20\\x09-\\x0D"
 
@@ -158,5 +158,17 @@ q AS (
 OP4 = f"WITH {_mixing('documents')} SELECT doc_id, domain, lang, source, n_tokens, epoch::BIGINT AS epoch FROM taken"
 
 
+OP9 = rf"""
+WITH d AS (
+  SELECT source, lang, len(regexp_extract_all(coalesce(text, ''), '[^{SPACE}]+'))::BIGINT AS a,
+         len(regexp_extract_all(coalesce(text, ''), '{rollup.PIECES}'))::BIGINT AS b
+  FROM documents
+)
+SELECT source, lang, CASE WHEN lang = 'en' THEN 'words-1' ELSE 'words-2' END AS tokenizer_version,
+       count(*)::BIGINT AS n_docs, sum(CASE WHEN lang = 'en' THEN a ELSE b END)::BIGINT AS n_tokens
+FROM d WHERE a >= 20 GROUP BY ALL
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_top_k": OP3, "op4_mixing": OP4, "op6_warc": OP6, "op7_quality": OP7}
+    return {"op9_token_counts": OP9, "op3_top_k": OP3, "op4_mixing": OP4, "op6_warc": OP6, "op7_quality": OP7}

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import balltree, minhash, mixing, oracles, packing, quality, warc
+from tidewatch.llm import balltree, html, minhash, mixing, oracles, packing, pii, quality, rollup, warc
 
 
 def queries():
     return {
+        "op1_pii": pii.op1_pii,
+        "op2_html": html.op2_html,
         "op3_top_k": balltree.op3_top_k,
         "op4_mixing": mixing.op4_mixing,
         "op6_warc": warc.op6_warc,
         "op7_quality": quality.op7_quality,
         "op8_packing": packing.op8_packing,
+        "op9_token_counts": rollup.op9_token_counts,
         "op10_near_duplicates": minhash.op10_near_duplicates,
     }
 
