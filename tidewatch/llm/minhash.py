@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm.common import join_checked, map_rows, stage_table, table
 from tidewatch.llm.components import components
+from tidewatch.llm.hashing import Ranges, mix, odd
 
 HASHES = 80
 ROWS = 5
@@ -38,34 +39,7 @@ STAR_ROUNDS = 3
 SKETCH = "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"
 COMPARED = "a long, b long, linked boolean"
 
-_rng = np.random.Generator(np.random.PCG64(7919))
-_odd = lambda n: _rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BYTES = _odd(256)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_MULTIPLY, _ADD = _odd(HASHES), _odd(HASHES)
-_FOLD = _odd(64)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-class _Powers:
-    """Powers of the base and of its inverse, as long as the longest text so far."""
-
-    up = down = np.ones(1, dtype=np.uint64)
-
-    @classmethod
-    def get(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            size = max(n, 1 << 16)
-            one = np.ones(1, dtype=np.uint64)
-            cls.up = np.cumprod(np.concatenate([one, np.full(size, _BASE)]), dtype=np.uint64)
-            cls.down = np.cumprod(np.concatenate([one, np.full(size, _INVERSE)]), dtype=np.uint64)
-        return cls.up, cls.down
+_MULTIPLY, _ADD, _FOLD = odd(HASHES), odd(HASHES), odd(64)
 
 
 _SPACE = np.zeros(256, dtype=bool)
@@ -80,9 +54,7 @@ def word_hashes(text: str) -> np.ndarray:
     inside = np.concatenate([[False], ~_SPACE[raw], [False]])
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     start, stop = edges[0::2], edges[1::2]
-    up, down = _Powers.get(len(raw) + 1)
-    total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_BYTES[raw] * up[: len(raw)], dtype=np.uint64)])
-    return _mix((total[stop] - total[start]) * down[start] + (stop - start).astype(np.uint64))
+    return mix(Ranges(raw).of(start, stop) + (stop - start).astype(np.uint64))
 
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
@@ -94,7 +66,7 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     out = np.full(len(own) - width + 1, width, dtype=np.uint64)
     for i in range(width):
         out += own[i : i + len(out)] * _FOLD[i]
-    return np.unique(_mix(out))
+    return np.unique(mix(out))
 
 
 def band_keys(shingles: np.ndarray) -> np.ndarray:
@@ -107,7 +79,7 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
         np.minimum(low, block.min(axis=1), out=low)
         np.maximum(high, block.max(axis=1), out=high)
     values = np.concatenate([low, high]).reshape(BANDS, ROWS)
-    return _mix((values * _FOLD[:ROWS]).sum(axis=1, dtype=np.uint64) + _FOLD[ROWS + 1] * np.arange(BANDS, dtype=np.uint64))
+    return mix((values * _FOLD[:ROWS]).sum(axis=1, dtype=np.uint64) + _FOLD[ROWS + 1] * np.arange(BANDS, dtype=np.uint64))
 
 
 def sketch(docs: DataFrame, words: int) -> DataFrame:

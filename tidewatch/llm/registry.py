@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import balltree, html, minhash, mixing, oracles, packing, pii, quality, rollup, warc
+from tidewatch.llm import balltree, html, minhash, mixing, oracles, packing, pii, quality, rollup, substrings, warc
 
 
 def queries():
@@ -11,6 +11,7 @@ def queries():
         "op2_html": html.op2_html,
         "op3_top_k": balltree.op3_top_k,
         "op4_mixing": mixing.op4_mixing,
+        "op5_substrings": substrings.op5_substrings,
         "op6_warc": warc.op6_warc,
         "op7_quality": quality.op7_quality,
         "op8_packing": packing.op8_packing,
