@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from tidewatch.llm import balltree, html, minhash, mixing, oracles, packing, pii, quality, rollup, substrings, warc
 
 
@@ -17,8 +18,10 @@ def queries():
         "op8_packing": packing.op8_packing,
         "op9_token_counts": rollup.op9_token_counts,
         "op10_near_duplicates": minhash.op10_near_duplicates,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql():
-    return oracles.oracle_sql()
+    own = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return oracles.oracle_sql() | own
