@@ -113,7 +113,7 @@ class SumOfSquares:
         self.__init__(self.width)
 
 
-def pack(docs: DataFrame, width: int = WIDTH, vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
+def pack(docs: DataFrame, width: int = WIDTH, vocabulary: str = "byte_bpe_50k.tiktoken") -> DataFrame:
     """Pieces of every document with the sequence and offset each one lies at."""
 
     def run(batches: Iterator[dict]) -> Iterator[list[tuple]]:

@@ -1,63 +1,36 @@
-"""Token ids of whole texts by a byte-level BPE vocabulary, with words cached per worker."""
+"""Token ids of whole texts by a byte-level BPE vocabulary."""
 
 from __future__ import annotations
 
-import re
+import base64
+from functools import cache
 
 import numpy as np
 
-# A cut before a space that starts a word, or before the first space of a run, never
-# divides a token of the byte-level pattern (a run of white space leaves its last
-# space to the next word).  Runs of several separators stay in one part.
-_RUN = re.compile(r"\s\s")
-_PLACES = re.compile(r"(?<=\S)(?= )")
-CACHE_WORDS = 400_000
-
 
 class TokenIds:
     """Ids as little-endian unsigned 32-bit bytes.
 
-    Texts are cut where the vocabulary's pattern always ends a token; parts seen before
-    come from a cache that is emptied when full, others go through the tokenizer.
+    The rank file holds the vocabulary of ``byte_bpe_50k.json`` and gives the same ids
+    about six times as fast as the ``tokenizers`` library; a test compares the two.
+    Strings of special tokens in a text are ordinary text.
     """
 
-    def __init__(self, vocabulary: str = "byte_bpe_50k.json"):
+    def __init__(self, vocabulary: str = "byte_bpe_50k.tiktoken"):
         import public_tokenizers
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        self._tokenizer = Tokenizer.from_file(public_tokenizers.path(vocabulary))
-        self._tokenizer.encode_special_tokens = True
-        self._known: dict[str, bytes] = {}
+        with open(public_tokenizers.path(vocabulary), "rb") as lines:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        self._coding = tiktoken.Encoding(
+            vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
+        )
 
     def encode(self, text: str) -> bytes:
-        parts = self._parts(text)
-        known = self._known
-        missing = [p for p in set(parts) if p not in known]
-        if missing:
-            if len(known) + len(missing) > CACHE_WORDS:
-                known.clear()
-                missing = list(set(parts))
-            for start in range(0, len(missing), 4096):
-                some = missing[start : start + 4096]
-                for part, code in zip(some, self._tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                    known[part] = np.asarray(code.ids, dtype="<u4").tobytes()
-        return b"".join([known[p] for p in parts])
-
-    @staticmethod
-    def _parts(text: str) -> list[str]:
-        if not text:
-            return []
-        if _RUN.search(text):
-            return _PLACES.split(text)
-        first, *rest = text.split(" ")
-        return [first] * bool(first) + [" " + word for word in rest]
-
-
-_loaded: dict[str, TokenIds] = {}
-
-
-def token_ids(vocabulary: str = "byte_bpe_50k.json") -> TokenIds:
-    """One instance, with its cache, per worker process."""
-    if vocabulary not in _loaded:
-        _loaded[vocabulary] = TokenIds(vocabulary)
-    return _loaded[vocabulary]
+        return np.array(self._coding.encode_ordinary(text), dtype="<u4").tobytes()
+
+
+@cache
+def token_ids(vocabulary: str = "byte_bpe_50k.tiktoken") -> TokenIds:
+    """One instance per worker process."""
+    return TokenIds(vocabulary)
