@@ -198,7 +198,8 @@ def read_archives(archives: DataFrame) -> DataFrame:
                             rows, held = [], 0
                 yield rows
 
-    return map_rows(archives.repartition("path"), run, RECORDS)
+    # A number keeps adaptive execution from reading all archives in one task.
+    return map_rows(archives.repartition(max(archives.count(), 1), "path"), run, RECORDS)
 
 
 def op6_warc(spark, sf_dir) -> DataFrame:
