@@ -10,13 +10,12 @@ A byte goes if a string of ``SPAN`` bytes that covers it also starts anywhere el
    bytes before and after the gram.  Contexts that are equal as a whole are one text with
    a count; a count of two settles all its windows.
 3. Construction.  The distinct contexts of an anchor are the documents of a collection.
-   From their right ends, one symbol per document each round is put in front of all the
-   suffixes so far: the new suffixes' places follow from sorting the collection's
-   Burrows-Wheeler transform by symbol (the rank step), the common prefixes with their
-   neighbours from minima over the old common prefixes.  Transform and common prefixes
-   are files, read and rewritten front to back each round.  The gram is one symbol, that
-   stands for its anchor and counts ``GRAM`` bytes, so a round's new suffixes are
-   aligned, and those that share ``SPAN`` bytes with a neighbour begin repeated windows.
+   From their right ends, one symbol per document each round is put in front of its
+   suffix: the new order follows from sorting the column's Burrows-Wheeler transform by
+   symbol (the rank step), the common prefixes of neighbours from minima over the last
+   column's.  Transform and common prefixes are files, written column after column.  The
+   gram is one symbol, that stands for its anchor and counts ``GRAM`` bytes.  Suffixes
+   that share ``SPAN`` bytes with a neighbour begin repeated windows.
 4. Spans of windows go back to all occurrences of the context, and to the documents.
 
 An anchor with more than ``HOT`` distinct contexts is split by the place of the window:
@@ -51,7 +50,7 @@ SPAN = 200
 GRAM = 100
 SIDE = SPAN - GRAM
 HOT = 2_000
-COLLECTION = 2_000  # contexts built together
+COLLECTION = 4_000  # contexts built together
 SEGMENT = 1 << 20
 _ORDER = np.uint64(SEGMENT * 2 - 1)
 _FOLD = odd(8)
@@ -138,10 +137,14 @@ def _emitted(docs: DataFrame, whole: bool) -> DataFrame:
 
 
 class Collection:
-    """Contexts as a growing collection of suffixes, in files that are read front to back.
-
-    ``rights`` and ``lefts`` are byte strings on either side of the gram, ``group`` the
-    number of the anchor each context belongs to.
+    """Contexts as a collection whose suffixes grow by a column each round.
+
+    ``lefts`` and ``rights`` are byte strings on either side of the gram, ``group`` the
+    number of the anchor each context belongs to.  The files hold, column after column,
+    the transform (the symbol in front of each suffix, in suffix order) and the common
+    prefixes of neighbours.  Documents are aligned at the gram, so suffixes of other
+    columns cannot lie between two that share ``SPAN`` bytes: a round reads the last
+    column and appends the next, and costs one step per document.
     """
 
     def __init__(self, lefts: list[bytes], rights: list[bytes], group: np.ndarray, folder: str):
@@ -150,71 +153,50 @@ class Collection:
         self.rights, self.right_size = _columns([r[::-1] for r in rights])
         self.lefts, self.left_size = _columns([x[::-1] for x in lefts])
         self._files = [os.path.join(folder, name) for name in ("transform", "prefixes")]
-        self._write(np.full(self.m, -1, dtype=np.int16), np.zeros(self.m, dtype=np.int16))
-        self.place = np.arange(self.m)  # of each document's last suffix, the empty ones first
+        self.order = np.arange(self.m)  # documents in the order of their last suffixes
+        self._append(np.full(self.m, -1, dtype=np.int16), np.zeros(self.m, dtype=np.int16))
 
-    def _write(self, transform: np.ndarray, prefixes: np.ndarray) -> None:
+    def _append(self, transform: np.ndarray, prefixes: np.ndarray) -> None:
         for path, column in zip(self._files, (transform, prefixes), strict=True):
-            column.tofile(path)
+            with open(path, "ab") as out:
+                column.tofile(out)
+
+    def _last(self, path: str) -> np.ndarray:
+        with open(path, "rb") as column:
+            column.seek(-2 * self.m, os.SEEK_END)
+            return np.fromfile(column, dtype=np.int16)
 
-    def insert(self, live: np.ndarray, symbols: np.ndarray, weight: int) -> np.ndarray:
-        """Put a symbol in front of the live documents' last suffixes.
+    def insert(self, symbols: np.ndarray, weight: int) -> np.ndarray:
+        """Put a symbol in front of each document's last suffix (-1: none, at its end).
 
-        Returns, per live document, the longest prefix the new suffix has in common with
-        a neighbour.
+        Returns, per document, the longest prefix its new suffix has in common with a
+        neighbour.
         """
-        transform, prefixes = (np.fromfile(path, dtype=np.int16) for path in self._files)
-        parents = self.place[live]
-        transform[parents] = symbols
-        order = np.argsort(transform, kind="stable")
-        start = int(np.count_nonzero(transform < 0))
-        ranked = order[start:]  # parents of all suffixes but the empty ones, in suffix order
-        rank = np.empty(len(transform), dtype=np.int64)
-        rank[order] = np.arange(len(order)) - start
-        at = rank[parents]
-        same_before = np.zeros(len(live), dtype=bool)
-        inner = at > 0
-        same_before[inner] = transform[ranked[at[inner] - 1]] == symbols[inner]
-        same_after = np.zeros(len(live), dtype=bool)
-        inner = at + 1 < len(ranked)
-        same_after[inner] = transform[ranked[at[inner] + 1]] == symbols[inner]
-        before, after = np.zeros(len(live), dtype=np.int16), np.zeros(len(live), dtype=np.int16)
-        before[same_before] = weight + _minima(prefixes, ranked[at[same_before] - 1] + 1, parents[same_before] + 1)
-        after[same_after] = weight + _minima(prefixes, parents[same_after] + 1, ranked[at[same_after] + 1] + 1)
-        # Places among all suffixes: the empty ones stay in front.
-        target = at + self.m
-        by_target = np.argsort(target)
-        fresh = np.sort(target)
-        grown = len(transform) + len(live)
-        is_new = np.zeros(grown, dtype=bool)
-        is_new[fresh] = True
-        new_transform, new_prefixes = np.empty(grown, dtype=np.int16), np.empty(grown, dtype=np.int16)
-        new_transform[~is_new], new_prefixes[~is_new] = transform, prefixes
-        new_transform[fresh] = -1
-        new_prefixes[fresh] = before[by_target]
-        follows = fresh + 1
-        inner = follows < grown
-        new_prefixes[follows[inner]] = after[by_target][inner]
-        new_prefixes[fresh] = before[by_target]
-        old_place = np.flatnonzero(~is_new)
-        self.place = old_place[self.place]
-        self.place[live] = target
-        self._write(new_transform, new_prefixes)
-        return np.maximum(before, after)
+        prefixes = self._last(self._files[1])
+        transform = symbols[self.order]
+        ranks = np.argsort(transform, kind="stable")  # the rank step: by symbol, then by suffix
+        ordered = transform[ranks]
+        grown = np.zeros(self.m, dtype=np.int16)
+        same = np.flatnonzero((ordered[1:] == ordered[:-1]) & (ordered[1:] >= 0)) + 1
+        grown[same] = weight + _minima(prefixes, ranks[same - 1] + 1, ranks[same] + 1)
+        self.order = self.order[ranks]
+        self._append(transform, grown)
+        longest = np.empty(self.m, dtype=np.int16)
+        longest[self.order] = np.maximum(grown, np.append(grown[1:], np.int16(0)))
+        return longest
 
     def build(self) -> np.ndarray:
         """Per context, whether the window that begins ``a`` bytes before the gram repeats."""
-        for column in range(self.rights.shape[1]):
+        width = self.rights.shape[1]
+        for column in range(width):
             # Right parts end together at the gram: shorter ones begin in later rounds.
-            step = column - (self.rights.shape[1] - self.right_size)
-            live = np.flatnonzero(step >= 0)
-            self.insert(live, self.rights[live, step[live]], 1)
+            step = column - (width - self.right_size)
+            self.insert(np.where(step >= 0, self.rights[np.arange(self.m), step], np.int16(-1)), 1)
         repeated = np.zeros((self.m, SIDE + 1), dtype=bool)
-        everyone = np.arange(self.m)
-        repeated[:, 0] = self.insert(everyone, (256 + self.group).astype(np.int16), GRAM) >= SPAN
+        repeated[:, 0] = self.insert(self.group.astype(np.int16), GRAM) >= SPAN
         for column in range(self.lefts.shape[1]):
-            live = np.flatnonzero(self.left_size > column)
-            repeated[live, column + 1] = self.insert(live, self.lefts[live, column], 1) >= SPAN
+            live = self.left_size > column
+            repeated[:, column + 1] = (self.insert(np.where(live, self.lefts[:, column], np.int16(-1)), 1) >= SPAN) & live
         return repeated
 
 
