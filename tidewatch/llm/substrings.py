@@ -329,7 +329,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         "doc_id", "part", F.greatest(F.col("place") - F.col("run.hi"), F.lit(0)).alias("start"),
         (F.col("place") - F.col("run.lo") + SPAN).alias("stop"),
     )
-    return stage_table(spans.groupBy("doc_id", "part").agg(F.array_distinct(F.collect_list(F.struct("start", "stop"))).alias("spans")))
+    return stage_table(spans.groupBy("doc_id", "part").agg(F.collect_list(F.struct("start", "stop")).alias("spans")))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
