@@ -15,6 +15,7 @@ from tidewatch.session import ensure_checkpoint_dir, ship_package, stage_table
 
 # A table is broadcast only when its stored form is counted and below this many bytes.
 BROADCAST_BYTES = 16 << 20
+ROW_BYTES = 64  # of any row in a hashed relation
 BATCH_ROWS = 10_000
 
 
@@ -28,15 +29,19 @@ def shared_folder(spark: SparkSession, kind: str) -> str:
 
 
 def join_checked(
-    big: DataFrame, small: DataFrame, on: list[str] | Column, how: str = "inner", row_bytes: int = 64
+    big: DataFrame, small: DataFrame, on: list[str] | Column, how: str = "inner", row_bytes: int | Column = 64
 ) -> DataFrame:
-    """Join a stored table: broadcast if its counted rows stay below ``BROADCAST_BYTES``.
+    """Join a stored table: broadcast if its measured size stays below ``BROADCAST_BYTES``.
 
-    ``small`` must be staged, so that counting it reads Parquet footers.  ``row_bytes``
-    bounds a row.  A larger table is joined by a shuffle whose hot keys adaptive
-    execution splits.
+    ``small`` must be staged.  ``row_bytes`` bounds a row (``ROW_BYTES`` at least), or is
+    an expression for rows of unbounded width.  A larger table is joined by a shuffle
+    whose hot keys adaptive execution splits.
     """
-    if small.count() * row_bytes <= BROADCAST_BYTES:
+    if isinstance(row_bytes, int):
+        size = small.count() * max(row_bytes, ROW_BYTES)
+    else:
+        size = small.agg(F.sum(row_bytes + ROW_BYTES)).first()[0] or 0
+    if size <= BROADCAST_BYTES:
         small = F.broadcast(small)
     return big.join(small, on, how)
 

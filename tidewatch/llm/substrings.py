@@ -337,7 +337,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     spans = repeated_spans(docs).withColumnsRenamed({"doc_id": "_doc", "part": "_of"})
     keyed = docs.select("doc_id", "text").withColumn("_part", F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
     on = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_part") == F.col("_of"))
-    joined = join_checked(keyed, spans, on, "left", row_bytes=128)
+    joined = join_checked(keyed, spans, on, "left", row_bytes=F.size("spans") * 24)
 
     def run(batches: Iterator[dict]) -> Iterator[list[tuple]]:
         for batch in batches:
