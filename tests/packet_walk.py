@@ -25,8 +25,9 @@ def walk(packets, timeout=5_000_000, idle=1_000_000):
             finish(key, "rst")
         elif len(flow["fins"]) == 2:
             finish(key, "finfin")
+    last = max((p[1] for p in packets), default=0)
     for key in list(open_flows):
-        finish(key, "flush")
+        finish(key, "flush" if last - open_flows[key]["rows"][-1][1] <= timeout else "idle")
     return [features(f, idle) for f in done]
 
 

@@ -17,6 +17,26 @@ def skewed(spark):
     return df, {g: np.array([v for k, v in rows if k == g]) for g in ("hot", "b", "one", "flat")}
 
 
+def test_quantiles_are_equal_on_both_sides_of_the_limit(skewed):
+    df, _ = skewed
+    probs = [i / 37 for i in range(38)]
+    found = [
+        {(r.g, r.prob): r.value for r in ranks.quantiles(df, "v", probs, ["g"], group_limit=limit).collect()} for limit in (10**6, 30)
+    ]
+    assert found[0] == found[1]
+    assert [ranks.quantile(df, "v", p, 10**6) for p in probs[::6]] == [ranks.quantile(df, "v", p, 10) for p in probs[::6]]
+
+
+@pytest.mark.parametrize("limit", [10**6, 500])
+def test_smallest_beyond_doubles(spark, limit):
+    big = 2**62
+    df = spark.range(2000).select("id", (F.lit(-big) + F.col("id") % 1000 + (F.col("id") % 3 - 1) * F.lit(2**60)).alias("o"))
+    rows = sorted((r.o, r.id) for r in df.collect())
+    for k in (1, 700, 1999):
+        got = df.filter(ranks.smallest(df, F.col("o"), "id", k, group_limit=limit))
+        assert sorted((r.o, r.id) for r in got.collect()) == rows[:k]
+
+
 @pytest.mark.parametrize("limit", [10**6, 400, 30])
 def test_quantiles_match_numpy(skewed, limit):
     df, data = skewed
@@ -75,9 +95,10 @@ def test_mix_and_composition(spark):
     assert mixed.filter("from_replay").count() == 30 and mixed.count() == 100
     assert sampling.mix_replay(new, replay, 0.0).count() == 70
     assert sampling.mix_replay(new, replay, 1.0).count() == 170
-    assert sampling.composition(10**6, 10**6) == sampling.Composition(86_400, 201_600)
+    assert sampling.composition(10**6, 10**6) == sampling.Composition(10**6, 10**6)
+    assert sampling.composition(10**6, 10**6, cap=288_000, replay_cap=86_400) == sampling.Composition(86_400, 201_600)
     assert sampling.composition(100, 0) == sampling.Composition(0, 100)
-    assert sampling.replay_seed_size(1000) == 300 and sampling.replay_seed_size(10**6) == 86_400
+    assert sampling.replay_seed_size(1000) == 300 and sampling.replay_seed_size(10**6, cap=86_400) == 86_400
     assert sampling.cap_rows(new, None).count() == 70 and sampling.cap_rows(new, 10).count() == 10
 
 

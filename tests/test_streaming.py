@@ -44,6 +44,22 @@ def test_stream_gives_the_batch_flows(spark):
     assert stream.progress.read().agg(F.sum("packets"), F.sum("late")).first() == (240, 0)
 
 
+def test_a_flush_ends_one_capture_and_the_next_begins(spark):
+    first, second = traffic(5, n=120), traffic(6, n=120)
+    folder, root, checkpoint = fresh(), fresh(), fresh()
+    for part in (first, second):
+        frame(spark, part).coalesce(1).write.mode("append").parquet(folder)
+        stream = FlowStream(spark, root, delay="60 seconds")  # as after a restart
+        stream.start(live.packet_stream(spark, folder, files_per_trigger=1), checkpoint).awaitTermination()
+        stream.flush()
+        stream.flush()
+        assert stream.open_flows == 0
+    got = sorted((r["packets"], r["end_reason"]) for r in stream.flows().collect())
+    want = [r for part in (first, second) for r in fl.build_flows(frame(spark, part), hot_rows=None).collect()]
+    assert got == sorted((r["packets"], r["end_reason"]) for r in want)
+    assert stream.progress.read().agg(F.sum("packets"), F.sum("late")).first() == (240, 0)
+
+
 def test_late_rows_idle_ends_and_flush(spark):
     k1, k2 = (A, B), (("10.0.0.9", 1), ("10.0.0.8", 2))
     batches = [

@@ -22,7 +22,7 @@ from tidewatch.operators.bundle import Bundle
 from tidewatch.operators.ranks import join_small
 from tidewatch.operators.sampling import sample_rows
 from tidewatch.operators.scoring import scaled
-from tidewatch.session import ship_package
+from tidewatch.session import cut_lineage, ship_package
 
 LEVELS = ("ae", "gmm")
 TOP = 15  # fixed value: rows of a waterfall, the last one holding the rest
@@ -127,7 +127,8 @@ def cached_explanations(wanted: DataFrame, explanations: DataFrame, version: str
     """Stored explanations of the wanted flows for one model version; NULL if none."""
     stored = explanations.filter(F.col("model_version") == version)
     ids = wanted.select("flow_uid").distinct()
-    return join_small(stored, ids, ["flow_uid"], "right")
+    found = cut_lineage(join_small(stored, ids, ["flow_uid"], "left_semi"))
+    return ids.join(found, ["flow_uid"], "left").select(*stored.columns)
 
 
 def waterfall(explanations: DataFrame, top: int = TOP, uid: str = "flow_uid") -> DataFrame:

@@ -25,7 +25,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions import packet as P
@@ -170,8 +170,11 @@ def cut_flows(packets: DataFrame, timeout: str = TIMEOUT, window: str | None = N
     )
 
 
-def flow_features(df: DataFrame, by: list[str], idle: str = IDLE) -> DataFrame:
-    """One row of metadata and features per flow of ``number_flows``."""
+def flow_features(df: DataFrame, by: list[str], idle: str = IDLE, end: Column | None = None) -> DataFrame:
+    """One row of metadata and features per flow of ``number_flows``.
+
+    ``end`` is what ``capture_end`` says of these packets.
+    """
 
     def gap(s: str) -> str:
         return f"CASE WHEN {SIDES[s]} AND {since(f'prev_{s}', 'opener')} THEN t - prev_{s}.t END"
@@ -191,6 +194,7 @@ def flow_features(df: DataFrame, by: list[str], idle: str = IDLE) -> DataFrame:
         "packets": "count(1)",
         "opener_a": "bool_or(opener_a)",
         "t0": "min(t)",
+        "t1": "max(t)",
         "seq0": "max(CASE WHEN starts THEN seq END)",
         "rst": "bool_or(rst)",
         "closes": "bool_or(closes)",
@@ -212,16 +216,27 @@ def flow_features(df: DataFrame, by: list[str], idle: str = IDLE) -> DataFrame:
         "FIN Flag Count": "count_if(fin)",
         "Bwd IAT Std": "coalesce(stddev_samp(bwd_iat), 0D)",
     }
-    return flow_rows(df.groupBy(*by, "flow_no").agg(*[F.expr(f"{e} AS `{n}`") for n, e in values.items()]))
+    return flow_rows(df.groupBy(*by, "flow_no").agg(*[F.expr(f"{e} AS `{n}`") for n, e in values.items()]), end)
+
+
+def capture_end(last: Column, timeout: int, window: int | None = None) -> Column:
+    """The earliest last packet an open flow can have.
+
+    A flow silent for longer than the timeout when the capture (or its window) ends
+    ended as idle.  ``last`` is the time of the capture's last packet.
+    """
+    end = last if window is None else F.least(last, F.col("capture") + window)
+    return end - timeout
 
 
-def flow_rows(grouped: DataFrame) -> DataFrame:
+def flow_rows(grouped: DataFrame, open_from: Column | None = None) -> DataFrame:
     """Final columns from per-flow aggregates and the key."""
+    grouped = grouped.withColumn("is_open", F.col("is_last") & (F.lit(True) if open_from is None else F.col("t1") >= open_from))
     capture = [c for c in ("capture",) if c in grouped.columns]
     known = [f"`{c}`" for c in grouped.columns if c in FEATURES or c == "packets"]
     df = grouped.selectExpr(
         *known, *capture, "t0", "seq0",
-        "CASE WHEN rst THEN 'rst' WHEN closes THEN 'finfin' WHEN is_last THEN 'flush' ELSE 'idle' END AS end_reason",
+        "CASE WHEN rst THEN 'rst' WHEN closes THEN 'finfin' WHEN is_open THEN 'flush' ELSE 'idle' END AS end_reason",
         "if(opener_a, k.ip_a, k.ip_b) AS `Src IP`",
         "if(opener_a, k.ip_b, k.ip_a) AS `Dst IP`",
         "if(opener_a, k.port_a, k.port_b) AS `Src Port`",
@@ -255,22 +270,23 @@ def build_flows(
     5-tuple can be that large.
     """
     df, by = keyed(packets, window)
+    end = capture_end(df.agg(F.max("t")).scalar(), micros(timeout), micros(window) if window else None)
     if hot_rows is None:
-        return flow_features(number_flows(df, by, timeout), by, idle)
+        return flow_features(number_flows(df, by, timeout), by, idle, end)
     from tidewatch.operators.hot_flows import hot_keys, hot_flows
 
     hot, n_keys, n_rows = hot_keys(df, by, hot_rows)
     if n_keys == 0:
-        return flow_features(number_flows(df, by, timeout), by, idle)
+        return flow_features(number_flows(df, by, timeout), by, idle, end)
     # At most rows/hot_rows keys are hot, so this side stays small at any size.
     small = F.broadcast(hot)
-    cold = flow_features(number_flows(df.join(small, by, "left_anti"), by, timeout), by, idle)
-    parallel = hot_flows(df.join(small, by, "left_semi"), by, n_rows, hot_rows, timeout, idle)
+    cold = flow_features(number_flows(df.join(small, by, "left_anti"), by, timeout), by, idle, end)
+    parallel = hot_flows(df.join(small, by, "left_semi"), by, n_rows, hot_rows, timeout, idle, end)
     return cold.unionByName(parallel)
 
 
 def flow_counts(flows: DataFrame) -> DataFrame:
-    """Flows by protocol and by way of ending; open flows are those flushed."""
+    """Flows by protocol and by way of ending; open flows are those the end of the capture flushed."""
     return flows.agg(
         F.count(F.lit(1)).alias("flows"),
         F.count_if(F.col("Protocol") == P.TCP).alias("flows_tcp"),

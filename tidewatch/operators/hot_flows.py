@@ -291,8 +291,8 @@ def _std(n: Column, s: Column, q: Column) -> Column:
     return F.when(n > 1, F.sqrt(F.greatest(spread, F.lit(0.0)))).otherwise(0.0)
 
 
-def merged_features(flow: DataFrame) -> DataFrame:
-    """Feature rows of merged flows."""
+def merged_features(flow: DataFrame, end: Column | None = None) -> DataFrame:
+    """Feature rows of merged flows; ``end`` as in ``flow_features``."""
 
     def side(name: str, forward: bool) -> Column:
         return F.when(F.col("opener_a") == forward, F.col(f"{name}_a")).otherwise(F.col(f"{name}_b"))
@@ -320,11 +320,13 @@ def merged_features(flow: DataFrame) -> DataFrame:
         "FIN Flag Count": F.col("fins"),
         "Bwd IAT Std": spread(iat, False),
     }
-    return flow_rows(flow.withColumns(values))
+    return flow_rows(flow.withColumns(values), end)
 
 
-def hot_flows(df: DataFrame, by: list[str], n_rows: int, limit: int, timeout: str, idle: str) -> DataFrame:
+def hot_flows(
+    df: DataFrame, by: list[str], n_rows: int, limit: int, timeout: str, idle: str, end: Column | None = None
+) -> DataFrame:
     """Flows of the packets of hot keys; same rows as the single-task plan."""
     gap_limit, idle_limit = micros(timeout), micros(idle)
     pieces = cut_pieces(df, by, max(2, -(-n_rows // limit)), gap_limit, idle_limit)
-    return merged_features(merge_pieces(assign_flows(pieces, by, gap_limit), by, idle_limit))
+    return merged_features(merge_pieces(assign_flows(pieces, by, gap_limit), by, idle_limit), end)

@@ -94,6 +94,12 @@ def _narrowed(rows: DataFrame, keys: list[str], targets: DataFrame, group_limit:
             return result.unionByName(found)
 
 
+def _between(low: Column, high: Column, at: Column) -> Column:
+    """Interpolation as the built-in exact percentile does it, to the last bit."""
+    value = (F.ceil(at) - at) * low + (at - F.floor(at)) * high
+    return F.when((F.ceil(at) == F.floor(at)) | (low == high), low).otherwise(value)
+
+
 def quantiles(
     df: DataFrame, x: str | Column, probs: Sequence[float], by: Sequence[str] = (), group_limit: int = GROUP_LIMIT
 ) -> DataFrame:
@@ -120,10 +126,10 @@ def quantiles(
         return exact(rows)
     big = cut_lineage(big)
     few = F.broadcast(big.select(*keys))  # at most rows/group_limit groups
-    at = F.col("prob") * (F.col("n") - 1)
+    at = (F.col("n") - 1) * F.col("prob")
     wanted = (
         big.withColumn("prob", F.explode(points))
-        .withColumns({"low": F.floor(at), "part": at - F.floor(at)})
+        .withColumns({"low": F.floor(at), "at": at})
         .withColumn("high", F.least(F.col("low") + 1, F.col("n") - 1))
     )
     targets = wanted.select(*keys, F.explode(F.array("low", "high")).alias("rank")).distinct()
@@ -133,8 +139,7 @@ def quantiles(
         return values.select(*keys, F.col("rank").alias(name), F.col("value").alias(f"v_{name}"))
 
     both = wanted.join(at_rank("low"), [*keys, "low"]).join(at_rank("high"), [*keys, "high"])
-    value = F.col("v_low") + (F.col("v_high") - F.col("v_low")) * F.col("part")
-    large = both.select(*by, "prob", F.when(F.col("part") == 0, F.col("v_low")).otherwise(value).alias("value"))
+    large = both.select(*by, "prob", _between(F.col("v_low"), F.col("v_high"), F.col("at")).alias("value"))
     return large.unionByName(exact(rows.join(few, keys, "left_anti")))
 
 
@@ -177,18 +182,40 @@ def quantile(df: DataFrame, x: str | Column, prob: float, group_limit: int = GRO
 
         first, second = value(low), value(min(low + 1, n - 1))
         if first is not None and second is not None:
-            return first if at == low else first + (second - first) * (at - low)
+            return first if at == low or first == second else (low + 1 - at) * first + (at - low) * second
     row = quantiles(df, x, [prob], group_limit=group_limit).first()
     return None if row is None else row["value"]
 
 
+def kth_value(df: DataFrame, order: Column, k: int, count: int, group_limit: int = GROUP_LIMIT) -> int:
+    """The ``k``-th smallest of a whole-number column, exact over all 64 bits.
+
+    A large table is narrowed by the upper 32 bits first, then by the lower ones: each
+    half fits a double.
+    """
+    order = order.cast("long")
+    if count <= group_limit:
+        return df.select(order.alias("o")).orderBy("o").limit(k).agg(F.max("o")).first()[0]
+    target = df.sparkSession.range(1).select(F.lit(1).alias("_all"), F.lit(k - 1).cast("long").alias("rank"))
+
+    def find(rows: DataFrame, half: Column, at: int) -> int:
+        rows = rows.select(half.cast("double").alias("x"), F.lit(1).alias("_all"))
+        return int(_narrowed(rows, ["_all"], target.withColumn("rank", F.lit(at).cast("long")), group_limit).first()["value"])
+
+    high = F.shiftright(order, 32)
+    upper = find(df, high, k - 1)
+    under = df.agg(F.count_if(high < upper)).first()[0]
+    low = order.bitwiseAND((1 << 32) - 1)
+    return (upper << 32) + find(df.filter(high == upper), low, k - 1 - under)
+
+
 def smallest(
     df: DataFrame, order: Column, uid: str, k: int, group_limit: int = GROUP_LIMIT, count: int | None = None,
     uniform: int | None = None,
 ) -> Column:
     """A predicate for exactly the ``k`` rows smallest by ``(order, uid)``.
 
-    ``order`` must fit a double exactly (whole numbers below 2**53); ``uid`` is unique.
+    ``order`` is a whole number; ``uid`` is unique.
     ``uniform`` says that ``order`` is a hash spread evenly over [0, uniform): the cut is
     then looked for where it must nearly be, and elsewhere only if it is not there.
     """
@@ -212,9 +239,7 @@ def smallest(
                 return order < hi
             # Rows below the bracket are below any cut inside it.
             return smallest(near, order, uid, k - under, group_limit, inside)
-    rows = df.select(order.cast("double").alias("x"), F.lit(1).alias("_all"))
-    target = df.sparkSession.range(1).select(F.lit(1).alias("_all"), F.lit(k - 1).cast("long").alias("rank"))
-    value = int(_narrowed(rows, ["_all"], target, group_limit).first()["value"])
+    value = kth_value(df, order, k, count, group_limit)
     under, equal = df.agg(F.count_if(order < value), F.count_if(order == value)).first()
     if under + equal == k:
         return order <= value

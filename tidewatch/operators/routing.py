@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 from tidewatch.operators.ranks import join_small
 from tidewatch.operators.scoring import ATTACK, NORMAL
 
-# Fixed values.
+# Fixed value.
 ATTACK_CONFIDENCE = 0.60
-BUFFER_MAX = 500_000
 
 
 def benign_rows(scored: DataFrame) -> DataFrame:

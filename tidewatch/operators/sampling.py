@@ -13,11 +13,8 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators.ranks import smallest
 
-# Limits and shares used by adaptation.
-MAX_TRAINING_ROWS = 288_000
-REPLAY_MAX_ROWS = 288_000
+# Shares used by adaptation.  Row caps are the caller's choice.
 REPLAY_SEED_SHARE = 0.30
-REPLAY_SEED_CAP = 86_400
 REPLAY_BATCH_SHARE = 0.30
 VALIDATION_SHARE = 0.15
 
@@ -85,15 +82,17 @@ class Composition:
     n_new: int
 
 
-def composition(n_new: int, n_replay: int, cap: int = MAX_TRAINING_ROWS) -> Composition:
-    """Row counts of an incremental training table."""
-    replay = min(int(cap * REPLAY_BATCH_SHARE), REPLAY_SEED_CAP, n_replay)
-    return Composition(replay, min(n_new, cap - replay))
+def composition(n_new: int, n_replay: int, cap: int | None = None, replay_cap: int | None = None) -> Composition:
+    """Row counts of an incremental training table; all rows unless capped."""
+    limits = [n_replay, replay_cap, None if cap is None else int(cap * REPLAY_BATCH_SHARE)]
+    replay = min(x for x in limits if x is not None)
+    return Composition(replay, n_new if cap is None else min(n_new, cap - replay))
 
 
-def replay_seed_size(n_rows: int) -> int:
+def replay_seed_size(n_rows: int, cap: int | None = None) -> int:
     """Rows put into the replay buffer after an accepted adaptation."""
-    return min(int(n_rows * REPLAY_SEED_SHARE), REPLAY_SEED_CAP)
+    wanted = int(n_rows * REPLAY_SEED_SHARE)
+    return wanted if cap is None else min(wanted, cap)
 
 
 def epoch_order(df: DataFrame, uid: str, seed: int, epoch: int) -> DataFrame:

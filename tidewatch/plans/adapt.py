@@ -97,7 +97,7 @@ def _version(given: str | None) -> str:
 
 def adapt_initial(
     flows: DataFrame, features=FEATURES, uid: str = "flow_uid", version: str | None = None, parent: Bundle | None = None,
-    cap: int | None = sampling.MAX_TRAINING_ROWS, components: int = COMPONENTS, max_iter: int = MAX_ITER,
+    cap: int | None = None, components: int = COMPONENTS, max_iter: int = MAX_ITER,
     encoder=None, latent: int = net.LATENT, seed: int = 42, partitions: int | None = None,
     threshold_mode: str = "auto", threshold: float | None = None, **training,
 ) -> Candidate:
@@ -128,8 +128,8 @@ def adapt_initial(
 def adapt_incremental(
     flows: DataFrame, live: Bundle, replay: DataFrame, uid: str = "flow_uid", version: str | None = None,
     ratio: float = sampling.REPLAY_BATCH_SHARE, strength: float = ta.GUARD_STRENGTH,
-    cap: int = sampling.MAX_TRAINING_ROWS, components: int | None = None, max_iter: int = MAX_ITER, seed: int = 42,
-    importance_rows: int = ta.IMPORTANCE_ROWS, per_row: bool = False, partitions: int | None = None,
+    cap: int | None = None, components: int | None = None, max_iter: int = MAX_ITER, seed: int = 42,
+    importance_rows: int | None = None, per_row: bool = False, partitions: int | None = None,
     threshold_mode: str = "auto", threshold: float | None = None, **training,
 ) -> Candidate:
     """New flows mixed with replay rows (scaled), important weights held in place."""

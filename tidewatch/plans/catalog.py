@@ -598,7 +598,7 @@ def stream_flows(spark, sf_dir):
     stream = FlowStream(spark, f"{root}/state", delay="1 second")
     stream.start(packet_stream(spark, f"{root}/packets", files_per_trigger=files), f"{root}/checkpoint").awaitTermination()
     stream.flush()
-    return rounded(stream.flows()).drop("start_ts", "end_reason")
+    return rounded(stream.flows()).drop("start_ts")
 
 
 # ---- training

@@ -14,7 +14,7 @@ from tidewatch.operators import routing, sampling, scoring
 from tidewatch.operators.bundle import Bundle, as_table, current_version, from_row
 from tidewatch.plans import adapt as ad
 from tidewatch.schemas import FEEDBACK, MODELS
-from tidewatch.session import prepare, staging_area
+from tidewatch.session import prepare, stage_table, staging_area
 from tidewatch.sources.tables import AppendTable, Buffer
 
 PROMOTIONS = T.StructType(
@@ -25,6 +25,8 @@ PROMOTIONS = T.StructType(
     ]
 )
 
+SCOPE_COLUMN = "confidence_scope"  # of stored rows: the column their confidence is relative to
+
 
 def _now() -> datetime:
     return datetime.now(timezone.utc)
@@ -38,9 +40,9 @@ class Engine:
         spark: SparkSession,
         root: str,
         default_version: str = "default",
-        buffer_max: int | None = routing.BUFFER_MAX,
+        buffer_max: int | None = None,
         attack_conf: float = routing.ATTACK_CONFIDENCE,
-        replay_max: int | None = sampling.REPLAY_MAX_ROWS,
+        replay_max: int | None = None,
     ):
         self.spark, self.root = prepare(spark), root
         self.default_version, self.attack_conf = default_version, attack_conf
@@ -97,7 +99,9 @@ class Engine:
         keep = [c for c in ("flow_uid", "source_file", "capture_time") if c in flows.columns]
         with staging_area(self.spark):
             rows = scoring.predict(flows, bundle, scope_column, keep=options.pop("keep", keep), **options)
-            rows = rows.withColumns({"scope": F.lit(scope), "scored_at": F.current_timestamp()})
+            rows = rows.withColumns(
+                {"scope": F.lit(scope), "scored_at": F.current_timestamp(), SCOPE_COLUMN: F.lit(scope_column).cast("string")}
+            )
             token = self.scored.append(rows, token)
         self._note_scope(scope, "add", token)
         stored = self.scored.read(token)
@@ -108,21 +112,25 @@ class Engine:
         self.benign.add(routing.benign_rows(scored), token)
         self.attack.add(routing.attack_rows(scored, self.attack_conf), token)
 
-    def _tokens(self, scope: str) -> list[str]:
-        events = self.scope_events.read().filter(F.col("scope") == scope)
-        cleared = events.filter("action = 'clear'").agg(F.max("at")).first()[0]
-        adds = events.filter("action = 'add'")
-        if cleared is not None:
-            adds = adds.filter(F.col("at") > F.lit(cleared))
-        return [r["token"] for r in adds.orderBy("at").collect()]
-
     def results(self, scope: str = "all") -> DataFrame | None:
-        """All rows of a scope since it was last cleared; None when there are none."""
-        tokens = self._tokens(scope)
-        if not tokens:
-            return None
-        paths = [f"{self.scored.path}/part={t}" for t in tokens]
-        return self.spark.read.option("mergeSchema", True).parquet(*paths)
+        """All rows of a scope since it was last cleared or replaced; None when there are none.
+
+        Scopes may differ in column types, so only the scope's own appends are read.
+        """
+        events = self.scope_events.read().filter(F.col("scope") == scope)
+        ended = events.filter("action <> 'add'").agg(F.max("at")).first()[0]
+        adds = events.filter("token IS NOT NULL")
+        if ended is not None:
+            # What replaces a scope counts itself.
+            adds = adds.filter((F.col("at") > F.lit(ended)) | ((F.col("at") == F.lit(ended)) & (F.col("action") == "replace")))
+        tokens = [r["token"] for r in adds.select("token", "at").orderBy("at").collect()]
+        return self.scored.read_all(tokens) if tokens else None
+
+    def _replace(self, scope: str, rows: DataFrame) -> DataFrame:
+        """Put new rows in place of a scope's: stored first, then one event ends the old ones."""
+        token = self.scored.append(rows)
+        self._note_scope(scope, "replace", token)
+        return self.scored.read(token)
 
     def clear(self, scope: str = "all") -> None:
         self._note_scope(scope, "clear", None)
@@ -208,12 +216,14 @@ class Engine:
         self.save(candidate.bundle)
         return candidate
 
-    def accept(self, candidate: ad.Candidate, flows: DataFrame, scope: str | None = None) -> DataFrame | None:
+    def accept(
+        self, candidate: ad.Candidate, flows: DataFrame, scope: str | None = None, replay_cap: int | None = None
+    ) -> DataFrame | None:
         """Make the candidate current, seed the replay buffer, score a scope again."""
         bundle = candidate.bundle.with_(status="accepted")
         self.save(bundle)
-        rows = ad.scaled_rows(flows, bundle)
-        rows = sampling.sample_rows(rows, sampling.replay_seed_size(rows.count()))
+        rows = stage_table(ad.scaled_rows(flows, bundle))
+        rows = sampling.sample_rows(rows, sampling.replay_seed_size(rows.count(), replay_cap))
         if candidate.mode == ad.INITIAL:
             self.replay.clear()
         self.replay.add(
@@ -224,11 +234,7 @@ class Engine:
         held = self.results(scope) if scope else None
         if held is None:
             return None
-        again = scoring.rescore(held, bundle)
-        self.clear(scope)
-        token = self.scored.append(again)
-        self._note_scope(scope, "add", token)
-        return self.scored.read(token)
+        return self._replace(scope, scoring.rescore(held, bundle, self._relative_to(held)))
 
     def reject(self, candidate: ad.Candidate) -> None:
         """Leave the live model as it is; the candidate stays on record."""
@@ -243,8 +249,11 @@ class Engine:
         held = self.results(scope)
         if held is None:
             return None
-        again = scoring.relabel(held, threshold).withColumn("model_version", F.lit(child.version))
-        self.clear(scope)
-        token = self.scored.append(again)
-        self._note_scope(scope, "add", token)
-        return self.scored.read(token)
+        again = scoring.relabel(held, threshold, self._relative_to(held), child.confidence_scale)
+        return self._replace(scope, again.withColumn("model_version", F.lit(child.version)))
+
+    @staticmethod
+    def _relative_to(held: DataFrame) -> str | None:
+        """The column the stored confidences were relative to, if not all rows."""
+        names = [r[0] for r in held.select(SCOPE_COLUMN).distinct().limit(2).collect()] if SCOPE_COLUMN in held.columns else []
+        return names[0] if len(names) == 1 else None

@@ -30,6 +30,8 @@ pk AS (
 def walk(window: int | None = None) -> str:
     """Packet-by-packet state machine as a recursive query, and flow aggregates."""
     capture = f"t_us - t_us % {window}" if window else "0"
+    last = "(SELECT max(t_us) FROM ord)"
+    last = f"least({last}, capture + {window})" if window else last
     std = "coalesce(stddev_samp({}), 0.0)"
     return f"""
 WITH RECURSIVE {PACKETS},
@@ -71,7 +73,7 @@ flows AS (
         arg_min(src_ip, rn) AS "Src IP", arg_min(dst_ip, rn) AS "Dst IP",
         arg_min(src_port, rn) AS src_port0, arg_min(dst_port, rn) AS dst_port0, arg_min(protocol, rn) AS protocol0,
         CASE WHEN arg_max(rst, rn) THEN 'rst' WHEN arg_max(finfin, rn) THEN 'finfin'
-             WHEN arg_max(is_last, rn) THEN 'flush' ELSE 'idle' END AS end_reason,
+             WHEN arg_max(is_last, rn) AND {last} - max(t_us) <= 5000000 THEN 'flush' ELSE 'idle' END AS end_reason,
         CAST(arg_min(tcp_window, rn) AS DOUBLE) AS "FWD Init Win Bytes",
         CAST(coalesce(sum(side_iat) FILTER (fwd), 0) AS DOUBLE) AS "Fwd IAT Total",
         CAST(arg_min(protocol, rn) AS DOUBLE) AS "Protocol",
@@ -128,11 +130,11 @@ scored AS (
 
 FEEDBACK = """
 fb AS (
- SELECT CAST(event_id % 997 AS VARCHAR) AS flow_uid,
+ SELECT CAST(CASE WHEN event_id % 4 = 3 THEN event_id - 1 ELSE event_id END AS VARCHAR) AS flow_uid,
         CASE event_id % 3 WHEN 0 THEN 'Normal' WHEN 1 THEN 'Attack' ELSE 'Unclear' END AS human_label,
         CASE WHEN event_id % 2 = 0 THEN 'Normal' ELSE 'Attack' END AS model_prediction,
         ts AS feedback_ts, CASE WHEN event_id % 7 = 0 THEN 'clear' ELSE 'set' END AS action
- FROM events WHERE event_type IN ('error', 'purchase'))
+ FROM events)
 """
 EFFECTIVE = """
 eff AS (
@@ -248,7 +250,7 @@ def oracle_sql() -> dict[str, str]:
     )
     q["flow_counts"] = f"""{flows} SELECT count(*) AS flows, count(*) FILTER (protocol0 = 6) AS flows_tcp,
         count(*) FILTER (protocol0 = 17) AS flows_udp, count(*) FILTER (end_reason = 'flush') AS open_flows FROM flows"""
-    q["stream_flows"] = f"{flows} SELECT {FLOW_HEAD.replace('end_reason, ', '')}, {ROUNDED} FROM flows"
+    q["stream_flows"] = q["flow_features"]
 
     # columns
     q["canonical_columns"] = """SELECT l_orderkey, l_linenumber, l_quantity AS "Dst Port", l_extendedprice AS "Packet Length Min",
@@ -367,10 +369,10 @@ def oracle_sql() -> dict[str, str]:
     q["train_val_split"] = f"""WITH {RAW} SELECT flow_uid,
         row_number() OVER (ORDER BY {HASH.format('flow_uid', 42)}) <= greatest(1, CAST(floor((SELECT count(*) FROM raw) * 0.15) AS BIGINT)) AS is_val FROM raw"""
     q["composition"] = f"""WITH {RAW}, c AS (SELECT count(*) FILTER (scope <> 'view') AS new, count(*) FILTER (scope = 'view') AS old FROM raw),
-        n AS (SELECT least(CAST(floor(5000 * 0.30) AS BIGINT), 86400, old) AS n_replay, new FROM c)
+        n AS (SELECT least(CAST(floor(5000 * 0.30) AS BIGINT), old) AS n_replay, new FROM c)
         SELECT n_replay, least(new, 5000 - n_replay) AS n_new FROM n"""
     q["replay_seed"] = f"""WITH {RAW} SELECT flow_uid FROM raw ORDER BY {HASH.format('flow_uid', 42)}
-        LIMIT (SELECT least(CAST(floor(count(*) * 0.30) AS BIGINT), 86400) FROM raw)"""
+        LIMIT (SELECT CAST(floor(count(*) * 0.30) AS BIGINT) FROM raw)"""
     q["union_batches"] = f"WITH {RAW} SELECT flow_uid, scope FROM raw"
     dataset = """SELECT * FROM (SELECT o_orderkey AS seq, o_totalprice AS "Dst Port",
           CASE WHEN o_custkey % 3 = 0 THEN 'BENIGN' ELSE '{}' END AS "Label" FROM orders WHERE o_orderstatus = '{}')

@@ -28,9 +28,8 @@ SCRATCH = {"epochs": 200, "batch": 256, "rate": 1e-3, "patience": PATIENCE}
 FINETUNE = {"epochs": 30, "batch": 256, "rate": 1e-4, "patience": None}
 GUARDED = {"epochs": 1000, "batch": 32, "rate": 1e-3, "patience": PATIENCE}
 GUARD_STRENGTH = 50.0
-IMPORTANCE_ROWS = 10_000
-ROWS_PER_PARTITION = 9_000
-MAX_PARTITIONS = 512
+ROWS_PER_PARTITION = 9_000  # the history records the partitions that follow from it
+SUM_FANOUT = 64
 
 HISTORY = "epoch int, loss double, recon_loss double, penalty double, val_loss double, val_recon_loss double, val_penalty double, partitions int"
 
@@ -61,10 +60,15 @@ class Trained:
 
 
 def training_table(
-    df: DataFrame, features: Sequence[str], n_rows: int, uid: str = "flow_uid", partitions: int | None = None
+    df: DataFrame,
+    features: Sequence[str],
+    n_rows: int,
+    uid: str = "flow_uid",
+    partitions: int | None = None,
+    rows_per_partition: int = ROWS_PER_PARTITION,
 ) -> TrainingTable:
     """Lay out scaled rows (with ``is_val``) for training."""
-    p = partitions or max(1, min(MAX_PARTITIONS, n_rows // ROWS_PER_PARTITION))
+    p = partitions or max(1, n_rows // rows_per_partition)
     names = [f"x{i}" for i in range(len(features))]
     # Order inside a partition is by hash, so the layout does not depend on the input's.
     rows = df.select(F.col(uid).cast("string").alias("uid"), "is_val", *[F.col(f"`{f}`").alias(n) for f, n in zip(features, names)])
@@ -208,7 +212,7 @@ def importance(
     columns: Sequence[str],
     layers: list,
     uid: str = "flow_uid",
-    n: int | None = IMPORTANCE_ROWS,
+    n: int | None = None,
     normalize: bool = True,
     per_row: bool = False,
     seed: int = 42,
@@ -236,7 +240,7 @@ def importance(
             yield one_vector(np.concatenate([[rows], total]))
 
     rows = scaled.select(*[F.col(f"`{c}`").alias(nm) for c, nm in zip(columns, names)])
-    s = sum_vectors(rows.mapInArrow(run, VECTOR), MAX_PARTITIONS)
+    s = sum_vectors(rows.mapInArrow(run, VECTOR), SUM_FANOUT)
     if s is None:
         raise ValueError("no rows to compute importance on")
     omega = (s[1:] if per_row else s[1:] ** 2) / s[0]

@@ -95,6 +95,23 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(hadoop_path)
 
 
+def rename_new(spark: SparkSession, source: str, target: str) -> bool:
+    """Rename a folder; False, and the source removed, if the target is there already."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    fs, path = file_system(spark, target)
+    fs.mkdirs(path.getParent())
+    context = hadoop.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+    no_options = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 0)
+    try:
+        context.rename(hadoop.Path(source), path, no_options)
+    except Exception:
+        if not fs.exists(path):
+            raise
+        delete_path(spark, source)
+        return False
+    return True
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     fs, hadoop_path = file_system(spark, path)
     fs.delete(hadoop_path, True)

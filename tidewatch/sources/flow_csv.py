@@ -119,7 +119,7 @@ def assemble_datasets(
             df = read_flow_csv(spark, source, drop=drop)
         else:
             df = canonicalize(source.drop(*drop))
-        attacks = df.filter(quoted(label) != benign_label)
+        attacks = df.filter(~quoted(label).eqNullSafe(benign_label))
         ordered = attacks.withColumn("_order", quoted(canonical_name(order_col)).cast("long"))
         parts.append(first_rows(ordered, "_order", n).select(*[quoted(c) for c in columns]))
     return reduce(lambda a, b: a.unionByName(b), parts)

@@ -9,13 +9,13 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, Row, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.operators.ranks import smallest
+from tidewatch.operators.ranks import kth_value, smallest
 from tidewatch.operators.sampling import sample_rows
-from tidewatch.session import delete_path, file_system, path_exists
+from tidewatch.session import delete_path, file_system, path_exists, rename_new
 
 
 class AppendTable:
@@ -30,9 +30,13 @@ class AppendTable:
             known = [c for c in df.columns if c in self.schema.fieldNames()]
             empty = self.spark.createDataFrame([], self.schema)
             df = empty.unionByName(df.select(*[F.col(f"`{c}`") for c in known]), allowMissingColumns=True)
-        df.write.mode("overwrite").parquet(f"{self.path}/part={token}")
+        df.write.mode("overwrite").parquet(self._part(token))
         return token
 
+    def _part(self, token: str) -> str:
+        # The letter keeps Spark from reading a number into it.
+        return f"{self.path}/part=t{token}"
+
     def exists(self) -> bool:
         return path_exists(self.spark, self.path)
 
@@ -44,9 +48,13 @@ class AppendTable:
             return self.spark.createDataFrame([], self.schema)
         reader = self.spark.read.schema(self.schema) if self.schema is not None else self.spark.read
         if token is not None:
-            return reader.parquet(f"{self.path}/part={token}")
+            return reader.parquet(self._part(token))
         return reader.option("mergeSchema", self.schema is None).parquet(self.path).drop("part")
 
+    def read_all(self, tokens: list[str]) -> DataFrame:
+        """The rows of these appends."""
+        return self.spark.read.option("mergeSchema", True).parquet(*[self._part(t) for t in dict.fromkeys(tokens)])
+
 
 class Snapshots:
     """A small table kept as numbered versions; the newest complete one counts.
@@ -78,6 +86,18 @@ class Snapshots:
     def write(self, rows: list[tuple], version: int) -> None:
         df = self.spark.createDataFrame(rows, self.schema)
         df.coalesce(1).write.mode("overwrite").parquet(self._dir(version))
+        self._forget()
+
+    def commit(self, rows: list[tuple], version: int) -> bool:
+        """Write a version that must not exist yet; False if another writer was first."""
+        aside = f"{self.path}-aside/{uuid.uuid4().hex}"
+        self.spark.createDataFrame(rows, self.schema).coalesce(1).write.parquet(aside)
+        if not rename_new(self.spark, aside, self._dir(version)):
+            return False
+        self._forget()
+        return True
+
+    def _forget(self) -> None:
         for old in self.versions()[: -self.keep]:
             delete_path(self.spark, self._dir(old))
 
@@ -88,6 +108,7 @@ LEDGER = T.StructType(
         T.StructField("rows", T.LongType()),
         T.StructField("from_ord", T.LongType()),
         T.StructField("token", T.StringType()),
+        T.StructField("folder", T.StringType()),
     ]
 )
 
@@ -95,8 +116,10 @@ LEDGER = T.StructType(
 class Buffer:
     """A table of samples that keeps the newest ``cap`` rows.
 
-    Each batch is a folder.  The ledger holds one line per batch still in use: its
-    rows and from which position on they count.
+    Each batch is a folder of its own name.  The ledger holds one line per batch still
+    in use: its number, rows and from which position on they count.  A writer commits the
+    next version of the ledger; if another one did so first, it tries again on top of
+    that, so no batch is lost.
     """
 
     def __init__(self, spark: SparkSession, path: str, cap: int | None = None):
@@ -108,19 +131,29 @@ class Buffer:
         version, lines = self.ledger.latest()
         return (0 if version is None else version + 1), sorted(lines, key=lambda r: r.batch)
 
-    def _data(self, batch: int) -> str:
-        return f"{self.path}/data/batch={batch}"
+    def _data(self, folder: str) -> str:
+        return f"{self.path}/data/folder={folder}"
 
     def add(self, df: DataFrame, token: str | None = None) -> int:
         """Append rows; returns how many were added (0 for an empty or repeated batch)."""
-        batch, lines = self._lines()
-        if token is not None and any(r.token == token for r in lines):
+        if token is not None and any(r.token == token for r in self._lines()[1]):
             return 0
-        df.withColumn("_ord", F.monotonically_increasing_id()).write.mode("overwrite").parquet(self._data(batch))
-        rows = self.spark.read.parquet(self._data(batch)).count()
-        if rows:
-            lines = self._trimmed([*map(tuple, lines), (batch, rows, 0, token)])
-            self.ledger.write(lines, batch)
+        folder = uuid.uuid4().hex
+        df.withColumn("_ord", F.monotonically_increasing_id()).write.parquet(self._data(folder))
+        rows = self.spark.read.parquet(self._data(folder)).count()
+        while rows:
+            batch, lines = self._lines()
+            if token is not None and any(r.token == token for r in lines):
+                rows = 0
+                break
+            kept = self._trimmed([*map(tuple, lines), (batch, rows, 0, token, folder)])
+            if self.ledger.commit(kept, batch):
+                held = {line[4] for line in kept}
+                for line in lines:
+                    if line.folder not in held:
+                        delete_path(self.spark, self._data(line.folder))
+                return rows
+        delete_path(self.spark, self._data(folder))
         return rows
 
     def _trimmed(self, lines: list[tuple]) -> list[tuple]:
@@ -128,15 +161,15 @@ class Buffer:
         if self.cap is None or sum(line[1] for line in lines) <= self.cap:
             return lines
         out, kept = [], 0
-        for batch, rows, from_ord, token in reversed(lines):
+        for batch, rows, from_ord, token, folder in reversed(lines):
             keep = min(rows, self.cap - kept)
             if keep <= 0:
                 break
             if keep < rows:
-                part = self.spark.read.parquet(self._data(batch)).filter(F.col("_ord") >= from_ord)
+                part = self.spark.read.parquet(self._data(folder)).filter(F.col("_ord") >= from_ord)
                 newest = part.filter(smallest(part, -F.col("_ord"), "_ord", keep, count=rows))
                 from_ord = newest.agg(F.min("_ord")).first()[0]
-            out.append((batch, keep, from_ord, token))
+            out.append((batch, keep, from_ord, token, folder))
             kept += keep
         return out[::-1]
 
@@ -145,10 +178,11 @@ class Buffer:
         _, lines = self._lines()
         if not lines:
             return None
-        paths = [self._data(r.batch) for r in lines]
+        paths = [self._data(r.folder) for r in lines]
         df = self.spark.read.option("basePath", f"{self.path}/data").option("mergeSchema", True).parquet(*paths)
         oldest = lines[0]
-        return df.filter((F.col("batch") > oldest.batch) | (F.col("_ord") >= oldest.from_ord)).drop("_ord", "batch")
+        # Only the oldest batch may be cut.
+        return df.filter((F.col("folder") != oldest.folder) | (F.col("_ord") >= oldest.from_ord)).drop("_ord", "folder")
 
     def sample(self, n: int, uid: str = "flow_uid", seed: int = 42) -> DataFrame | None:
         df = self.load()
@@ -163,23 +197,22 @@ class Buffer:
         return self.count == 0
 
     def clear(self) -> None:
-        self.ledger.write([], self._lines()[0])
+        while not self.ledger.commit([], self._lines()[0]):
+            pass
 
 
 def keep_last(df: DataFrame, batch: str, seq: str, cap: int) -> DataFrame:
     """The newest ``cap`` rows of a table of numbered batches.
 
-    Per-batch counts (one row per batch) find the batch that is cut; only inside it
-    are rows ranked.
+    The batch of the ``cap``-th row from the end is cut; only inside it are rows ranked.
     """
     from tidewatch.operators.sampling import last_rows
-    from tidewatch.session import cut_lineage
-
-    counts = df.groupBy(batch).agg(F.count(F.lit(1)).alias("n"))
-    newer = F.sum("n").over(Window.orderBy(F.desc(batch)).rowsBetween(Window.unboundedPreceding, -1))
-    running = cut_lineage(counts.withColumn("newer", F.coalesce(newer, F.lit(0))))
-    cut = running.filter((F.col("newer") < cap) & (F.col("newer") + F.col("n") >= cap)).first()
-    if cut is None:
-        return df.limit(0) if cap <= 0 else df
-    whole = df.filter(F.col(batch) > cut[batch])
-    return whole.unionByName(last_rows(df.filter(F.col(batch) == cut[batch]), seq, cap - cut["newer"]))
+
+    if cap <= 0:
+        return df.limit(0)
+    count = df.count()
+    if count <= cap:
+        return df
+    cut = -kth_value(df, -F.col(batch), cap, count)
+    newer = df.filter(F.col(batch) > cut)
+    return newer.unionByName(last_rows(df.filter(F.col(batch) == cut), seq, cap - newer.count()))

@@ -33,6 +33,7 @@ PROGRESS = T.StructType(
         T.StructField("open_flows", T.LongType()),
     ]
 )
+FLUSH = T.StructType([T.StructField("after", T.LongType())])
 MARK = T.StructType([T.StructField("watermark", T.LongType()), T.StructField("open_flows", T.LongType())])
 KEPT_STATES = 10
 ROWS_PER_TASK = 1_000_000
@@ -59,6 +60,7 @@ class FlowStream:
         self.on_flows, self.rows_per_task, self.window = on_flows, rows_per_task, window
         self.progress = AppendTable(spark, f"{root}/progress", PROGRESS)
         self.marks = Snapshots(spark, f"{root}/marks", MARK, keep=KEPT_STATES)
+        self.flushes = Snapshots(spark, f"{root}/flushes", FLUSH, keep=KEPT_STATES)
         capture = [T.StructField("capture_time", T.TimestampType())] if window else []
         self.emitted = AppendTable(spark, f"{root}/flows", T.StructType(capture + FLOWS.fields))
 
@@ -73,29 +75,42 @@ class FlowStream:
             self._step(batch, batch_id, final=False)
 
     def flush(self) -> None:
-        """End of capture: all waiting packets and open flows come out."""
+        """End of capture: all waiting packets and open flows come out.
+
+        A flush is recorded beside the batches: it takes none of their numbers, and the
+        next batch begins a new capture with no state and no watermark.
+        """
         known = self.marks.versions()
-        with staging_area(self.spark):
-            self._step(None, known[-1] + 1 if known else 0, final=True)
+        if known and self._flushed() < known[-1]:
+            with staging_area(self.spark):
+                self._step(None, known[-1] + 1, final=True)
+            self.flushes.write([(known[-1],)], known[-1])
+
+    def _flushed(self) -> int:
+        """The last batch before the newest flush, -1 without one."""
+        done = self.flushes.versions()
+        return done[-1] if done else -1
 
     def flows(self) -> DataFrame:
         return self.emitted.read()
 
     @property
     def open_flows(self) -> int:
-        _, rows = self.marks.latest()
-        return rows[0].open_flows if rows else 0
+        last, rows = self.marks.latest()
+        return rows[0].open_flows if rows and last > self._flushed() else 0
 
     def _state(self, name: str, batch: int) -> DataFrame | None:
         path = f"{self.root}/{name}/batch={batch}"
         return self.spark.read.parquet(path) if batch >= 0 and path_exists(self.spark, path) else None
 
     def _step(self, batch: DataFrame | None, batch_id: int, final: bool) -> None:
-        if batch_id in self.marks.versions():
+        if not final and batch_id in self.marks.versions():
             return
         previous, rows = self.marks.latest(before=batch_id)
+        if previous is None or previous <= self._flushed():
+            previous, rows = -1, []
         mark = rows[0].watermark if rows else _FIRST
-        previous = -1 if previous is None else previous
+        token = f"flush-{previous:012d}" if final else f"{batch_id:012d}"
         by = ["k", "capture"] if self.window else ["k"]
         rows, n_new, late = self._state("pending", previous), 0, 0
         if batch is not None:
@@ -113,8 +128,9 @@ class FlowStream:
         carried = self._state("open", previous)
         pieces = carried
         if rows is not None:
-            waiting = rows.filter(F.col("t") > mark_now)
-            waiting.write.mode("overwrite").parquet(f"{self.root}/pending/batch={batch_id}")
+            if not final:
+                waiting = rows.filter(F.col("t") > mark_now)
+                waiting.write.mode("overwrite").parquet(f"{self.root}/pending/batch={batch_id}")
             ready = rows.filter(F.col("t") <= mark_now)
             n_ready = ready.count()
             if n_ready:
@@ -130,17 +146,20 @@ class FlowStream:
             if not final:
                 still = hf.as_open_piece(merged.filter(stays), by)
                 still.write.mode("overwrite").parquet(f"{self.root}/open/batch={batch_id}")
-                merged = merged.filter(~stays).withColumn("is_last", F.lit(False))
+                merged = merged.filter(~stays)
                 n_open = self.spark.read.parquet(f"{self.root}/open/batch={batch_id}").count()
-            out = hf.merged_features(merged)
-            token = f"{batch_id:012d}"
+            # The newest packet seen is the delay after the watermark.
+            newest = F.lit((mark if final else mark_now) + self.delay)
+            out = hf.merged_features(merged, fl.capture_end(newest, self.timeout, fl.micros(self.window) if self.window else None))
             self.emitted.append(out, token)
             stored = self.emitted.read(token)
             n_out = stored.count()
             if self.on_flows is not None and n_out:
                 self.on_flows(stored, token)
         line = self.spark.createDataFrame([(batch_id, mark_now, n_new, late, n_out, n_open)], PROGRESS)
-        self.progress.append(line.coalesce(1), token=f"{batch_id:012d}")
+        self.progress.append(line.coalesce(1), token=token)
+        if final:
+            return
         self.marks.write([(mark_now, n_open)], batch_id)
         for name in ("pending", "open"):
             delete_path(self.spark, f"{self.root}/{name}/batch={batch_id - KEPT_STATES}")
