@@ -16,7 +16,7 @@ def components(links: DataFrame) -> DataFrame:
     chains short: the number of rounds grows with the logarithm of a path.  All steps
     are aggregations and joins of stored tables; a hub only counts once per map task.
     """
-    edges = stage_table(links.filter("a <> b").select(F.col("a").cast("long"), F.col("b").cast("long")).distinct())
+    edges = stage_table(links.filter("a <> b").select(F.col("a").cast("long"), F.col("b").cast("long")))
     moves: list[DataFrame] = []
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))

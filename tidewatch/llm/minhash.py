@@ -35,7 +35,7 @@ from tidewatch.llm.hashing import Ranges, mix, odd
 HASHES = 80
 ROWS = 5
 BANDS = 2 * HASHES // ROWS
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 SKETCH = "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"
 COMPARED = "a long, b long, linked boolean"
 
@@ -133,28 +133,29 @@ def links(nodes: DataFrame, tested: DataFrame, docs: DataFrame, words: int, perc
     """
     banded = nodes.select("node", "n", F.explode("bands").alias("bucket"))
     shared = stage_table(
-        banded.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("bucket")
+        banded.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
+        .select("bucket", F.col("low").alias("center"))
     )
     members = stage_table(banded.join(shared, "bucket"))
     labels = components(tested.select("a", "b"))
     for _ in range(STAR_ROUNDS):
         if members.isEmpty():
             break
-        centers = stage_table(members.groupBy("bucket").agg(F.min("node").alias("center")))
-        met = members.join(centers, "bucket").filter("node <> center")
-        met = _labelled(met, labels, ["node", "center"]).filter("label_node <> label_center")
+        met = _labelled(members.filter("node <> center"), labels, ["node", "center"]).filter("label_node <> label_center")
         pairs = _ordered(met.select(F.col("node").alias("x"), F.col("center").alias("y")))
         pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         tested = stage_table(tested.unionByName(compare(pairs, docs, words, percent)))
         labels = components(tested.filter("linked").select("a", "b"))
-        rest = _labelled(members.join(centers, "bucket").filter("node <> center").drop("center"), labels, ["node"])
+        # The centre has met everybody and goes; buckets of one component are done.
+        rest = _labelled(members.filter("node <> center").drop("center"), labels, ["node"])
         rest = stage_table(rest.withColumnRenamed("label_node", "label"))
-        open_ = stage_table(
-            rest.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("bucket")
+        open_ = rest.groupBy("bucket").agg(
+            F.min("label").alias("low"), F.max("label").alias("high"), F.min("node").alias("center")
         )
-        members = stage_table(rest.join(open_, "bucket").drop("label"))
+        open_ = stage_table(open_.filter("low < high").select("bucket", "center"))
+        members = stage_table(rest.drop("label").join(open_, "bucket"))
     if not members.isEmpty():
-        named = stage_table(_labelled(members, labels, ["node"]).withColumnRenamed("label_node", "label"))
+        named = stage_table(_labelled(members.drop("center"), labels, ["node"]).withColumnRenamed("label_node", "label"))
         sizes = named.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("m"))
         main = stage_table(sizes.groupBy("bucket").agg(F.max_by("label", F.struct("m", "label")).alias("main")))
         few = named.join(main, "bucket").filter("label <> main").select(
