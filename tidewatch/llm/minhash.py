@@ -9,7 +9,8 @@ Links: texts of equal shingle sets are one node.  In each bucket every node is c
 with one centre on its full set; after a round the centre leaves the bucket, having met
 everybody, and buckets whose nodes already share a component are done.  After
 ``STAR_ROUNDS`` rounds what is left is compared in full: nodes outside a bucket's
-largest component with the bucket's other nodes of fitting size.  So no candidate pair
+largest component with the bucket's other nodes, but for pairs whose overlap cannot be
+large enough, by their sizes and the shingles no other node has.  So no candidate pair
 that could join two components is left untested, and a bucket of n near copies costs
 about n comparisons instead of n squared.
 
@@ -25,6 +26,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -155,20 +157,50 @@ def links(nodes: DataFrame, tested: DataFrame, docs: DataFrame, words: int, perc
         open_ = stage_table(open_.filter("low < high").select("bucket", "center"))
         members = stage_table(rest.drop("label").join(open_, "bucket"))
     if not members.isEmpty():
-        named = stage_table(_labelled(members.drop("center"), labels, ["node"]).withColumnRenamed("label_node", "label"))
+        # An id with several texts has no count of its own shingles: none is left out for it.
+        single = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("m")).filter("m = 1")
+        own = _own_shingles(single.select("node"), members.select("node").distinct(), docs, words)
+        named = join_checked(_labelled(members.drop("center"), labels, ["node"]), own, ["node"], "left", row_bytes=16)
+        named = named.withColumn("common", F.col("n") - F.coalesce("own", F.lit(0))).withColumnRenamed("label_node", "label")
+        # A text with too many shingles of its own can be similar to none of the others.
+        named = stage_table(named.filter(100 * F.col("common") >= percent * F.col("n")).drop("own"))
         sizes = named.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("m"))
         main = stage_table(sizes.groupBy("bucket").agg(F.max_by("label", F.struct("m", "label")).alias("main")))
         few = named.join(main, "bucket").filter("label <> main").select(
-            "bucket", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx")
+            "bucket", *[F.col(c).alias(f"x_{c}") for c in ("node", "n", "common", "label")]
         )
-        fits = (F.col("label") != F.col("lx")) & (100 * F.least("n", "nx") >= percent * F.greatest("n", "nx"))
-        pairs = _ordered(named.join(stage_table(few), "bucket").filter(fits).select("x", F.col("node").alias("y")))
+        # Similar sets have at least percent / (100 + percent) of their sizes in common.
+        overlap = (100 + percent) * F.least("common", "x_common") >= percent * (F.col("n") + F.col("x_n"))
+        joined = named.join(stage_table(few), "bucket").filter((F.col("label") != F.col("x_label")) & overlap)
+        pairs = _ordered(joined.select(F.col("x_node").alias("x"), F.col("node").alias("y")))
         pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         done = compare(pairs, docs, words, percent)
         labels = components(tested.unionByName(done).filter("linked").select("a", "b"))
     return labels
 
 
+def _own_shingles(asked: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(node, own) of the nodes asked for: shingles that no other of ``nodes`` has (stored)."""
+    ids = stage_table(nodes.select(F.col("node").alias("doc_id")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, hashes = [], []
+            for node, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                found = shingle_set(text, words).view(np.int64)
+                names.append(np.full(len(found), node, dtype=np.int64))
+                hashes.append(found)
+            if names:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names)), pa.array(np.concatenate(hashes))], names=["node", "shingle"])
+
+    texts = join_checked(docs.select("doc_id", "text"), ids, ["doc_id"], "left_semi", row_bytes=16)
+    single = texts.mapInArrow(run, "node long, shingle long").groupBy("shingle").agg(
+        F.min("node").alias("node"), F.max("node").alias("last"), F.count(F.lit(1)).alias("m")
+    )
+    counts = single.filter("node = last AND m = 1").groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+    return stage_table(counts.join(asked, "node", "left_semi"))
+
+
 def _labelled(rows: DataFrame, labels: DataFrame, columns: list[str]) -> DataFrame:
     """``rows`` with the component so far of each of the columns as ``label_<column>``."""
     for c in columns:
