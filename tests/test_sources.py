@@ -173,3 +173,13 @@ def test_filter_is_pushed_to_the_scan(spark, sf):
     plan = col.project_features(df.filter("l_quantity > 3"), ["l_tax"])._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(l_quantity), GreaterThan(l_quantity,3.0)]" in plan
     assert "ReadSchema: struct<l_quantity:double,l_tax:double>" in plan
+
+
+def test_a_directory_of_mixed_dialects(spark, tmp_path):
+    folder = tmp_path / "flows"
+    folder.mkdir()
+    (folder / "a.csv").write_text("Dst Port,Protocol\n80,6\n443,6\n")
+    (folder / "b.csv").write_text("Protocol, Destination Port\n17,53\n")
+    (folder / "empty.csv").write_text("")
+    got = flow_csv.read_flow_csv(spark, str(folder))
+    assert sorted((r["Dst Port"], r["Protocol"]) for r in got.collect()) == [("443", "6"), ("53", "17"), ("80", "6")]

@@ -209,13 +209,31 @@ def csv_round_trip(spark, sf_dir):
         F.col("l_extendedprice").alias("Pkt Len Min"),
     )
     flow_csv.export_csv(out, path)
-    df = flow_csv.read_flow_csv(spark, path, header=out.columns)
+    return csv_values(flow_csv.read_flow_csv(spark, path))
+
+
+def csv_values(df):
     return df.select(
         F.col("l_orderkey").cast("long").alias("l_orderkey"), F.col("l_linenumber").cast("int").alias("l_linenumber"),
         col.feature("Dst Port").alias("Dst Port"), col.feature("Packet Length Min").alias("Packet Length Min"),
     )
 
 
+@query
+def csv_mixed_dialects(spark, sf_dir):
+    """One directory with files of two header dialects in different column orders."""
+    path, rows = scratch(spark), lineitem(spark, sf_dir)
+    short = rows.filter("l_linenumber < 3").select(
+        "l_orderkey", "l_linenumber", F.col("l_quantity").alias("Destination Port"), F.col("l_extendedprice").alias("Pkt Len Min")
+    )
+    full = rows.filter("l_linenumber >= 3").select(
+        F.col("l_extendedprice").alias("Packet Length Min"), "l_linenumber", F.col("l_quantity").alias("Dst Port"), "l_orderkey"
+    )
+    flow_csv.export_csv(short, path, "append")
+    flow_csv.export_csv(full, path, "append")
+    return csv_values(flow_csv.read_flow_csv(spark, path))
+
+
 @query
 def default_label(spark, sf_dir):
     return col.shown_label(samples.raw_scores(spark, sf_dir)).select("flow_uid", "human_label")
@@ -601,6 +619,24 @@ def stream_flows(spark, sf_dir):
     return rounded(stream.flows()).drop("start_ts")
 
 
+@query
+def stream_restart(spark, sf_dir):
+    """Two captures through one stream: a flush and a restart between them."""
+    from tidewatch.streaming.flows import FlowStream
+    from tidewatch.streaming.live import packet_stream
+
+    root, packets = scratch(spark), samples.packets(spark, sf_dir)
+    t = F.unix_micros("ts")
+    n, middle = packets.agg(F.count(F.lit(1)), F.expr("(min(unix_micros(ts)) + max(unix_micros(ts))) div 2")).first()
+    files = max(1, n // 4_000_000)
+    for part in (packets.filter(t < middle), packets.filter(t >= middle)):
+        part.repartition(files).write.mode("append").parquet(f"{root}/packets")
+        stream = FlowStream(spark, f"{root}/state", delay="1 second")
+        stream.start(packet_stream(spark, f"{root}/packets", files_per_trigger=files), f"{root}/checkpoint").awaitTermination()
+        stream.flush()
+    return rounded(stream.flows()).drop("start_ts")
+
+
 # ---- training
 
 

@@ -27,11 +27,14 @@ pk AS (
 """
 
 
-def walk(window: int | None = None) -> str:
+def walk(window: int | None = None, halves: bool = False) -> str:
     """Packet-by-packet state machine as a recursive query, and flow aggregates."""
     capture = f"t_us - t_us % {window}" if window else "0"
     last = "(SELECT max(t_us) FROM ord)"
     last = f"least({last}, capture + {window})" if window else last
+    if halves:  # two captures, one after the other
+        capture = "CASE WHEN t_us < (SELECT (min(t_us) + max(t_us)) // 2 FROM pk) THEN 0 ELSE 1 END"
+        last = "(SELECT max(o.t_us) FROM ord o WHERE o.capture = iats.capture)"
     std = "coalesce(stddev_samp({}), 0.0)"
     return f"""
 WITH RECURSIVE {PACKETS},
@@ -251,6 +254,7 @@ def oracle_sql() -> dict[str, str]:
     q["flow_counts"] = f"""{flows} SELECT count(*) AS flows, count(*) FILTER (protocol0 = 6) AS flows_tcp,
         count(*) FILTER (protocol0 = 17) AS flows_udp, count(*) FILTER (end_reason = 'flush') AS open_flows FROM flows"""
     q["stream_flows"] = q["flow_features"]
+    q["stream_restart"] = f"{walk(halves=True)} SELECT {FLOW_HEAD}, {ROUNDED} FROM flows"
 
     # columns
     q["canonical_columns"] = """SELECT l_orderkey, l_linenumber, l_quantity AS "Dst Port", l_extendedprice AS "Packet Length Min",
@@ -260,6 +264,7 @@ def oracle_sql() -> dict[str, str]:
     q["clean_features"] = f"""WITH {dirty} SELECT event_id, CASE WHEN event_id % 8 < 5 THEN 0.0 ELSE value END AS "Idle Max" FROM d"""
     q["unparsed_counts"] = f"""WITH {dirty} SELECT 'Idle Max' AS feature, count(*) FILTER (txt = 'n/a') AS unparsed FROM d"""
     q["csv_round_trip"] = """SELECT l_orderkey, l_linenumber, l_quantity AS "Dst Port", l_extendedprice AS "Packet Length Min" FROM lineitem"""
+    q["csv_mixed_dialects"] = q["csv_round_trip"]
     q["default_label"] = f"WITH {RAW} SELECT flow_uid, coalesce(human_label, '—') AS human_label FROM raw"
     q["append_aligned"] = f"""WITH {RAW} SELECT flow_uid, score_raw, human_label FROM raw WHERE scope = 'error'
         UNION ALL SELECT flow_uid, score_raw, NULL FROM raw WHERE scope <> 'error'"""

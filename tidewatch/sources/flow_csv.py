@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from tidewatch.functions.columns import canonical_name, canonicalize, quoted, shown_label
 from tidewatch.operators.sampling import first_rows
+from tidewatch.session import file_system
 
 SOURCE = "source_file"
 
@@ -25,6 +26,22 @@ def header_of(spark: SparkSession, path: str) -> list[str]:
     return next(csv.reader([first[0].value.lstrip("﻿")]))
 
 
+def csv_files(spark: SparkSession, path: str) -> list[str]:
+    """The non-empty files a path, directory or pattern stands for, sorted by name."""
+    fs, pattern = file_system(spark, path)
+    found = fs.globStatus(pattern)
+    if not found:
+        raise FileNotFoundError(path)
+    files = []
+    for status in found:
+        inner = fs.listStatus(status.getPath()) if status.isDirectory() else [status]
+        files += [
+            f.getPath().toString() for f in inner
+            if not f.isDirectory() and f.getLen() and not f.getPath().getName().startswith(("_", "."))
+        ]
+    return sorted(files)
+
+
 def group_dialects(spark: SparkSession, paths: Sequence[str]) -> tuple[dict[tuple[str, ...], list[str]], dict[str, str]]:
     """Files by header line, and the files whose header cannot be read with the reason."""
     groups: dict[tuple[str, ...], list[str]] = {}
@@ -63,14 +80,14 @@ def read_flow_csv(
     """Flow CSVs as text columns under canonical names plus ``source_file``.
 
     With ``header`` all files (or directories) are taken to have it and nothing is
-    read ahead; otherwise the first line of every listed file decides.  ``drop``
+    read ahead; otherwise the first line of every file decides, in directories too.  ``drop``
     names raw header cells to leave out.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     if header is not None:
         groups = {tuple(header): paths}
     else:
-        groups, failed = group_dialects(spark, paths)
+        groups, failed = group_dialects(spark, [f for p in paths for f in csv_files(spark, p)])
         if failed:
             raise ValueError(f"unreadable flow files: {failed}")
     parts = []
