@@ -139,7 +139,12 @@ def links(nodes: DataFrame, tested: DataFrame, docs: DataFrame, words: int, perc
         .select("bucket", F.col("low").alias("center"))
     )
     members = stage_table(banded.join(shared, "bucket"))
-    labels = components(tested.select("a", "b"))
+    # First one centre per node: most near copies meet their component here, and the
+    # rounds below only compare across components.
+    nearest = members.filter("node <> center").groupBy("node").agg(F.min("center").alias("center"))
+    start = nearest.select(F.col("node").alias("x"), F.col("center").alias("y"))
+    tested = stage_table(tested.unionByName(compare(_ordered(start), docs, words, percent)))
+    labels = components(tested.filter("linked").select("a", "b"))
     for _ in range(STAR_ROUNDS):
         if members.isEmpty():
             break
