@@ -82,3 +82,16 @@ def test_rule_takes_the_smallest_sum_of_squares(size):
         if best is None or cost <= best[0]:
             best = (cost, h)
     assert levels.level_for(size) == best[1]
+
+
+def test_added_tokens_in_a_text_are_those_of_the_library(make_docs):
+    lib = library()
+    lib.encode_special_tokens = False
+    texts = ["x <|endoftext|> a", "<|endoftext|>", "<|endoftext|><|endoftext|>  b", "é<|endoftext|>\n\n", "<|endoftext|", "it's <|ENDOFTEXT|> we", "", "   "]
+    found = {p.doc_id: p for p in packing.pack(make_docs(list(enumerate(texts)))).collect() if p.start == 0}
+    for doc, text in enumerate(texts):
+        want = np.array(lib.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        assert found[doc].doc_tokens == len(want) + 1
+        assert found[doc].ids_crc32 == zlib.crc32(np.append(want, np.uint32(0))[: found[doc].length].tobytes())
+        assert tokens.token_ids().ids(text) == want.tobytes()
+    assert tokens.token_ids().ids("x <|endoftext|> a") == np.array([87, 220, 50256, 257], dtype="<u4").tobytes()

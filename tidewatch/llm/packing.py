@@ -137,7 +137,7 @@ def pack(docs: DataFrame, width: int = WIDTH, vocabulary: str = "byte_bpe_50k.ti
 
         for batch in batches:
             for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = codec.encode(text or "") + END
+                ids = codec.ids(text or "") + END
                 total = len(ids) // 4
                 piece = Piece(doc, 0, ids, total)
                 while len(piece) >= width:

@@ -53,7 +53,7 @@ def counted(docs: DataFrame, version: str) -> DataFrame:
         codec = token_ids()
         for batch in batches:
             columns = (batch[c] for c in ("doc_id", "source", "lang", "text"))
-            yield [(d, s, g, version, len(codec.encode(t or "")) // 4) for d, s, g, t in zip(*columns, strict=True)]
+            yield [(d, s, g, version, len(codec.ids(t or "")) // 4) for d, s, g, t in zip(*columns, strict=True)]
 
     return map_rows(
         docs.select("doc_id", "source", "lang", "text"), run, "doc_id long, source string, lang string, tokenizer_version string, n_tokens long"
