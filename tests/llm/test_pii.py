@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from odd_rows import ODD
@@ -82,3 +83,16 @@ def test_stage_masks_and_keeps_columns(clash, make_docs):
     row = pii.pii_stage(None, make_docs([(1, "ip 10.0.0.1 end")]), "").first()
     assert row.text == "ip [ip] end" and row.n_chars == 11
     assert pii.pii_stage(None, make_docs([]), "").count() == 0
+
+
+def test_loud_words_inside_a_run_move_its_end():
+    tag = pii.tagger()
+    secret = "9b0b3c6a43eb78aa99cbd7049c572391524f37a8"
+    tails = ["bob (at) example (dot) com", "call 555-123-4567", "call 555 123 4567", "card 4111.1111.1111.1112", f'token = "{secret}"', "mail a@b.example.com"]
+    texts = [f"{loud} {'w ' * gap}{tail} and so on {'w ' * 9}" for loud in ("12", "a=b", "x_y") for gap in range(8) for tail in tails]
+    rng = random.Random(8)
+    parts = ["w", "w", "w", "w", "w", "ab12", "(at)", "x(dot)", "=", "key", "call", "555", "a_b,", "\n", *tails]
+    texts += [" ".join(rng.choice(parts) for _ in range(rng.randint(1, 60))) for _ in range(2_000)]
+    assert pii.model_spans(texts, tag) == pii.model_spans(texts, tag, whole=True)
+    text = "12 w w bob (at) example (dot) com and so on"
+    assert pii.mask(text, pii.find_spans([text], tag)[0][1]) == "12 w w [email] and so on"

@@ -255,20 +255,24 @@ def _runs(text: str) -> Iterator[list[tuple[int, int]]]:
     """Words to decode together: around loud words, five words on either side.
 
     A word three places from a loud one is ``O`` for certain and ends the run; the two
-    beyond it complete the neighbourhoods.
+    beyond it complete the neighbourhoods.  Loud words inside the run move its end too:
+    it is counted from the last one, once a match lies beyond the end known so far.
     """
-    begin = stop = -1
+    begin = stop = last = -1
     for m in _LOUD.finditer(text):
-        if m.start() < stop:
-            continue
-        left, right = _around(text, m.start(), -REACH), _around(text, m.end(), REACH)
-        if left > stop:
+        if m.start() >= stop:
             if begin >= 0:
-                yield _shifted(text, begin, stop)
-            begin = left
-        stop = max(right, stop)
+                stop = _around(text, last, REACH)
+            if m.start() >= stop:
+                left = _around(text, m.start(), -REACH)
+                if left > stop:
+                    if begin >= 0:
+                        yield _shifted(text, begin, stop)
+                    begin = left
+                stop = m.end()
+        last = m.end()
     if begin >= 0:
-        yield _shifted(text, begin, stop)
+        yield _shifted(text, begin, _around(text, last, REACH))
 
 
 REACH = 5
