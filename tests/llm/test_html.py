@@ -48,3 +48,16 @@ def test_held_out_layouts():
         right += sum(html.LABELS[n] == y for n, (_, _, y) in zip(labels, page, strict=True))
         total += len(page)
     assert right > 0.98 * total
+
+
+def test_head_without_an_end_and_closed_drawings_keep_the_article():
+    body = "<article><h1>A title</h1><p>First line, with some more words in it.</p>{}<p>Last paragraph of the article, long enough.</p></article>"
+    want = "A title\nFirst line, with some more words in it.\nLast paragraph of the article, long enough."
+    assert text(f"<html><head><title>t</title><meta charset=utf-8><body>{body.format('')}</body></html>") == want
+    assert text(f"<html><head><style>p{{}}</style><template><p>no</p></template>\n{body.format('')}</html>") == want
+    for drawing in ('<svg class="icon" />', "<math/>", "<svg><title/><path d='x'/></svg>", "<svg><style/>x</svg>"):
+        assert text(f"<html><head></head><body>{body.format(drawing)}</body></html>") == want
+    found = lambda page: [t for t, _ in html.blocks(page)]
+    assert found("<p><svg/>a<p>b") == ["a", "b"] and found("<p><svg>x<p>b<p>c") == ["b", "c"]
+    assert found("<div><p>a<template>x<p>y</p></template>z<p>b</div>c") == ["a", "z", "b", "c"]
+    assert found("<head><title>t</title>a<p>b") == ["a", "b"] and found("<head><link rel=x> <!-- c --> </head>a") == ["a"]

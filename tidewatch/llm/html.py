@@ -8,7 +8,8 @@ here from a seed over many layouts; at most ``MAX_LABELLED`` pages, a documented
 and decoded by Viterbi for many pages at once.
 
 Scripts, styles, templates, the head, form controls and comments of the markup are no
-text.  Character references are decoded; white space inside a block, ``<br>``
+text; the head ends with its tag or before the first tag or text that cannot be in it.
+Character references are decoded; white space inside a block, ``<br>``
 included, is one space; blocks are joined by a line feed; nothing else is dropped.
 
 Defined cases: a null or empty html has an empty text; broken markup is read as far as
@@ -39,6 +40,8 @@ _TOKEN = re.compile(
 )
 _ATTR = re.compile(r"""(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _SILENT = frozenset("script style template noscript head title svg math iframe object select option button textarea datalist".split())
+_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
+_FOREIGN = frozenset(["svg", "math"])
 _RAW = frozenset("script style textarea title iframe noscript".split())
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _INLINE = frozenset(
@@ -96,6 +99,9 @@ def blocks(html: str | None) -> list[tuple[str, Block]]:
         tag = m.group("tag")
         if tag is None:
             piece = m.group()
+            if stack and stack[-1][0] == "head" and not piece.isspace() and (piece[0] != "<" or len(piece) == 1):
+                stack.pop()
+                silent -= 1
             if silent or (piece[0] == "<" and len(piece) > 1):
                 continue
             if current is None:
@@ -108,6 +114,9 @@ def blocks(html: str | None) -> list[tuple[str, Block]]:
                 current.links += len(piece)
             continue
         tag = tag.lower()
+        if stack and stack[-1][0] == "head" and not m.group("end") and tag not in _HEAD:
+            stack.pop()
+            silent -= 1
         if tag == "br":
             if current is not None:
                 current.parts.append(" ")
@@ -123,11 +132,14 @@ def blocks(html: str | None) -> list[tuple[str, Block]]:
                     del stack[depth:]
                     break
             continue
-        if tag in _VOID or m.group("attr").endswith("/") and tag not in _SILENT:
+        if tag in _VOID or m.group("attr").endswith("/") and (
+            tag not in _SILENT or tag in _FOREIGN or any(name in _FOREIGN for name, _ in stack)
+        ):
             continue
         if tag in _CLOSES_P or tag in ("li", "dt", "dd", "tr", "td", "th"):
             _close_implied(stack, tag)
             links = sum(name == "a" for name, _ in stack)
+            silent = sum(name in _SILENT for name, _ in stack)
         if tag in _RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
             at = end.end() if end else len(html)
@@ -148,6 +160,7 @@ def _close_implied(stack: list, tag: str) -> None:
     """An open paragraph ends at a block; a list item or cell at the next one."""
     ends = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th")}.get(tag, ("p",))
     stops = ("ul", "ol", "dl", "table", "div", "article", "section", "aside", "main", "body", "nav", "form", "header", "footer")
+    stops += ("template", "object", "select", "button", "foreignobject")
     for depth in range(len(stack) - 1, -1, -1):
         name = stack[depth][0]
         if name in ends:
