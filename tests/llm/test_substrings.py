@@ -85,3 +85,20 @@ def test_collection_finds_common_prefixes(tmp_path):
 def test_ranges_cover_all_places_once():
     places = [a for lo, hi in substrings.RANGES for a in range(lo, hi + 1)]
     assert places == list(range(substrings.SIDE + 1))
+
+
+def test_no_key_has_many_unlike_pieces(spark, make_docs, monkeypatch):
+    seen, built = [], substrings._built
+
+    def watched(parts):
+        seen.append(parts.groupBy("key").agg(substrings.F.countDistinct("body").alias("m")).agg(substrings.F.max("m")).first()[0])
+        return built(parts)
+
+    monkeypatch.setattr(substrings, "HOT", 8)
+    monkeypatch.setattr(substrings, "_built", watched)
+    rng = random.Random(4)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = text(230)
+    texts = [text(rng.randint(0, 150)) + passage[: rng.choice([230, 230, 215])] + text(rng.randint(0, 150)) for _ in range(60)]
+    assert got(make_docs(list(enumerate(texts))), spark) == brute(texts)
+    assert len(seen) == 1 and seen[0] <= 8

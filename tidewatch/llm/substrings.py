@@ -20,7 +20,10 @@ A byte goes if a string of ``SPAN`` bytes that covers it also starts anywhere el
 
 An anchor with more than ``HOT`` distinct contexts is split by the place of the window:
 windows that begin ``a`` bytes before the gram, for ranges of ``a`` that double, each
-range keyed by the bytes all its windows share.  Equal pieces count as one again.
+range keyed by the bytes all its windows share.  Equal pieces count as one again.  A key
+with more than ``HOT`` distinct pieces has its range halved, at last to single places,
+where the piece is the window itself: equal ones are counted, none is built.  So a key
+brings at most ``HOT`` unlike pieces into a task.
 
 Hashes are 64 bits; grams, contexts and pieces with equal hashes are taken as equal.
 
@@ -221,7 +224,11 @@ def _minima(values: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarr
 
 def pieces(data: bytes, place: int, ranges: tuple) -> Iterator[tuple[int, int, bytes, bytes, bytes]]:
     """(lo, hi, shared core, left, right) of a context per range of window places."""
-    left, right = data[max(0, place - SIDE) : place], data[place + GRAM : place + GRAM + SIDE]
+    yield from parted(data[max(0, place - SIDE) : place], data[place + GRAM : place + GRAM + SIDE], ranges)
+
+
+def parted(left: bytes, right: bytes, ranges: tuple) -> Iterator[tuple[int, int, bytes, bytes, bytes]]:
+    """The same from what lies on either side of the gram."""
     for lo, hi in ranges:
         if lo > len(left) or SIDE - hi > len(right):
             continue
@@ -233,6 +240,14 @@ def _hash(data: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
 
 
+def _key(gram: int, lo: int, core: bytes) -> int:
+    return _hash(gram.to_bytes(8, "little", signed=True) + bytes([lo]) + core)
+
+
+def _body(near: bytes, far: bytes) -> int:
+    return _hash(near + b"\0" + far + len(near).to_bytes(2, "little"))
+
+
 PIECE = "gram long, ctx long, lo int, hi int, key long, body long, near binary, far binary"
 
 
@@ -255,9 +270,8 @@ def _fetched(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 data = _raw(text)
                 for w in wanted:
                     for lo, hi, core, near, far in pieces(data, w["place"], RANGES if w["hot"] else WHOLE):
-                        key = _hash(w["gram"].to_bytes(8, "little", signed=True) + bytes([lo]) + core) if w["hot"] else w["gram"]
-                        body = _hash(near + b"\0" + far + len(near).to_bytes(2, "little"))
-                        rows.append((w["gram"], w["ctx"], lo, hi, key, body, near, far))
+                        key = _key(w["gram"], lo, core) if w["hot"] else w["gram"]
+                        rows.append((w["gram"], w["ctx"], lo, hi, key, _body(near, far), near, far))
                 if len(rows) > 20_000:
                     yield rows
                     rows = []
@@ -266,6 +280,34 @@ def _fetched(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return stage_table(map_rows(joined.select("text", "wanted"), run, PIECE))
 
 
+def _split(parts: DataFrame) -> DataFrame:
+    """``parts`` with the range of every key of more than ``HOT`` distinct pieces halved, as often as it takes."""
+
+    def halves(batches: Iterator[dict]) -> Iterator[list[tuple]]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for gram, ctx, lo, hi, near, far in zip(*(batch[c] for c in ("gram", "ctx", "lo", "hi", "near", "far")), strict=True):
+                middle = (lo + hi) // 2
+                for a, b, core, left, right in parted(near, far, ((lo, middle), (middle + 1, hi))):
+                    rows.append((gram, ctx, a, b, _key(gram, a, core), _body(left, right), left, right))
+            yield rows
+
+    done = []
+    while True:
+        # Undivided anchors have few contexts; a single place has one piece a key.
+        wide = parts.filter((F.col("lo") < F.col("hi")) & (F.col("hi") - F.col("lo") < SIDE))
+        unlike = wide.groupBy("key", "body").agg(F.count(F.lit(1))).groupBy("key").agg(F.count(F.lit(1)).alias("m"))
+        large = stage_table(unlike.filter(F.col("m") > HOT).select("key"))
+        if large.isEmpty():
+            break
+        done.append(join_checked(parts, large, ["key"], "left_anti", row_bytes=16))
+        again = join_checked(parts, large, ["key"], "left_semi", row_bytes=16)
+        parts = stage_table(map_rows(again.select("gram", "ctx", "lo", "hi", "near", "far"), halves, PIECE))
+    for rows in done:
+        parts = parts.unionByName(rows)
+    return parts
+
+
 def _built(parts: DataFrame) -> DataFrame:
     """(key, body, runs) for each distinct piece: window places that repeat."""
     distinct = parts.groupBy("key", "body").agg(F.min("near").alias("near"), F.min("far").alias("far"))
@@ -309,8 +351,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     )
     counts = distinct.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     mixed = stage_table(counts.select("gram", (F.col("m") > HOT).alias("hot")))
-    parts = _fetched(docs, distinct.join(mixed, "gram"))
-    built = _built(parts)
+    parts = _split(_fetched(docs, distinct.join(mixed, "gram")))
+    built = _built(parts.filter("lo < hi"))
     whole = F.array(F.struct(F.lit(0).alias("lo"), F.lit(SIDE).alias("hi")))
     alone = distinct.filter("n > 1").select("gram", "ctx", whole.alias("runs"))
     # Pieces that several contexts share repeat as a whole.
