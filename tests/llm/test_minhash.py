@@ -80,3 +80,11 @@ def test_components_of_paths_and_hubs(spark):
     out = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert {out[i] for i in range(301)} == {0} and {out[i] for i in range(1000, 1200)} == {1000} and 5000 not in out
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_stage_keeps_unlike_texts_of_one_id(make_docs):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(12)) for x in "abc")
+    rows = [(1, a), (1, b), (1, a, "de", "z"), (2, a), (5, a), (5, c), (None, a), (7, None), (7, "")]
+    out = [(r.doc_id, r.text or "") for r in minhash.dedup_stage(None, make_docs(rows), "").collect()]
+    texts = sorted(t for d, t in out if d is not None)
+    assert texts == ["", a, b, c] and (1, b) in out and (5, c) in out and (None, a) in out and len(out) == 5

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import join_checked, map_rows, stage_table, table
+from tidewatch.llm.common import fresh_name, join_checked, map_rows, stage_table, table
 from tidewatch.llm.components import components
 from tidewatch.llm.hashing import Ranges, mix, odd
 
@@ -246,14 +246,28 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
 
 def dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each group of near copies stays."""
-    verdicts = stage_table(near_duplicates(docs, words=5, percent=80))
-    gone = stage_table(verdicts.filter("NOT kept").select("doc_id").distinct())
-    repeated = stage_table(verdicts.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
-    stay = join_checked(docs, gone, ["doc_id"], "left_anti", row_bytes=16)
-    once = join_checked(stay, repeated, ["doc_id"], "left_anti", row_bytes=16)
-    again = join_checked(stay, repeated, ["doc_id"], "left_semi", row_bytes=16).dropDuplicates(["doc_id"])
-    return once.unionByName(again).select(*docs.columns)
+    """Pipeline stage: one document of each group of near copies stays.
+
+    Unlike texts of one id are documents of their own here: the text with the smallest
+    hash goes by the id, the others by a hash of id and text above 2^62.  Of rows with
+    equal id and text the smallest stays.
+    """
+    text = F.xxhash64(F.coalesce("text", F.lit("")))
+    repeated = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("m"), F.min(text).alias("_first"))
+    repeated = stage_table(repeated.filter("m > 1").select(F.col("doc_id").alias("_again"), "_first"))
+    vertex = fresh_name(docs, "_vertex")
+    own = F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    rows = docs.select(*docs.columns, F.col("doc_id").alias(vertex))
+    if not repeated.isEmpty():
+        same = F.col("doc_id") == F.col("_again")
+        again = join_checked(docs, repeated, same, row_bytes=32)
+        again = again.select(*[docs[c] for c in docs.columns], F.when(text == F.col("_first"), F.col("doc_id")).otherwise(own).alias(vertex))
+        again = again.groupBy(vertex).agg(F.min(F.struct(*docs.columns)).alias("_row"))
+        again = stage_table(again.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns], vertex))
+        rows = join_checked(rows, repeated, same, "left_anti", row_bytes=32).unionByName(again)
+    verdicts = near_duplicates(rows.select(F.col(vertex).alias("doc_id"), "text"), words=5, percent=80)
+    gone = stage_table(verdicts.filter("NOT kept").select(F.col("doc_id").alias(vertex)).distinct())
+    return join_checked(rows, gone, [vertex], "left_anti", row_bytes=16).select(*docs.columns)
 
 
 def op10_near_duplicates(spark, sf_dir) -> DataFrame:
