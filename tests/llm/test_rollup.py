@@ -39,3 +39,15 @@ def test_vocabulary_version(odd_docs):
     assert got == sorted(len(token_ids().encode(r.text or "")) // 4 for r in odd_docs.collect())
     with pytest.raises(ValueError, match="unknown"):
         rollup.counted(odd_docs, "nope")
+
+
+def test_query_over_the_vocabulary_equals_brute_force(spark, sf):
+    from tidewatch.llm import registry
+
+    want = {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        if len((r.text or "").encode().split()) >= rollup.MIN_WORDS:
+            docs, tokens = want.get((r.source, r.lang, "bpe-50k"), (0, 0))
+            want[r.source, r.lang, "bpe-50k"] = (docs + 1, tokens + len(token_ids().ids(r.text)) // 4)
+    got = registry.queries()["op9_token_counts_bpe"](spark, sf).collect()
+    assert want and {(t.source, t.lang, t.tokenizer_version): (t.n_docs, t.n_tokens) for t in got} == want

@@ -17,6 +17,7 @@ def queries():
         "op7_quality": quality.op7_quality,
         "op8_packing": packing.op8_packing,
         "op9_token_counts": rollup.op9_token_counts,
+        "op9_token_counts_bpe": rollup.op9_token_counts_bpe,
         "op10_near_duplicates": minhash.op10_near_duplicates,
         "pipeline": corpus_pipeline.run,
     }

@@ -125,17 +125,36 @@ def op9_token_counts(spark, sf_dir) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     first = VERSIONS["words-1"](F.col("text")).alias("first")
     both = stage_table(docs.select("doc_id", "source", "lang", first, VERSIONS["words-2"](F.col("text")).alias("second")))
+    return _maintained(spark, both, "words-2", F.coalesce(F.col("lang") != "en", F.lit(True)))
+
+
+def op9_token_counts_bpe(spark, sf_dir) -> DataFrame:
+    """The same with all documents recounted by the vocabulary."""
+    docs = table(spark, sf_dir, "documents")
+
+    def run(batches):
+        codec = token_ids()
+        for batch in batches:
+            columns = (batch[c] for c in ("source", "lang", "first", "text"))
+            yield [(s, g, n, len(codec.ids(t or "")) // 4) for s, g, n, t in zip(*columns, strict=True)]
+
+    first = VERSIONS["words-1"](F.col("text")).alias("first")
+    both = map_rows(docs.select("source", "lang", first, "text"), run, "source string, lang string, first long, second long")
+    return _maintained(spark, stage_table(both), "bpe-50k", F.lit(True))
+
+
+def _maintained(spark, both: DataFrame, version: str, recounted: Column) -> DataFrame:
+    """Totals after load, recount of some rows under ``version``, the load again, deletes."""
 
     def under(rows: DataFrame, version: str, count: str) -> DataFrame:
         return rows.select("source", "lang", F.lit(version).alias("tokenizer_version"), F.col(count).alias("n_tokens"))
 
-    recounted = F.coalesce(F.col("lang") != "en", F.lit(True))
     foreign, short = both.filter(recounted), both.filter(F.col("first") < MIN_WORDS)
     rollup = TokenRollup(spark, shared_folder(spark, "rollup"))
     load = inserts(under(both, "words-1", "first"))
     rollup.commit("load", load)
-    rollup.commit("recount", revisions(under(foreign, "words-1", "first"), under(foreign, "words-2", "second")))
+    rollup.commit("recount", revisions(under(foreign, "words-1", "first"), under(foreign, version, "second")))
     rollup.commit("load", load)
-    gone = under(short.filter(~recounted), "words-1", "first").unionByName(under(short.filter(recounted), "words-2", "second"))
+    gone = under(short.filter(~recounted), "words-1", "first").unionByName(under(short.filter(recounted), version, "second"))
     rollup.commit("short", deletes(gone))
     return rollup.totals()
