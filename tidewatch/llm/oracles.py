@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import mixing, quality, rollup
+from tidewatch.llm import licenses, mixing, quality, rollup
+from tidewatch.llm.license_rules import CONFIDENCE, rules
 
 SPACE = "\\x20\\x09-\\x0D"
 
@@ -170,5 +171,43 @@ FROM d WHERE a >= 20 GROUP BY ALL
 """
 
 
+def _licenses() -> str:
+    rows = ", ".join(f"({r.rule}, {r.tier}, '{r.label}', '{r.keyword}', '{licenses.pattern(r.signature)}')" for r in rules())
+    wanted = ", ".join(f"'{k}'" for k in licenses.keywords())
+    base = " UNION ALL ".join(
+        f"SELECT rid, '{label}' AS label, unnest(regexp_extract_all(num, '{licenses.pattern(phrase, group=True)}', 1))::BIGINT AS place FROM g"
+        for phrase, label in licenses.BASE
+    )
+    confidence = " ".join(f"WHEN {t} THEN {c}::DOUBLE" for t, c in CONFIDENCE.items())
+    return rf"""
+WITH r(rule, tier, label, keyword, pattern) AS (VALUES {rows}),
+d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         list_filter(string_split_regex(translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}'), '{licenses.GAP}'), lambda x: x <> '') AS ws
+  FROM documents
+), g AS (
+  SELECT rid, ws, ' ' || array_to_string(list_transform(ws, lambda w, i: (i - 1) || ':' || w), '  ') || ' ' AS num
+  FROM d WHERE list_has_any(ws, [{wanted}])
+), b AS ({base}), bs AS (
+  SELECT rid, count(*)::BIGINT AS n_base, min(place) AS first_word, max(place) AS last_word, list(DISTINCT label) AS ls FROM b GROUP BY rid
+), m AS (
+  SELECT rid, rule, tier, label, unnest(regexp_extract_all(num, pattern)) AS hit FROM g JOIN r ON list_contains(ws, keyword)
+), x AS (
+  SELECT rid, rule, tier, label, regexp_extract(hit, '^ ([0-9]+):', 1)::BIGINT AS a, regexp_extract(hit, '([0-9]+):[^ ]* $', 1)::BIGINT AS z FROM m
+), s AS (
+  SELECT * FROM x WHERE NOT EXISTS (
+    SELECT 1 FROM x AS y WHERE y.rid = x.rid AND y.tier <= x.tier AND y.a <= x.a AND y.z >= x.z
+      AND (y.a < x.a OR y.z > x.z OR y.tier < x.tier OR y.rule < x.rule))
+), v AS (
+  SELECT rid, list(DISTINCT label) AS ms, max(CASE tier {confidence} END) AS score FROM s GROUP BY rid
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word,
+       array_to_string(list_sort(coalesce(ls, [])), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(coalesce(ls, []), coalesce(ms, [])))), ',') AS labels,
+       coalesce(score, 0)::DOUBLE AS score
+FROM d LEFT JOIN bs USING (rid) LEFT JOIN v USING (rid)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_token_counts": OP9, "op3_top_k": OP3, "op4_mixing": OP4, "op6_warc": OP6, "op7_quality": OP7}
+    return {"op9_token_counts": OP9, "op3_top_k": OP3, "op4_mixing": OP4, "op6_warc": OP6, "op7_quality": OP7, "op12_licenses": _licenses()}
