@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import licenses, mixing, quality, rollup
+from tidewatch.llm import licenses, mixing, phrases, quality, rollup
 from tidewatch.llm.license_rules import CONFIDENCE, rules
 
 SPACE = "\\x20\\x09-\\x0D"
@@ -209,5 +209,37 @@ FROM d LEFT JOIN bs USING (rid) LEFT JOIN v USING (rid)
 """
 
 
+OP11 = rf"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), w AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p
+), g AS (
+  SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, range(1, {phrases.MAX_WORDS} + 1) AS t(k) WHERE len(ws) >= k)
+), tot AS (SELECT lang, count(*) AS n FROM g WHERE k = 1 GROUP BY lang),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= {phrases.MIN_COUNT}),
+c AS (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE k > 1),
+cut AS (SELECT *, unnest(range(1, k)) AS at_word FROM c),
+sc AS (
+  SELECT cut.lang, cut.phrase, cut.k, cut.a, at_word, x.a AS l, y.a AS r, {phrases.SCALE}::HUGEINT * cut.a // (x.a + y.a) AS score
+  FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = array_to_string(cut.ws[:at_word], ' ')
+           JOIN f y ON y.lang = cut.lang AND y.phrase = array_to_string(cut.ws[at_word + 1:], ' ')
+), best AS (
+  SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, at_word) = 1
+), inn AS (
+  SELECT lang, array_to_string(ws[i:i + m - 1], ' ') AS phrase, max(a) AS longest
+  FROM (SELECT lang, ws, a, m, unnest(range(1, k - m + 2)) AS i FROM c, range(2, {phrases.MAX_WORDS}) AS t(m) WHERE m < k) GROUP BY ALL
+), kept AS (
+  SELECT best.* FROM best LEFT JOIN inn USING (lang, phrase) WHERE longest IS NULL OR 100 * longest < {phrases.CONTAINED_PERCENT} * a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)::BIGINT AS rank, phrase,
+       a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM kept JOIN tot USING (lang) QUALIFY rank <= {phrases.TOP}
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_token_counts": OP9, "op3_top_k": OP3, "op4_mixing": OP4, "op6_warc": OP6, "op7_quality": OP7, "op12_licenses": _licenses()}
+    return {"op9_token_counts": OP9, "op3_top_k": OP3, "op4_mixing": OP4, "op6_warc": OP6, "op7_quality": OP7, "op11_phrases": OP11, "op12_licenses": _licenses()}

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tidewatch.llm import balltree, html, licenses, minhash, mixing, oracles, packing, pii, quality, rollup, runs, substrings, warc
+from tidewatch.llm import balltree, html, licenses, minhash, mixing, oracles, packing, phrases, pii, quality, rollup, runs, substrings, warc
 
 
 def queries():
@@ -19,6 +19,7 @@ def queries():
         "op9_token_counts": rollup.op9_token_counts,
         "op9_token_counts_bpe": rollup.op9_token_counts_bpe,
         "op10_near_duplicates": minhash.op10_near_duplicates,
+        "op11_phrases": phrases.op11_phrases,
         "op12_licenses": licenses.op12_licenses,
         "op13_runs": runs.op13_runs,
         "pipeline": corpus_pipeline.run,
