@@ -276,14 +276,6 @@ def merge_pieces(df: DataFrame, by: list[str], idle: int) -> DataFrame:
     return df.groupBy(*flow).agg(*[F.expr(f"{e} AS {n}") for n, e in values.items()])
 
 
-def as_open_piece(flow: DataFrame, by: list[str]) -> DataFrame:
-    """An unfinished flow as the piece that precedes everything to come."""
-    flags = {f"{p}_{c}": F.lit(False) for p in ("start", "closes") for c in CASES}
-    opened = {f"open_{c}": F.col("left_open") for c in CASES}
-    out = flow.withColumns({"chunk": F.lit(-1), "piece": F.lit(0).cast("long"), **flags, **opened})
-    return out.drop("flow_chunk", "flow_no", "closes", "left_open", "is_last")
-
-
 def _std(n: Column, s: Column, q: Column) -> Column:
     """Sample deviation from exact count, sum and sum of squares; 0 below two values."""
     nd, sd = n.cast(_EXACT), s.cast(_EXACT)

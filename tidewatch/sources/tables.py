@@ -40,6 +40,15 @@ class AppendTable:
     def exists(self) -> bool:
         return path_exists(self.spark, self.path)
 
+    def tokens(self) -> list[str]:
+        """Tokens of the complete appends, sorted; only folder names are listed."""
+        fs, root = file_system(self.spark, self.path)
+        if not fs.exists(root):
+            return []
+        marker = self.spark._jvm.org.apache.hadoop.fs.Path
+        found = [f.getPath() for f in fs.listStatus(root)]
+        return sorted(p.getName().removeprefix("part=t") for p in found if fs.exists(marker(p, "_SUCCESS")))
+
     def read(self, token: str | None = None) -> DataFrame:
         """All rows, or those of one append (only its files are listed)."""
         if not self.exists():
