@@ -27,6 +27,42 @@ def test_quantiles_are_equal_on_both_sides_of_the_limit(skewed):
     assert [ranks.quantile(df, "v", p, 10**6) for p in probs[::6]] == [ranks.quantile(df, "v", p, 10) for p in probs[::6]]
 
 
+def test_ordered_bits_are_those_of_the_double(spark):
+    rng = np.random.default_rng(1)
+    raw = rng.integers(0, 1 << 64, 20_000, dtype=np.uint64).view(np.float64)
+    edges = np.concatenate([2.0 ** np.arange(-1074, 1024), np.nextafter(2.0 ** np.arange(-1070, 1024), 0), [0.0, np.inf, 5e-324, 1.7976931348623157e308]])
+    x = np.concatenate([raw[~np.isnan(raw)], edges, -edges, [np.nan]])
+    df = spark.createDataFrame([(float(v),) for v in x], "x double")
+    key = ranks.ordered_bits(F.col("x"))
+    got = df.select("x", key.alias("k"), ranks.from_ordered_bits(key).alias("y")).collect()
+    for r in got:
+        bits = int(np.float64(abs(r.x)).view(np.int64)) if r.x == r.x else 0x7FF8 << 48
+        assert r.k == (-bits if r.x < 0 else bits)
+        assert r.y == r.x or (r.x != r.x and r.y != r.y)
+
+
+def test_quantiles_with_null_groups_nan_and_infinities(spark):
+    values = [float(v) for v in range(-50, 50)] + [float("inf"), float("-inf"), float("nan"), 1e-310, -0.0]
+    rows = [(g, v) for g in (None, "a", "b") for v in values] + [("b", None), (None, 3.5)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    probs = [0.0, 0.1, 0.5, 0.77, 0.99, 1.0]
+    found = [
+        sorted((str(r.g), r.prob, str(r.value)) for r in ranks.quantiles(df, "v", probs, ["g"], group_limit=limit).collect())
+        for limit in (10**6, 10)
+    ]
+    assert found[0] == found[1] and len(found[0]) == 3 * len(probs)
+    assert ranks.quantiles(df.limit(0), "v", probs, ["g"], group_limit=10).count() == 0
+
+
+def test_no_row_meets_a_rank(spark):
+    """However many ranks are wanted, the rows of a pass are those of the table."""
+    df = spark.range(5000).select((F.col("id") % 7).alias("g"), (F.col("id") * 37 % 1009).cast("double").alias("v"))
+    probs = [i / 200 for i in range(201)]
+    got = {(r.g, r.prob): r.value for r in ranks.quantiles(df, "v", probs, ["g"], group_limit=100).collect()}
+    want = {(r.g, r.prob): r.value for r in ranks.quantiles(df, "v", probs, ["g"]).collect()}
+    assert got == want
+
+
 @pytest.mark.parametrize("limit", [10**6, 500])
 def test_smallest_beyond_doubles(spark, limit):
     big = 2**62

@@ -1,10 +1,12 @@
 """Exact order statistics and quantiles without gathering a group in one task.
 
-Groups up to ``GROUP_LIMIT`` rows use the exact built-ins.  Larger ones are narrowed
-first: a quantile sketch (combined before the shuffle) gives two values that
-enclose the wanted rank, one pass counts the rows below, and only the rows strictly
-between go on, less than one in two hundred.  The answer is exact, the sketch only
-decides how many rows are looked at again.
+Groups up to ``GROUP_LIMIT`` rows use the exact built-ins.  If a group is larger, all
+ranks of all groups are found together by digits: values become 64-bit whole numbers in
+the same order, and four passes, from the highest 16 bits to the lowest, count the rows
+per digit among those that still share the digits of a wanted rank.  A histogram has at
+most 65 536 cells, is combined before the shuffle and adds up over partitions; a running
+sum over it says in which cell each rank lies.  Rows are never paired with ranks, sorted
+or gathered, and nothing depends on an estimate.
 """
 
 from __future__ import annotations
@@ -14,84 +16,88 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.session import cut_lineage
+from tidewatch.session import cut_lineage, stage_table
 
 GROUP_LIMIT = 1_000_000
 SMALL_SIDE = 100_000
-GRID = 1_000
+SMALL_BYTES = 16 << 20
 ACCURACY = 10_000
+DIGIT = 16
+_NAN = 0x7FF8 << 48
 
 
 def join_small(
     df: DataFrame, small: DataFrame, on: list[str], how: str = "inner", limit: int = SMALL_SIDE, stored: bool = False
 ) -> DataFrame:
-    """Join a usually small table: broadcast if a count proves it small, else shuffle.
+    """Join a usually small table: broadcast if its rows and bytes prove it small, else shuffle.
 
     The shuffled join is left to adaptive execution, which splits skewed keys.
     ``stored`` says the small side is already materialised.
     """
     small = small if stored else cut_lineage(small)
-    if small.limit(limit + 1).count() <= limit:
+    width = F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in small.columns])))
+    rows, size = small.limit(limit + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    if rows <= limit and size <= SMALL_BYTES:
         small = F.broadcast(small)
     return df.join(small, on, how)
 
 
-def _narrow(rows: DataFrame, keys: list[str], targets: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Found values, remaining rows (one group per target) and remaining targets."""
-    points = F.array(*[F.lit(i / GRID) for i in range(GRID + 1)])
-    grid = rows.groupBy(*keys).agg(
-        F.percentile_approx("x", points, F.lit(ACCURACY)).alias("q"), F.count(F.lit(1)).alias("m")
-    )
-    # The sketch is off by at most 1/ACCURACY, a tenth of a grid step.
-    step = F.floor(F.col("base") / F.col("m") * GRID).cast("int")
-    low = F.when(step >= 1, F.get("q", step - 1)).otherwise(float("-inf"))
-    high = F.when(step + 2 <= GRID, F.get("q", step + 2)).otherwise(float("inf"))
-    bounds = cut_lineage(targets.join(grid, keys).select(*keys, "rank", "base", low.alias("lo"), high.alias("hi")))
-    # Few: targets per group times rows/GROUP_LIMIT groups.
-    seen = rows.join(F.broadcast(bounds), keys)
-    x, lo, hi = F.col("x"), F.col("lo"), F.col("hi")
-    counts = seen.filter(x < hi).groupBy(*keys, "rank", "base", "lo", "hi").agg(
-        F.count_if(x < lo).alias("under"),
-        F.count_if(x == lo).alias("at_lo"),
-        F.count_if((x > lo) & (x < hi)).alias("inside"),
-    )
-    full = bounds.join(counts, [*keys, "rank", "base", "lo", "hi"], "left").na.fill(0, ["under", "at_lo", "inside"])
-    until_lo = F.col("under") + F.col("at_lo")
-    found = (
-        F.when(F.col("base") < F.col("under"), F.raise_error("rank below its bracket").cast("double"))
-        .when(F.col("base") < until_lo, lo)
-        .when(F.col("base") >= until_lo + F.col("inside"), hi)
-    )
-    state = cut_lineage(
-        full.select(*keys, "rank", "lo", "hi", found.alias("value"), (F.col("base") - until_lo).alias("base"))
-    )
-    open_targets = state.filter(F.col("value").isNull())
-    left = rows.join(F.broadcast(open_targets.select(*keys, "rank", "lo", "hi")), keys)
-    left = left.filter((x > lo) & (x < hi)).select(*keys, "rank", "x")
-    return (
-        state.filter(F.col("value").isNotNull()).select(*keys, "rank", "value"),
-        cut_lineage(left),
-        open_targets.select(*keys, "rank", "base"),
-    )
-
+def ordered_bits(x: Column) -> Column:
+    """A double as a whole number of the same order: its bits, negated below zero.
 
-def _narrowed(rows: DataFrame, keys: list[str], targets: DataFrame, group_limit: int) -> DataFrame:
-    """Values at ranks of large groups: narrow until every rest is small."""
-    result, group = None, list(keys)
-    targets = cut_lineage(targets.withColumn("base", F.col("rank")))
-    while True:
-        done, rows, targets = _narrow(rows, group, targets)
-        done = done.select(*keys, "rank", "value")
-        result = done if result is None else result.unionByName(done)
-        group = [*keys, "rank"]
-        largest = rows.groupBy(*group).count().agg(F.max("count")).first()[0]
-        if largest is None:
-            return result
-        if largest <= group_limit:
-            w = Window.partitionBy(*group).orderBy("x")
-            ranked = rows.withColumn("base", F.row_number().over(w).cast("long") - 1)
-            found = targets.join(ranked, [*group, "base"]).select(*keys, "rank", F.col("x").alias("value"))
-            return result.unionByName(found)
+    Exponent and fraction come from exact arithmetic on powers of two.  Both zeros are 0,
+    and NaN is above all, as in sorting.
+    """
+    size = F.abs(x)
+    guess = F.least(F.greatest(F.floor(F.log2(size)), F.lit(-1022)), F.lit(1023))
+    power = F.pow(F.lit(2.0), guess)
+    # The logarithm may be off by one next to a power of two.
+    exponent = guess + F.when(size >= 2 * power, 1).when((size < power) & (guess > -1022), -1).otherwise(0)
+    fraction = (size / F.pow(F.lit(2.0), exponent) * float(1 << 52)).cast("long")
+    bits = (exponent + 1022).cast("long") * F.lit(1 << 52) + fraction
+    bits = F.when(F.isnan(x), F.lit(_NAN)).when(size == 0, F.lit(0)).when(size == float("inf"), F.lit(0x7FF << 52)).otherwise(bits)
+    return F.when(x < 0, -bits).otherwise(bits).cast("long")
+
+
+def from_ordered_bits(key: Column) -> Column:
+    """The double of ``ordered_bits``."""
+    bits = F.abs(key)
+    exponent, fraction = F.shiftright(bits, 52), bits.bitwiseAND(F.lit((1 << 52) - 1)).cast("double") / float(1 << 52)
+    normal = (fraction + 1.0) * F.pow(F.lit(2.0), exponent - 1023)
+    value = F.when(bits == _NAN, F.lit(float("nan"))).when(exponent == 0, fraction * 2.0**-1022).otherwise(normal)
+    return F.when(key < 0, -value).otherwise(value)
+
+
+def values_at(rows: DataFrame, targets: DataFrame) -> DataFrame:
+    """(g, rank, key) for ``targets`` (g, rank): the keys at 0-based ranks among the ``rows`` (g, key) of a group.
+
+    ``rows`` are read twice; from the second digit on, a stored copy holds those that
+    share the first digit of a wanted rank.
+    """
+    wanted = F.struct("rank", F.col("rank").alias("base"))
+    state = cut_lineage(targets.groupBy("g").agg(F.collect_set(wanted).alias("ranks")).withColumn("prefix", F.lit(0).cast("long")))
+    for step in range(64 // DIGIT):
+        low = 64 - DIGIT * (step + 1)
+        if step == 0:
+            # Two's complement: the highest digit is signed.
+            live = rows.withColumn("prefix", F.lit(0).cast("long"))
+        else:
+            live = rows.withColumn("prefix", F.shiftright("key", low + DIGIT))
+            live = join_small(live, state.select("g", "prefix"), ["g", "prefix"], "left_semi", stored=True)
+            if step == 1:
+                rows = stage_table(live.select("g", "key"))
+                live = rows.withColumn("prefix", F.shiftright("key", low + DIGIT))
+        cells = live.groupBy("g", "prefix", F.shiftright("key", low).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+        upto = F.sum("n").over(Window.partitionBy("g", "prefix").orderBy("cell"))
+        cells = cells.withColumn("under", upto - F.col("n"))
+        inside = cells.join(state, ["g", "prefix"]).withColumn(
+            "ranks", F.expr("filter(ranks, r -> r.base >= under AND r.base < under + n)")
+        )
+        kept = inside.filter(F.size("ranks") > 0).select(
+            "g", F.col("cell").alias("prefix"), F.expr("transform(ranks, r -> struct(r.rank AS rank, r.base - under AS base))").alias("ranks")
+        )
+        state = cut_lineage(kept)
+    return state.select("g", F.explode("ranks.rank").alias("rank"), F.col("prefix").alias("key"))
 
 
 def _between(low: Column, high: Column, at: Column) -> Column:
@@ -120,27 +126,21 @@ def quantiles(
         pairs = F.arrays_zip(points.alias("prob"), F.col("v").alias("value"))
         return found.select(*by, F.inline(pairs))
 
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    big = counts.filter(F.col("n") > group_limit)
-    if big.isEmpty():
+    grouped = rows.select(F.struct(*keys).alias("g"), ordered_bits(F.col("x")).alias("key"))
+    counts = cut_lineage(grouped.groupBy("g").agg(F.count(F.lit(1)).alias("n")))
+    if counts.filter(F.col("n") > group_limit).isEmpty():
         return exact(rows)
-    big = cut_lineage(big)
-    few = F.broadcast(big.select(*keys))  # at most rows/group_limit groups
     at = (F.col("n") - 1) * F.col("prob")
-    wanted = (
-        big.withColumn("prob", F.explode(points))
-        .withColumns({"low": F.floor(at), "at": at})
-        .withColumn("high", F.least(F.col("low") + 1, F.col("n") - 1))
-    )
-    targets = wanted.select(*keys, F.explode(F.array("low", "high")).alias("rank")).distinct()
-    values = cut_lineage(_narrowed(rows.join(few, keys, "left_semi"), keys, targets, group_limit))
+    wanted = counts.withColumn("prob", F.explode(points)).withColumns({"low": F.floor(at), "at": at})
+    wanted = wanted.withColumn("high", F.least(F.col("low") + 1, F.col("n") - 1))
+    targets = wanted.select("g", F.explode(F.array("low", "high")).alias("rank")).distinct()
+    values = values_at(grouped, targets).withColumn("value", from_ordered_bits(F.col("key")))
 
     def at_rank(name):
-        return values.select(*keys, F.col("rank").alias(name), F.col("value").alias(f"v_{name}"))
+        return values.select("g", F.col("rank").alias(name), F.col("value").alias(f"v_{name}"))
 
-    both = wanted.join(at_rank("low"), [*keys, "low"]).join(at_rank("high"), [*keys, "high"])
-    large = both.select(*by, "prob", _between(F.col("v_low"), F.col("v_high"), F.col("at")).alias("value"))
-    return large.unionByName(exact(rows.join(few, keys, "left_anti")))
+    both = wanted.join(at_rank("low"), ["g", "low"]).join(at_rank("high"), ["g", "high"])
+    return both.select(*[F.col(f"g.`{c}`").alias(c) for c in by], "prob", _between(F.col("v_low"), F.col("v_high"), F.col("at")).alias("value"))
 
 
 MARGIN = 0.002
@@ -188,25 +188,13 @@ def quantile(df: DataFrame, x: str | Column, prob: float, group_limit: int = GRO
 
 
 def kth_value(df: DataFrame, order: Column, k: int, count: int, group_limit: int = GROUP_LIMIT) -> int:
-    """The ``k``-th smallest of a whole-number column, exact over all 64 bits.
-
-    A large table is narrowed by the upper 32 bits first, then by the lower ones: each
-    half fits a double.
-    """
+    """The ``k``-th smallest of a whole-number column, exact over all 64 bits."""
     order = order.cast("long")
     if count <= group_limit:
         return df.select(order.alias("o")).orderBy("o").limit(k).agg(F.max("o")).first()[0]
-    target = df.sparkSession.range(1).select(F.lit(1).alias("_all"), F.lit(k - 1).cast("long").alias("rank"))
-
-    def find(rows: DataFrame, half: Column, at: int) -> int:
-        rows = rows.select(half.cast("double").alias("x"), F.lit(1).alias("_all"))
-        return int(_narrowed(rows, ["_all"], target.withColumn("rank", F.lit(at).cast("long")), group_limit).first()["value"])
-
-    high = F.shiftright(order, 32)
-    upper = find(df, high, k - 1)
-    under = df.agg(F.count_if(high < upper)).first()[0]
-    low = order.bitwiseAND((1 << 32) - 1)
-    return (upper << 32) + find(df.filter(high == upper), low, k - 1 - under)
+    one = F.struct(F.lit(1).alias("all")).alias("g")
+    target = df.sparkSession.range(1).select(one, F.lit(k - 1).cast("long").alias("rank"))
+    return values_at(df.select(one, order.alias("key")), target).first()["key"]
 
 
 def smallest(
