@@ -51,3 +51,17 @@ def test_empty_table_and_extra_columns(make_docs, clash):
     assert quality.judge(make_docs([])).count() == 0
     assert quality.judge(clash).count() == 10
     assert quality.quality_stage(None, clash, "").columns == clash.columns
+
+
+def test_the_stage_leaves_all_columns_as_they_were(make_docs, clash):
+    from pyspark.sql import functions as F
+
+    text = "some plain words of a text that goes on for a while until it has more than twenty words in it at last"
+    docs = make_docs([(i, f"{text} {i}") for i in range(30)] + [(99, "too short")])
+    names = ["kept", "n_words", "base_failed", "_q_lang", "_q_lines", "__q_lang", "row", "max_word_length", "N_symbols"]
+    wide = docs.withColumns({n: F.concat(F.lit(f"{n} of "), F.col("doc_id")) for n in names})
+    got = quality.quality_stage(None, wide, "").collect()
+    assert sorted(r.doc_id for r in got) == list(range(30))
+    assert all(r[n] == f"{n} of {r.doc_id}" for r in got for n in names)
+    judged = quality.judge(wide.drop("kept", "n_words", "base_failed", "N_symbols")).collect()
+    assert all(r["_q_lang"] == f"_q_lang of {r.doc_id}" and r.n_words in (2, 24) for r in judged)

@@ -14,8 +14,8 @@ A document is kept if the fixed base rules pass and no ratio leaves its fence
 Defined cases: a null or empty text has no words and fails the base rules; null
 language or source is a group of its own; repeated rows are judged one by one, each
 counts in the sketches; an empty table gives an empty result; further columns pass
-through ``judge`` unchanged; columns named like a statistic or verdict are replaced,
-and the prefix ``_q_`` is reserved.
+through ``judge`` unchanged, but for columns named like a statistic or verdict, which
+are replaced; ``quality_stage`` returns all columns as they were.
 """
 
 from __future__ import annotations
@@ -94,8 +94,8 @@ def repeated_words(tokens: Column) -> Column:
     return F.when(F.size(tokens) > WINDOW, _let(eight, _covered)).otherwise(0)
 
 
-def with_statistics(docs: DataFrame, repeats: bool = True) -> DataFrame:
-    """``docs`` with the integer statistics of each whole text."""
+def with_statistics(docs: DataFrame, repeats: bool = True, n_lines: str = "_q_lines") -> DataFrame:
+    """``docs`` with the integer statistics of each whole text; ``n_lines`` names its lines with words."""
     text = F.coalesce(F.col("text"), F.lit(""))
     tokens, lines = fresh_name(docs, "_words"), fresh_name(docs, "_lines")
     out = docs.withColumns(
@@ -106,7 +106,7 @@ def with_statistics(docs: DataFrame, repeats: bool = True) -> DataFrame:
             "word_chars": F.length(F.array_join(tokens, "")).cast("long"),
             "n_symbols": F.regexp_count(text, F.lit(SYMBOLS)).cast("long"),
             "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
-            "_q_lines": F.size(lines).cast("long"),
+            n_lines: F.size(lines).cast("long"),
         }
     )
     if repeats:
@@ -114,10 +114,10 @@ def with_statistics(docs: DataFrame, repeats: bool = True) -> DataFrame:
     return out.drop(tokens, lines)
 
 
-def _ratios() -> dict[str, Column]:
+def _ratios(n_lines: str = "_q_lines") -> dict[str, Column]:
     return {
         "symbol_ratio": F.expr("n_symbols * 1000 div greatest(word_chars, 1)"),
-        "dup_line_ratio": F.expr(f"n_dup_lines * 1000 div (_q_lines + {SMOOTH})"),
+        "dup_line_ratio": F.expr(f"n_dup_lines * 1000 div (`{n_lines}` + {SMOOTH})"),
         "word_length": F.expr("word_chars * 100 div greatest(n_words, 1)"),
     }
 
@@ -182,28 +182,35 @@ def judge(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     fences are stored in between and joined back.
     """
     fences = stage_table(thresholds(sketches(docs), min_group))
-    fences = fences.withColumnsRenamed({c: f"_q_{c}" for c in fences.columns})
-    stats = with_statistics(docs.drop(*[c for c in docs.columns if c.lower().startswith("_q_")]))
-    on = F.col("lang").eqNullSafe(F.col("_q_lang")) & F.col("source").eqNullSafe(F.col("_q_source"))
+    # A prefix no column of the caller has, for what is dropped again.
+    prefix = "_q_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = f"_{prefix}"
+    q = lambda name: F.col(f"{prefix}{name}")
+    fences = fences.withColumnsRenamed({c: f"{prefix}{c}" for c in fences.columns})
+    stats = with_statistics(docs, n_lines=f"{prefix}lines")
+    on = F.col("lang").eqNullSafe(q("lang")) & F.col("source").eqNullSafe(q("source"))
     joined = join_checked(stats, fences, on, "left", row_bytes=256)
     failed = (F.col("n_words") < MIN_WORDS) | (
         100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words")
     )
-    ratio = _ratios()
+    ratio = _ratios(f"{prefix}lines")
     fits = (
-        (ratio["symbol_ratio"] <= F.col("_q_max_symbol_ratio"))
-        & (ratio["dup_line_ratio"] <= F.col("_q_max_dup_line_ratio"))
-        & ratio["word_length"].between(F.col("_q_min_word_length"), F.col("_q_max_word_length"))
+        (ratio["symbol_ratio"] <= q("max_symbol_ratio"))
+        & (ratio["dup_line_ratio"] <= q("max_dup_line_ratio"))
+        & ratio["word_length"].between(q("min_word_length"), q("max_word_length"))
     )
     # One expression over both sides of the join: nothing of it is pushed below, where
     # the statistics would be computed once more.
     kept = F.when(failed, F.lit(False)).otherwise(F.coalesce(fits, F.lit(False)))
-    return joined.withColumns({"base_failed": failed, "kept": kept}).drop(*fences.columns, "_q_lines")
+    return joined.withColumns({"base_failed": failed, "kept": kept}).drop(*fences.columns, f"{prefix}lines")
 
 
 def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents whose verdict is to keep."""
-    return judge(docs).filter("kept").select(*docs.columns)
+    # The caller's row travels whole: its columns may be named like a statistic or verdict.
+    rows = docs.select("text", "lang", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return judge(rows).filter("kept").select("row.*")
 
 
 def op7_quality(spark, sf_dir) -> DataFrame:
