@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from odd_rows import ODD
 
@@ -96,3 +97,35 @@ def test_loud_words_inside_a_run_move_its_end():
     assert pii.model_spans(texts, tag) == pii.model_spans(texts, tag, whole=True)
     text = "12 w w bob (at) example (dot) com and so on"
     assert pii.mask(text, pii.find_spans([text], tag)[0][1]) == "12 w w [email] and so on"
+
+
+def test_base_spans_equal_the_plain_patterns_on_random_strings():
+    def plain(text):
+        out = [(m.start(), m.end(), "email") for m in pii.EMAIL.finditer(text)]
+        for m in pii.IP.finditer(text):
+            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+                out.append((m.start(), m.end(), "ip"))
+        return out
+
+    rng = random.Random(3)
+    for alphabet in ("a@.-", "ab@.c_d-", "0129.", "01.@x", "25.. 5"):
+        for _ in range(3000):
+            text = "".join(rng.choices(alphabet, k=rng.randint(0, 40)))
+            got = [s for s in pii.base_spans(text) if s[2] in ("email", "ip")]
+            assert sorted(got) == sorted(plain(text)), text
+
+
+def test_long_runs_take_no_time():
+    for text in ("0" * 5000 + ".1.1.1", "1" * 10**6 + ".", "a" * 10**6 + "@", "a.b" * 300_000 + "@x", "@a" * 300_000, "1." * 400_000):
+        start = time.time()
+        found = pii.base_spans(text)
+        assert time.time() - start < 3
+        if text.startswith("0"):
+            assert found == [(0, 5006, "ip")]
+        if text.startswith("1."):
+            assert sum(s[2] == "ip" for s in found) == 100_000
+
+
+def test_the_stage_works_without_a_length(odd_docs):
+    got = pii.pii_stage(None, odd_docs.drop("n_chars"), "")
+    assert got.columns == ["doc_id", "text", "lang", "source"] and got.count() == 10

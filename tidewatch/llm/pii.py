@@ -40,6 +40,9 @@ from tidewatch.llm.crf import LinearChain, train
 KINDS = ("email", "ip", "card", "phone")
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+_CHAIN = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -66,15 +69,38 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """The matches of ``EMAIL``, from each @ outward: no run of letters is read twice."""
+    free, at = 0, text.find("@")
+    while at >= 0:
+        domain = _DOMAIN.match(text, at)
+        start = at
+        while domain and start > free and text[start - 1] in _LOCAL:
+            start -= 1
+        if start < at:
+            yield start, domain.end()
+            free = domain.end()
+        at = text.find("@", max(at + 1, free))
+
+
+def _addresses(text: str) -> Iterator[tuple[int, int]]:
+    """The matches of ``IP`` whose parts are small: every four numbers of a dotted chain."""
+    for m in _CHAIN.finditer(text):
+        parts = m.group().split(".")
+        at = m.start()
+        for i in range(0, len(parts) - 3, 4):
+            four = parts[i : i + 4]
+            end = at + sum(map(len, four)) + 3
+            if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in four):
+                yield at, end
+            at = end + 1
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) by start, then kind; failing matches are dropped."""
-    out = []
-    if "@" in text:
-        out += [(m.start(), m.end(), "email") for m in EMAIL.finditer(text)]
+    out = [(start, end, "email") for start, end in _emails(text)]
     if "." in text:
-        for m in IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
-                out.append((m.start(), m.end(), "ip"))
+        out += [(start, end, "ip") for start, end in _addresses(text)]
     for m in CARD.finditer(text):
         digits = m.group().replace(" ", "").replace("-", "")
         if 12 <= len(digits) <= 19 and luhn(digits):
@@ -350,10 +376,11 @@ def mask(text: str | None, spans: list[tuple[int, int, str]]) -> str | None:
 
 
 def pii_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: personal data replaced by its kind in brackets; n_chars follows."""
+    """Pipeline stage: personal data replaced by its kind in brackets; n_chars, if there, follows."""
     columns = docs.columns
     tag = tagger()
-    place, length = columns.index("text"), columns.index("n_chars")
+    place = columns.index("text")
+    length = columns.index("n_chars") if "n_chars" in columns else None
 
     def run(batches: Iterator[dict]) -> Iterator[list[tuple]]:
         for batch in batches:
@@ -365,7 +392,9 @@ def pii_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
                     if spans:
                         text = mask(row[place], spans)
                         row = [*row]
-                        row[place], row[length] = text, len(text)
+                        row[place] = text
+                        if length is not None:
+                            row[length] = len(text)
                     rows.append(tuple(row))
             yield rows
 
