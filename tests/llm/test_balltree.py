@@ -34,3 +34,15 @@ def test_odd_rows(spark):
     got = {(q, r, i) for q, r, i, _ in run(spark, rows)}
     assert got == {(q, r, i) for q, r, i, _ in brute(rows)}
     assert run(spark, []) == set()
+
+
+def test_queries_shorter_than_candidates(spark):
+    rows = [(i, [float(i % 7), float(i % 5), 1.0 + i % 3][: 1 + i % 3]) for i in range(1, 90)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    short = spark.createDataFrame([(3, [3.0]), (500, [2.0])], "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in balltree.top_k(vectors, short, 4, shard_rows=20).collect())
+    want = []
+    for q, query in ((3, [3.0]), (500, [2.0])):
+        scores = sorted((-sum(int(256 * a) * int(256 * b) for a, b in zip(v, query)), i) for i, v in rows if i != q)
+        want += [(q, n + 1, i, -score) for n, (score, i) in enumerate(scores[:4])]
+    assert got == want

@@ -122,12 +122,12 @@ def _matrix(column: pa.ListArray, width: int) -> np.ndarray:
     return out
 
 
-def _packed(rows: DataFrame, key: str, build) -> DataFrame:
+def _packed(rows: DataFrame, key: str, build, width: int) -> DataFrame:
     """One row (key, data) per value of ``key``: its ids and vectors, built and pickled.
 
     ``key`` holds a bounded number of rows by construction: rows are dealt by a hash.
+    Vectors are padded to ``width``.
     """
-    width = rows.agg(F.max(F.size("embedding"))).first()[0] or 0
 
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks().sort_by("vec_id")
@@ -188,8 +188,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, shard_rows: int =
     clean = lambda df: df.filter(F.coalesce(usable, F.lit(False))).select("vec_id", "embedding")
     sharded, shards = _dealt(stage_table(clean(vectors)), "shard", shard_rows)
     blocked, _ = _dealt(stage_table(clean(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))), "block", BLOCK_ROWS)
-    trees = _packed(sharded, "shard", BallTree)
-    blocks = _packed(blocked, "block", lambda ids, matrix: (ids, matrix)).withColumnRenamed("data", "block_data")
+    longest = [df.agg(F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()[0] for df in (sharded, blocked)]
+    trees = _packed(sharded, "shard", BallTree, max(longest))
+    blocks = _packed(blocked, "block", lambda ids, matrix: (ids, matrix), max(longest)).withColumnRenamed("data", "block_data")
     no_floor = F.lit(None).cast("array<struct<q:long,s:long>>")
     home = F.col("block") % shards
     seeds = blocks.withColumns({"shard": home, "bundle": F.col("block"), "floors": no_floor}).join(trees, "shard")
