@@ -598,6 +598,24 @@ def explain_flows(spark, sf_dir):
     return df.select("flow_uid", "level", F.round("score", 5).alias("score"), left.alias("unexplained"))
 
 
+# ---- capture files
+
+
+@query
+def capture_ranges(spark, sf_dir):
+    """Packets written as capture files and read back, each file by many byte ranges."""
+    from tidewatch.sources import pcap
+
+    folder = f"{scratch(spark)}/captures"
+    sizes = stage_table(samples.capture_files(spark, sf_dir, folder, 4))
+    total = sizes.agg(F.sum("bytes")).first()[0]
+    df = pcap.read_pcap(spark, folder, part_bytes=max(1 << 16, total // 64))
+    return df.select(
+        F.unix_micros("ts").alias("t_us"), "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "payload_len",
+        "tcp_flags", "tcp_window", "header_size",
+    )
+
+
 # ---- streams
 
 

@@ -254,6 +254,9 @@ def oracle_sql() -> dict[str, str]:
     q["flow_counts"] = f"""{flows} SELECT count(*) AS flows, count(*) FILTER (protocol0 = 6) AS flows_tcp,
         count(*) FILTER (protocol0 = 17) AS flows_udp, count(*) FILTER (end_reason = 'flush') AS open_flows FROM flows"""
     q["stream_flows"] = q["flow_features"]
+    q["capture_ranges"] = (
+        f"WITH {PACKETS} SELECT t_us, src_ip, dst_ip, src_port, dst_port, protocol, payload_len, tcp_flags, tcp_window, header_size FROM pk"
+    )
     q["stream_restart"] = f"{walk(halves=True)} SELECT {FLOW_HEAD}, {ROUNDED} FROM flows"
 
     # columns

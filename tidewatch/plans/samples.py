@@ -6,6 +6,10 @@ likewise a scored table.  All are plain projections: they grow with the events.
 
 from __future__ import annotations
 
+import struct
+
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +55,40 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def capture_files(spark: SparkSession, sf_dir: str, folder: str, files: int) -> DataFrame:
+    """The packet table as Ethernet captures in ``folder``: (path, bytes) of each file written."""
+
+    def frame(row) -> bytes:
+        payload, words = bytes(int(row.payload_len)), int(row.header_size) // 4
+        if row.protocol == UDP:
+            body = struct.pack(">HHHH", row.src_port, row.dst_port, 8 + len(payload), 0) + payload
+        else:
+            head = struct.pack(">HHIIBBHHH", row.src_port, row.dst_port, 0, 0, words << 4, row.tcp_flags, row.tcp_window, 0, 0)
+            body = head.ljust(words * 4, b"\0") + payload
+        ends = b"".join(bytes(map(int, ip.split("."))) for ip in (row.src_ip, row.dst_ip))
+        ip = struct.pack(">BBHHHBBH", 0x45, 0, 20 + len(body), 0, 0, 64, row.protocol, 0) + ends + body
+        return bytes(12) + b"\x08\x00" + ip
+
+    def write(batches):
+        from pyarrow import fs
+
+        system, path = fs.LocalFileSystem(), "/" + folder.removeprefix("file:").lstrip("/")
+        if "://" in folder:
+            system, path = fs.FileSystem.from_uri(folder)
+        system.create_dir(path)
+        name = f"{path}/part-{TaskContext.get().partitionId():05d}.pcap"
+        with system.open_output_stream(name) as out:
+            out.write(struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 1 << 18, 1))
+            for pdf in batches:
+                for row in pdf.itertuples(index=False):
+                    data = frame(row)
+                    out.write(struct.pack("<IIII", row.t // 1_000_000, row.t % 1_000_000, len(data), len(data)) + data)
+            yield pd.DataFrame({"path": [name], "bytes": [out.tell()]})
+
+    rows = packets(spark, sf_dir).withColumn("t", F.unix_micros("ts")).drop("ts")
+    return rows.repartition(files, "src_ip").sortWithinPartitions("t", "seq").mapInPandas(write, "path string, bytes long")
+
+
 THRESHOLD = 45.0
 
 
