@@ -1,3 +1,4 @@
+import gzip
 import os
 import struct
 import tempfile
@@ -223,3 +224,37 @@ def test_a_directory_of_mixed_dialects(spark, tmp_path):
     (folder / "empty.csv").write_text("")
     got = flow_csv.read_flow_csv(spark, str(folder))
     assert sorted((r["Dst Port"], r["Protocol"]) for r in got.collect()) == [("443", "6"), ("53", "17"), ("80", "6")]
+
+
+def test_first_rows_in_file_order_over_many_blocks(spark):
+    folder, n = fresh(), 3000
+    for k, name in enumerate(("b.csv", "a.csv", "c.csv")):
+        lines = [f"{k},{i},{'BENIGN' if i % 4 == 0 else 'X'},1" for i in range(n)]
+        write(folder, name, "\n".join(["File,Row, Label, Fwd Header Length.1", *lines]) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        benign = spark.createDataFrame([("9", "9", "BENIGN")], "File string, Row string, Label string")
+        want = [(k, i) for k in (1, 0, 2) for i in range(n) if i % 4]
+        for first in (0, 1, 777, 2250, 2251, 5000, 6750, 9999):
+            got = flow_csv.assemble_datasets(spark, benign, {"x": (folder, first)}, columns=["File", "Row", "Label"])
+            assert sorted((int(r.File), int(r.Row)) for r in got.collect() if r.File != "9") == sorted(want[:first])
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    with pytest.raises(ValueError, match="order"):
+        flow_csv.assemble_datasets(spark, benign, {"x": (benign, 3)}, columns=["File"])
+
+
+def test_headers_of_many_files_take_one_job(spark):
+    folder = fresh()
+    paths = [write(folder, f"f{i:04d}.csv", f"Dst Port,{'Label' if i % 2 else 'Attack'}\n80,x\n") for i in range(300)]
+    long = write(folder, "long.csv", ",".join(f"c{i}" for i in range(20_000)) + "\r\n1\n")
+    with gzip.open(os.path.join(folder, "z.csv.gz"), "wt") as f:
+        f.write("\ufeffDst Port,Label\n1,2\n")
+    missing = os.path.join(folder, "none.csv")
+    sc = spark.sparkContext
+    sc.setJobGroup("headers", "headers")
+    groups, failed = flow_csv.group_dialects(spark, [*paths, long, os.path.join(folder, "z.csv.gz"), missing])
+    jobs = sc.statusTracker().getJobIdsForGroup("headers")
+    sc.setJobGroup("rest", "rest")
+    assert len(jobs) <= 2 and list(failed) == [missing]
+    assert sorted(len(v) for v in groups.values()) == [1, 150, 151]

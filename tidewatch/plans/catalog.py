@@ -527,6 +527,22 @@ def dataset_assembly(spark, sf_dir):
     return flow_csv.assemble_datasets(spark, benign, sets, "seq", ["seq", "Dst Port", "Label"])
 
 
+@query
+def dataset_from_files(spark, sf_dir):
+    """Attack rows of CSV files in file order, without an order column."""
+    root, df = scratch(spark), samples.table(spark, sf_dir, "orders")
+    price = F.col("o_totalprice")
+    benign = df.filter("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("seq"), price.alias("Dst Port"), F.lit("BENIGN").alias("Label"))
+    for status, attack in (("F", "DoS"), ("O", "Scan")):
+        label = F.when(F.col("o_custkey") % 3 == 0, "BENIGN").otherwise(attack).alias("Attack")
+        rows = df.filter(F.col("o_orderstatus") == status).repartitionByRange(3, "o_orderkey").sortWithinPartitions("o_orderkey")
+        rows = rows.select(F.col("o_orderkey").alias("seq"), price.alias(" Destination Port"), price.alias(" Fwd Header Length.1"), label)
+        rows.write.option("header", True).csv(f"{root}/{attack}")
+    sets = {"dos": (f"{root}/DoS", 900), "scan": (f"{root}/Scan", 400)}
+    out = flow_csv.assemble_datasets(spark, benign, sets, columns=["seq", "Dst Port", "Label"])
+    return out.select(F.col("seq").cast("long").alias("seq"), F.col("Dst Port").cast("double").alias("Dst Port"), "Label")
+
+
 @query
 def drop_column(spark, sf_dir):
     df = lineitem(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_quantity", F.col("l_tax").alias(" Fwd Header Length.1"))

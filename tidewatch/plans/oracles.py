@@ -387,6 +387,7 @@ def oracle_sql() -> dict[str, str]:
         WHERE "Label" <> 'BENIGN' ORDER BY seq LIMIT {}"""
     q["dataset_assembly"] = f"""SELECT o_orderkey AS seq, o_totalprice AS "Dst Port", 'BENIGN' AS "Label" FROM orders WHERE o_orderstatus = 'P'
         UNION ALL SELECT * FROM ({dataset.format('DoS', 'F', 900)}) UNION ALL SELECT * FROM ({dataset.format('Scan', 'O', 400)})"""
+    q["dataset_from_files"] = q["dataset_assembly"]
     q["drop_column"] = "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem"
     q["sorted_rows"] = f"WITH {RAW} SELECT row_number() OVER (ORDER BY score_raw, event_id) AS \"row\", flow_uid FROM raw"
     q["first_rows"] = f"WITH {RAW} SELECT flow_uid, event_id FROM raw ORDER BY event_id LIMIT 250"

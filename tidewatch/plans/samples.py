@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions.packet import TCP, UDP
+from tidewatch.sources.files import open_output
 
 EPOCH = 1704067200000000  # 2024-01-01T00:00:00Z in microseconds
 SQUEEZE = 10_000  # time compression: median gap per user becomes about 2.6 s
@@ -70,14 +71,8 @@ def capture_files(spark: SparkSession, sf_dir: str, folder: str, files: int) ->
         return bytes(12) + b"\x08\x00" + ip
 
     def write(batches):
-        from pyarrow import fs
-
-        system, path = fs.LocalFileSystem(), "/" + folder.removeprefix("file:").lstrip("/")
-        if "://" in folder:
-            system, path = fs.FileSystem.from_uri(folder)
-        system.create_dir(path)
-        name = f"{path}/part-{TaskContext.get().partitionId():05d}.pcap"
-        with system.open_output_stream(name) as out:
+        name = f"part-{TaskContext.get().partitionId():05d}.pcap"
+        with open_output(folder, name) as out:
             out.write(struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 1 << 18, 1))
             for pdf in batches:
                 for row in pdf.itertuples(index=False):

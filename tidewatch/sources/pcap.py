@@ -34,6 +34,7 @@ from pyspark.sql import types as T
 from tidewatch.functions import packet as P
 from tidewatch.schemas import PACKETS
 from tidewatch.session import prepare, ship_package, stage_table
+from tidewatch.sources.files import open_input
 from tidewatch.sources.tables import AppendTable
 
 FILES = "path string, modificationTime timestamp, length long, content binary"
@@ -132,13 +133,7 @@ class _Opened:
     """A capture on a file system, read in blocks."""
 
     def __init__(self, path: str):
-        from pyarrow import fs
-
-        if path.startswith("file:") or "://" not in path:
-            system, path = fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
-        else:
-            system, path = fs.FileSystem.from_uri(path)
-        self._file = system.open_input_file(path)
+        self._file = open_input(path)
         self.size, self._start, self._block = self._file.size(), 0, b""
 
     def at(self, place: int, n: int) -> bytes:

@@ -63,17 +63,18 @@ def watch_directory(
         bundle = engine.current()
         for i, (header, files) in enumerate(sorted(groups.items())):
             try:
-                rows = flow_csv.read_dialect(spark, files, header)
+                rows = flow_csv.read_dialect(spark, files, header, places=True).drop(flow_csv.BLOCK, flow_csv.ROW)
                 require_features(rows.columns, bundle.feature_names)
             except ValueError as error:
                 failed |= {f: str(error) for f in files}
                 continue
             rows = stage_table(rows)  # text is parsed once for the check and the scores
-            bad_files = unparsed_by(rows, flow_csv.SOURCE, bundle.feature_names).collect()  # one row per file
-            failed |= {r[flow_csv.SOURCE]: f"{r['unparsed']} cells are no numbers" for r in bad_files}
-            good = rows.filter(~F.col(flow_csv.SOURCE).isin([r[flow_csv.SOURCE] for r in bad_files]))
+            # By path: files of other folders may have the same name.
+            bad_files = unparsed_by(rows, flow_csv.PATH, bundle.feature_names).collect()  # one row per file
+            failed |= {r[flow_csv.PATH]: f"{r['unparsed']} cells are no numbers" for r in bad_files}
+            good = rows.filter(~F.col(flow_csv.PATH).isin([r[flow_csv.PATH] for r in bad_files]))
             engine.predict(
-                good, scope=scope, bundle=bundle, token=f"{scope}-{batch_id:09d}-{i}", scope_column=flow_csv.SOURCE
+                good.drop(flow_csv.PATH), scope=scope, bundle=bundle, token=f"{scope}-{batch_id:09d}-{i}", scope_column=flow_csv.SOURCE
             )
         if failed:
             bad = spark.createDataFrame(sorted(failed.items()), engine.quarantine.schema)
