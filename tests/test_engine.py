@@ -213,3 +213,24 @@ def test_drift_pair(spark, flows):
     new = ad.adapt_initial(shifted, epochs=15, **SMALL)
     rate = stats.attack_rate(scoring.predict(shifted, new.bundle, keep=["flow_uid"])).first()["attack_rate"]
     assert rate < 0.2
+
+
+def test_a_slow_writer_never_takes_a_used_number(spark):
+    """Twelve batches while another writer holds an old view: nothing is lost."""
+    root = tempfile.mkdtemp(prefix="tidewatch-test-")
+    slow, fast = Buffer(spark, root), Buffer(spark, root)
+    rows = spark.range(100).select(F.col("id").cast("string").alias("flow_uid"))
+    fast.add(rows.limit(5), "first")
+    seen, commit = [], slow.ledger.commit
+
+    def late(lines, version):
+        if not seen:
+            seen.append(version)
+            for i in range(12):
+                fast.add(rows.limit(2), f"b{i}")
+        return commit(lines, version)
+
+    slow.ledger.commit = late
+    assert slow.add(rows, "slow") == 100
+    assert fast.count == 5 + 24 + 100 and fast.load().count() == 129
+    assert len(fast.ledger.versions()) <= fast.ledger.keep

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions import network as net
 from tidewatch.operators import sampling
 from tidewatch.plans import train_ae as ta
-from tidewatch.plans.train_gmm import fit_mixture
+from tidewatch.plans.train_gmm import fit_mixture, mixture_step
 
 
 def small(seed=0):
@@ -114,3 +114,34 @@ def test_mixture_fit(spark):
     assert log_density == pytest.approx(trace[-1], abs=1e-6)
     with pytest.raises(ValueError):
         fit_mixture(df.limit(3), k=5)
+
+
+def test_mixture_of_components_far_apart(spark):
+    """Spreads of 0.01 survive means a million apart."""
+    rng = np.random.default_rng(4)
+    where = [[0.0, 0.0], [1e6, -1e6], [3e6, 5e5]]
+    x = np.concatenate([rng.normal(m, [0.01, 0.02], (300, 2)) for m in where])
+    df = spark.createDataFrame([(list(map(float, r)),) for r in x], "errors array<double>").repartition(4)
+    w, means, covs, _ = fit_mixture(df, k=3, max_iter=20, ridge=1e-12)
+    order = np.argsort(means[:, 0])
+    for j, part in zip(order, np.split(x, 3), strict=True):
+        assert np.allclose(means[j], part.mean(0), rtol=1e-12)
+        assert np.allclose(covs[j], np.cov(part.T, bias=True), rtol=1e-3, atol=1e-8)
+    assert np.allclose(w, 1 / 3)
+
+
+def test_mixture_step_equals_numpy(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(0, 3, (500, 3))
+    weights, means = np.array([0.3, 0.7]), np.array([[1.0, 0, 0], [-1, 2, 0]])
+    covs = np.array([np.eye(3) * 4, np.eye(3) + 0.5])
+    df = spark.createDataFrame([(list(map(float, r)),) for r in x], "e array<double>").repartition(5)
+    got = mixture_step(df, weights, means, covs, ridge=0.1)
+    logs = np.stack([np.log(w) - 0.5 * (np.linalg.slogdet(2 * np.pi * c)[1] + np.einsum("ni,ij,nj->n", x - m, np.linalg.inv(c), x - m))
+                     for w, m, c in zip(weights, means, covs, strict=True)], 1)
+    density = np.logaddexp(*logs.T)
+    r = np.exp(logs - density[:, None])
+    new = r.T @ x / r.sum(0)[:, None]
+    assert np.allclose(got[0], r.mean(0)) and np.allclose(got[1], new) and got[3] == pytest.approx(density.mean())
+    for j in range(2):
+        assert np.allclose(got[2][j], ((x - new[j]).T * r[:, j]) @ (x - new[j]) / r[:, j].sum() + 0.1 * np.eye(3))

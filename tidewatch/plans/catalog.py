@@ -697,6 +697,20 @@ def mixture_fit(spark, sf_dir):
     return spark.createDataFrame(rows, "component int, weight double, mean array<double>, spread double")
 
 
+STEP_FROM = {"weights": (0.4, 0.6), "means": ((15.0, 3.0), (35.0, 6.0)), "covs": ((80.0, 2.0, 9.0), (120.0, -3.0, 7.0))}
+
+
+@query
+def mixture_step(spark, sf_dir):
+    """One round of expectation and maximisation over all line items, from fixed values."""
+    numbers = F.array(F.col("l_quantity").cast("double"), (F.col("l_discount") * 100).cast("double"))
+    covs = [[[a, b], [b, c]] for a, b, c in STEP_FROM["covs"]]
+    rows = lineitem(spark, sf_dir).select(numbers.alias("e"))
+    weights, means, covs, likelihood = train_gmm.mixture_step(rows, np.array(STEP_FROM["weights"]), np.array(STEP_FROM["means"]), np.array(covs))
+    out = [(j, *[round(float(v), 6) for v in (weights[j], *means[j], covs[j][0, 0], covs[j][0, 1], covs[j][1, 1], likelihood)]) for j in range(2)]
+    return spark.createDataFrame(out, "component int, weight double, mean_a double, mean_b double, aa double, ab double, bb double, likelihood double")
+
+
 @query
 def adaptation(spark, sf_dir):
     """A model trained from scratch on all flows: its review percentiles and threshold."""

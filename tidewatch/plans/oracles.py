@@ -393,6 +393,28 @@ def oracle_sql() -> dict[str, str]:
     q["first_rows"] = f"WITH {RAW} SELECT flow_uid, event_id FROM raw ORDER BY event_id LIMIT 250"
     q["last_rows"] = f"WITH {RAW} SELECT flow_uid, event_id FROM raw ORDER BY event_id DESC LIMIT 10"
 
+    from tidewatch.plans.catalog import STEP_FROM
+    from tidewatch.plans.train_gmm import RIDGE
+
+    logs = []
+    for w, (ma, mb), (aa, ab, bb) in zip(STEP_FROM["weights"], STEP_FROM["means"], STEP_FROM["covs"]):
+        det = aa * bb - ab * ab
+        form = f"({bb} * (a - {ma}) * (a - {ma}) - 2 * {ab} * (a - {ma}) * (b - {mb}) + {aa} * (b - {mb}) * (b - {mb})) / {det}"
+        logs.append(f"ln({w}) - ln(2 * pi()) - 0.5 * ln({det}::DOUBLE) - 0.5 * {form}")
+    moments = " UNION ALL ".join(
+        f"""SELECT {j} AS component, sum(r{j}) AS n, sum(r{j} * (a - {ma})) AS sa, sum(r{j} * (b - {mb})) AS sb,
+            sum(r{j} * (a - {ma}) * (a - {ma})) AS saa, sum(r{j} * (a - {ma}) * (b - {mb})) AS sab,
+            sum(r{j} * (b - {mb}) * (b - {mb})) AS sbb, {ma}::DOUBLE AS ma, {mb}::DOUBLE AS mb, avg(d) AS likelihood, count(*) AS m FROM r"""
+        for j, (ma, mb) in enumerate(STEP_FROM["means"])
+    )
+    q["mixture_step"] = f"""WITH x AS (SELECT l_quantity::DOUBLE AS a, (l_discount * 100)::DOUBLE AS b FROM lineitem),
+        l AS (SELECT *, {logs[0]} AS l0, {logs[1]} AS l1 FROM x),
+        d AS (SELECT *, greatest(l0, l1) + ln(exp(l0 - greatest(l0, l1)) + exp(l1 - greatest(l0, l1))) AS d FROM l),
+        r AS (SELECT *, exp(l0 - d) AS r0, exp(l1 - d) AS r1 FROM d), s AS ({moments})
+        SELECT component::INTEGER AS component, round(n / m, 6) AS weight, round(ma + sa / n, 6) AS mean_a, round(mb + sb / n, 6) AS mean_b,
+            round(saa / n - sa * sa / (n * n) + {RIDGE}, 6) AS aa, round(sab / n - sa * sb / (n * n), 6) AS ab,
+            round(sbb / n - sb * sb / (n * n) + {RIDGE}, 6) AS bb, round(likelihood, 6) AS likelihood FROM s"""
+
     # models, explanations
     promos = """pr AS (SELECT 'v' || (event_id % 40) AS model_version, ts AS promoted_at,
         CASE WHEN event_type = 'error' THEN 'reject' ELSE 'accept' END AS action FROM events),

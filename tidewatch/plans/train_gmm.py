@@ -4,6 +4,11 @@ Spark's own mixture stops at normalised probabilities, while scoring needs
 log-densities of a model with a fixed ridge on the covariances; so the E-step is an
 Arrow stage that turns every partition into sufficient statistics, and the M-step
 works on their sum.
+
+Statistics are centred moments: sums of differences from each component's last mean, and
+of their products.  All partitions take them around the same points, so they add up, and
+since a component's mean moves less than its spread, no digits are lost in the update,
+however far apart the components lie.
 """
 
 from __future__ import annotations
@@ -30,18 +35,69 @@ def _matrix(batch: pa.RecordBatch) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def _statistics(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Per component: weight, weighted sum, weighted products."""
-    products = np.einsum("nk,ni,nj->kij", weights, x, x, optimize=True)
-    return np.concatenate([weights.sum(0), (weights.T @ x).ravel(), products.ravel()])
+def _statistics(x: np.ndarray, weights: np.ndarray, around: np.ndarray) -> np.ndarray:
+    """Per component: weight, weighted differences from ``around``, their weighted products."""
+    moved, products = [], []
+    for j, point in enumerate(around):
+        part = x - point
+        held = part * weights[:, j, None]
+        moved.append(held.sum(0))
+        products.append((held.T @ part).ravel())
+    return np.concatenate([weights.sum(0), *moved, *products])
 
 
-def _update(stats: np.ndarray, k: int, d: int, ridge: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _update(stats: np.ndarray, around: np.ndarray, ridge: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    k, d = around.shape
     n = stats[:k] + 10 * np.finfo(float).eps
-    means = stats[k : k + k * d].reshape(k, d) / n[:, None]
-    covs = stats[k + k * d :].reshape(k, d, d) / n[:, None, None] - means[:, :, None] * means[:, None, :]
+    step = stats[k : k + k * d].reshape(k, d) / n[:, None]
+    covs = stats[k + k * d :].reshape(k, d, d) / n[:, None, None] - step[:, :, None] * step[:, None, :]
     covs = (covs + covs.transpose(0, 2, 1)) / 2 + ridge * np.eye(d)
-    return n / n.sum(), means, covs
+    return n / n.sum(), around + step, covs
+
+
+def _sums(rows: DataFrame, partitions: int, part_of) -> np.ndarray:
+    """``part_of(matrix)`` of every Arrow batch, summed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                part = part_of(_matrix(batch))
+                total = part if total is None else total + part
+        if total is not None:
+            yield one_vector(total)
+
+    return sum_vectors(rows.mapInArrow(run, VECTOR), partitions)
+
+
+def mixture_step(
+    rows: DataFrame, weights: np.ndarray, means: np.ndarray, covs: np.ndarray, ridge: float = RIDGE, partitions: int | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """One round of expectation and maximisation over a table of one array column.
+
+    Returns the new weights, means and covariances, and the mean log-likelihood of the old.
+    """
+    spark = rows.sparkSession
+    ship_package(spark)
+    if partitions is None:
+        partitions = _size(rows)[1]
+    means = np.asarray(means, float)
+    shared = spark.sparkContext.broadcast((np.asarray(weights, float), means, np.asarray(covs, float)))
+
+    def part_of(x: np.ndarray) -> np.ndarray:
+        mixture = Mixture(*shared.value)
+        logs = mixture.component_logs(x)
+        density = mixture.log_density(x, logs)
+        return np.concatenate([[len(x), density.sum()], _statistics(x, np.exp(logs - density[:, None]), mixture.means)])
+
+    s = _sums(rows, partitions, part_of)
+    shared.unpersist()
+    return *_update(s[2:], means, ridge), float(s[1] / s[0])
+
+
+def _size(rows: DataFrame) -> tuple[int, int]:
+    """Rows, and partitions that have any."""
+    return rows.select(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)), F.count_distinct("p")).first()
 
 
 def fit_mixture(
@@ -57,50 +113,22 @@ def fit_mixture(
     spark = errors.sparkSession
     ship_package(spark)
     rows = cut_lineage(errors.select(F.col(column).alias("e")))
-    partitions = rows.rdd.getNumPartitions()
-    first = rows.select(F.size("e")).first()
-    count = rows.count()
+    count, partitions = _size(rows)
     if count < k:
         raise ValueError(f"{count} rows cannot fit {k} components")
-    d = first[0]
     start = KMeans(k=k, seed=seed, featuresCol="f", maxIter=20).fit(rows.select(array_to_vector("e").alias("f")))
     centers = np.array(start.clusterCenters())
-    # Products are taken around one fixed point to keep their differences exact.
-    shift = centers.mean(0)
-
-    def pass_over(model) -> np.ndarray:
-        shared = spark.sparkContext.broadcast(model)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            kind, value = shared.value
-            mixture = Mixture(*value) if kind == "mixture" else None
-            total = None
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                x = _matrix(batch) - shift
-                if mixture is None:
-                    nearest = ((x[:, None, :] - value[None]) ** 2).sum(2).argmin(1)
-                    part = np.concatenate([[len(x), 0.0], _statistics(x, np.eye(len(value))[nearest])])
-                else:
-                    logs = mixture.component_logs(x)
-                    density = mixture.log_density(x, logs)
-                    part = np.concatenate([[len(x), density.sum()], _statistics(x, np.exp(logs - density[:, None]))])
-                total = part if total is None else total + part
-            if total is not None:
-                yield one_vector(total)
 
-        out = sum_vectors(rows.mapInArrow(run, VECTOR), partitions)
-        shared.unpersist()
-        return out
+    def nearest(x: np.ndarray) -> np.ndarray:
+        own = ((x[:, None, :] - centers[None]) ** 2).sum(2).argmin(1)
+        return _statistics(x, np.eye(len(centers))[own], centers)
 
     # A cluster the start left empty would have no spread: the ridge keeps it usable.
-    weights, means, covs = _update(pass_over(("centers", centers - shift))[2:], len(centers), d, ridge)
+    weights, means, covs = _update(_sums(rows, partitions, nearest), centers, ridge)
     trace: list[float] = []
     for _ in range(max_iter):
-        s = pass_over(("mixture", (weights, means, covs)))
-        trace.append(s[1] / s[0])
-        weights, means, covs = _update(s[2:], len(means), d, ridge)
+        weights, means, covs, likelihood = mixture_step(rows, weights, means, covs, ridge, partitions)
+        trace.append(likelihood)
         if len(trace) > 1 and abs(trace[-1] - trace[-2]) < tolerance:
             break
-    return weights, means + shift, covs, trace
+    return weights, means, covs, trace

@@ -76,12 +76,18 @@ class Snapshots:
         self.spark, self.path, self.schema, self.keep = spark, path, schema, keep
 
     def versions(self) -> list[int]:
+        """The newest complete versions; older ones are empty folders, so no number is used twice."""
         fs, root = file_system(self.spark, self.path)
         if not fs.exists(root):
             return []
-        found = [f.getPath() for f in fs.listStatus(root)]
-        done = [p for p in found if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-        return sorted(int(p.getName().split("=")[1]) for p in done)
+        marker = self.spark._jvm.org.apache.hadoop.fs.Path
+        found, done = {int(f.getPath().getName().split("=")[1]): f.getPath() for f in fs.listStatus(root)}, []
+        for number in sorted(found, reverse=True):
+            if fs.exists(marker(found[number], "_SUCCESS")):
+                done.append(number)
+            elif len(done) > self.keep:
+                break
+        return done[::-1]
 
     def _dir(self, version: int) -> str:
         return f"{self.path}/v={version}"
@@ -108,7 +114,11 @@ class Snapshots:
 
     def _forget(self) -> None:
         for old in self.versions()[: -self.keep]:
-            delete_path(self.spark, self._dir(old))
+            fs, path = file_system(self.spark, self._dir(old))
+            # The mark goes first: a version without it counts as gone.
+            names = sorted((f.getPath() for f in fs.listStatus(path)), key=lambda p: p.getName() != "_SUCCESS")
+            for name in names:
+                fs.delete(name, True)
 
 
 LEDGER = T.StructType(
