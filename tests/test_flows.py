@@ -109,6 +109,16 @@ def test_hot_keys_give_the_same_flows(spark, seed, limit):
     same(spark, packets, hot_rows=limit)
 
 
+@pytest.mark.parametrize("seed,limit", [(0, 7), (1, 25), (2, 60), (5, 3), (6, 1)])
+def test_hot_keys_give_the_same_flow_numbers(spark, seed, limit):
+    """A 5-tuple with most packets, cut in chunks of every size."""
+    packets = frame(spark, traffic(seed, n=300))
+    columns = ["seq", "flow_no", "starts", "forward", "closes"]
+    for window in (None, "30 seconds"):
+        got, want = ({tuple(r[c] for c in columns) for r in fl.cut_flows(packets, window=window, hot_rows=h).collect()} for h in (limit, None))
+        assert got == want and len(got) == 300
+
+
 def test_one_endless_hot_flow(spark):
     packets = [pk(i, i * 1000, *((A, B) if i % 3 else (B, A)), length=i % 50) for i in range(500)]
     assert len(same(spark, packets, hot_rows=25)) == 1

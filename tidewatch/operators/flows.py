@@ -162,12 +162,37 @@ def number_flows(df: DataFrame, by: list[str], timeout: str = TIMEOUT) -> DataFr
     return df.selectExpr("*", "a_side = opener.a_side AS forward")
 
 
-def cut_flows(packets: DataFrame, timeout: str = TIMEOUT, window: str | None = None) -> DataFrame:
-    """Packets with the flow each belongs to: ``flow_no`` inside ``k`` (and window)."""
+CUTS = ("flow_no", "seq", "t", "starts", "forward", "fin", "rst", "closes")
+
+
+def cut_flows(
+    packets: DataFrame, timeout: str = TIMEOUT, window: str | None = None, hot_rows: int | None = HOT_ROWS
+) -> DataFrame:
+    """Packets with the flow each belongs to: ``flow_no`` inside ``k`` (and window).
+
+    ``hot_rows`` as in ``build_flows``.
+    """
     df, by = keyed(packets, window)
-    return number_flows(df, by, timeout).select(
-        *by, "flow_no", "seq", "t", "starts", "forward", "fin", "rst", "closes"
-    )
+    cold, hot, n_rows = split_hot(df, by, hot_rows)
+    out = number_flows(cold, by, timeout).select(*by, *CUTS)
+    if hot is None:
+        return out
+    from tidewatch.operators.hot_flows import hot_cuts
+
+    return out.unionByName(hot_cuts(hot, by, n_rows, hot_rows, micros(timeout)).select(*by, *CUTS))
+
+
+def split_hot(df: DataFrame, by: list[str], hot_rows: int | None) -> tuple[DataFrame, DataFrame | None, int]:
+    """Packets of usual keys, those of keys with more than ``hot_rows``, None if there are none, and how many those are."""
+    if hot_rows is None:
+        return df, None, 0
+    from tidewatch.operators.hot_flows import hot_keys
+    from tidewatch.operators.ranks import join_small
+
+    hot, n_keys, n_rows = hot_keys(df, by, hot_rows)
+    if n_keys == 0:
+        return df, None, 0
+    return join_small(df, hot, by, "left_anti", stored=True), join_small(df, hot, by, "left_semi", stored=True), n_rows
 
 
 def flow_features(df: DataFrame, by: list[str], idle: str = IDLE, end: Column | None = None) -> DataFrame:
@@ -271,18 +296,13 @@ def build_flows(
     """
     df, by = keyed(packets, window)
     end = capture_end(df.agg(F.max("t")).scalar(), micros(timeout), micros(window) if window else None)
-    if hot_rows is None:
-        return flow_features(number_flows(df, by, timeout), by, idle, end)
-    from tidewatch.operators.hot_flows import hot_keys, hot_flows
+    cold, hot, n_rows = split_hot(df, by, hot_rows)
+    flows = flow_features(number_flows(cold, by, timeout), by, idle, end)
+    if hot is None:
+        return flows
+    from tidewatch.operators.hot_flows import hot_flows
 
-    hot, n_keys, n_rows = hot_keys(df, by, hot_rows)
-    if n_keys == 0:
-        return flow_features(number_flows(df, by, timeout), by, idle, end)
-    # At most rows/hot_rows keys are hot, so this side stays small at any size.
-    small = F.broadcast(hot)
-    cold = flow_features(number_flows(df.join(small, by, "left_anti"), by, timeout), by, idle, end)
-    parallel = hot_flows(df.join(small, by, "left_semi"), by, n_rows, hot_rows, timeout, idle, end)
-    return cold.unionByName(parallel)
+    return flows.unionByName(hot_flows(hot, by, n_rows, hot_rows, timeout, idle, end))
 
 
 def flow_counts(flows: DataFrame) -> DataFrame:

@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 
 from tidewatch.operators.flows import (
     SIDES,
+    Frames,
     closing_fins,
     fin_turns,
     flow_rows,
@@ -55,18 +56,18 @@ def hot_keys(df: DataFrame, by: list[str], limit: int) -> tuple[DataFrame, int,
     return (cut_lineage(hot) if n_keys else hot).select(*by), n_keys, n_rows
 
 
-def cut_pieces(df: DataFrame, by: list[str], chunks: int, timeout: int, idle: int) -> DataFrame:
-    """Reduce packets to pieces, in ``chunks`` tasks of about equal size.
+def _marked(df: DataFrame, by: list[str], chunks: int, timeout: int) -> tuple[DataFrame, Frames]:
+    """Packets in ``chunks`` tasks of about equal size, with what can be said inside each.
 
-    The chunk borders come from a sample of the data, so the result is stored: a
-    second evaluation could draw other borders.
+    Adds ``chunk``, ``seg`` (hard cuts so far) and, for each case a chunk may be entered
+    in, ``start_<case>`` and ``closes_<case>``.  The chunk borders come from a sample of
+    the data, so the result must be stored: a second evaluation could draw other borders.
     """
     if chunks > 1:
         df = df.repartitionByRange(chunks, *by, "t", "seq").withColumn("chunk", F.spark_partition_id())
     else:
         df = df.withColumn("chunk", F.lit(0))
-    part = [*by, "chunk"]
-    w = frames(part)
+    w = frames([*by, "chunk"])
     df = looking_back(df, w)
     df = df.selectExpr("*", f"prev_t IS NOT NULL AND (t - prev_t > {timeout} OR prev_rst) AS hard")
     df = fin_turns(df, w, f"sum(CAST(hard AS BIGINT)) {w.upto} AS seg")
@@ -78,7 +79,20 @@ def cut_pieces(df: DataFrame, by: list[str], chunks: int, timeout: int, idle: in
         "turn OR (fin_first AND seg = 0 AND a_side) AS turn_b",
     )
     df = closing_fins(df, w, {f"closes_{c}": f"turn_{c}" for c in CASES})
-    df = df.selectExpr("*", *[f"hard OR closes_{c}_before AS start_{c}" for c in CASES])
+    return df.selectExpr("*", *[f"hard OR closes_{c}_before AS start_{c}" for c in CASES]), w
+
+
+def _left_open(case: str) -> str:
+    """Endpoint of the unanswered FIN after a packet, as a case number."""
+    return f"""CASE WHEN last_fin.seg = seg AND last_fin.closes_{case} THEN 0
+        WHEN last_fin.seg = seg THEN if(last_fin.a_side, 1, 2)
+        WHEN seg = 0 THEN {CASES.index(case)} ELSE 0 END"""
+
+
+def cut_pieces(df: DataFrame, by: list[str], chunks: int, timeout: int, idle: int) -> DataFrame:
+    """Reduce packets to pieces, in ``chunks`` tasks of about equal size (stored)."""
+    part = [*by, "chunk"]
+    df, w = _marked(df, by, chunks, timeout)
     df = df.selectExpr("*", "start_none OR start_a OR start_b AS cut")
     closes = ", ".join(f"closes_{c}" for c in CASES)
     df = df.selectExpr(
@@ -95,12 +109,6 @@ def cut_pieces(df: DataFrame, by: list[str], chunks: int, timeout: int, idle: in
         *[f"CASE WHEN {mine} AND {since(f'prev_{s}', 'opener')} THEN t - prev_{s}.t END AS iat_{s}" for s, mine in SIDES.items()],
     )
 
-    def left_open(case: str) -> str:
-        """Endpoint of the unanswered FIN after this packet, as a case number."""
-        return f"""CASE WHEN last_fin.seg = seg AND last_fin.closes_{case} THEN 0
-            WHEN last_fin.seg = seg THEN if(last_fin.a_side, 1, 2)
-            WHEN seg = 0 THEN {CASES.index(case)} ELSE 0 END"""
-
     def total(x: str) -> str:
         return f"coalesce(sum({x}), 0)"
 
@@ -119,7 +127,7 @@ def cut_pieces(df: DataFrame, by: list[str], chunks: int, timeout: int, idle: in
         "t1": "max(t)",
         "rst": "bool_or(rst)",
         **{f"closes_{c}": f"bool_or(closes_{c})" for c in CASES},
-        **{f"open_{c}": f"max(CASE WHEN is_end THEN {left_open(c)} END)" for c in CASES},
+        **{f"open_{c}": f"max(CASE WHEN is_end THEN {_left_open(c)} END)" for c in CASES},
         "max_len": "max(len)",
         "min_len": "min(len)",
         "fins": "count_if(fin)",
@@ -203,6 +211,68 @@ def _chunk_cases(pieces: DataFrame, by: list[str], timeout: int) -> DataFrame:
     return flat.repartition(*by).sortWithinPartitions(*by, "chunk").mapInPandas(fold, schema)
 
 
+def hot_cuts(df: DataFrame, by: list[str], n_rows: int, limit: int, timeout: int) -> DataFrame:
+    """Packets of hot keys with the flow each belongs to, as ``flows.number_flows`` does.
+
+    A segmented scan: chunks are marked on their own and stored, one row per key and chunk
+    is folded into what the chunk begins with (the case, flows before it and who opened
+    the one that goes on), and that is joined back to the chunk's packets.
+    """
+    df, w = _marked(df, by, max(2, -(-n_rows // limit)), timeout)
+    closes = ", ".join(f"closes_{c}" for c in CASES)
+    df = df.selectExpr("*", f"{last_where('fin', f'struct(seg, a_side, {closes})', w.upto)} AS last_fin")
+    cases = [f"{n}_{c}" for n in ("start", "closes") for c in CASES]
+    marked = stage_table(df.selectExpr(
+        *by, "chunk", "seq", "t", "a_side", "fin", "rst", *cases, *[f"{_left_open(c)} AS open_{c}" for c in CASES], "prev_t IS NULL AS leads"
+    ))
+    last = lambda v: F.max_by(v, F.struct("t", "seq"))
+    flat = marked.groupBy(*by, "chunk").agg(
+        F.min("t").alias("first_t"), F.max("t").alias("last_t"), last("rst").alias("last_rst"),
+        F.min_by("a_side", F.struct("t", "seq")).alias("first_side"),
+        *[last(f"{n}_{c}").alias(f"{n}_{c}") for n in ("closes", "open") for c in CASES],
+        *[F.count_if(f"start_{c}").alias(f"starts_{c}") for c in CASES],
+        *[F.max_by("a_side", F.when(F.col(f"start_{c}"), F.struct("t", "seq"))).alias(f"side_{c}") for c in CASES],
+    )
+    schema = T.StructType(
+        [flat.schema[c] for c in by]
+        + [T.StructField(n, t) for n, t in (
+            ("chunk", T.IntegerType()), ("entry", T.IntegerType()), ("entry_starts", T.BooleanType()),
+            ("flows_before", T.LongType()), ("opened", T.BooleanType()),
+        )]
+    )
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key = None
+        for pdf in batches:
+            rows = []
+            for r in pdf.to_dict("records"):
+                this_key = tuple(str(r[c]) for c in by)
+                if this_key != key:
+                    key, prev, case, flows, opened = this_key, None, 0, 0, None
+                hard = prev is None or bool(prev["last_rst"]) or r["first_t"] - prev["last_t"] > timeout
+                starts = hard or bool(prev[f"closes_{CASES[case]}"])
+                case = 0 if hard else int(prev[f"open_{CASES[case]}"])
+                rows.append({**{c: r[c] for c in by}, "chunk": r["chunk"], "entry": case, "entry_starts": starts,
+                             "flows_before": flows, "opened": bool(r["first_side"]) if starts else opened})
+                inner = int(r[f"starts_{CASES[case]}"])
+                flows += inner + starts
+                opened = bool(r[f"side_{CASES[case]}"]) if inner else rows[-1]["opened"]
+                prev = r
+            if rows:
+                yield pd.DataFrame(rows)
+
+    ship_package(df.sparkSession)
+    entries = cut_lineage(flat.repartition(*by).sortWithinPartitions(*by, "chunk").mapInPandas(fold, schema))
+    df = join_small(marked, entries, [*by, "chunk"], stored=True)
+
+    def pick(prefix: str) -> str:
+        return f"element_at(array({', '.join(f'{prefix}_{c}' for c in CASES)}), entry + 1)"
+
+    df = df.selectExpr("*", f"(leads AND entry_starts) OR {pick('start')} AS starts", f"{pick('closes')} AS closes")
+    opener = f"coalesce({last_where('starts', 'a_side', w.upto)}, opened)"
+    return df.selectExpr("*", f"flows_before + sum(CAST(starts AS BIGINT)) {w.upto} AS flow_no", f"a_side = {opener} AS forward")
+
+
 def assign_flows(pieces: DataFrame, by: list[str], timeout: int) -> DataFrame:
     """Pieces with the flow they belong to: ``flow_chunk`` and ``flow_no``."""
     cases = cut_lineage(_chunk_cases(pieces, by, timeout))

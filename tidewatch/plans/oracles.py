@@ -246,6 +246,8 @@ def oracle_sql() -> dict[str, str]:
 
     # flows
     q["flow_cuts"] = f"""{flows} SELECT k, CAST(flow_no AS BIGINT) AS flow_no, seq, fwd AS forward FROM cut"""
+    one = PACKETS.replace("FROM events", "FROM (SELECT * REPLACE (CASE WHEN user_id % 3 = 0 THEN 0 ELSE user_id END AS user_id) FROM events)")
+    q["flow_cuts_hot_key"] = q["flow_cuts"].replace(PACKETS, one)
     q["flow_features"] = f"{flows} SELECT {FLOW_HEAD}, {ROUNDED} FROM flows"
     q["flow_features_hot_keys"] = q["flow_features"]
     q["capture_window_flows"] = f"{windows} SELECT epoch_ms(capture // 1000) AS capture_time, end_reason, packets, " + (

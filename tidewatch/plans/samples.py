@@ -24,8 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A packet table: each user is a client talking to one of five servers."""
+def packets(spark: SparkSession, sf_dir: str, skewed: bool = False) -> DataFrame:
+    """A packet table: each user is a client talking to one of five servers.
+
+    ``skewed``: a third of the users act as one, so one 5-tuple has a third of all packets.
+    """
+    events = table(spark, sf_dir, "events")
+    if skewed:
+        events = events.withColumn("user_id", F.when(F.col("user_id") % 3 == 0, 0).otherwise(F.col("user_id")))
     user, eid = F.col("user_id"), F.col("event_id")
     udp = user % 5 == 3
     client = F.concat(F.lit("10.0."), F.expr("user_id div 256").cast("string"), F.lit("."), (user % 256).cast("string"))
@@ -40,7 +46,7 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(16)
     )
     t = F.lit(EPOCH) + F.expr(f"(unix_micros(cast(ts as timestamp)) - {EPOCH}) div {SQUEEZE}")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         eid.alias("seq"),
         F.timestamp_micros(t).alias("ts"),
         F.lit(4).alias("ip_version"),
