@@ -1,3 +1,4 @@
+import itertools
 import tempfile
 
 import numpy as np
@@ -8,7 +9,7 @@ from tidewatch.functions.columns import quoted
 from tidewatch.operators import explain as ex
 from tidewatch.operators import flows as fl
 from tidewatch.operators import scoring, stats
-from tidewatch.operators.bundle import as_table, from_row, random_bundle
+from tidewatch.operators.bundle import Bundle, as_table, from_row, random_bundle
 from tidewatch.plans import adapt as ad
 from tidewatch.plans import samples
 from tidewatch.plans.engine import Engine
@@ -102,6 +103,38 @@ def test_explanations_add_up(spark, flows, bundle):
     assert {r["n"] for r in falls} == {15}
 
 
+def test_exact_contributions_equal_all_orders(spark):
+    """Every order of the features with every background row, written out."""
+    rng = np.random.default_rng(5)
+    layers = [{"kernel": rng.normal(size=(4, 3)), "bias": rng.normal(size=3)}, {"kernel": rng.normal(size=(3, 4)), "bias": rng.normal(size=4)}]
+    names = ("f1", "f2", "f3", "f4")
+    small = Bundle(
+        version="s", scaler_mean=np.zeros(4), scaler_scale=np.ones(4), layers=layers, gmm_weights=np.array([0.5, 0.5]),
+        gmm_means=rng.normal(size=(2, 4)), gmm_covs=np.array([np.eye(4), 2 * np.eye(4)]), threshold=0.0, feature_names=names,
+    )
+    x, start = rng.normal(size=(7, 4)), rng.normal(size=(5, 4))
+    df = spark.createDataFrame([(str(i), *map(float, r)) for i, r in enumerate(x)], "flow_uid string, f1 double, f2 double, f3 double, f4 double")
+    mixture = small.mixture()
+    for r in ex.explain_exact(df, small, start, partitions=3).collect():
+        value = (lambda e: e.mean(1)) if r["level"] == "ae" else mixture.log_density
+        want = np.zeros(4)
+        orders = list(itertools.permutations(range(4)))
+        for b in start:
+            for order in orders:
+                now = b.copy()
+                for i in order:
+                    before = value(small.errors(now[None]))[0]
+                    now[i] = x[int(r["flow_uid"])][i]
+                    want[i] += value(small.errors(now[None]))[0] - before
+        assert np.allclose(r["contributions"], want / len(orders) / len(start))
+        assert r["base"] + sum(r["contributions"]) == pytest.approx(r["score"])
+    many = {(r["flow_uid"], r["level"]): r for r in ex.explain(df, small, start, walks=4000).collect()}
+    for r in ex.explain_exact(df, small, start).collect():
+        assert np.allclose(many[r["flow_uid"], r["level"]]["contributions"], r["contributions"], atol=0.25)
+    with pytest.raises(ValueError, match="subsets"):
+        ex.explain_exact(df, random_bundle(), start)
+
+
 def test_buffer_keeps_the_newest_rows(spark):
     b = Buffer(spark, fresh(), cap=10)
     assert b.is_empty and b.load() is None

@@ -5,11 +5,15 @@ explained row, one feature at a time; the score changes along the walk are the
 contributions.  Averaging over walks keeps their sum exact: base + contributions =
 score.  The walks are the same for every row, so results do not depend on
 partitioning.
+
+Models of few features need no sampling: ``explain_exact`` weighs what a feature adds to
+every subset of the others, over all background rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import factorial
 
 import numpy as np
 import pandas as pd
@@ -27,6 +31,7 @@ from tidewatch.session import cut_lineage, ship_package
 LEVELS = ("ae", "gmm")
 TOP = 15  # fixed value: rows of a waterfall, the last one holding the rest
 BACKGROUND = 50
+MAX_EXACT = 12  # features; their subsets double with each
 _BLOCK = 16_384
 
 _ONE = T.StructType(
@@ -110,6 +115,62 @@ def explain(
                 }
             )
 
+    return _explained(flows, bundle, levels, uid, partitions, run)
+
+
+def explain_exact(
+    flows: DataFrame,
+    bundle: Bundle,
+    background: np.ndarray,
+    level: str = "both",
+    uid: str = "flow_uid",
+    partitions: int | None = None,
+) -> DataFrame:
+    """As ``explain``, without sampling: the Shapley values over all subsets of features.
+
+    A subset's value is the mean score of the background rows with its features taken from
+    the explained row.  A row costs ``2 ** features * background`` model runs.
+    """
+    levels = LEVELS if level == "both" else (level,)
+    spark, d = flows.sparkSession, bundle.dim
+    if d > MAX_EXACT:
+        raise ValueError(f"{d} features have too many subsets, use explain")
+    ship_package(spark)
+    subsets = np.arange(1 << d)
+    members = (subsets[:, None] >> np.arange(d)) & 1 == 1
+    chances = np.array([factorial(k) * factorial(d - k - 1) / factorial(d) for k in range(d)])
+    shared = spark.sparkContext.broadcast((bundle, background, members))
+
+    @F.pandas_udf(T.StructType([T.StructField(name, _ONE) for name in levels]))
+    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        model, origin, taken = shared.value
+        mixture = model.mixture()
+        rows_per_block = max(1, _BLOCK // (len(taken) * len(origin)))
+        for columns in batches:
+            x = np.column_stack([c.to_numpy(dtype=float) for c in columns])
+            out = {n: [] for n in levels}
+            for at in range(0, len(x), rows_per_block):
+                rows = x[at : at + rows_per_block]
+                mixed = np.where(taken[None, :, None, :], rows[:, None, None, :], origin[None, None, :, :])
+                errors = model.errors(mixed.reshape(-1, d))
+                for n in levels:
+                    score = errors.mean(1) if n == "ae" else mixture.log_density(errors)
+                    value = score.reshape(len(rows), len(taken), len(origin)).mean(2)
+                    found = np.empty((len(rows), d))
+                    for i in range(d):
+                        without = subsets[~taken[:, i]]
+                        weight = chances[taken[without].sum(1)]
+                        found[:, i] = (value[:, without | (1 << i)] - value[:, without]) @ weight
+                    for v, c in zip(value, found, strict=True):
+                        out[n].append({"level": n, "base": v[0], "score": v[-1], "contributions": c})
+            yield pd.DataFrame(out)
+
+    return _explained(flows, bundle, levels, uid, partitions, run)
+
+
+def _explained(flows: DataFrame, bundle: Bundle, levels: tuple[str, ...], uid: str, partitions: int | None, run) -> DataFrame:
+    """The rows of ``explain`` from a function of the scaled features."""
+    spark = flows.sparkSession
     spread = flows.select(quoted(uid), *[feature(f).alias(f) for f in bundle.feature_names]).repartition(
         partitions or 3 * spark.sparkContext.defaultParallelism, quoted(uid)
     )

@@ -622,6 +622,18 @@ def explain_flows(spark, sf_dir):
     return df.select("flow_uid", "level", F.round("score", 5).alias("score"), left.alias("unexplained"))
 
 
+BACKGROUND = ((-1.5, 0.25), (-0.5, -1.0), (0.0, 0.75), (0.5, 2.0), (1.25, -0.25))
+
+
+@query
+def explain_exact(spark, sf_dir):
+    """Contributions of both features of the tiny model to both scores, over all subsets."""
+    df = lineitem(spark, sf_dir).withColumn("flow_uid", line_uid())
+    out = ex.explain_exact(df, tiny_bundle(), np.array(BACKGROUND))
+    parts = [F.round(F.get("contributions", i), 6).alias(f"contribution_{i + 1}") for i in range(2)]
+    return out.select("flow_uid", "level", F.round("base", 6).alias("base"), F.round("score", 6).alias("score"), *parts)
+
+
 # ---- capture files
 
 

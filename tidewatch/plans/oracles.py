@@ -417,6 +417,20 @@ def oracle_sql() -> dict[str, str]:
             round(saa / n - sa * sa / (n * n) + {RIDGE}, 6) AS aa, round(sab / n - sa * sb / (n * n), 6) AS ab,
             round(sbb / n - sb * sb / (n * n) + {RIDGE}, 6) AS bb, round(likelihood, 6) AS likelihood FROM s"""
 
+    from tidewatch.plans.catalog import BACKGROUND
+
+    rest = TINY[TINY.index("h AS") :].replace("s AS (SELECT l_orderkey, l_linenumber,", "s AS (SELECT l_orderkey, l_linenumber, rid, m,")
+    level = "SELECT flow_uid, '{0}' AS level, round({0}0, 6) AS base, round({0}3, 6) AS score, " + ", ".join(
+        f"round(({{0}}{a} - {{0}}0 + {{0}}3 - {{0}}{b}) / 2, 6) AS contribution_{a}" for a, b in ((1, 2), (2, 1))
+    ) + " FROM v"
+    values = ", ".join(f"avg({c}) FILTER (m = {m}) AS {n}{m}" for c, n in (("ae_score", "ae"), ("score_raw", "gmm")) for m in range(4))
+    q["explain_exact"] = f"""WITH b(b1, b2) AS (VALUES {", ".join(map(str, BACKGROUND))}),
+        x0 AS (SELECT l_orderkey, l_linenumber, row_number() OVER () AS rid, (l_quantity - 25.0) / 14.0 AS y1, (l_extendedprice - 38000.0) / 23000.0 AS y2 FROM lineitem),
+        x AS (SELECT l_orderkey, l_linenumber, rid, m, CASE WHEN m % 2 = 1 THEN y1 ELSE b1 END AS x1, CASE WHEN m >= 2 THEN y2 ELSE b2 END AS x2
+              FROM x0, b, range(4) AS t(m)), {rest},
+        v AS (SELECT l_orderkey * 10 + l_linenumber AS flow_uid, {values} FROM s GROUP BY rid, l_orderkey, l_linenumber)
+        {level.format("ae")} UNION ALL {level.format("gmm")}"""
+
     # models, explanations
     promos = """pr AS (SELECT 'v' || (event_id % 40) AS model_version, ts AS promoted_at,
         CASE WHEN event_type = 'error' THEN 'reject' ELSE 'accept' END AS action FROM events),
