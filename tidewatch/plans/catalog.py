@@ -198,6 +198,13 @@ def dirty(spark, sf_dir):
     return samples.table(spark, sf_dir, "events").select("event_id", text.alias("Idle Max"))
 
 
+@query
+def unparsed_cells(spark, sf_dir):
+    """Per group the cells that are neither a number nor empty."""
+    df = dirty(spark, sf_dir).withColumn("bucket", F.col("event_id") % 5)
+    return col.unparsed_by(df, "bucket", ["Idle Max"])
+
+
 @query
 def clean_features(spark, sf_dir):
     return col.project_features(dirty(spark, sf_dir), ["Idle Max"], keep=["event_id"])
@@ -691,6 +698,27 @@ def stream_restart(spark, sf_dir):
     return rounded(stream.flows()).drop("start_ts")
 
 
+@query
+def watched_folder(spark, sf_dir):
+    """CSV files of two dialects scored as they are found; files with text for numbers are set aside."""
+    from tidewatch.plans.engine import Engine
+    from tidewatch.streaming.live import watch_directory
+
+    root, df = scratch(spark), lineitem(spark, sf_dir).withColumn("flow_uid", line_uid().cast("string"))
+    bad, price = F.col("l_suppkey") % 7 == 0, F.col("l_extendedprice")
+    quantity = F.when(bad, "many").otherwise(F.col("l_quantity").cast("string"))
+    for i, (part, columns) in enumerate((
+        (~bad & (F.col("l_partkey") % 2 == 0), ["flow_uid", quantity.alias(" l_quantity"), price]),
+        (~bad & (F.col("l_partkey") % 2 == 1), [price.alias("l_extendedprice "), "flow_uid", quantity.alias("l_quantity")]),
+        (bad, ["flow_uid", quantity.alias("l_quantity"), price]),
+    )):
+        df.filter(part).select(*columns).repartition(2).write.option("header", True).csv(f"{root}/in/d{i}")
+    engine = Engine(spark, f"{root}/site", default_version="tiny")
+    engine.save(tiny_bundle().with_(confidence_scale=2.5))
+    watch_directory(engine, f"{root}/in/*", f"{root}/checkpoint").awaitTermination()
+    return engine.results("watch").select("flow_uid", "prediction", "confidence", "gmm_score")
+
+
 # ---- training
 
 

@@ -293,6 +293,13 @@ def oracle_sql() -> dict[str, str]:
         SELECT l_orderkey, l_linenumber, CASE WHEN score_raw < -4.0 THEN 'Attack' ELSE 'Normal' END AS prediction,
                round_even((1 / (1 + exp(-abs((score_raw + 4.0) / (p95 / 3.0)))) - 0.5) * 2 * 1e4, 0) / 1e4 AS confidence,
                round_even(score_raw * 1e4, 0) / 1e4 AS gmm_score FROM s, p"""
+    named = TINY.replace("SELECT l_orderkey, l_linenumber,", "SELECT l_orderkey * 10 + l_linenumber AS flow_uid, l_suppkey,", 1)
+    named = named.replace("s AS (SELECT l_orderkey, l_linenumber,", "s AS (SELECT flow_uid, l_suppkey,")
+    q["watched_folder"] = f"""WITH {named} SELECT CAST(flow_uid AS VARCHAR) AS flow_uid,
+        CASE WHEN score_raw < -4.0 THEN 'Attack' ELSE 'Normal' END AS prediction,
+        round_even((1 / (1 + exp(-abs((score_raw + 4.0) / (2.5 / 3.0)))) - 0.5) * 2 * 1e4, 0) / 1e4 AS confidence,
+        round_even(score_raw * 1e4, 0) / 1e4 AS gmm_score FROM s WHERE l_suppkey % 7 <> 0"""
+    q["unparsed_cells"] = "SELECT event_id % 5 AS bucket, count(*) AS unparsed FROM events WHERE event_id % 8 = 4 GROUP BY 1"
     q["confidence_by_scope"] = f"WITH {scored()} SELECT {SCORED_COLUMNS}, scope FROM scored"
     q["classify"] = f"WITH {scored(None)} SELECT {SCORED_COLUMNS} FROM scored"
     q["relabel"] = f"WITH {scored(threshold=40.0)} SELECT {SCORED_COLUMNS} FROM scored"
