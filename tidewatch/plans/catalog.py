@@ -698,6 +698,28 @@ def stream_restart(spark, sf_dir):
     return rounded(stream.flows()).drop("start_ts")
 
 
+@query
+def live_scoring(spark, sf_dir):
+    """Packets in, labelled flows out: each step of a stream scores the flows it ended."""
+    from tidewatch.plans.engine import Engine
+    from tidewatch.streaming.live import packet_stream, score_live
+
+    root, packets = scratch(spark), samples.packets(spark, sf_dir)
+    t = F.unix_micros("ts")
+    n, middle = packets.agg(F.count(F.lit(1)), F.expr("(min(unix_micros(ts)) + max(unix_micros(ts))) div 2")).first()
+    files = max(1, n // 4_000_000)
+    for part in (packets.filter(t < middle), packets.filter(t >= middle)):
+        part.repartition(files).write.mode("append").parquet(f"{root}/packets")
+    bundle = flow_bundle().with_(confidence_scale=2.0)
+    engine = Engine(spark, f"{root}/site", default_version=bundle.version)
+    engine.save(bundle)
+    stream = score_live(engine, f"{root}/stream", delay="1 second")
+    stream.start(packet_stream(spark, f"{root}/packets", files_per_trigger=files), f"{root}/checkpoint").awaitTermination()
+    stream.flush()
+    scored = engine.results("live")
+    return scored.select("flow_uid", "prediction", "confidence", "gmm_score", F.round("ae_score", 6).alias("ae_score"))
+
+
 @query
 def watched_folder(spark, sf_dir):
     """CSV files of two dialects scored as they are found; files with text for numbers are set aside."""

@@ -317,6 +317,7 @@ def oracle_sql() -> dict[str, str]:
                round_even((1 / (1 + exp(-abs((score_raw - ({t})) / (p95 / 3.0)))) - 0.5) * 2 * 1e4, 0) / 1e4 AS confidence,
                round_even(score_raw * 1e4, 0) / 1e4 AS gmm_score, round(ae_score, 6) AS ae_score FROM sc, p"""
 
+    q["live_scoring"] = q["predict_flows"].replace("SELECT quantile_cont(abs(score_raw - (" + t + ")), 0.95) AS p95 FROM sc", "SELECT 2.0 AS p95")
     named = f"{flows}, {model_sql(bundle, 'flows')}, u AS (SELECT md5({FLOW_NAME} || '|' || t0 || '|' || seq0) AS flow_uid, * FROM sc)"
     q["explain_flows"] = f"""{named} SELECT flow_uid, 'ae' AS level, round(ae_score, 5) AS score, 0.0::DOUBLE AS unexplained FROM u
         UNION ALL SELECT flow_uid, 'gmm', round(score_raw, 5), 0.0::DOUBLE FROM u"""
