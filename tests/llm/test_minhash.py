@@ -88,3 +88,42 @@ def test_stage_keeps_unlike_texts_of_one_id(make_docs):
     out = [(r.doc_id, r.text or "") for r in minhash.dedup_stage(None, make_docs(rows), "").collect()]
     texts = sorted(t for d, t in out if d is not None)
     assert texts == ["", a, b, c] and (1, b) in out and (5, c) in out and (None, a) in out and len(out) == 5
+
+
+@pytest.mark.parametrize("block", [1 << 20, 500])
+def test_many_near_copies_around_the_limit(make_docs, monkeypatch, block):
+    """600 texts of one base, pairwise similarities 0.78 to 0.88; few and many blocks."""
+    monkeypatch.setattr(minhash, "STAR_ROUNDS", 1)
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(130)]
+    rows = []
+    for doc in range(600):
+        own = [*base]
+        for at in rng.sample(range(130), rng.choice((1, 2, 3, 3, 4, 5))):
+            own[at] = f"x{rng.randrange(10**6)}"
+        rows.append((doc, " ".join(own)))
+    assert got(make_docs(rows), 3, 85) == brute(rows, 3, 85)
+
+
+def test_block_of_sets_equals_pairwise_links():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 40, rng.integers(0, 30)).astype(np.uint64)) for _ in range(60)]
+    wanted = {(i, k) for i in range(60) for k in range(i) if len(sets[i]) and 100 * len(np.intersect1d(sets[i], sets[k])) >= 30 * len(np.union1d(sets[i], sets[k]))}
+    for held in (0, 20, 59):
+        block = minhash._Block(30)
+        for i in range(held):
+            block.add(i, i, sets[i])
+        joined = {(max(p), min(p)) for i in range(60) for p in block.links(i, i, sets[i])}
+        assert joined <= wanted
+
+        def parts(pairs):
+            root = list(range(60))
+            for a, b in sorted(pairs):
+                x, y = root[a], root[b]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+            return root
+
+        assert parts(joined) == parts({p for p in wanted if p[1] < held})

@@ -5,14 +5,16 @@ its minimum and its maximum, so a signature of 160 values costs 80 evaluations p
 shingle.  Minima and maxima go to different bands; 32 bands of five rows find a pair of
 similarity 0.8 with all but 3 in a million.
 
-Links: texts of equal shingle sets are one node.  In each bucket every node is compared
-with one centre on its full set; after a round the centre leaves the bucket, having met
-everybody, and buckets whose nodes already share a component are done.  After
-``STAR_ROUNDS`` rounds what is left is compared in full: nodes outside a bucket's
-largest component with the bucket's other nodes, but for pairs whose overlap cannot be
-large enough, by their sizes and the shingles no other node has.  So no candidate pair
-that could join two components is left untested, and a bucket of n near copies costs
-about n comparisons instead of n squared.
+Links: texts of equal shingle sets are one node.  In ``STAR_ROUNDS`` rounds each node
+that shares a bucket with another component is compared with one centre, so a round
+costs one comparison per node and most near copies find their component.  Buckets that
+still hold several components are then compared in full: they are put together by their
+largest component, and the nodes outside it ("few") meet all nodes of these buckets.
+A task holds a block of few, at most ``BLOCK`` shingles and one text, as an inverted
+index and streams the others past it; it emits only links that join components it has
+not joined yet.  So no candidate pair that could join two components is left untested,
+and a group of n near copies, even of mutually unlike ones, makes rows in proportion to
+n as long as its few fit one block, and n times the number of blocks beyond.
 
 Defined cases: a null or empty text, or white space only, has an empty set and no
 links; a text shorter than a shingle is one shingle, its whole word sequence; rows of
@@ -26,7 +28,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +38,8 @@ from tidewatch.llm.hashing import Ranges, mix, odd
 HASHES = 80
 ROWS = 5
 BANDS = 2 * HASHES // ROWS
-STAR_ROUNDS = 2
+STAR_ROUNDS = 3
+BLOCK = 1 << 20  # shingles of one block
 SKETCH = "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"
 COMPARED = "a long, b long, linked boolean"
 
@@ -135,75 +137,120 @@ def links(nodes: DataFrame, tested: DataFrame, docs: DataFrame, words: int, perc
     """
     banded = nodes.select("node", "n", F.explode("bands").alias("bucket"))
     shared = stage_table(
-        banded.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
-        .select("bucket", F.col("low").alias("center"))
+        banded.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("bucket")
     )
     members = stage_table(banded.join(shared, "bucket"))
-    # First one centre per node: most near copies meet their component here, and the
-    # rounds below only compare across components.
-    nearest = members.filter("node <> center").groupBy("node").agg(F.min("center").alias("center"))
-    start = nearest.select(F.col("node").alias("x"), F.col("center").alias("y"))
-    tested = stage_table(tested.unionByName(compare(_ordered(start), docs, words, percent)))
     labels = components(tested.filter("linked").select("a", "b"))
-    for _ in range(STAR_ROUNDS):
+    for turn in range(STAR_ROUNDS):
+        members = _open_buckets(members, labels)
         if members.isEmpty():
-            break
-        met = _labelled(members.filter("node <> center"), labels, ["node", "center"]).filter("label_node <> label_center")
-        pairs = _ordered(met.select(F.col("node").alias("x"), F.col("center").alias("y")))
-        pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+            return labels
+        # Every bucket names a centre; a node takes the first of those outside its component.
+        order = F.struct(F.xxhash64("node", F.lit(turn)) if turn else F.lit(0), "node")
+        centers = members.groupBy("bucket").agg(F.min_by(F.struct("node", "label"), order).alias("c"))
+        met = members.join(centers, "bucket").filter(F.col("label") != F.col("c.label"))
+        first = F.min(F.struct(F.xxhash64("c.node", F.lit(turn)) if turn else F.lit(0), F.col("c.node").alias("node")))
+        star = met.groupBy("node").agg(first.alias("c")).select(F.col("node").alias("x"), F.col("c.node").alias("y"))
+        pairs = _ordered(star).join(tested.select("a", "b"), ["a", "b"], "left_anti")
         tested = stage_table(tested.unionByName(compare(pairs, docs, words, percent)))
         labels = components(tested.filter("linked").select("a", "b"))
-        # The centre has met everybody and goes; buckets of one component are done.
-        rest = _labelled(members.filter("node <> center").drop("center"), labels, ["node"])
-        rest = stage_table(rest.withColumnRenamed("label_node", "label"))
-        open_ = rest.groupBy("bucket").agg(
-            F.min("label").alias("low"), F.max("label").alias("high"), F.min("node").alias("center")
-        )
-        open_ = stage_table(open_.filter("low < high").select("bucket", "center"))
-        members = stage_table(rest.drop("label").join(open_, "bucket"))
-    if not members.isEmpty():
-        # An id with several texts has no count of its own shingles: none is left out for it.
-        single = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("m")).filter("m = 1")
-        own = _own_shingles(single.select("node"), members.select("node").distinct(), docs, words)
-        named = join_checked(_labelled(members.drop("center"), labels, ["node"]), own, ["node"], "left", row_bytes=16)
-        named = named.withColumn("common", F.col("n") - F.coalesce("own", F.lit(0))).withColumnRenamed("label_node", "label")
-        # A text with too many shingles of its own can be similar to none of the others.
-        named = stage_table(named.filter(100 * F.col("common") >= percent * F.col("n")).drop("own"))
-        sizes = named.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("m"))
-        main = stage_table(sizes.groupBy("bucket").agg(F.max_by("label", F.struct("m", "label")).alias("main")))
-        few = named.join(main, "bucket").filter("label <> main").select(
-            "bucket", *[F.col(c).alias(f"x_{c}") for c in ("node", "n", "common", "label")]
-        )
-        # Similar sets have at least percent / (100 + percent) of their sizes in common.
-        overlap = (100 + percent) * F.least("common", "x_common") >= percent * (F.col("n") + F.col("x_n"))
-        joined = named.join(stage_table(few), "bucket").filter((F.col("label") != F.col("x_label")) & overlap)
-        pairs = _ordered(joined.select(F.col("x_node").alias("x"), F.col("node").alias("y")))
-        pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        done = compare(pairs, docs, words, percent)
-        labels = components(tested.unionByName(done).filter("linked").select("a", "b"))
-    return labels
-
-
-def _own_shingles(asked: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """(node, own) of the nodes asked for: shingles that no other of ``nodes`` has (stored)."""
-    ids = stage_table(nodes.select(F.col("node").alias("doc_id")))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names, hashes = [], []
-            for node, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                found = shingle_set(text, words).view(np.int64)
-                names.append(np.full(len(found), node, dtype=np.int64))
-                hashes.append(found)
-            if names:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names)), pa.array(np.concatenate(hashes))], names=["node", "shingle"])
-
-    texts = join_checked(docs.select("doc_id", "text"), ids, ["doc_id"], "left_semi", row_bytes=16)
-    single = texts.mapInArrow(run, "node long, shingle long").groupBy("shingle").agg(
-        F.min("node").alias("node"), F.max("node").alias("last"), F.count(F.lit(1)).alias("m")
+    members = _open_buckets(members, labels)
+    if members.isEmpty():
+        return labels
+    found = _block_links(members, docs, words, percent)
+    return components(tested.filter("linked").select("a", "b").unionByName(found))
+
+
+def _open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members, with their ``label``, of the buckets that hold several components (stored)."""
+    named = stage_table(_labelled(members.select("bucket", "node", "n"), labels, ["node"]).withColumnRenamed("label_node", "label"))
+    spread = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    return stage_table(named.join(stage_table(spread.filter("low < high").select("bucket")), "bucket"))
+
+
+def _block_links(members: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) that join all components whose nodes share a bucket and are similar (stored)."""
+    sizes = members.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("m"))
+    main = stage_table(sizes.groupBy("bucket").agg(F.max_by("label", F.struct("m", "label")).alias("unit")))
+    units = stage_table(members.join(main, "bucket").groupBy("unit", "node").agg(F.max("label").alias("label"), F.max("n").alias("n")))
+    few = F.col("label") != F.col("unit")
+    blocks = units.groupBy("unit").agg(
+        F.ceil(F.coalesce(F.sum(F.when(few, F.col("n"))), F.lit(1)) / BLOCK).alias("few_blocks"),
+        F.ceil(F.sum("n") / BLOCK).alias("all_blocks"),
     )
-    counts = single.filter("node = last AND m = 1").groupBy("node").agg(F.count(F.lit(1)).alias("own"))
-    return stage_table(counts.join(asked, "node", "left_semi"))
+    rows = units.join(stage_table(blocks), "unit")
+    own = lambda count: F.pmod(F.xxhash64("node"), F.col(count))
+    every = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
+    held = rows.filter(few).select("unit", "node", "label", own("few_blocks").alias("i"), every("all_blocks").alias("j"), F.lit(0).alias("side"))
+    passing = rows.select("unit", "node", "label", every("few_blocks").alias("i"), own("all_blocks").alias("j"), F.lit(1).alias("side"))
+    needed = stage_table(units.select(F.col("node").alias("doc_id")).distinct())
+    texts = stage_table(join_checked(docs.select(F.col("doc_id"), "text"), needed, ["doc_id"], "left_semi", row_bytes=16))
+    both = held.unionByName(passing).join(texts.withColumnRenamed("doc_id", "node"), "node")
+    keys = ["unit", "i", "j"]
+    both = both.repartition(*keys).sortWithinPartitions(*keys, "side", "node").select(*keys, "side", "node", "label", "text")
+
+    def run(batches: Iterator[dict]) -> Iterator[list[tuple]]:
+        key, block = None, None
+        for batch in batches:
+            found = []
+            columns = (batch[c] for c in ("unit", "i", "j", "side", "node", "label", "text"))
+            for unit, i, j, side, node, label, text in zip(*columns, strict=True):
+                if (unit, i, j) != key:
+                    key, block = (unit, i, j), _Block(percent)
+                if side == 0:
+                    block.add(node, label, shingle_set(text, words))
+                else:
+                    found.extend(block.links(node, label, shingle_set(text, words)))
+            yield found
+
+    return stage_table(map_rows(both, run, "a long, b long")).distinct()
+
+
+class _Block:
+    """Shingle sets as an inverted index, and the components joined through them."""
+
+    def __init__(self, percent: int):
+        self._percent, self._root = percent, {}
+        self._nodes, self._labels, self._sets = [], [], []
+        self._values = None
+
+    def add(self, node: int, label: int, shingles: np.ndarray) -> None:
+        self._nodes.append(node)
+        self._labels.append(label)
+        self._sets.append(shingles)
+
+    def _index(self) -> None:
+        self._sizes = np.array([len(s) for s in self._sets], dtype=np.int64)
+        values = np.concatenate([*self._sets, np.zeros(0, dtype=np.uint64)])
+        order = np.argsort(values, kind="stable")
+        self._owners = np.repeat(np.arange(len(self._sets)), self._sizes)[order]
+        self._values, first = np.unique(values[order], return_index=True)
+        self._ends = np.append(first, len(values))
+        self._sets = []
+
+    def _find(self, label: int) -> int:
+        while (up := self._root.get(label, label)) != label:
+            self._root[label] = label = self._root.get(up, up)
+        return label
+
+    def links(self, node: int, label: int, shingles: np.ndarray) -> Iterator[tuple]:
+        """Links of a passing set with held ones of components not joined with it so far."""
+        if self._values is None:
+            self._index()
+        if not len(self._values):
+            return
+        at = np.minimum(np.searchsorted(self._values, shingles), len(self._values) - 1)
+        at = at[self._values[at] == shingles]
+        start, count = self._ends[at], self._ends[at + 1] - self._ends[at]
+        # All owner lists of the shared shingles, end to end.
+        shift = np.repeat(start - np.concatenate([[0], np.cumsum(count)[:-1]]), count) if len(at) else start
+        owners = self._owners[np.arange(count.sum()) + shift]
+        both = np.bincount(owners, minlength=len(self._sizes))
+        for other in np.flatnonzero((both > 0) & (100 * both >= self._percent * (self._sizes + len(shingles) - both))).tolist():
+            one, two = self._find(label), self._find(self._labels[other])
+            if one != two:
+                self._root[max(one, two)] = min(one, two)
+                yield max(node, self._nodes[other]), min(node, self._nodes[other])
 
 
 def _labelled(rows: DataFrame, labels: DataFrame, columns: list[str]) -> DataFrame:
