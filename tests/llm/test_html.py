@@ -61,3 +61,21 @@ def test_head_without_an_end_and_closed_drawings_keep_the_article():
     assert found("<p><svg/>a<p>b") == ["a", "b"] and found("<p><svg>x<p>b<p>c") == ["b", "c"]
     assert found("<div><p>a<template>x<p>y</p></template>z<p>b</div>c") == ["a", "z", "b", "c"]
     assert found("<head><title>t</title>a<p>b") == ["a", "b"] and found("<head><link rel=x> <!-- c --> </head>a") == ["a"]
+
+
+def test_quotes_count_after_an_equals_sign_only():
+    found = lambda page: [t for t, _ in html.blocks(page)]
+    assert found("<p class=it's>Hello there, it's fine</p>") == ["Hello there, it's fine"]
+    assert found("<p title=O'Brien>First</p><p>Second, it's late</p>") == ["First", "Second, it's late"]
+    assert found('<p title="a > b">x</p><p title = \'c > d\'>y') == ["x", "y"]
+    assert found('<p>x</p><p title="no end>y</p><p>z</p>') == ["x", "y", "z"]
+
+
+def test_long_broken_markup_takes_time_in_proportion():
+    import time
+
+    for piece, tail in (("<a", ""), ("<a", ">x"), ('<p a="', ""), ('<p a="', ">x"), ("x i<n ", ""), ("<!x ", ""), ("""<p a='">""", "'"), ("< ", "")):
+        page = piece * (1_000_000 // len(piece)) + tail
+        start = time.perf_counter()
+        html.blocks(page)
+        assert time.perf_counter() - start < 10, piece

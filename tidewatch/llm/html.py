@@ -13,7 +13,8 @@ Character references are decoded; white space inside a block, ``<br>``
 included, is one space; blocks are joined by a line feed; nothing else is dropped.
 
 Defined cases: a null or empty html has an empty text; broken markup is read as far as
-it goes (unclosed tags end with their parents, a cut-off tag at the end is dropped);
+it goes (unclosed tags end with their parents, a cut-off tag at the end is dropped, a
+quote counts only right after ``=``, and none does any more once one never ends);
 repeated rows are read each on its own; an empty table gives an empty result.
 """
 
@@ -35,9 +36,13 @@ from tidewatch.llm.crf import LinearChain, train
 LABELS = ["other", "main"]
 MAX_LABELLED = 1_000
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attr>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<(?=/?[a-zA-Z!?])[^<]*\Z|[^<]+|<", re.S
-)
+# Possessive throughout: a token is read once, forward.  Quotes count right after "=" only.
+_NAME = r"<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)"
+_QUOTED = re.compile(_NAME + r"""(?P<attr>(?:=\s*+"[^"]*+"|=\s*+'[^']*+'|[^>])*+)>""")
+_PLAIN = re.compile(_NAME + r"(?P<attr>[^>]*+)>")
+_OTHER = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(?=/?[a-zA-Z!?])[^<]*+\Z|[^<]++|<", re.S)
+_OPENS = re.compile("</?[a-zA-Z]")
+_REST = re.compile(r"<[^<]*+\Z|<")
 _ATTR = re.compile(r"""(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _SILENT = frozenset("script style template noscript head title svg math iframe object select option button textarea datalist".split())
 _HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
@@ -84,6 +89,7 @@ def blocks(html: str | None) -> list[tuple[str, Block]]:
     current: Block | None = None
     silent = links = 0
     at, html = 0, html or ""
+    last, quotes = html.rfind(">"), True
 
     def flush() -> None:
         nonlocal current
@@ -94,9 +100,17 @@ def blocks(html: str | None) -> list[tuple[str, Block]]:
         current = None
 
     while at < len(html):
-        m = _TOKEN.match(html, at)
+        m = None
+        if at < last and _OPENS.match(html, at):
+            m = _QUOTED.match(html, at) if quotes else None
+            if m is None:
+                # A quote here never ends before the text does: quotes count no more.
+                quotes, m = False, _PLAIN.match(html, at)
+        elif at > last and html.startswith(("<!", "<?"), at) and not html.startswith("<!--", at):
+            m = _REST.match(html, at)
+        tag = m.group("tag") if m and m.re is not _REST else None
+        m = m or _OTHER.match(html, at)
         at = m.end()
-        tag = m.group("tag")
         if tag is None:
             piece = m.group()
             if stack and stack[-1][0] == "head" and not piece.isspace() and (piece[0] != "<" or len(piece) == 1):
