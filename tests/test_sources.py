@@ -10,7 +10,7 @@ from tidewatch.functions import columns as col
 from tidewatch.functions import packet as P
 from tidewatch.operators import flows as fl
 from tidewatch.operators import stats
-from tidewatch.plans import samples
+from tidewatch.plans import catalog, samples
 from tidewatch.schemas import FEATURES
 from tidewatch.sources import flow_csv, pcap
 from tidewatch.sources.tables import AppendTable
@@ -258,3 +258,18 @@ def test_headers_of_many_files_take_one_job(spark):
     sc.setJobGroup("rest", "rest")
     assert len(jobs) <= 2 and list(failed) == [missing]
     assert sorted(len(v) for v in groups.values()) == [1, 150, 151]
+
+
+def test_captures_of_more_clients_than_two_bytes_hold(spark):
+    users = [0, 255, 65_535, 65_536, 90_000, 5_000_000, 2**24, 2**31]
+    rows = [(i, user, i % 2) for user in users for i in range(6)]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, kind int").selectExpr(
+        "event_id + 6 * user_id AS event_id", "timestamp_seconds(1704067200 + event_id * 9999) AS ts", "user_id",
+        "if(kind = 0, 'view', 'purchase') AS event_type", "1.5D * event_id AS value",
+    )
+    folder = fresh()
+    events.write.parquet(f"{folder}/events.parquet")
+    names = ["src_ip", "dst_ip", "src_port", "dst_port", "protocol", "payload_len", "tcp_flags", "tcp_window", "header_size"]
+    want = samples.packets(spark, folder).select(F.unix_micros("ts").alias("t_us"), *names)
+    got = catalog.queries()["capture_ranges"](spark, folder)
+    assert sorted(got.collect()) == sorted(want.collect())

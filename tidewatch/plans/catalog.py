@@ -650,12 +650,13 @@ def capture_ranges(spark, sf_dir):
     from tidewatch.sources import pcap
 
     folder = f"{scratch(spark)}/captures"
-    sizes = stage_table(samples.capture_files(spark, sf_dir, folder, 4))
+    files = max(4, samples.table(spark, sf_dir, "events").count() // 2_000_000)
+    sizes = stage_table(samples.capture_files(spark, sf_dir, folder, files))
     total = sizes.agg(F.sum("bytes")).first()[0]
-    df = pcap.read_pcap(spark, folder, part_bytes=max(1 << 16, total // 64))
+    df = pcap.read_pcap(spark, folder, part_bytes=max(1 << 16, min(pcap.PART_BYTES, total // 64)))
     return df.select(
-        F.unix_micros("ts").alias("t_us"), "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "payload_len",
-        "tcp_flags", "tcp_window", "header_size",
+        F.unix_micros("ts").alias("t_us"), *[samples.captured_ip(F.col(n)).alias(n) for n in ("src_ip", "dst_ip")],
+        "src_port", "dst_port", "protocol", "payload_len", "tcp_flags", "tcp_window", "header_size",
     )
 
 

@@ -10,13 +10,14 @@ import struct
 
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions.packet import TCP, UDP
 from tidewatch.sources.files import open_output
 
 EPOCH = 1704067200000000  # 2024-01-01T00:00:00Z in microseconds
+CLIENTS, SERVERS = 10 << 24, "192.168.1."
 SQUEEZE = 10_000  # time compression: median gap per user becomes about 2.6 s
 
 
@@ -62,8 +63,27 @@ def packets(spark: SparkSession, sf_dir: str, skewed: bool = False) -> DataFrame
     )
 
 
+def captured_ip(ip: Column) -> Column:
+    """The packet table's name for an address read from ``capture_files``.
+
+    Clients are 10.0.x.y with x above 255 from user 65 536 on.  On the wire they are 32-bit
+    numbers counted up from 10.0.0.0, so 10.0.256.0 travels as 10.1.0.0.
+    """
+    parts = F.transform(F.split(ip, r"\."), lambda part: part.cast("long"))
+    user = F.aggregate(parts, F.lit(0).cast("long"), lambda a, part: a * 256 + part) - CLIENTS
+    name = F.concat(F.lit("10.0."), F.floor(user / 256).cast("string"), F.lit("."), (user % 256).cast("string"))
+    return F.when(ip.startswith(SERVERS), ip).otherwise(name)
+
+
 def capture_files(spark: SparkSession, sf_dir: str, folder: str, files: int) -> DataFrame:
-    """The packet table as Ethernet captures in ``folder``: (path, bytes) of each file written."""
+    """The packet table as Ethernet captures in ``folder``: (path, bytes) of each file written.
+
+    ``captured_ip`` takes the addresses back.
+    """
+
+    def address(ip: str) -> bytes:
+        a, b, c, d = map(int, ip.split("."))
+        return struct.pack(">I", (a << 24) + (b << 16) + (c << 8) + d)
 
     def frame(row) -> bytes:
         payload, words = bytes(int(row.payload_len)), int(row.header_size) // 4
@@ -72,7 +92,7 @@ def capture_files(spark: SparkSession, sf_dir: str, folder: str, files: int) ->
         else:
             head = struct.pack(">HHIIBBHHH", row.src_port, row.dst_port, 0, 0, words << 4, row.tcp_flags, row.tcp_window, 0, 0)
             body = head.ljust(words * 4, b"\0") + payload
-        ends = b"".join(bytes(map(int, ip.split("."))) for ip in (row.src_ip, row.dst_ip))
+        ends = address(row.src_ip) + address(row.dst_ip)
         ip = struct.pack(">BBHHHBBH", 0x45, 0, 20 + len(body), 0, 0, 64, row.protocol, 0) + ends + body
         return bytes(12) + b"\x08\x00" + ip
 

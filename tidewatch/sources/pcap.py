@@ -291,9 +291,12 @@ def _indexed(ranges: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=names).astype(dict.fromkeys(names[1:], "Int64"))
 
     columns = "path string, start long, stop long, first long, after long, records long"
-    # A row is a whole range of work: dealt one by one.
-    dealt = ranges.select("path", "start", "stop", "from").repartition("path", "start")
-    return stage_table(dealt.mapInPandas(run, columns))
+    return stage_table(_dealt(ranges.select("path", "start", "stop", "from")).mapInPandas(run, columns))
+
+
+def _dealt(ranges: DataFrame) -> DataFrame:
+    """A row is a whole range of work: a task for each, which a given number keeps from being merged."""
+    return ranges.repartition(max(1, ranges.count()))
 
 
 def _by_ranges(files: DataFrame, part_bytes: int) -> DataFrame:
@@ -321,7 +324,7 @@ def _by_ranges(files: DataFrame, part_bytes: int) -> DataFrame:
                 source = _Opened(path)
                 yield from _frames(_decoded(path, source, _Head(source), first, stop, number))
 
-    return work.repartition("path", "first").mapInPandas(run, RAW)
+    return _dealt(work).mapInPandas(run, RAW)
 
 
 def packets_of(files: DataFrame, max_bytes: int | None = None, part_bytes: int = PART_BYTES) -> DataFrame:
