@@ -6,6 +6,7 @@ from packet_walk import walk
 from pyspark.sql import functions as F
 
 from tidewatch.operators import flows as fl
+from tidewatch.operators import hot_flows as hf
 from tidewatch.plans import samples
 from tidewatch.schemas import FEATURES, PACKETS
 
@@ -152,3 +153,14 @@ def test_plan_has_one_exchange(spark, sf):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
     assert "BatchEvalPython" not in plan
+
+
+def test_tasks_follow_the_packets_not_the_limit(spark, monkeypatch):
+    packets, asked = traffic(4, n=600), []
+    kind = type(spark.range(1))
+    deal = kind.repartitionByRange
+    monkeypatch.setattr(kind, "repartitionByRange", lambda df, n, *by: (asked.append(n), deal(df, n, *by))[1])
+    same(spark, packets, hot_rows=2)
+    df, by = fl.keyed(frame(spark, packets))
+    sizes = hf._chunked(df, by, 600, 2).groupBy("chunk").count().agg(F.max("count"), F.count("*")).first()
+    assert asked == [2, 2] and sizes[0] == 2 and sizes[1] >= 300

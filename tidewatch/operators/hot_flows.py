@@ -1,8 +1,8 @@
 """Flow building for 5-tuples too large for one task.
 
 One 5-tuple may hold a large share of all packets, even as a single endless flow.
-Its packets are range-partitioned by time, so every task gets a bounded *chunk*,
-and each chunk is reduced to *pieces* of flows before anything is put together:
+Its packets are range-partitioned by time, every task cuts its range into bounded
+*chunks*, and each chunk is reduced to *pieces* of flows before anything is put together:
 
 1. Inside a chunk all cuts are known except those that depend on what came before:
    whether the first packet continues a flow, and which endpoint (none, a, b) had
@@ -42,6 +42,7 @@ from tidewatch.session import cut_lineage, ship_package, stage_table
 
 CASES = ("none", "a", "b")
 _EXACT = "decimal(38,0)"
+ROWS_PER_TASK = 250_000  # packets of hot keys a task cuts into chunks, unless one chunk has more
 
 
 def hot_keys(df: DataFrame, by: list[str], limit: int) -> tuple[DataFrame, int, int]:
@@ -56,17 +57,27 @@ def hot_keys(df: DataFrame, by: list[str], limit: int) -> tuple[DataFrame, int,
     return (cut_lineage(hot) if n_keys else hot).select(*by), n_keys, n_rows
 
 
-def _marked(df: DataFrame, by: list[str], chunks: int, timeout: int) -> tuple[DataFrame, Frames]:
-    """Packets in ``chunks`` tasks of about equal size, with what can be said inside each.
+def _chunked(df: DataFrame, by: list[str], n_rows: int, limit: int) -> DataFrame:
+    """Packets with ``chunk``: stretches of at most ``limit`` packets, numbered in order of key and time.
+
+    A task sorts a range of packets and cuts it into chunks.  Tasks follow the number of
+    packets, not of chunks: each costs the driver some KB, and samples for the range borders.
+    """
+    tasks = max(2, -(-n_rows // max(limit, ROWS_PER_TASK)))
+    size = max(1, min(limit, -(-n_rows // 2)))
+    place = F.monotonically_increasing_id()  # the task above, the row in its sorted range below
+    df = df.repartitionByRange(tasks, *by, "t", "seq").sortWithinPartitions(*by, "t", "seq").withColumn("place", place)
+    return df.withColumn("chunk", F.expr(f"((place >> 33) << 33) + (place & {(1 << 33) - 1}) div {size}")).drop("place")
+
+
+def _marked(df: DataFrame, by: list[str], n_rows: int, limit: int, timeout: int) -> tuple[DataFrame, Frames]:
+    """Packets in chunks of at most ``limit``, with what can be said inside each.
 
     Adds ``chunk``, ``seg`` (hard cuts so far) and, for each case a chunk may be entered
     in, ``start_<case>`` and ``closes_<case>``.  The chunk borders come from a sample of
     the data, so the result must be stored: a second evaluation could draw other borders.
     """
-    if chunks > 1:
-        df = df.repartitionByRange(chunks, *by, "t", "seq").withColumn("chunk", F.spark_partition_id())
-    else:
-        df = df.withColumn("chunk", F.lit(0))
+    df = _chunked(df, by, n_rows, limit)
     w = frames([*by, "chunk"])
     df = looking_back(df, w)
     df = df.selectExpr("*", f"prev_t IS NOT NULL AND (t - prev_t > {timeout} OR prev_rst) AS hard")
@@ -89,10 +100,10 @@ def _left_open(case: str) -> str:
         WHEN seg = 0 THEN {CASES.index(case)} ELSE 0 END"""
 
 
-def cut_pieces(df: DataFrame, by: list[str], chunks: int, timeout: int, idle: int) -> DataFrame:
-    """Reduce packets to pieces, in ``chunks`` tasks of about equal size (stored)."""
+def cut_pieces(df: DataFrame, by: list[str], n_rows: int, limit: int, timeout: int, idle: int) -> DataFrame:
+    """Reduce packets to pieces, chunk by chunk (stored)."""
     part = [*by, "chunk"]
-    df, w = _marked(df, by, chunks, timeout)
+    df, w = _marked(df, by, n_rows, limit, timeout)
     df = df.selectExpr("*", "start_none OR start_a OR start_b AS cut")
     closes = ", ".join(f"closes_{c}" for c in CASES)
     df = df.selectExpr(
@@ -164,10 +175,10 @@ def _chunk_cases(pieces: DataFrame, by: list[str], timeout: int) -> DataFrame:
     schema = T.StructType(
         [flat.schema[c] for c in by]
         + [
-            T.StructField("chunk", T.IntegerType()),
+            T.StructField("chunk", T.LongType()),
             T.StructField("entry", T.IntegerType()),
             T.StructField("entry_starts", T.BooleanType()),
-            T.StructField("from_chunk", T.IntegerType()),
+            T.StructField("from_chunk", T.LongType()),
             T.StructField("from_no", T.LongType()),
             T.StructField("is_final", T.BooleanType()),
         ]
@@ -218,7 +229,7 @@ def hot_cuts(df: DataFrame, by: list[str], n_rows: int, limit: int, timeout: int
     is folded into what the chunk begins with (the case, flows before it and who opened
     the one that goes on), and that is joined back to the chunk's packets.
     """
-    df, w = _marked(df, by, max(2, -(-n_rows // limit)), timeout)
+    df, w = _marked(df, by, n_rows, limit, timeout)
     closes = ", ".join(f"closes_{c}" for c in CASES)
     df = df.selectExpr("*", f"{last_where('fin', f'struct(seg, a_side, {closes})', w.upto)} AS last_fin")
     cases = [f"{n}_{c}" for n in ("start", "closes") for c in CASES]
@@ -236,7 +247,7 @@ def hot_cuts(df: DataFrame, by: list[str], n_rows: int, limit: int, timeout: int
     schema = T.StructType(
         [flat.schema[c] for c in by]
         + [T.StructField(n, t) for n, t in (
-            ("chunk", T.IntegerType()), ("entry", T.IntegerType()), ("entry_starts", T.BooleanType()),
+            ("chunk", T.LongType()), ("entry", T.IntegerType()), ("entry_starts", T.BooleanType()),
             ("flows_before", T.LongType()), ("opened", T.BooleanType()),
         )]
     )
@@ -390,5 +401,5 @@ def hot_flows(
 ) -> DataFrame:
     """Flows of the packets of hot keys; same rows as the single-task plan."""
     gap_limit, idle_limit = micros(timeout), micros(idle)
-    pieces = cut_pieces(df, by, max(2, -(-n_rows // limit)), gap_limit, idle_limit)
+    pieces = cut_pieces(df, by, n_rows, limit, gap_limit, idle_limit)
     return merged_features(merge_pieces(assign_flows(pieces, by, gap_limit), by, idle_limit), end)
