@@ -145,3 +145,17 @@ def test_first_last_and_row_numbers(spark):
     numbered = ranks.row_numbers(df.repartition(6), [F.col("name")]).collect()
     names = sorted(r.name for r in numbered)
     assert {r["row"]: r["name"] for r in numbered} == {i + 1: n for i, n in enumerate(names)}
+
+
+def test_keys_of_large_groups_are_worked_out_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        seen.add(1)
+        return float(x * 37 % 1000)
+
+    df = spark.range(2000).select(F.col("id").alias("uid"), counted("id").alias("x"))
+    got = ranks.quantiles(df, "x", [0.5, 0.95], group_limit=100).orderBy("prob").collect()
+    assert [r["value"] for r in got] == [499.5, 949.05]
+    assert seen.value <= 3 * 2000  # two for the stored keys and their filter, one for the count of the groups

@@ -71,9 +71,11 @@ def from_ordered_bits(key: Column) -> Column:
 def values_at(rows: DataFrame, targets: DataFrame) -> DataFrame:
     """(g, rank, key) for ``targets`` (g, rank): the keys at 0-based ranks among the ``rows`` (g, key) of a group.
 
-    ``rows`` are read twice; from the second digit on, a stored copy holds those that
-    share the first digit of a wanted rank.
+    ``rows`` are worked out once and stored: a key is a long expression, which a digit, a filter
+    and a join on it would each repeat.  From the second digit on, another copy holds those
+    that share the first digit of a wanted rank.
     """
+    rows = stage_table(rows)
     wanted = F.struct("rank", F.col("rank").alias("base"))
     state = cut_lineage(targets.groupBy("g").agg(F.collect_set(wanted).alias("ranks")).withColumn("prefix", F.lit(0).cast("long")))
     for step in range(64 // DIGIT):
