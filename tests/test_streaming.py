@@ -10,6 +10,7 @@ from tidewatch.operators.bundle import random_bundle
 from tidewatch.plans.engine import Engine
 from tidewatch.schemas import FEATURES
 from tidewatch.streaming import live
+from tidewatch.streaming import state as st
 from tidewatch.streaming.flows import FlowStream
 
 
@@ -118,3 +119,16 @@ def test_drift_alert_stream(spark):
     got = spark.table("alerts").collect()
     assert [(r["n"], r["attacks"]) for r in got] == [(60, 30)]
     assert got[0]["attack_rate"] == pytest.approx(0.5)
+
+
+def test_many_five_tuples_share_calls_and_state(spark, monkeypatch):
+    calls, packets = [], [pk(i, i * S // 50, (f"10.0.1.{i % 60}", 7), B) for i in range(300)]
+    monkeypatch.setattr(st, "BUCKETS", 4)
+    kind = type(spark.range(1).groupBy("id"))
+    fold = kind.applyInPandasWithState
+    monkeypatch.setattr(kind, "applyInPandasWithState", lambda group, *a: (calls.append(group._df), fold(group, *a))[1])
+    stream = run(spark, [packets[:150], packets[150:]], delay="1 second")
+    assert all("bucket" in df.columns for df in calls) and stream.open_flows == 60
+    stream.flush()
+    assert stream.open_flows == 0
+    assert rows(stream.flows()) == rows(fl.build_flows(frame(spark, packets), hot_rows=None))

@@ -161,8 +161,8 @@ class FlowStream:
         # A last batch without data follows each that moved the watermark: it reports the new one.
         marks = [p["eventTime"]["watermark"] for p in cuts.recentProgress if "watermark" in p["eventTime"]]
         mark = datetime.fromisoformat(marks[-1]) - _EPOCH if marks else None
-        states = [p["stateOperators"][0]["numRowsTotal"] for p in folds.recentProgress if p["stateOperators"]]
-        return (mark // timedelta(microseconds=1) if mark else closed), (states[-1] if states else open_before)
+        opened = sum(p["observedMetrics"][st.OPENED]["flows"] for p in folds.recentProgress if st.OPENED in p["observedMetrics"])
+        return (mark // timedelta(microseconds=1) if mark else closed), open_before + opened
 
     def _run(self, df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
         writer = df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)

@@ -7,8 +7,9 @@ Two queries, each with one stateful operator:
    order is settled by Spark's aggregate state; packets later than that are dropped and
    counted there.  ``window_pieces`` then reduces each window to pieces of flows, in any
    task: a 5-tuple that dominates the stream is worked on window by window.
-2. ``flow_states``: pieces are folded per 5-tuple.  The state is one unfinished flow, a row
-   of some forty numbers, with an event-time timer at the end of its timeout.
+2. ``flow_states``: pieces are folded per 5-tuple.  Its state is one unfinished flow, some
+   forty numbers, with the end of its timeout.  5-tuples are hashed into ``BUCKETS`` keys of
+   the state store, each with the list of its unfinished flows and one event-time timer.
 
 A piece is cut wherever a flow can end: after RST, after a gap over the timeout, and after a
 FIN that closes in any of the three cases a window may be entered in (no unanswered FIN, one
@@ -18,6 +19,7 @@ of endpoint a, one of b).  The fold knows the case and joins pieces that belong
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import itemgetter
 
 import pandas as pd
 import pyarrow as pa
@@ -32,6 +34,7 @@ from tidewatch.session import ship_package
 
 CASES = ("none", "a", "b")
 END_OF_CAPTURE = "end"  # the key of a row that only moves the watermark on
+OPENED = "open"  # the key of a row with the change in open flows
 # A 5-tuple and its capture window travel as one text: rows of few columns make the calls
 # per key several times cheaper.
 KEY = (("ip_a", "string"), ("ip_b", "string"), ("port_a", "int"), ("port_b", "int"), ("proto", "int"), ("capture", "long"))
@@ -51,31 +54,27 @@ FLAGS = ("opener_a", "rst")
 HALF = 1 << 62
 WIDTH = len(BODY) + len(SQUARES)
 PIECES = "id string, at timestamp, pieces array<long>"  # each ``WIDTH`` numbers and those by case
-STATE = "flow array<long>, left_open int"
+STATE = "ids array<string>, flows array<long>"  # of a bucket: by flow ``WIDTH`` numbers, left_open and due
+BUCKETS = 4096
 FLOW = "id string, flow array<long>"  # with the two of ``ENDED`` behind
 ENDED = ("closes", "is_last")
 
 
+_values, _SQUARES_AT = itemgetter(*BODY), [i for i, n in enumerate(BODY) if n in SQUARES]
+
+
 def packed(stretch: dict) -> list[int]:
-    out: list[int] = []
-    for n in BODY:
-        if n in SQUARES:
-            out.extend(divmod(stretch[n], HALF))
-        else:
-            out.append(int(stretch[n]))
+    out = list(map(int, _values(stretch)))
+    for at in reversed(_SQUARES_AT):
+        out[at : at + 1] = divmod(out[at], HALF)
     return out
 
 
 def unpacked(numbers: list[int]) -> dict:
-    out, at = {}, 0
-    for n in BODY:
-        if n in SQUARES:
-            out[n] = numbers[at] * HALF + numbers[at + 1]
-            at += 2
-        else:
-            out[n] = numbers[at]
-            at += 1
-    return out
+    body = list(numbers[:WIDTH])
+    for at in _SQUARES_AT:
+        body[at : at + 2] = [body[at] * HALF + body[at + 1]]
+    return dict(zip(BODY, body, strict=True))
 
 
 def packet_windows(packets: DataFrame, delay: str, span: str) -> DataFrame:
@@ -218,45 +217,60 @@ def fold_pieces(flow: dict | None, pieces: list[dict], timeout: int, idle: int)
 
 
 def flow_states(pieces: DataFrame, timeout: int, idle: int) -> DataFrame:
-    """A stream of pieces to flows: ended ones at once, silent ones when their timer fires."""
-    stride = WIDTH + len(CASED)
+    """A stream of pieces to flows: ended ones at once, silent ones when their timer fires.
+
+    A call costs milliseconds whatever it does, so 5-tuples share calls and state by
+    bucket; a bucket's timer is its earliest one.  The observation ``OPENED`` tells by how
+    many the open flows grew.
+    """
+    stride, held = WIDTH + len(CASED), WIDTH + 2
 
     def read(numbers: list[int]) -> list[dict]:
         parts = [numbers[i : i + stride] for i in range(0, len(numbers), stride)]
         return [unpacked(p) | dict(zip(CASED, p[WIDTH:], strict=True)) for p in parts]
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if key[0] == END_OF_CAPTURE:
-            return
-        flow = None
+        flows: dict[str, list[int]] = {}  # open ones: numbers, left_open, due
         if state.exists:
-            numbers, left_open = state.get
-            flow = unpacked(list(numbers)) | {"left_open": left_open}
-        ended = []
-        if state.hasTimedOut:
-            ended.append(flow | {"closes": False, "is_last": True})
-            flow = None
-        else:
-            windows = [w for f in frames for w in zip(f["at"].tolist(), f["pieces"].tolist(), strict=True)]
-            for _, numbers in sorted(windows, key=lambda w: w[0]):
-                done, flow = fold_pieces(flow, read(numbers.tolist()), timeout, idle)
-                ended.extend(done)
-        if flow is not None:
-            state.update((packed(flow), flow["left_open"]))
-            # Timers are in milliseconds and must lie beyond the watermark.
-            due = (flow["t1"] + timeout) // 1000 + 1
-            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+            names, numbers = state.get
+            flows = {n: list(numbers[i * held : (i + 1) * held]) for i, n in enumerate(names)}
+        before, now = len(flows), state.getCurrentWatermarkMs()
+        ids, ended, fresh = [], [], {}
+        windows: dict[str, list] = {}
+        for f in () if state.hasTimedOut else frames:
+            for id_, at, numbers in zip(f["id"].tolist(), f["at"].tolist(), f["pieces"].tolist(), strict=True):
+                if id_ != END_OF_CAPTURE:
+                    windows.setdefault(id_, []).append((at, numbers))
+        for id_, own in windows.items():
+            numbers = flows.pop(id_, None)
+            flow = None if numbers is None else unpacked(numbers) | {"left_open": numbers[WIDTH]}
+            for _, parts in sorted(own, key=lambda w: w[0]):
+                done, flow = fold_pieces(flow, read(parts.tolist()), timeout, idle)
+                for f in done:
+                    ids.append(id_)
+                    ended.append([*packed(f), *[int(f[n]) for n in ENDED]])
+            if flow is not None:
+                # Timers are in milliseconds and must lie beyond the watermark.
+                due = (flow["t1"] + timeout) // 1000 + 1
+                fresh[id_] = [*packed(flow), flow["left_open"], max(due, now + 1)]
+        for id_ in [n for n, numbers in flows.items() if numbers[-1] < now]:
+            ids.append(id_)
+            ended.append([*flows.pop(id_)[:WIDTH], False, True])
+        flows |= fresh
+        if flows:
+            state.update((list(flows), [x for numbers in flows.values() for x in numbers]))
+            state.setTimeoutTimestamp(min(numbers[-1] for numbers in flows.values()))
         elif state.exists:
             state.remove()
-        if ended:
-            rows = [[*packed(f), *[int(f[n]) for n in ENDED]] for f in ended]
-            yield pd.DataFrame({"id": [key[0]] * len(rows), "flow": rows})
+        yield pd.DataFrame({"id": [*ids, OPENED], "flow": [*[[int(x) for x in f] for f in ended], [len(flows) - before]]})
 
     ship_package(pieces.sparkSession)
-    timed = pieces.withWatermark("at", "0 seconds")
-    return timed.groupBy("id").applyInPandasWithState(
+    timed = pieces.withWatermark("at", "0 seconds").withColumn("bucket", F.pmod(F.hash("id"), F.lit(BUCKETS)))
+    out = timed.groupBy("bucket").applyInPandasWithState(
         run, _parse_datatype_string(FLOW), _parse_datatype_string(STATE), "append", "EventTimeTimeout"
     )
+    opened = F.coalesce(F.sum(F.when(F.col("id") == OPENED, F.col("flow")[0])), F.lit(0))
+    return out.observe(OPENED, opened.alias("flows")).filter(F.col("id") != OPENED)
 
 
 def as_flows(ended: DataFrame) -> DataFrame:
